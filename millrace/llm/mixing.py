@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import staged, word_count
 
 #: Documents a range of a source's hash order holds on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_096
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0) -> DataFrame:
@@ -36,7 +36,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
         .withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
         .withColumn("level", (F.col("total") - F.col("before")) / F.col("left"))
     )
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
     target = F.least(F.col("cap"), F.coalesce(level * F.col("w"), F.col("cap")))
     return ranked.select("source", "n", "source_size", target.alias("target"))
 
