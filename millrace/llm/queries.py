@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 from millrace.llm.embedding_dedup import embedding_near_duplicates
 from millrace.llm.mixing import mix
+from millrace.llm.packing import pack_documents
 from millrace.llm.simhash import near_duplicates
+from millrace.llm.token_count import token_counts
 from millrace.llm.topk import exact_topk
 from millrace.llm.url_filter import filter_urls
 
@@ -32,9 +35,17 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), least_cosine=0.93)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most_epochs=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op3_simhash_dedup, op4_embedding_dedup, op8_source_mixing)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
+QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
