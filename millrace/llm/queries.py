@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 from millrace.llm.embedding_dedup import embedding_near_duplicates
+from millrace.llm.html_text import extract_pages
+from millrace.llm.language_id import identify_languages
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack_documents
+from millrace.llm.secrets import scan_secrets, spans_text
 from millrace.llm.simhash import near_duplicates
 from millrace.llm.token_count import token_counts
 from millrace.llm.topk import exact_topk
@@ -35,15 +38,30 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), least_cosine=0.93)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return identify_languages(table(spark, sf_dir, "documents"), held_out)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most_epochs=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
