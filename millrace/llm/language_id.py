@@ -205,3 +205,15 @@ def identify_languages(docs: DataFrame, held_out: Column, settings: LanguageSett
     model = train_languages(marked.where(~F.col("held_out")), settings, id_col, "text", "lang")
     found = marked.select(id_col, "held_out", language_of(docs, model, F.col("text")).alias("found"))
     return found.select(id_col, "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.3, settings: LanguageSettings = LanguageSettings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents, with their columns, of which a language can be told: not "und", and of least_score or more.
+
+    Learns from the labelled documents themselves. Without any label nothing is learned and nothing can be told,
+    so every document goes.
+    """
+    model = train_languages(docs, settings, id_col, text_col, lang_col)
+    found = docs.select(F.struct(*docs.columns).alias("__doc"), language_of(docs, model, F.col(text_col).cast("string")).alias("__found"))
+    kept = found.where((F.col("__found.lang") != "und") & (F.col("__found.score") >= least_score))
+    return kept.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])

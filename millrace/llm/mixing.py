@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged, word_count
+from millrace.llm.common import WORD, staged, word_count
 
 #: Documents a range of a source's hash order holds on average.
 RANGE_ROWS = 4_096
@@ -46,36 +46,60 @@ def hash_key(id_col: Column) -> Column:
     return F.md5(F.coalesce(id_col.cast("string"), F.lit("")))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row per document: row_id, id, size, source_size, target, taken (words, repeats counted).
+def _slim(rows: DataFrame, row: Column, id_: Column, source: Column, text: Column) -> DataFrame:
+    return rows.select(row.alias("row_id"), id_.alias("id"), source.cast("string").alias("source"), word_count(text).alias("size"), hash_key(id_).alias("key"))
 
-    A source's budget is its target to the nearest word. Whole epochs of the source come first; the rest is
-    cut, at the exact word, from its documents in the order of a hash-random key (ties by id, then size).
-    Order and prefix sums are distributed: each source's keys fall into ranges of about range_rows documents,
-    the ranges' sums give each range its start, and a window within a range does the rest, so that a hot
-    source spreads over as many tasks as it has ranges. Null texts have size 0 and are taken 0 times; a null
-    source is a source; rows repeat freely (equal rows share out their common range in either order).
-    Reruns agree. Documents' texts are read once and never shuffled.
-    """
-    slim = docs.select(F.col(id_col).alias(id_col), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row_id"), hash_key(F.col(id_col)).alias("key"))
-    slim = staged(slim, "mix")
+
+def _taken(slim: DataFrame, weights: Sequence[float], share: float, most_epochs: float, range_rows: int) -> DataFrame:
+    """Rows (row_id, id, size, source_size, target, taken) for rows (row_id, id, source, size, key)."""
     sizes = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most_epochs)
     ranges = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(range_rows))).cast("long")
     spot = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     same = F.col("l.source").eqNullSafe(F.col("r.source"))
-    dealt = (
-        slim.alias("l").join(targets.alias("r"), same)
-        .select("l.*", "r.source_size", "r.target", F.floor(spot * ranges / F.lit(4294967296)).cast("long").alias("range"))
-    )
+    dealt = slim.alias("l").join(targets.alias("r"), same).select("l.*", "r.source_size", "r.target", F.floor(spot * ranges / F.lit(4294967296)).cast("long").alias("range"))
     starts = dealt.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = starts.withColumn("start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     placed = dealt.alias("l").join(starts.alias("r"), same & (F.col("l.range") == F.col("r.range"))).select("l.*", "r.start")
-    within = W.partitionBy("source", "range").orderBy("key", F.col(id_col).asc_nulls_last(), "size", "row_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = W.partitionBy("source", "range").orderBy("key", F.col("id").asc_nulls_last(), "size", "row_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     prefix = F.col("start") + F.sum("size").over(within) - F.col("size")
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - prefix))
-    return placed.select("row_id", id_col, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("row_id", "id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """One row per document: its id, size, source_size, target, taken (words, repeats counted).
+
+    A source's budget is its target to the nearest word. Whole epochs of the source come first; the rest is
+    cut, at the exact word, from its documents in the order of a hash-random key (ties by id, then size).
+    Order and prefix sums are distributed: each source's keys fall into ranges of about range_rows documents,
+    the ranges' sums give each range its start, and a window within a range does the rest, so that a hot
+    source spreads over as many tasks as it has ranges. Null texts have size 0 and are taken 0 times; a null
+    source is a source; rows repeat freely (equal rows share out their common range in either order); an empty
+    table gives no rows. Reruns agree. Texts are read once and never shuffled.
+    """
+    slim = staged(_slim(docs, F.monotonically_increasing_id(), F.col(id_col), F.col(source_col), F.col(text_col)), "mix")
+    taken = _taken(slim, weights, share, most_epochs, range_rows)
+    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The mixed corpus, with the columns of docs: a row for every time that mix() takes a document.
+
+    The one document of a source that the budget cuts comes last with the words taken of it, joined by spaces.
+    Documents without words are taken by no budget and go.
+    """
+    held = staged(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*docs.columns).alias("__doc")), "mix-docs")
+    of = lambda c: F.col(f"__doc.`{c}`")
+    slim = staged(_slim(held, F.col("__row"), of(id_col), of(source_col), of(text_col)), "mix")
+    taken = _taken(slim, weights, share, most_epochs, range_rows).where("taken > 0").select(F.col("row_id").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    takes = F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int")))
+    rows = held.join(taken, "__row").select("__doc", "__size", "__taken", takes.alias("__take"))
+    words = F.least(F.col("__size"), F.col("__taken") - (F.col("__take") - 1) * F.col("__size")).cast("int")
+    cut = F.array_join(F.slice(F.regexp_extract_all(of(text_col), F.lit(WORD), F.lit(0)), 1, words), " ")
+    text = F.when(words < F.col("__size"), cut).otherwise(of(text_col))
+    return rows.select(*[(text if c == text_col else of(c)).alias(c) for c in docs.columns])

@@ -52,8 +52,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most_epochs=2.0)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most_epochs=2.0)
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, settings: MarkovSettings = MarkovSettings(), text_col: str = "text", mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, settings: MarkovSettings = MarkovSettings(), text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """The same rows and columns, each secret in the text replaced by mark; spans that overlap become one."""
     ratios = train_markov(docs, settings, text_col)
     text = F.col(text_col)
