@@ -17,6 +17,11 @@ CAPTION_KEYS = {
     "table": ("table_caption", "table_footnote"), "code": ("code_caption", "code_footnote"), "algorithm": ("code_caption", "code_footnote"),
 }
 ASSET_KEYS = ("asset_key", "image_path", "image_key", "img_path")
+#: Keys read as text.
+TEXT_KEYS = (
+    "type", "block_type", "category", "text", "content", "code_body", "text_format", "latex", "formula", "equation", "markdown", "table_markdown", "table_body", "html",
+    "block_key", "block_id", "id", "parent_block_key", "parent_block_id", "parent_id", *ASSET_KEYS,
+)
 
 
 def lookup(x: Column, aliases: dict[str, str], known: Sequence[str], other: str) -> Column:
@@ -85,7 +90,8 @@ def normalize_blocks(parsed: DataFrame, prefix: str = "parsed-assets", json_col:
     rows = parsed.where(ok).select("document_id", "parse_run_id", F.posexplode(raws).alias("block_index", "raw"))
     raw = F.col("raw")
     rows = rows.where(F.schema_of_variant(raw).startswith("OBJECT"))
-    t = lambda *keys: F.coalesce(*[raw_text(raw, k) for k in keys])
+    rows = rows.withColumns({f"_t_{k}": raw_text(raw, k) for k in TEXT_KEYS})  # each key is read once
+    t = lambda *keys: F.coalesce(*[F.col(f"_t_{k}") for k in keys])
     original = t("type", "block_type", "category")
     low = F.lower(F.coalesce(original, F.lit("unknown")))
     leveled = (low == "text") & F.coalesce(raw_int(raw, "text_level") != 0, F.lit(False))
@@ -102,7 +108,7 @@ def normalize_blocks(parsed: DataFrame, prefix: str = "parsed-assets", json_col:
         of = [k for k, v in CAPTION_KEYS.items() if v == names]
         more = F.concat(*[raw_texts(raw, n) for n in names])
         captions = F.concat(captions, F.when(low.isin(*of), more).otherwise(F.array().cast("array<string>")))
-    refs = F.array_distinct(F.concat(F.array_compact(F.array(*[raw_text(raw, k) for k in ASSET_KEYS])), raw_texts(raw, "asset_keys"), raw_texts(raw, "assets")))
+    refs = F.array_distinct(F.concat(F.array_compact(F.array(*[F.col(f"_t_{k}") for k in ASSET_KEYS])), raw_texts(raw, "asset_keys"), raw_texts(raw, "assets")))
     fallback = F.concat(F.lit("block-"), F.lpad(F.col("block_index").cast("string"), 6, "0"))
     base = F.concat_ws("/", F.lit(prefix), F.col("document_id").cast("string"), F.col("parse_run_id").cast("string"), F.lit(""))
     rows = rows.withColumns({
@@ -114,7 +120,8 @@ def normalize_blocks(parsed: DataFrame, prefix: str = "parsed-assets", json_col:
         "parent_block_key": t("parent_block_key", "parent_block_id", "parent_id"), "own_path": raw_texts(raw, "section_path"),
         "bbox": F.to_json(F.try_variant_get(raw, "$.bbox", "variant")), "confidence": F.coalesce(*[F.try_variant_get(raw, f"$.{k}", "double") for k in ("confidence", "score")]),
     })
-    return with_section_paths(rows).drop("raw", "own_path", "level", "_low")
+    kept = rows.drop("raw", "_low", *[f"_t_{k}" for k in TEXT_KEYS])
+    return with_section_paths(kept).drop("own_path", "level")
 
 
 def with_section_paths(rows: DataFrame) -> DataFrame:

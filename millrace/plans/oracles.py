@@ -175,7 +175,8 @@ SELECT query_id, md5(regexp_replace(string_agg(head || cut, chr(10) || chr(10) O
     "citation_list": f"WITH {_PACK} SELECT query_id, citation_id::int AS citation_id, chunk_id, original_filename, retrieval_source, was_truncated FROM u",
     "prompt_texts": f"""WITH {_PACK}, x AS (SELECT query_id, string_agg(head || cut, chr(10) || chr(10) ORDER BY citation_id) AS context, max(used_chars) AS total FROM u GROUP BY query_id)
 SELECT query_id, CASE WHEN context IS NULL THEN 'no_context' ELSE 'ok' END AS context_status,
-  (5 + 1 + length(coalesce(nullif({_strip("context")}, ''), '当前无可用检索上下文。')) + 2 + 5 + 1 + length(q.text) + 2 + 53)::int AS n_chars, coalesce(total, 0)::bigint AS total_chars
+  length('检索片段：' || chr(10) || coalesce(nullif({_strip("context")}, ''), '当前无可用检索上下文。') || chr(10) || chr(10) || '用户问题：' || chr(10) || q.text || chr(10) || chr(10)
+    || '请只依据上述检索片段回答。依据不足时说明无法可靠回答，并不要补充未在片段中出现的工艺参数或标准条文。')::int AS n_chars, coalesce(total, 0)::bigint AS total_chars
 FROM q LEFT JOIN x USING (query_id)""",
     "extraction_prompts": f"""WITH {_chunks(1000, 100)}, f AS (SELECT * FROM c WHERE chunk_index < 3), ok AS (SELECT * FROM f QUALIFY sum(length(content)) OVER (PARTITION BY document_id) <= 12000)
 SELECT document_id, md5('Allowed item_type values for this extraction:' || chr(10) || '{", ".join(sorted(ITEM_TYPES))}' || chr(10) || chr(10) || 'Source chunks:' || chr(10)
