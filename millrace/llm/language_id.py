@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LETTER = regex.compile(r"\p{L}")
+#: Bits of a slot, a language each.
+MOST_LANGUAGES = 64
 #: Bytes that a task turns into n-grams at once.
 STEP = 1 << 19
 
@@ -139,11 +141,20 @@ def slots_of(hashes: np.ndarray, settings: LanguageSettings) -> Iterator[np.ndar
 
 
 def training_rows(docs: DataFrame, settings: LanguageSettings, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """At most settings.train_docs rows (lang, text) of each language, those with the smallest hash of the id."""
+    """At most settings.train_docs rows (lang, text) of each language, those with the smallest hash of the id.
+
+    A count per language sets how small a hash has to be for a fifth and some more than needed; only what passes
+    is shuffled, and cut to the smallest.
+    """
     order = F.xxhash64(F.col("id").cast("string"), F.lit(17))
     named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    n = named.groupBy("lang").count()
-    near = named.join(n, "lang").where(F.pmod(order, F.lit(1_000_000)) < F.lit(1_200_000.0 * settings.train_docs + 50_000_000) / F.col("count"))
+    counts = named.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"a filter of one 64-bit word per slot holds {MOST_LANGUAGES} languages at most")
+    if not counts:
+        return named.select("lang", "text")
+    pairs = [F.lit(x) for r in counts for x in (r["lang"], (1.2 * settings.train_docs + 50) / r["count"])]
+    near = named.where(F.pmod(order, F.lit(1_000_000)) < F.element_at(F.create_map(*pairs), F.col("lang")) * 1_000_000)
     return near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(order, "id"))).where(F.col("r") <= settings.train_docs).select("lang", "text")
 
 
@@ -171,8 +182,6 @@ def train_languages(docs: DataFrame, settings: LanguageSettings = LanguageSettin
     kept = ranked.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= settings.grams)
     held = kept.select("lang", "gram").toPandas()
     languages = tuple(sorted(held["lang"].unique()))
-    if len(languages) > 64:
-        raise ValueError("a filter of one 64-bit word per slot holds 64 languages at most")
     table = np.zeros(settings.slots, np.uint64)
     for i, lang in enumerate(languages):
         hashes = held.loc[held["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64)
