@@ -27,14 +27,14 @@ _SPAN = "struct<start:int,kind:int,stop:int>"
 class MarkovSettings:
     """sample_docs: about so many documents, by a hash of their text, lend samples to the models.
 
-    least_chars: the shortest token judged. least_ratio: the mean log-likelihood ratio per pair of neighbours, in
-    nats, from which a token counts as random. uniform: the weight of evenly spread characters in the model of random strings,
+    least_chars: the shortest token judged. least_ratio: the mean log-likelihood ratio of the pairs of neighbours that tell,
+    in nats, from which a token counts as random. uniform: the weight of evenly spread characters in the model of random strings,
     for kinds of secrets that the samples lack.
     """
 
     sample_docs: int = 4000
     least_chars: int = 20
-    least_ratio: float = 0.8
+    least_ratio: float = 2.0
     uniform: float = 0.5
 
 
@@ -77,8 +77,10 @@ def base_spans(text: Column) -> Column:
 def train_markov(docs: DataFrame, settings: MarkovSettings = MarkovSettings(), text_col: str = "text") -> list[float]:
     """Log-likelihood ratios of each pair of ALPHABET's characters, random strings against ordinary identifiers.
 
+    Pairs where identifiers join words (separators, and upper case after lower) say nothing: 0.
+
     Labelled samples: what the base patterns find in the sampled documents is random; their other tokens of 4
-    or more characters are ordinary. The driver gets a count per pair of characters and label at most.
+    or more characters, but fewer than would be judged, are ordinary: a secret that the patterns miss teaches nothing. The driver gets a count per pair of characters and label at most.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     n = max(1, docs.count())
@@ -88,16 +90,21 @@ def train_markov(docs: DataFrame, settings: MarkovSettings = MarkovSettings(), t
     rest = F.col("text")
     for p in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, p, " ")
-    ordinary = F.regexp_extract_all(rest, F.lit(_TOKEN + "{4,}"), F.lit(0))
+    ordinary = F.filter(F.regexp_extract_all(rest, F.lit(_TOKEN + "{4,}"), F.lit(0)), lambda x: F.length(x) < settings.least_chars)
     labelled = own.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), random.alias("tokens")), F.struct(F.lit(0).alias("random"), ordinary.alias("tokens")))).alias("x"))
     tokens = labelled.select("x.random", F.explode("x.tokens").alias("token"))
     pairs = tokens.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, 2))).alias("pair"))
     counts: dict[tuple[int, str], int] = {(r["random"], r["pair"]): r["count"] for r in pairs.groupBy("random", "pair").count().toLocalIterator() if set(r["pair"]) <= set(ALPHABET)}
     ratios, size = [], len(ALPHABET)
+    seen = {b: sum(counts.get((0, a + b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET}
+    total = sum(seen.values())
     for a in ALPHABET:
         sums = [sum(counts.get((k, a + b), 0) for b in ALPHABET) for k in (0, 1)]
         for b in ALPHABET:
-            plain = (counts.get((0, a + b), 0) + 0.02) / (sums[0] + 0.02 * size)
+            if not (a.isalnum() and b.isalnum()) or a.islower() and b.isupper():
+                ratios.append(0.0)
+                continue
+            plain = (counts.get((0, a + b), 0) + seen[b] / total) / (sums[0] + 1)  # what follows a rare character is as common as it is itself
             drawn = (counts.get((1, a + b), 0) + 0.5) / (sums[1] + 0.5 * size)
             ratios.append(math.log((1 - settings.uniform) * drawn + settings.uniform / size) - math.log(plain))
     return ratios
@@ -111,8 +118,9 @@ def random_spans(text: Column, ratios: list[float], settings: MarkovSettings) ->
     def mean_ratio(token):
         places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
         n = F.length(token) - 1
-        pairs = F.zip_with(F.slice(places, 1, n), F.slice(places, 2, n), lambda a, b: (a - 1) * len(ALPHABET) + b)
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, at: acc + F.element_at(table, at.cast("int"))) / n
+        pairs = F.zip_with(F.slice(places, 1, n), F.slice(places, 2, n), lambda a, b: F.element_at(table, ((a - 1) * len(ALPHABET) + b).cast("int")))
+        told = F.filter(pairs, lambda x: x != 0)
+        return F.aggregate(told, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size(told), F.lit(1))
 
     return _kept(tokens, spans, 3, lambda m: mean_ratio(m) >= settings.least_ratio)
 
