@@ -32,14 +32,15 @@ HOLDERS = frozenset("#root html body main article section div center td table bl
 _KEEPS_P = frozenset("dd dt li td th tr tbody thead tfoot option body html head br summary figcaption legend".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 @dataclass(eq=False, slots=True)
 class Node:
     tag: str
     parent: Node | None
-    skip: bool
+    barred: int  # 0: not by itself, 1: by a word of its class or id, 2: by what it is
+    skip: bool = False
     children: list = field(default_factory=list)
     chars: int = 0
     tags: int = 0
@@ -47,27 +48,42 @@ class Node:
     link_tags: int = 0
     density: float = 0.0
     total: float = 0.0
+    top: Node | None = None  # of the largest total among itself and the holders below
 
 
-def _skipped(tag: str, attributes: str) -> bool:
+def _barred(tag: str, attributes: str) -> int:
     if tag in NOT_TEXT:
-        return True
-    if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return 2
+    if not attributes or tag in ("html", "body", "main"):
+        return 0
+    barred = 0
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words = [w.lower() for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())]
-            if not NOT_WORDS.isdisjoint(words):
-                return True
+            words = set(_SPLIT.split(value.lower())) | set(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
+            barred = max(barred, int(not NOT_WORDS.isdisjoint(words)))
         elif name == "role" and value.lower() in NOT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 2
+    return barred
+
+
+def _settle(nodes: list[Node]) -> None:
+    """Decide what is left out. A class or id that seems to bar an element doesn't, if it holds the page's heading
+    or article and a good part of its text: then the word tells of the layout."""
+    chars, heads = {}, {}
+    for node in reversed(nodes):
+        own = [len("".join(c.split())) if isinstance(c, str) else chars[id(c)] for c in node.children]
+        chars[id(node)] = 0 if node.barred == 2 else sum(own)
+        heads[id(node)] = node.barred != 2 and (node.tag in ("h1", "main") or node.tag == "article" and not node.barred or any(heads[id(c)] for c in node.children if not isinstance(c, str)))
+    whole = chars[id(nodes[0])]
+    for node in nodes:
+        layout = heads[id(node)] and node.tag != "article" and 4 * chars[id(node)] > whole
+        node.skip = node.parent is not None and node.parent.skip or node.barred == 2 or node.barred == 1 and not layout
 
 
 def parse(page: str) -> list[Node]:
     """All elements in page order, the root first; a node's children are elements and strings."""
-    root = Node("#root", None, False)
+    root = Node("#root", None, 0)
     nodes, here, at = [root], root, 0
     while at < len(page):
         m = _TAG.search(page, at)
@@ -85,7 +101,7 @@ def parse(page: str) -> list[Node]:
             continue
         here = _implied(here, tag)
         attributes = m[3] or m[6] or ""
-        node = Node(tag, here, here.skip or _skipped(tag, attributes))
+        node = Node(tag, here, _barred(tag, attributes))
         here.children.append(node)
         nodes.append(node)
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "path", "math"):
@@ -95,6 +111,7 @@ def parse(page: str) -> list[Node]:
             at = end.end() if end else len(page)
             continue
         here = node
+    _settle(nodes)
     return nodes
 
 
@@ -167,6 +184,10 @@ def measure(nodes: list[Node]) -> None:
                 node.total += density(chars, 1, chars if linked else 0, int(linked))
             elif not child.skip:
                 node.total += child.density
+        node.top = node
+        for child in node.children:
+            if not isinstance(child, str) and child.top is not None and child.top.tag in HOLDERS and child.top.total > node.top.total:
+                node.top = child.top
 
 
 def article_nodes(nodes: list[Node]) -> list[Node]:
@@ -181,26 +202,22 @@ def article_nodes(nodes: list[Node]) -> list[Node]:
         around = around.parent
     best = around or best
     path, node = [], best
-    while node is not None and node.tag not in ("body", "html", "#root"):
+    while node is not None:
         path.append(node)
         node = node.parent
-    threshold = min((n.density for n in path), default=math.inf)
+    threshold = min((n.density for n in path if n.tag not in ("body", "html", "#root")), default=math.inf)
     chosen, on_path = [best], {id(n) for n in path}
     inside = {id(best)}
     for n in nodes[1:]:  # parents before children
-        if n.parent is not None and id(n.parent) in inside:
+        if id(n) in inside or id(n.parent) in inside:
             inside.add(id(n))
             continue
         if n.skip or not n.chars or id(n) in on_path or n.density < threshold or n.tag in ("html", "body") or n.link_chars * 2 > n.chars:
             continue
-        top, below = n, {id(n)}
-        for d in nodes:
-            if d.parent is not None and id(d.parent) in below:
-                below.add(id(d))
-                if not d.skip and d.tag in HOLDERS and d.total > top.total:
-                    top = d
-        inside |= below
-        chosen.append(top)
+        held = n.tag not in HOLDERS and n.parent.tag in HOLDERS and id(n.parent) not in on_path
+        at = n.parent if held else n  # what holds a paragraph stands for it
+        inside |= {id(at), id(n)}
+        chosen.append(at.top)
     order = {id(n): i for i, n in enumerate(nodes)}
     return sorted(chosen, key=lambda n: order[id(n)])
 

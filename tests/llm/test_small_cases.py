@@ -159,3 +159,20 @@ def test_packing_cases(spark):
 def test_page_text_is_whole():
     page = "<html><body><nav><a href=1>m</a></nav><div id=post>" + "".join(f"<p>para {i}</p>" for i in range(3000)) + "</div><footer>f</footer></body></html>"
     assert main_text(page) == " ".join(f"para {i}" for i in range(3000))
+
+
+P = "<p>" + "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do. " * 4 + "</p>"
+LOREM = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body class='has-sidebar'><header><h1>Site</h1></header><div id=wrap><div class='content no-sidebar'><h1>Title</h1>{P * 3}<div class=ad>{P}</div><p>end.</p></div><div class=sidebar>{P}</div><div id=comments>{P * 6}</div></div></body>", "Title " + " ".join([LOREM] * 12) + " end."),
+        (f"<article><h1>T</h1>{P}<section class=comments><article class=comment>{P * 4}</article></section></article>", "T " + " ".join([LOREM] * 4)),
+        ("<body><div class=nav><a href=1>x</a></div><div class=post>First line.<br>Second line<br>with <a href=q>link</a>.</div><div class='cookie-notice'>We use cookies</div></body>", "First line. Second line with link."),
+        (f"<main><section><h2>A</h2>{P}</section><section><h2>B</h2>{P * 2}</section></main><aside>{P}</aside>", "A " + " ".join([LOREM] * 4) + " B " + " ".join([LOREM] * 8)),
+    ],
+)
+def test_page_layouts(page, want):
+    assert main_text(page) == want
