@@ -35,8 +35,9 @@ def hash_weights(docs: DataFrame, dim: int, id_col: str = "doc_id", text_col: st
     chars = F.when(F.length(F.coalesce(F.col(text_col), F.lit(""))) == 0, F.array(F.lit(""))).otherwise(chars)
     rows = docs.select(F.col(id_col).alias("id"), F.posexplode(chars).alias("i", "c"))
     h = F.sha2(F.concat(F.col("i").cast("string"), F.lit(":"), F.col("c")), 256)
-    byte = lambda k, n=1: F.conv(F.substring("h", 2 * k + 1, 2 * n), 16, 10).cast("long")
-    rows = rows.select("id", h.alias("h")).select("id", (byte(0, 4) % dim).cast("int").alias("bucket"), (F.when(byte(4) % 2 == 0, 1.0).otherwise(-1.0) * (0.5 + byte(5) / 255)).alias("w"))
+    first = F.conv(F.substring(h, 1, 12), 16, 10).cast("long").alias("h")  # the first six bytes as one number
+    sign = F.when(F.shiftright("h", 8).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0)
+    rows = rows.select("id", first).select("id", (F.shiftright("h", 16) % dim).cast("int").alias("bucket"), (sign * (0.5 + F.col("h").bitwiseAND(F.lit(255)) / 255)).alias("w"))
     return rows.groupBy("id", "bucket").agg(F.sum("w").alias("weight"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,16 +85,42 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], k: int = 10, predica
     return rows.where("distance is not null").orderBy("distance", "id").limit(k).withColumn("score", 1 - F.col("distance"))
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Rows (query_id, id, score) of every query (query_id, embedding) and every other row: exact, for a stated query set.
+def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_rows: int = 512, block_rows: int = 4096) -> DataFrame:
+    """Rows (query_id, id, score, rank): exact cosine top k of every query (query_id, embedding) among all rows but its own id.
 
-    Every pair is scored; the queries go to all rows in blocks, so that the row side is never shuffled while
-    they are small enough for Spark to broadcast.
+    Rows and queries fall into blocks by a hash; each pair of blocks is one matrix product in one task and gives k
+    rows a query, so that what is ranked grows with the blocks, not with the pairs. Vectors of other length than
+    the query's, null, zero or with missing numbers match nothing. Scores are rounded to 9 decimals, ties by id.
     """
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    pairs = rows.join(q, F.col("id") != F.col("query_id"))
-    return pairs.select("query_id", "id", F.round(1 - cosine_distance(F.col("v"), F.col("q")), 9).alias("score")).where("score is not null")
+    usable = lambda c: F.col(c).isNotNull() & ~F.coalesce(F.exists(c, lambda x: x.isNull()), F.lit(False)) & (F.size(c) > 0)
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(vec_col)).select(F.col(id_col).alias("id"), F.size(vec_col).alias("dim"), F.col(vec_col).cast("array<double>").alias("v"))
+    asked = queries.where(usable("embedding")).select(F.col("query_id").alias("id"), F.size("embedding").alias("dim"), F.col("embedding").cast("array<double>").alias("v"))
+    n_rows, n_asked = max(1, -(-rows.count() // block_rows)), max(1, -(-asked.count() // query_rows))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("*", F.lit(False).alias("asks"), own(n_rows).alias("block"), every(n_asked).alias("part"))
+    right = asked.select("*", F.lit(True).alias("asks"), every(n_rows).alias("block"), own(n_asked).alias("part"))
+
+    def best(group: pa.Table) -> pa.Table:
+        asks, dim = group["asks"].to_numpy(), group["dim"][0].as_py()
+        x = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        length = np.sqrt((x * x).sum(axis=1))
+        length[length == 0] = np.nan
+        x = x / length[:, None]
+        ids = np.array(group["id"].to_pylist(), dtype=object)
+        at, out = np.flatnonzero(~asks), []
+        for q in np.flatnonzero(asks):
+            score = np.round(x[at] @ x[q], 9)
+            ok = np.flatnonzero((ids[at] != ids[q]) & np.isfinite(score))
+            if ok.size > k:
+                ok = ok[score[ok] >= np.partition(score[ok], ok.size - k)[ok.size - k]]
+            out += [(ids[q], ids[at[i]], float(score[i])) for i in sorted(ok, key=lambda i: (-score[i], ids[at[i]]))[:k]]
+        kind = group.schema.field("id").type
+        return pa.table({"query_id": pa.array([o[0] for o in out], kind), "id": pa.array([o[1] for o in out], kind), "score": pa.array([o[2] for o in out], pa.float64())})
+
+    kind = left.schema["id"].dataType.simpleString()
+    near = left.unionByName(right).groupBy("dim", "part", "block").applyInArrow(best, f"query_id {kind}, id {kind}, score double")
+    return ranked(near, k)
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, settings: Hybrid = Hybrid()) -> DataFrame:
@@ -114,7 +142,7 @@ def fuse(keyword: DataFrame, vector: DataFrame, settings: Hybrid = Hybrid()) ->
 def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, settings: Hybrid = Hybrid(), id_col: str = "doc_id", text_col: str = "text", vec_id: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """fuse() of keyword and vector lists for queries (query_id, text, embedding)."""
     kw = ranked(keyword_scores(docs, query_terms(queries), id_col=id_col, text_col=text_col), settings.keyword_top_k)
-    vec = ranked(vector_scores(vectors, queries.select("query_id", "embedding"), vec_id, vec_col), settings.vector_top_k)
+    vec = vector_topk_batch(vectors, queries.select("query_id", "embedding"), settings.vector_top_k, vec_id, vec_col)
     return fuse(kw, vec, settings)
 
 

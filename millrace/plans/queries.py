@@ -19,10 +19,10 @@ from millrace.operators.embedding import hash_embeddings, hash_weights
 from millrace.operators.index import drift, payload, replaced, syncable, upserted
 from millrace.operators.knowledge import chunk_selection, fold_reviews, list_items, new_and_skipped, ordered_lookup, snapshot, validate_extractions
 from millrace.operators.messages import conversation_faults
-from millrace.operators.retrieval import best_field, doc_lengths, fuse, hybrid_search, keyword_scores, postings, query_terms, ranked, term_stats, vector_scores, vector_topk, with_highlights
+from millrace.operators.retrieval import best_field, doc_lengths, fuse, hybrid_search, keyword_scores, postings, query_terms, ranked, term_stats, vector_topk, vector_topk_batch, with_highlights
 from millrace.operators.runs import activate_runs, block_summaries, latest, page, run_status, unparsed
 from millrace.plans.rag import prompts
-from millrace.session import table
+from millrace.session import spread, table
 from millrace.sources.files import upload_faults
 from millrace.streaming.ingest import ingest, read_documents
 
@@ -37,6 +37,10 @@ def _word(m: dict[str, str], x):
     return F.element_at(F.create_map(*[F.lit(v) for kv in m.items() for v in kv]), x)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set: benchmark items whose id is divisible by 20, each with the vector of the same id."""
     q = table(spark, sf_dir, "benchmark").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), "text")
@@ -44,19 +48,19 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return window_chunks(table(spark, sf_dir, "documents")).select("document_id", "chunk_index", "content", "char_start", "char_end", "character_count", "token_count")
+    return window_chunks(_documents(spark, sf_dir)).select("document_id", "chunk_index", "content", "char_start", "char_end", "character_count", "token_count")
 
 
 def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_stats(window_chunks(table(spark, sf_dir, "documents"), WindowChunking(500, 50)), "document_id")
+    return chunk_stats(window_chunks(_documents(spark, sf_dir), WindowChunking(500, 50)), "document_id")
 
 
 def chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_stats(window_chunks(table(spark, sf_dir, "documents")))
+    return chunk_stats(window_chunks(_documents(spark, sf_dir)))
 
 
 def chunk_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = window_chunks(table(spark, sf_dir, "documents")).select("document_id", "chunk_index", "character_count")
+    chunks = window_chunks(_documents(spark, sf_dir)).select("document_id", "chunk_index", "character_count")
     return page(chunks, [F.col("document_id"), F.col("chunk_index")], limit=50, offset=100)
 
 
@@ -75,7 +79,7 @@ def vector_top10_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    return ranked(vector_scores(rows, asked), 5).select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+    return vector_topk_batch(rows, asked, 5).select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,30 +88,30 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hash_weights(table(spark, sf_dir, "documents"), 16).select(F.col("id").alias("doc_id"), "bucket", (F.round("weight", 6) + 0.0).alias("weight"))
+    return hash_weights(_documents(spark, sf_dir), 16).select(F.col("id").alias("doc_id"), "bucket", (F.round("weight", 6) + 0.0).alias("weight"))
 
 
 def hash_embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = hash_embeddings(table(spark, sf_dir, "benchmark"), 32, id_col="item_id")
     asked = items.where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), "embedding")
-    return ranked(vector_scores(items, asked, "item_id"), 5).select("query_id", F.col("id").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+    return vector_topk_batch(items, asked, 5, "item_id").select("query_id", F.col("id").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_stats(postings(table(spark, sf_dir, "documents")))
+    return term_stats(postings(_documents(spark, sf_dir)))
 
 
 def document_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_lengths(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "dl")
+    return doc_lengths(_documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "dl")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = keyword_scores(table(spark, sf_dir, "documents"), query_terms(_queries(spark, sf_dir)))
+    scores = keyword_scores(_documents(spark, sf_dir), query_terms(_queries(spark, sf_dir)))
     return ranked(scores, 10).select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("title", F.substring_index("text", "\n", 1))
+    docs = _documents(spark, sf_dir).withColumn("title", F.substring_index("text", "\n", 1))
     terms = query_terms(_queries(spark, sf_dir))
     best = best_field([(keyword_scores(docs, terms), 1.0), (keyword_scores(docs, terms, text_col="title"), 3.0)])
     return ranked(best, 10).select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
@@ -115,8 +119,8 @@ def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     asked = _queries(spark, sf_dir)
-    kw = ranked(keyword_scores(table(spark, sf_dir, "documents"), query_terms(asked)), 50)
-    return kw, ranked(vector_scores(table(spark, sf_dir, "embeddings"), asked.select("query_id", "embedding")), 50)
+    kw = ranked(keyword_scores(_documents(spark, sf_dir), query_terms(asked)), 50)
+    return kw, vector_topk_batch(table(spark, sf_dir, "embeddings"), asked.select("query_id", "embedding"), 50)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +129,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir))
+    return hybrid_search(_documents(spark, sf_dir), table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir))
 
 
 def hybrid_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,28 +137,28 @@ def hybrid_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = with_highlights(_hybrid(spark, sf_dir), table(spark, sf_dir, "documents"), _queries(spark, sf_dir))
+    hits = with_highlights(_hybrid(spark, sf_dir), _documents(spark, sf_dir), _queries(spark, sf_dir))
     return hits.select("query_id", F.col("id").alias("doc_id"), F.array_join("matched_keywords", "|").alias("keywords"))
 
 
 def hybrid_document_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = _documents(spark, sf_dir).where("lang = 'en'")
     vectors = table(spark, sf_dir, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     held = hybrid_search(docs, vectors, _queries(spark, sf_dir))
     return held.select("query_id", F.col("id").alias("doc_id"), "retrieval_source", F.col("position").cast("int").alias("position"))
 
 
 def exact_terms_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(exact_terms(F.col("text"), TERMS, ("ción", "ß")), "|").alias("terms"))
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(exact_terms(F.col("text"), TERMS, ("ción", "ß")), "|").alias("terms"))
 
 
 def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return docs.select("doc_id", F.array_join(matched_keywords(F.lit("The re/st of DER que-les the thing"), F.col("text"), dictionary=TERMS), "|").alias("keywords"))
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     items = _hybrid(spark, sf_dir).join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("original_filename")), "id")
     items = items.select("query_id", "position", F.col("id").cast("string").alias("chunk_id"), F.col("id").cast("string").alias("document_id"), F.lit(0).alias("chunk_index"), "original_filename", "retrieval_source", "hybrid_score", "content")
     return pack_context(items, Rag(max_chars=6000))
@@ -178,19 +182,19 @@ def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extraction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = window_chunks(table(spark, sf_dir, "documents")).withColumn("id", F.concat_ws("-", "document_id", "chunk_index"))
+    chunks = window_chunks(_documents(spark, sf_dir)).withColumn("id", F.concat_ws("-", "document_id", "chunk_index"))
     kept = chunk_selection(chunks, 3, 12_000).where("not over_budget")
     return extraction_prompt(kept).select("document_id", F.md5("prompt").alias("prompt_md5"))
 
 
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     digest = content_hash(F.lit("process_rule"), F.lit(None), F.col("lang"), F.col("text"))
     return docs.groupBy(digest.alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
 def duplicates_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     items = docs.select(F.col("doc_id").alias("id"), F.lit("process_rule").alias("item_type"), F.lit(None).cast("string").alias("source_document_id"), content_hash(F.lit("process_rule"), F.lit(None), F.lit("t"), F.col("text")).alias("content_hash"))
     reviewed = items.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "deprecated").otherwise("approved").alias("status")), "id")
     fresh = items.join(reviewed.select("id"), "id", "left_anti").withColumn("position", F.col("id"))
@@ -198,7 +202,7 @@ def duplicates_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     items = docs.select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"), F.lit("draft").alias("status"), F.lit("process_rule").alias("item_type"), F.lit(None).cast("string").alias("source_document_id"))
     return list_items(items, item_type="process_rule", status="draft", text=" THE%re_t ").select("doc_id")
 
@@ -228,13 +232,13 @@ def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return docs.select("doc_id", snapshot(["doc_id", "lang", "source", "n_chars"]).alias("snapshot"))
 
 
 def extraction_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model outputs made from all documents, sound and faulty ones by turns, as extraction would return them."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     case, me = F.col("doc_id") % 8, F.col("doc_id").cast("string")
     item = F.struct(
         F.when(case == 1, "gossip").otherwise("process_rule").alias("item_type"), F.when(case == 2, " ").otherwise(F.col("source")).alias("title"), F.col("text").alias("content"),
@@ -248,7 +252,7 @@ def extraction_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks_with_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("original_filename"), F.lit("parsed").alias("process_status"))
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("original_filename"), F.lit("parsed").alias("process_status"))
     status = F.element_at(F.array(F.lit("embedded"), F.lit("embedded"), F.lit("not_started"), F.lit("embed_failed"), F.lit("embedding")), (F.col("label") % 5 + 1).cast("int"))
     model = F.when(F.col("label") % 5 == 2, F.lit("")).otherwise(F.lit("m"))
     v = table(spark, sf_dir, "embeddings").select(
@@ -275,36 +279,36 @@ def index_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     old = docs.where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.lit("old").alias("version"))
     new = docs.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.lit("new").alias("version"))
     return upserted(old, new).withColumn("mode", F.lit("all")).unionByName(replaced(old, new, new).withColumn("mode", F.lit("document")))
 
 
 def unparsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source")
     return unparsed(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"))).select("id")
 
 
 def ordered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "labels").select((F.col("doc_id") * 7).alias("id"), F.col("doc_id").alias("position"))
-    found, missing = ordered_lookup(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), wanted)
+    found, missing = ordered_lookup(_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang"), wanted)
     return found.select("position", "id", "lang").unionByName(missing.select("position", "id", F.lit(None).cast("string").alias("lang")))
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", none.alias("markdown"), none.alias("html"), none.alias("latex"), F.col("text").alias("caption"), F.split("text", " ").alias("section_path"), F.array().cast("array<string>").alias("asset_keys"))
+    docs = _documents(spark, sf_dir).select("doc_id", "text", none.alias("markdown"), none.alias("html"), none.alias("latex"), F.col("text").alias("caption"), F.split("text", " ").alias("section_path"), F.array().cast("array<string>").alias("asset_keys"))
     return block_summaries(docs).select("doc_id", "text", "caption", "truncated", F.size("section_path").alias("n_path"))
 
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return docs.select("doc_id", F.md5(squeeze(F.col("text"))).alias("squeezed_md5"), safe_segment(shorten(F.col("text"), 40)).alias("segment"), F.length(redact_urls(F.col("text"))).alias("n_redacted"), token_estimate(F.col("text")).alias("n_tokens"))
 
 
 def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     ends = F.element_at(F.array(*[F.lit(x) for x in (".TXT", ".md", ".exe", "", ".pdf ")]), (F.col("doc_id") % 5 + 1).cast("int"))
     files = docs.select("doc_id", F.concat("source", ends).alias("filename"), F.col("n_chars").alias("file_size"))
     return upload_faults(files, most=3000).select("doc_id", "extension", "reject_reason")
@@ -330,7 +334,7 @@ def normalized_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = html_blocks(table(spark, sf_dir, "pages"))
+    held = html_blocks(spread(table(spark, sf_dir, "pages")))
     return held.select("document_id", "block_index", "block_type", "text", F.array_join("section_path", " > ").alias("section"))
 
 
@@ -341,19 +345,19 @@ def page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared = prepared_blocks(html_blocks(table(spark, sf_dir, "pages")))
+    prepared = prepared_blocks(html_blocks(spread(table(spark, sf_dir, "pages"))))
     held = assembled_chunks(fragments(prepared), prepared)
     return held.select("document_id", "chunk_index", "content", "chunk_type", "content_format", "section_title", "page_start", "page_end", "token_count")
 
 
 def page_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared = prepared_blocks(html_blocks(table(spark, sf_dir, "pages")))
+    prepared = prepared_blocks(html_blocks(spread(table(spark, sf_dir, "pages"))))
     return lineage(fragments(prepared)).select("document_id", "chunk_index", "block_index", F.col("block_order").cast("int").alias("block_order"))
 
 
 def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the streaming ingestion, read back."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
     folder = f"{base}/stream-{uuid.uuid4().hex}"
     ingest(read_documents(spark, f"{sf_dir}/documents.parque[t]", docs.schema), f"{folder}/chunks", f"{folder}/state").awaitTermination()

@@ -15,3 +15,10 @@ def build_session(app: str = "millrace", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer files than there are cores, dealt out over the cores: a file of one row group is one task
+    otherwise. Larger tables are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
