@@ -17,6 +17,7 @@ from millrace.llm.simhash import near_duplicates
 from millrace.llm.token_count import token_counts
 from millrace.llm.topk import exact_topk
 from millrace.llm.url_filter import filter_urls
+from millrace.session import spread
 
 #: Host and path rules.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -31,7 +32,7 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3)
+    return near_duplicates(spread(table(spark, sf_dir, "documents")), width=3)
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,29 +41,29 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    return identify_languages(table(spark, sf_dir, "documents"), held_out)
+    return identify_languages(spread(table(spark, sf_dir, "documents")), held_out)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+    return token_counts(spread(table(spark, sf_dir, "documents")), tokenizer or public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(table(spark, sf_dir, "pages"))
+    return extract_pages(spread(table(spark, sf_dir, "pages")))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most_epochs=2.0)
+    return mix(spread(table(spark, sf_dir, "documents")), weights=(5, 2, 1), share=1.5, most_epochs=2.0)
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents"))
+    found = scan_secrets(spread(table(spark, sf_dir, "documents")))
     n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+    return pack_documents(spread(table(spark, sf_dir, "documents")), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
 QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
