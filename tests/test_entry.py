@@ -52,3 +52,14 @@ def test_sql(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(cols)
     assert sorted(tuple(canon(r[c]) for c in cols) for r in got.collect()) == want
+
+
+def test_the_package_is_sent_to_workers_elsewhere(spark, monkeypatch, tmp_path):
+    sent = []
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.delenv("PYTHONPATH", raising=False)
+    monkeypatch.setattr(spark.sparkContext, "addPyFile", sent.append)
+    monkeypatch.setattr(spark.sparkContext, "_millrace_sent", False, raising=False)
+    for _ in range(2):
+        __spark_entry__._ship(spark)
+    assert len(sent) == 1 and sent[0].endswith("millrace.zip")
