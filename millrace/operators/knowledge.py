@@ -68,26 +68,31 @@ def with_hash(items: DataFrame, type_col: str = "item_type", doc_col: str = "sou
 
 def new_and_skipped(candidates: DataFrame, existing: DataFrame, order: Sequence[str] = ("position",)) -> DataFrame:
     """The candidates with skipped: true for all but the first of equal type, hash and document, and for those that a live
-    (not deprecated) existing item equals. A null document equals a null one."""
+    (not deprecated) existing item equals. A null document equals a null one; order tells candidates apart.
+
+    The first of each group comes from an aggregate and is joined back, so that a group of any size spreads.
+    """
+    key = ["item_type", "content_hash", "_doc"]
     doc = F.coalesce(F.col("source_document_id").cast("string"), F.lit("\u0000"))
     rows = candidates.withColumn("_doc", doc)
     live = existing.where(F.coalesce(F.col("status") != "deprecated", F.lit(True))).select("item_type", "content_hash", doc.alias("_doc")).distinct().withColumn("_live", F.lit(True))
-    first = W.partitionBy("item_type", "content_hash", "_doc").orderBy(*order)
-    rows = rows.withColumn("_n", F.row_number().over(first)).join(live, ["item_type", "content_hash", "_doc"], "left")
-    return rows.withColumn("skipped", (F.col("_n") > 1) | F.col("_live").isNotNull()).drop("_doc", "_n", "_live")
+    first = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first")).join(live, key, "left")
+    rows = rows.join(first, key)
+    return rows.withColumn("skipped", (F.struct(*order) != F.col("_first")) | F.col("_live").isNotNull()).drop("_doc", "_first", "_live")
 
 
-def fold_reviews(items: DataFrame, actions: DataFrame) -> DataFrame:
+def fold_reviews(items: DataFrame, actions: DataFrame, span: Column | None = None) -> DataFrame:
     """Rows (id, status, n_applied, n_refused, first_refused): each item's status after its actions, in order.
 
     items: (id, status); actions: (id, seq, action), seq any ordered type. An action that isn't allowed in the state it
-    meets, or is unknown, changes nothing and is counted. Only actions of one item are gathered in its row.
+    meets, or is unknown, changes nothing and is counted. The fold goes by spans: span rises with seq (a day of a
+    time, say; one span if not given), the actions of a span are folded from every status in their own group, and
+    an item's spans are then put one after the other. So what is gathered is a span's actions, then a row a span.
     """
     pairs = [p for a, (starts, to) in TRANSITIONS.items() for s in starts for p in (F.lit(f"{a}:{s}"), F.lit(to))]
     moves = F.create_map(*pairs)
-    listed = actions.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("a"))
-    rows = items.join(listed, "id", "left")
-    start = F.struct(F.col("status").alias("status"), F.lit(0).alias("ok"), F.lit(0).alias("bad"), F.lit(None).cast("string").alias("first"))
+    spans = actions.withColumn("span", span if span is not None else F.lit(0)).groupBy("id", "span").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("a"))
+    start = lambda s: F.struct(s.alias("status"), F.lit(0).alias("ok"), F.lit(0).alias("bad"), F.lit(None).cast("string").alias("first"))
 
     def apply(acc, x):
         to = F.try_element_at(moves, F.concat(x["action"], F.lit(":"), acc["status"]))
@@ -97,7 +102,16 @@ def fold_reviews(items: DataFrame, actions: DataFrame) -> DataFrame:
             F.coalesce(acc["first"], F.when(refused, x["action"])).alias("first"),
         )
 
-    done = F.aggregate(F.coalesce("a", F.array().cast(listed.schema["a"].dataType)), start, apply)
+    def follow(acc, x):
+        step = F.try_element_at(x["steps"], acc["status"])
+        return F.struct(step["status"].alias("status"), (acc["ok"] + step["ok"]).alias("ok"), (acc["bad"] + step["bad"]).alias("bad"), F.coalesce(acc["first"], step["first"]).alias("first"))
+
+    steps = F.create_map(*[x for s in ITEM_STATUSES for x in (F.lit(s), F.aggregate("a", start(F.lit(s)), apply))])
+    steps = spans.select("id", "span", steps.alias("steps"))
+    listed = steps.groupBy("id").agg(F.collect_list(F.struct("span", "steps")).alias("s"))
+    rows = items.join(listed, "id", "left")
+    in_order = F.array_sort("s", lambda a, b: F.when(a["span"] < b["span"], -1).when(a["span"] > b["span"], 1).otherwise(0))
+    done = F.aggregate(F.coalesce(in_order, F.array().cast(listed.schema["s"].dataType)), start(F.col("status")), follow)
     return rows.select("id", done.alias("d")).select("id", F.col("d.status").alias("status"), F.col("d.ok").alias("n_applied"), F.col("d.bad").alias("n_refused"), F.col("d.first").alias("first_refused"))
 
 

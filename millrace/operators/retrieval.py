@@ -26,9 +26,16 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return tokens(docs, id_col, text_col).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def term_stats(held: DataFrame) -> DataFrame:
-    """Rows (term, df, cf): documents that hold a term, and how often all do together."""
-    return held.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def term_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows (term, df, cf): documents that hold a term, and how often all do together.
+
+    A row is a document, so its distinct tokens and all its tokens are counted as they come: one aggregation by
+    term, combined before the shuffle, instead of one by document and term first.
+    """
+    held = latin_tokens(F.col(text_col))
+    once = docs.select(F.explode(F.array_distinct(held)).alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))
+    each = docs.select(F.explode(held).alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))
+    return once.unionByName(each).groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
 
 
 def doc_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -154,6 +154,7 @@ SELECT query_id, id AS item_id, rank::int AS rank, round(score, 6) AS score FROM
     "term_statistics": """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)
 SELECT term, count(*) AS df, sum(tf)::bigint AS cf FROM p GROUP BY term""",
     "document_lengths": "SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '[a-z0-9]+')), 0)::bigint AS dl FROM documents",
+    "posting_lists": "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL",
     "bm25_topk": f"""WITH {_ASKED}, {_bm25("s", "text")}, {_ranked("r", "s", 10)}
 SELECT query_id, id AS doc_id, rank::int AS rank, round(score, 6) AS score FROM r""",
     "bm25_multifield": f"""WITH {_ASKED}, {_bm25("s1", "text")}, {_bm25("s2", "split_part(text, chr(10), 1)")},

@@ -98,13 +98,17 @@ def hash_embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_stats(postings(_documents(spark, sf_dir)))
+    return term_stats(_documents(spark, sf_dir))
 
 
 def document_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_lengths(_documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "dl")
 
 
+def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings(_documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "term", "tf")
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = keyword_scores(_documents(spark, sf_dir), query_terms(_queries(spark, sf_dir)))
     return ranked(scores, 10).select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
@@ -228,7 +232,7 @@ def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     actions = e.select(F.col("user_id").alias("id"), F.struct("ts", "event_id").alias("seq"), _word(ACTIONS, F.col("event_type")).alias("action"))
     items = e.select(F.col("user_id").alias("id")).distinct().withColumn("status", F.lit("draft"))
-    return fold_reviews(items, actions).select(F.col("id").alias("user_id"), "status", "n_applied", "n_refused", "first_refused")
+    return fold_reviews(items, actions, F.date_trunc("day", F.col("seq.ts"))).select(F.col("id").alias("user_id"), "status", "n_applied", "n_refused", "first_refused")
 
 
 def version_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,7 +372,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_fixed, chunk_statistics, chunk_totals, chunk_page, vector_top10, vector_top10_filtered, vector_batch, vector_norms, hash_embedding, hash_embedding_topk, term_statistics,
-        document_lengths, bm25_topk, bm25_multifield, rrf_fusion, hybrid_search_batch, hybrid_highlights, hybrid_document_filter, exact_terms_found, matched_terms, context_pack, context_text,
+        document_lengths, posting_lists, bm25_topk, bm25_multifield, rrf_fusion, hybrid_search_batch, hybrid_highlights, hybrid_document_filter, exact_terms_found, matched_terms, context_pack, context_text,
         citation_list, prompt_texts, extraction_prompts, content_hashes, duplicates_skipped, list_filter, latest_per_key, active_runs, run_statuses, review_states, version_snapshots,
         extraction_validation, syncable_chunks, embedding_statuses, index_drift, index_refresh, unparsed_documents, ordered_chunks, summaries, text_functions, upload_validation,
         message_validation, normalized_blocks, page_blocks, page_assets, page_chunks, page_lineage, stream_chunks,
