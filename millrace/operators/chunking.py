@@ -40,3 +40,12 @@ def embedding_status(chunks: DataFrame, id_col: str = "document_id", model_col:
     return chunks.groupBy(id_col).agg(
         F.count("*").alias("total"), *counts, F.sort_array(F.collect_set(F.nullif(F.col(model_col), F.lit("")))).alias("models"), F.sort_array(F.collect_set(dim_col)).alias("dims")
     )
+
+
+def new_chunk_rows(chunks: DataFrame, run_col: str | None = None) -> DataFrame:
+    """Chunks as they are stored first: an id made of document, run and index, no embedding yet."""
+    run = F.col(run_col) if run_col else F.lit("")
+    return chunks.withColumns({
+        "id": F.sha2(F.concat_ws("\n", F.col("document_id").cast("string"), run, F.col("chunk_index").cast("string")), 256), "embedding": F.lit(None).cast("array<float>"),
+        "embedding_model": F.lit(None).cast("string"), "embedding_dim": F.lit(None).cast("int"), "embedding_status": F.lit("not_started"),
+    })

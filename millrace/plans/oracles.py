@@ -231,5 +231,17 @@ SELECT conv_id::varchar AS document_id, i::int AS block_index, 'block-' || lpad(
   (turn + 1)::int AS page_start, (turn + 1)::int AS page_end, md5(text) AS text_md5, md5(coalesce(title, '')) AS path_md5, (title IS NOT NULL)::int AS depth FROM p""",
     "page_assets": """WITH m AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'title' WHEN 'user' THEN 'text' ELSE 'unknown' END AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
 SELECT conv_id::varchar AS document_id, kind || '.png' AS asset_key, 'image' AS asset_type, (arg_max(turn, i) + 1)::int AS page_number, 'block-' || lpad(max(i)::varchar, 6, '0') AS source_block_key FROM m GROUP BY conv_id, kind""",
+    "asset_resolution": """WITH a AS (SELECT doc_id, lang, 'p/' || source || '/' || n_chars || '.png' AS key, n_chars || '.png' AS base FROM documents),
+k AS (SELECT lang, base, count(DISTINCT key) AS n, min(key) AS key FROM a GROUP BY lang, base)
+SELECT a.doc_id, CASE WHEN a.doc_id % 3 = 0 THEN a.key WHEN a.doc_id % 3 = 1 AND k.n = 1 THEN k.key END AS resolved_key,
+  CASE WHEN a.doc_id % 3 = 2 THEN 'no asset matches' WHEN a.doc_id % 3 = 1 AND k.n > 1 THEN 'more than one asset matches' END AS error
+FROM a JOIN k USING (lang, base) WHERE a.doc_id IN (SELECT doc_id FROM labels)""",
+    "parsed_chunks": f"""WITH f AS (SELECT doc_id, source || ['.txt', '.md', '.exe', '.csv', '.pdf'][doc_id % 5 + 1] AS name, text AS own FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id % 5 <> 2),
+t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN '原始文件名：' || name || chr(10) || '文件类型：.pdf' || chr(10) || 'parser_name：SimpleParser' || chr(10) || 'source_type：pdf' || chr(10) || '当前为轻量解析占位，后续由 MinerU 替换。' ELSE own END AS text FROM f WHERE own IS NOT NULL),
+{_chunks(1000, 100, "t")}
+SELECT document_id, chunk_index, content, 'not_started' AS embedding_status FROM c""",
+    "parse_failures": f"""SELECT doc_id::varchar AS document_id, CASE WHEN done THEN 'DOCUMENT_ALREADY_PARSED' ELSE 'DOCUMENT_PARSE_FAILED' END AS code,
+  CASE WHEN done THEN 'chunks exist' WHEN doc_id % 5 = 2 OR text IS NULL THEN 'unknown kind of file or no content' ELSE 'no text' END AS reason
+FROM (SELECT doc_id, text, doc_id IN (SELECT doc_id FROM labels) AS done FROM documents) WHERE done OR doc_id % 5 = 2 OR text IS NULL OR (doc_id % 5 <> 4 AND {_strip("text")} = '')""",
     "stream_chunks": f"WITH {_chunks(1000, 100)} SELECT document_id, chunk_index, char_start, length(content)::int AS character_count FROM c",
 }

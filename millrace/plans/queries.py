@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.config import Hybrid, Rag, WindowChunking
 from millrace.functions.text import content_hash, exact_terms, matched_keywords, redact_urls, safe_segment, shorten, squeeze, token_estimate
 from millrace.functions.vectors import l2_normalize, norm, quantize4
+from millrace.operators.assets import resolve_assets
 from millrace.operators.block_chunking import assembled_chunks, fragments, lineage, prepared_blocks
 from millrace.operators.blocks import block_assets, html_blocks, normalize_blocks
 from millrace.operators.chunking import chunk_stats, embedding_status, window_chunks
@@ -21,6 +22,7 @@ from millrace.operators.knowledge import chunk_selection, fold_reviews, list_ite
 from millrace.operators.messages import conversation_faults
 from millrace.operators.retrieval import best_field, doc_lengths, fuse, hybrid_search, keyword_scores, postings, query_terms, ranked, term_stats, vector_topk, vector_topk_batch, with_highlights
 from millrace.operators.runs import activate_runs, block_summaries, latest, page, run_status, unparsed
+from millrace.plans.parsing import parse_texts
 from millrace.plans.rag import prompts
 from millrace.session import spread, table
 from millrace.sources.files import upload_faults
@@ -359,6 +361,31 @@ def page_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage(fragments(prepared)).select("document_id", "chunk_index", "block_index", F.col("block_order").cast("int").alias("block_order"))
 
 
+def asset_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as assets of their language; every labelled one refers to its asset by key, by file name, or by neither."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.col("lang").alias("document_id"), F.concat(F.lit("p/"), "source", F.lit("/"), F.col("n_chars").cast("string"), F.lit(".png")).alias("asset_key"), F.concat(F.col("n_chars").cast("string"), F.lit(".PNG")).alias("filename"))
+    none = F.lit(None).cast("string")
+    refs = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("document_id", F.col("doc_id").alias("ref_id"), none.alias("source_path"), F.when(F.col("doc_id") % 3 == 0, F.expr("substring(asset_key, 3)")).alias("asset_key"), F.when(F.col("doc_id") % 3 == 1, F.col("filename")).otherwise("nothing").alias("filename"))
+    held = resolve_assets(refs, docs.select("document_id", "asset_key", "filename", none.alias("source_path")), F.lit("p"))
+    return held.select(F.col("ref_id").alias("doc_id"), "resolved_key", "error")
+
+
+def _parsed(spark: SparkSession, sf_dir: str):
+    """Documents as files, a fifth of an unknown kind and a fifth known by name only; the labelled ones have chunks already."""
+    docs = _documents(spark, sf_dir)
+    ends = F.element_at(F.array(*[F.lit(x) for x in (".txt", ".md", ".exe", ".csv", ".pdf")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    files = docs.select(F.col("doc_id").alias("id"), F.concat("source", ends).alias("filename"), F.encode("text", "UTF-8").alias("content"))
+    return parse_texts(files, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id")))
+
+
+def parsed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).chunks.select("document_id", "chunk_index", "content", "embedding_status")
+
+
+def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).failures
+
+
 def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the streaming ingestion, read back."""
     docs = _documents(spark, sf_dir)
@@ -375,6 +402,6 @@ QUERIES = {
         document_lengths, posting_lists, bm25_topk, bm25_multifield, rrf_fusion, hybrid_search_batch, hybrid_highlights, hybrid_document_filter, exact_terms_found, matched_terms, context_pack, context_text,
         citation_list, prompt_texts, extraction_prompts, content_hashes, duplicates_skipped, list_filter, latest_per_key, active_runs, run_statuses, review_states, version_snapshots,
         extraction_validation, syncable_chunks, embedding_statuses, index_drift, index_refresh, unparsed_documents, ordered_chunks, summaries, text_functions, upload_validation,
-        message_validation, normalized_blocks, page_blocks, page_assets, page_chunks, page_lineage, stream_chunks,
+        message_validation, normalized_blocks, page_blocks, page_assets, page_chunks, page_lineage, asset_resolution, parsed_chunks, parse_failures, stream_chunks,
     )
 }
