@@ -12,6 +12,7 @@ from millrace.errors import require
 from millrace.functions.text import content_hash, is_blank, strip, strip_code_fence
 from millrace.functions.vectors import quantize4
 from millrace.schemas import CREATABLE, EDITABLE, ITEM_STATUSES, ITEM_TYPES, TRANSITIONS
+from millrace.session import shared_folder
 
 #: The fields that an extracted item may have.
 ITEM_FIELDS = ("item_type", "title", "content", "structured_data", "entities", "parameters", "conditions", "confidence", "source_chunk_ids", "source_text")
@@ -152,6 +153,7 @@ def revise_items(items: DataFrame, wanted: DataFrame, new_id: Column) -> DataFra
 
 def revision_chains(items: DataFrame) -> DataFrame:
     """Rows (id, root_id, depth): each item's first ancestor by revises_item_id. A few joins; cycles end after 32 steps."""
+    shared_folder(items.sparkSession)
     links = items.select(F.col("id").alias("_id"), F.col("revises_item_id").alias("_up"))
     rows = items.select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"))
     for _ in range(32):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ from millrace.operators.retrieval import best_field, doc_lengths, fuse, hybrid_s
 from millrace.operators.runs import activate_runs, block_summaries, latest, page, run_status, unparsed
 from millrace.plans.parsing import parse_texts
 from millrace.plans.rag import prompts
-from millrace.session import spread, table
+from millrace.session import shared_folder, spread, table
 from millrace.sources.files import upload_faults
 from millrace.streaming.ingest import ingest, read_documents
 
@@ -389,8 +388,7 @@ def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the streaming ingestion, read back."""
     docs = _documents(spark, sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     ingest(read_documents(spark, f"{sf_dir}/documents.parque[t]", docs.schema), f"{folder}/chunks", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/chunks").select("document_id", "chunk_index", "char_start", "character_count")
 

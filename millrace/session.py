@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +24,12 @@ def spread(df: DataFrame) -> DataFrame:
     otherwise. Larger tables are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the session names, made the context's own; a temporary one where none is named (tests)."""
+    held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    path = held or tempfile.mkdtemp(prefix="spark-shared-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(path)
+    return path
