@@ -145,7 +145,9 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, gen
     rng = np.random.default_rng(seed)
     least = -(-int(lengths.sum()) // capacity)
     rank = lambda p: fitness(lengths, p, capacity)
-    population = list(population)
+    population = sorted(population, key=rank)
+    if population and rank(population[0])[0] <= least:
+        return population[:1]
     while len(population) < genes.population:  # longest first, then less and less strictly so
         noise = rng.random(len(lengths)) * 0.25 * len(population) * max(1, int(lengths.max()))
         bins, room = np.full(len(lengths), -1, np.int64), []
