@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import shared_folder
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tables that staged() wrote and release() has not removed.
+_PATHS: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none (tests)."""
-    sc = spark.sparkContext
-    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path
+    """The folder that driver and executors share: see session.shared_folder()."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,7 +34,33 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder as Parquet and read it back: computed once, safe from lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS.append(path)
+    return held
+
+
+def completed(spark: SparkSession, path: str) -> bool:
+    """Whether a job that wrote to a folder came to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove what staged() wrote so far, once what was computed from it is written elsewhere; how many tables that was."""
+    jvm = spark._jvm
+    done = 0
+    while _PATHS:
+        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
+def join_by_hot_key(rows: DataFrame, classes: DataFrame, key: str, copies: str = "copies") -> DataFrame:
+    """rows joined to classes (one row per key, copies: its number of rows): keys with over a thousandth of all rows, less
+    than a thousand keys, by a broadcast, so that no task gets all rows of one; the others by key."""
+    hot = classes.where(F.col(copies) > F.lit(rows.count() / 1000))
+    few = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(few, key, "left_anti").join(classes.join(few, key, "left_anti"), key))
 
 
 def ascii_lower(col):

@@ -9,14 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged
+from millrace.llm.common import join_by_hot_key, staged
 from millrace.llm.components import connected_components
 from millrace.llm.vectors import binary_of, matrix_of, rows_of, usable
 
 #: Dimensions of a block of the rotated vectors.
 BLOCK_DIMS = 16
-#: Vectors that a task compares with each other at most, on average.
-CHUNK_ROWS = 2048
+#: Vectors of a chunk: a task compares two chunks. Cells of more than SPLIT_CHUNKS chunks are split by one more coordinate.
+CHUNK_ROWS, SPLIT_CHUNKS = 1024, 4
+#: Rotated vectors travel as 32-bit floats; this much more squared distance makes up for it.
+SLACK = 1e-5
+#: Rows of a tile of the sweep.
+TILE = 256
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -33,38 +37,62 @@ def blocks_of(dim: int) -> list[tuple[int, int]]:
 
 def budgets_of(dim: int, least_cosine: float) -> list[float]:
     """Each block's share, by its dimensions, of the squared distance of unit vectors at that cosine."""
-    whole = 2 * (1 - least_cosine) + 1e-9
+    whole = 2 * (1 - least_cosine) + SLACK
     return [whole * (b - a) / dim for a, b in blocks_of(dim)]
 
 
-def linked_pairs(turned: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, least_cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of pairs, i from left and j from right, that this block has to report.
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two of about their largest component: exact, and safe to square."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
-    A pair is reported by the first block in whose budget it lies, by the task of the lower of its cells;
-    two visitors never meet. Candidates come from the block alone, and are then verified in all dimensions.
+
+def linked_pairs(x: np.ndarray, turned: np.ndarray, flags: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, depth: int, least_cosine: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions (i, j) of pairs, i from left and j from right, that this block has to report; and how many pairs were measured.
+
+    flags: a bit for each coordinate by which a row visits the cell; two visitors by the same coordinate meet elsewhere.
+    A pair is reported by the first block in whose budget it lies. Candidates come from the block alone, by a sweep
+    along the first coordinate that made no cells; they are then verified by the cosine of x, the vectors as they came.
     """
     dim = turned.shape[1]
     spans, budgets = blocks_of(dim), budgets_of(dim, least_cosine)
-    a, b = spans[block]
-    x, y, found = turned[left, a:b], turned[right, a:b], []
-    norms_x, norms_y = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    for at in range(0, len(left), 256):
-        d = norms_x[at : at + 256, None] + norms_y[None, :] - 2 * (x[at : at + 256] @ y.T)
-        i, j = np.nonzero(d <= budgets[block] + 1e-9)
-        i, j = left[i + at], right[j]
-        for part in range(0, len(i), 1 << 16):
-            u, v = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
-            ok = (u != v) & (home[u] | home[v])
-            u, v = u[ok], v[ok]
-            gap = (turned[u] - turned[v]) ** 2
-            inside = [gap[:, s:e].sum(axis=1) <= most for (s, e), most in zip(spans, budgets, strict=True)]
-            first = inside[block] & ~np.any(inside[:block], axis=0) if block else inside[block]
-            u, v = u[first], v[first]
-            close = np.einsum("ij,ij->i", turned[u], turned[v]) >= least_cosine
-            found.append((u[close], v[close]))
+    (a, b), most = spans[block], budgets[block]
+    sweep, reach = turned[:, min(a + depth, b - 1)].astype(np.float64), math.sqrt(most)
+    same = left is right
+    norms = np.sqrt((x * x).sum(axis=1))
+    ordered = lambda rows: rows[np.argsort(sweep[rows], kind="stable")]
+    found, measured = [], 0
+    for f in np.unique(flags[left]):
+        for g in np.unique(flags[right]):
+            if f & g or same and f > g:
+                continue
+            u, v = ordered(left[flags[left] == f]), ordered(right[flags[right] == g])
+            own = same and f == g
+            y = turned[v, a:b]
+            norms_y, sweep_v = (y * y).sum(axis=1), sweep[v]
+            for at in range(0, len(u), TILE):
+                tile = u[at : at + TILE]
+                first, last = np.searchsorted(sweep_v, (sweep[tile[0]] - reach, sweep[tile[-1]] + reach), side="left")
+                first, last = (at if own else int(first)), min(len(v), int(last) + 1)
+                if first >= last:
+                    continue
+                z = turned[tile, a:b]
+                d = (z * z).sum(axis=1)[:, None] + norms_y[None, first:last] - 2 * (z @ y[first:last].T)
+                measured += d.size
+                i, j = np.nonzero(d <= most + SLACK)
+                if own:
+                    i, j = i[j > i], j[j > i]
+                i, j = tile[i], v[first + j]
+                for part in range(0, len(i), 1 << 16):
+                    p, q = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+                    gap = (turned[p].astype(np.float64) - turned[q]) ** 2
+                    inside = [gap[:, s:e].sum(axis=1) <= share for (s, e), share in zip(spans, budgets, strict=True)]
+                    here = inside[block] & ~np.any(inside[:block], axis=0) if block else inside[block]
+                    p, q = p[here], q[here]
+                    close = np.einsum("ij,ij->i", x[p], x[q]) / (norms[p] * norms[q]) >= least_cosine
+                    found.append((p[close], q[close]))
     if not found:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return np.zeros(0, int), np.zeros(0, int), measured
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), measured
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +112,36 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, root[own]
 
 
+_CELL = ["label", "dim", "block", "place"]
+
+
+def _cells(nodes: DataFrame, split_rows: int, chunk_rows: int) -> DataFrame:
+    """Rows (label, dim, block, place, depth, flags, node, chunk, chunks): every node at its cells of every block.
+
+    A cell is a range of the block's first coordinate, as wide as the share's root; a node is at home in its own and
+    visits the one below, so that all pairs within the share meet. A cell of more than split_rows nodes that spreads over
+    several ranges of the block's next coordinate is split by it in the same way. What can't be split falls into chunks.
+    """
+    blocks = F.expr("transform(spans, (s, i) -> struct(i as block, slice(cells, s.a + 1, s.b - s.a) as c))")
+    rows = nodes.select("label", "dim", "node", F.explode(blocks).alias("x")).select("label", "dim", "node", "x.block", "x.c", F.lit("").alias("place"), F.lit(0).alias("flags"))
+    kept, depth = None, 0
+    while True:
+        at = F.col("c")[depth]
+        both = F.explode(F.array(F.struct(at.alias("cell"), F.lit(0).alias("v")), F.struct((at - 1).alias("cell"), F.lit(1 << depth).alias("v"))))
+        rows = rows.withColumn("to", both).select("label", "dim", "block", "node", "c", F.concat_ws(",", "place", F.col("to.cell").cast("string")).alias("place"), F.col("flags").bitwiseOR(F.col("to.v")).alias("flags"))
+        rows = staged(rows, f"cells-{depth}")
+        after = F.try_element_at("c", F.lit(depth + 2))
+        sizes = rows.groupBy(*_CELL).agg(F.count("*").alias("n"), F.bit_and("flags").alias("all"), (F.max(after) - F.min(after) >= 2).alias("wide")).where("all = 0")
+        sizes = staged(sizes.withColumn("hot", (F.col("n") > split_rows) & F.coalesce("wide", F.lit(False)) & F.lit(depth < 30)), f"cell-sizes-{depth}")
+        chunks = F.ceil(F.col("n") / F.lit(chunk_rows)).cast("int")
+        done = rows.join(sizes.where("not hot").select(*_CELL, chunks.alias("chunks")), _CELL).select(*_CELL, F.lit(depth).alias("depth"), "flags", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
+        kept = done if kept is None else kept.unionByName(done)
+        hot = sizes.where("hot").select(*_CELL)
+        if hot.isEmpty():
+            return kept
+        rows, depth = rows.join(hot, _CELL), depth + 1
+
+
 def embedding_near_duplicates(vectors: DataFrame, least_cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per vector: its id, n_links, component_id, kept.
 
@@ -94,16 +152,17 @@ def embedding_near_duplicates(vectors: DataFrame, least_cosine: float = 0.93, id
     lends no id to its component, and is not kept.
 
     Unit vectors are rotated and split into blocks; of a pair within the squared distance d2 at least one block
-    lies within its share of d2. Per block, a vector goes to the cell of the block's first coordinate, as wide as
-    the share's root, and visits the cell below: all pairs within the share meet there. Cells of many rows
-    fall into chunks, and each pair of chunks is a task of bounded size. A task returns link counts and a
-    forest of its links, a row or two per vector, not the pairs.
+    lies within its share of d2. Per block, nodes meet in cells (see _cells); two chunks of a cell are a task of bounded
+    size. A task returns link counts and a forest of its links, a row or two per vector, not the pairs.
     """
-    own = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"), F.monotonically_increasing_id().alias("row"))
+    vec = F.col(vec_col)
+    good = F.col(label_col).isNotNull() & usable(vec) & (F.size(vec) > 0) & F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))
+    signature = F.concat(F.hex(F.xxhash64(F.col(label_col), vec)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), F.col(label_col), vec)))
+    own = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vec.alias("vec"), F.when(good, signature).alias("sig"), F.monotonically_increasing_id().alias("row"))
     own = staged(own, "vectors")
-    good = own.where(F.col("label").isNotNull() & usable(F.col("vec"))).where(F.size("vec") > 0).where(F.exists("vec", lambda x: x != 0))
-    node = good.groupBy("label", "vec").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.count("*").alias("copies"), F.size(F.first("vec")).alias("dim"))
+    node = own.where("sig is not null").groupBy("sig").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
     least = float(least_cosine)
+    kind = np.float32 if own.schema["vec"].dataType.elementType.typeName() == "float" else np.float64
 
     def turn(batches):
         for batch in batches:
@@ -111,38 +170,35 @@ def embedding_near_duplicates(vectors: DataFrame, least_cosine: float = 0.93, id
             out = [None] * len(dims)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                x = rows_of(batch.column("vec").take(pa.array(at))).astype(np.float64)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                x = np.ascontiguousarray(x @ rotation(int(dim)))
-                widths = [math.sqrt(b) * (1 + 1e-9) + 1e-12 for b in budgets_of(int(dim), least)]
-                cell = np.stack([np.floor(x[:, a] / w) for (a, _), w in zip(blocks_of(int(dim)), widths, strict=True)], axis=1).astype(int)
-                for i, raw, c in zip(at, binary_of(x).to_pylist(), cell.tolist(), strict=True):
-                    out[i] = (raw, c)
-            turned, cells = [o[0] for o in out], [o[1] for o in out]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", "node", "least_id", "copies", "dim")] + [pa.array(turned, pa.binary()), pa.array(cells, pa.list_(pa.int32()))], names=["label", "node", "least_id", "copies", "dim", "turned", "cells"])
+                raw = rows_of(batch.column("vec").take(pa.array(at)))
+                x = scaled(raw.astype(np.float64))
+                turned = (x / np.sqrt((x * x).sum(axis=1, keepdims=True)) @ rotation(int(dim))).astype(np.float32)
+                spans = blocks_of(int(dim))
+                widths = np.concatenate([np.full(b - a, math.sqrt(most) * (1 + 1e-6)) for (a, b), most in zip(spans, budgets_of(int(dim), least), strict=True)])
+                cells = np.floor(turned.astype(np.float64) / widths).astype(int).tolist()
+                where = [{"a": a, "b": b} for a, b in spans]
+                for i, r, t, c in zip(at, binary_of(raw.astype(kind)).to_pylist(), binary_of(turned).to_pylist(), cells, strict=True):
+                    out[i] = (r, t, c, where)
+            columns = [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))))]
+            names = ["sig", "label", "node", "least_id", "copies", "dim"]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, names=[*names, "raw", "turned", "cells", "spans"])
 
     label_type, id_type = own.schema["label"].dataType.simpleString(), own.schema["id"].dataType.simpleString()
-    nodes = node.mapInArrow(turn, f"label {label_type}, node long, least_id {id_type}, copies long, dim int, turned binary, cells array<int>")
-    nodes = staged(nodes, "nodes")
-    placed = nodes.select("label", "node", "copies", "dim", "turned", F.posexplode("cells").alias("block", "cell"))
-    placed = placed.select("label", "dim", "block", "node", "copies", "turned", F.explode(F.array(F.struct(F.col("cell").alias("cell"), F.lit(True).alias("home")), F.struct((F.col("cell") - 1).alias("cell"), F.lit(False).alias("home")))).alias("at"))
-    placed = placed.select("label", "dim", "block", "node", "copies", "turned", "at.cell", "at.home")
-    where = ["label", "dim", "block", "cell"]
-    sizes = placed.groupBy(*where).agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("chunks"))
-    dealt = placed.join(sizes, where).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select(*where, "node", "copies", "turned", "home", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    ddl = f"sig string, label {label_type}, node long, least_id {id_type}, copies long, dim int, raw binary, turned binary, cells array<int>, spans array<struct<a:int,b:int>>"
+    nodes = staged(node.withColumn("dim", F.size("vec")).mapInArrow(turn, ddl), "nodes")
+    cells = _cells(nodes, SPLIT_CHUNKS * chunk_rows, chunk_rows)
+    dealt = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select(*_CELL, "depth", "node", "flags", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    dealt = dealt.join(nodes.select("node", "copies", "raw", "turned"), "node")
 
     def kernel(group: pa.Table) -> pa.Table:
-        turned = matrix_of(group["turned"], np.float64)
-        home, chunk = group["home"].to_numpy(), group["chunk"].to_numpy()
+        turned, x = matrix_of(group["turned"], np.float32), scaled(matrix_of(group["raw"], kind).astype(np.float64))
+        flags, chunk = group["flags"].to_numpy(), group["chunk"].to_numpy()
         ids, copies = group["node"].to_numpy(), group["copies"].to_numpy()
-        block, i, j = (group[c][0].as_py() for c in ("block", "i", "j"))
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        u, v = linked_pairs(turned, home, left, right, block, least)
-        if i == j:
-            u, v = u[u < v], v[u < v]
+        block, depth, i, j = (group[c][0].as_py() for c in ("block", "depth", "i", "j"))
+        left = np.flatnonzero(chunk == i)
+        right = left if i == j else np.flatnonzero(chunk == j)
+        u, v, _ = linked_pairs(x, turned, flags, left, right, block, depth + 1, least)
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, u, copies[v])
         np.add.at(links, v, copies[u])
@@ -150,13 +206,13 @@ def embedding_near_duplicates(vectors: DataFrame, least_cosine: float = 0.93, id
         child, parent = forest(len(ids), u, v)
         return pa.table({"node": np.concatenate((ids[some], ids[child])), "links": np.concatenate((links[some], np.zeros(len(child), np.int64))), "to": pa.array(np.concatenate((np.full(len(some), -1), ids[parent])), pa.int64())})
 
-    met = staged(dealt.groupBy(*where, "i", "j").applyInArrow(kernel, "node long, links long, to long"), "links")
+    met = staged(dealt.groupBy(*_CELL, "depth", "i", "j").applyInArrow(kernel, "node long, links long, to long"), "links")
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(met.where("to >= 0"), "node", "to")
-    known = nodes.select("label", "node", "least_id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = nodes.select("sig", "node", "least_id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = known.join(named, "root").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    member = good.join(node.select("label", "vec", "node"), ["label", "vec"]).select("row", "node")
-    result = own.select("id", "row").join(member, "row", "left").join(known, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return result.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    known = known.join(named, "root").select("sig", "component_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = staged(known, "vector-classes")
+    linked = join_by_hot_key(own.where("sig is not null").select("id", "sig"), known, "sig").select("id", "n_links", "component_id")
+    alone = own.where("sig is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

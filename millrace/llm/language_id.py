@@ -14,27 +14,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import staged
+
 _LETTER = regex.compile(r"\p{L}")
-#: Bits of a slot, a language each.
-MOST_LANGUAGES = 64
+#: Languages that one word of a slot has bits for.
+WORD_BITS = 64
 #: Bytes that a task turns into n-grams at once.
 STEP = 1 << 19
 
 
 @dataclass(frozen=True)
 class LanguageSettings:
-    """train_docs: the most labelled documents a language learns from. grams: the most n-grams a language's filter holds.
+    """train_docs: a language learns from about so many distinct labelled texts (all, if it has fewer).
 
     share: a language holds an n-gram if it is at least that often there as in the language where it is most
-    frequent, both in proportion. slots and hashes size the filter; languages beyond 64 are refused.
+    frequent, both in proportion. least_slots: the smallest filter; it has sparse slots for each n-gram of the language
+    with the most of them, and a word of 64 bits in each slot for every 64 languages.
     """
 
     train_docs: int = 2000
     sizes: tuple[int, ...] = (3, 4, 5)
-    grams: int = 60_000
     least_count: int = 3
     share: float = 0.35
-    slots: int = 1 << 20
+    least_slots: int = 1 << 16
+    sparse: int = 16
     hashes: int = 2
 
 
@@ -64,7 +67,7 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """slots x one word of bits: bit l of a slot is set if an n-gram of language l falls there."""
+    """slots x words: bit l % 64 of word l // 64 of a slot is set if an n-gram of language l falls there."""
 
     languages: tuple[str, ...]
     filter: np.ndarray
@@ -72,8 +75,8 @@ class LanguageModel:
 
     def false_positives(self) -> np.ndarray:
         """Per language, the share of unknown n-grams that its filter would take for known."""
-        bits = np.array([((self.filter >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(self.languages))])
-        return bits**self.settings.hashes
+        fill = [((self.filter[:, i // WORD_BITS] >> np.uint64(i % WORD_BITS)) & np.uint64(1)).mean() for i in range(len(self.languages))]
+        return np.array(fill) ** self.settings.hashes
 
     def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages: n-grams known to each, texts: n-grams)."""
@@ -81,22 +84,25 @@ class LanguageModel:
         known = np.zeros((len(texts), len(self.languages)), np.int64)
         total = np.zeros(len(texts), np.int64)
         for size in self.settings.sizes:
-            mask = self.lookup(gram_hashes(data, size))
+            hashes = gram_hashes(data, size)
             lengths = np.maximum(0, np.diff(ends) - size + 1)
             # the runs that start in a text but end in the next one are left out
-            starts = np.minimum(ends[:-1], len(mask))
-            stops = np.minimum(starts + lengths, len(mask))
+            starts = np.minimum(ends[:-1], len(hashes))
+            stops = np.minimum(starts + lengths, len(hashes))
             total += lengths
-            for i in range(len(self.languages)):
-                run = np.concatenate(([0], np.cumsum((mask >> np.uint64(i)) & np.uint64(1), dtype=np.int64)))
-                known[:, i] += run[stops] - run[starts]
+            for word in range(self.filter.shape[1]):
+                mask = self.lookup(hashes, word)
+                for i in range(word * WORD_BITS, min(len(self.languages), (word + 1) * WORD_BITS)):
+                    run = np.concatenate(([0], np.cumsum((mask >> np.uint64(i % WORD_BITS)) & np.uint64(1), dtype=np.int64)))
+                    known[:, i] += run[stops] - run[starts]
         return known, total
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """Bits of all languages that hold each n-gram."""
+    def lookup(self, hashes: np.ndarray, word: int = 0) -> np.ndarray:
+        """Bits of all languages of a word that hold each n-gram."""
+        column = self.filter[:, word]
         out = None
-        for place in slots_of(hashes, self.settings):
-            out = self.filter[place] if out is None else out & self.filter[place]
+        for place in slots_of(hashes, len(column), self.settings.hashes):
+            out = column[place] if out is None else out & column[place]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -135,33 +141,31 @@ class LanguageModel:
         return names, scores
 
 
-def slots_of(hashes: np.ndarray, settings: LanguageSettings) -> Iterator[np.ndarray]:
-    for k in range(settings.hashes):
-        yield ((hashes >> np.uint64(k * 21)) % np.uint64(settings.slots)).astype(np.int64)
+def slots_of(hashes: np.ndarray, slots: int, times: int) -> Iterator[np.ndarray]:
+    for k in range(times):
+        yield ((hashes >> np.uint64(k * 21)) % np.uint64(slots)).astype(np.int64)
 
 
-def training_rows(docs: DataFrame, settings: LanguageSettings, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """At most settings.train_docs rows (lang, text) of each language, those with the smallest hash of the id.
+def training_rows(docs: DataFrame, settings: LanguageSettings, text_col: str, lang_col: str) -> DataFrame:
+    """About settings.train_docs distinct texts (lang, text) of each language, those with the smallest hashes.
 
-    A count per language sets how small a hash has to be for a fifth and some more than needed; only what passes
-    is shuffled, and cut to the smallest.
+    An estimate of the distinct texts of each language, a row a label for the driver, sets how small a hash has to be;
+    only what passes is shuffled, and copies are combined before that.
     """
-    order = F.xxhash64(F.col("id").cast("string"), F.lit(17))
-    named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = named.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"a filter of one 64-bit word per slot holds {MOST_LANGUAGES} languages at most")
+    named = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    order = F.xxhash64("text", F.lit(17))
+    counts = named.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()
     if not counts:
-        return named.select("lang", "text")
-    pairs = [F.lit(x) for r in counts for x in (r["lang"], (1.2 * settings.train_docs + 50) / r["count"])]
-    near = named.where(F.pmod(order, F.lit(1_000_000)) < F.element_at(F.create_map(*pairs), F.col("lang")) * 1_000_000)
-    return near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(order, "id"))).where(F.col("r") <= settings.train_docs).select("lang", "text")
+        return named
+    pairs = [F.lit(x) for r in counts for x in (r["lang"], settings.train_docs / max(1, r["n"]))]
+    return named.where(F.pmod(order, F.lit(1_000_000_000)) < F.element_at(F.create_map(*pairs), F.col("lang")) * 1_000_000_000).distinct()
 
 
-def train_languages(docs: DataFrame, settings: LanguageSettings = LanguageSettings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def train_languages(docs: DataFrame, settings: LanguageSettings = LanguageSettings(), text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn the filters from labelled rows (text, lang); rows without either are left out.
 
-    N-grams are counted in tasks and summed by Spark; the driver gets settings.grams of each language at most.
+    N-grams are counted in tasks and summed by Spark; the driver gets those that the filters hold, which follow from
+    the size of the sample, and sizes the filters by their number: none is left out.
     """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,19 +179,22 @@ def train_languages(docs: DataFrame, settings: LanguageSettings = LanguageSettin
                     h, n = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    rows = training_rows(docs, settings, id_col, text_col, lang_col)
-    counts = rows.mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    share = F.col("n") / F.sum("n").over(W.partitionBy("lang"))
-    ranked = counts.withColumn("p", share).withColumn("top", F.max("p").over(W.partitionBy("gram"))).where((F.col("p") >= settings.share * F.col("top")) & (F.col("n") >= settings.least_count))
-    kept = ranked.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= settings.grams)
+    rows = training_rows(docs, settings, text_col, lang_col)
+    counts = staged(rows.mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
+    shares = counts.join(totals, "lang").withColumn("p", F.col("n") / F.col("all")).withColumn("top", F.max("p").over(W.partitionBy("gram")))
+    kept = shares.where((F.col("p") >= settings.share * F.col("top")) & (F.col("n") >= settings.least_count))
     held = kept.select("lang", "gram").toPandas()
     languages = tuple(sorted(held["lang"].unique()))
-    table = np.zeros(settings.slots, np.uint64)
+    most = int(held["lang"].value_counts().max()) if languages else 0
+    slots = max(settings.least_slots, 1 << max(0, settings.sparse * most - 1).bit_length())
+    table = np.zeros((slots, -(-max(1, len(languages)) // WORD_BITS)), np.uint64)
+    by_lang = dict(list(held.groupby("lang")["gram"]))
     for i, lang in enumerate(languages):
-        hashes = held.loc[held["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64)
-        for place in slots_of(hashes, settings):
-            table[place] |= np.uint64(1 << i)
-    return LanguageModel(languages, table, settings)
+        hashes = by_lang[lang].to_numpy(np.int64).view(np.uint64)
+        for place in slots_of(hashes, slots, settings.hashes):
+            table[place, i // WORD_BITS] |= np.uint64(1 << (i % WORD_BITS))
+    return LanguageModel(languages, np.asfortranarray(table), settings)
 
 
 def language_of(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
@@ -207,22 +214,24 @@ def identify_languages(docs: DataFrame, held_out: Column, settings: LanguageSett
     """One row per document: its id, held_out, lang_pred, score (0 to 1: the share of its n-grams known).
 
     Learns from rows that held_out is not true for and whose language is not null. A null text, or one without a letter,
-    is "und" with score 0, as is every text if there is nothing to learn from. Repeated rows stay. The filter
-    has a fixed size and is broadcast; documents are scanned once more and not shuffled.
+    is "und" with score 0, as is every text if there is nothing to learn from. Repeated rows stay. The filter's
+    size follows from the sample and the number of languages; it is broadcast, and documents are scanned again but not shuffled.
     """
     marked = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model = train_languages(marked.where(~F.col("held_out")), settings, id_col, "text", "lang")
+    model = train_languages(marked.where(~F.col("held_out")), settings, "text", "lang")
     found = marked.select(id_col, "held_out", language_of(docs, model, F.col("text")).alias("found"))
     return found.select(id_col, "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.3, settings: LanguageSettings = LanguageSettings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, least_score: float = 0.3, settings: LanguageSettings = LanguageSettings(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents, with their columns, of which a language can be told: not "und", and of least_score or more.
 
-    Learns from the labelled documents themselves. Without any label nothing is learned and nothing can be told,
-    so every document goes.
+    Learns from the labelled documents themselves. Without any label no language is known and none is missed: then only
+    documents without a letter go.
     """
-    model = train_languages(docs, settings, id_col, text_col, lang_col)
+    model = train_languages(docs, settings, text_col, lang_col)
+    if not model.languages:
+        return docs.where(F.col(text_col).cast("string").rlike(r"\p{L}"))
     found = docs.select(F.struct(*docs.columns).alias("__doc"), language_of(docs, model, F.col(text_col).cast("string")).alias("__found"))
     kept = found.where((F.col("__found.lang") != "und") & (F.col("__found.score") >= least_score))
     return kept.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])

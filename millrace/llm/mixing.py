@@ -47,11 +47,12 @@ def hash_key(id_col: Column) -> Column:
 
 
 def _slim(rows: DataFrame, row: Column, id_: Column, source: Column, text: Column) -> DataFrame:
-    return rows.select(row.alias("row_id"), id_.alias("id"), source.cast("string").alias("source"), word_count(text).alias("size"), hash_key(id_).alias("key"))
+    return rows.select(row.alias("row_id"), id_.alias("id"), source.cast("string").alias("source"), word_count(text).alias("size"), hash_key(id_).alias("key"), F.xxhash64(text).alias("tie"))
 
 
-def _taken(slim: DataFrame, weights: Sequence[float], share: float, most_epochs: float, range_rows: int) -> DataFrame:
-    """Rows (row_id, id, size, source_size, target, taken) for rows (row_id, id, source, size, key)."""
+def _placed(slim: DataFrame, weights: Sequence[float], share: float, most_epochs: float, range_rows: int) -> DataFrame:
+    """Rows (row_id, id, source, size, key, tie) with source_size, target, the words that come before in the source's order
+    (prefix), the whole epochs that the source is taken, and what its budget has left for a last one (rest)."""
     sizes = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most_epochs)
     ranges = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(range_rows))).cast("long")
@@ -62,20 +63,17 @@ def _taken(slim: DataFrame, weights: Sequence[float], share: float, most_epochs:
     before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = starts.withColumn("start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     placed = dealt.alias("l").join(starts.alias("r"), same & (F.col("l.range") == F.col("r.range"))).select("l.*", "r.start")
-    within = W.partitionBy("source", "range").orderBy("key", F.col("id").asc_nulls_last(), "size", "row_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    prefix = F.col("start") + F.sum("size").over(within) - F.col("size")
+    within = W.partitionBy("source", "range").orderBy("key", F.col("id").asc_nulls_last(), "size", "tie", "row_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - prefix))
-    return placed.select("row_id", "id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.withColumns({"prefix": F.col("start") + F.sum("size").over(within) - F.col("size"), "epochs": epochs, "rest": budget - epochs * F.col("source_size")})
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per document: its id, size, source_size, target, taken (words, repeats counted).
 
     A source's budget is its target to the nearest word. Whole epochs of the source come first; the rest is
-    cut, at the exact word, from its documents in the order of a hash-random key (ties by id, then size).
+    cut, at the exact word, from its documents in the order of a hash-random key (ties by id, size, then text).
     Order and prefix sums are distributed: each source's keys fall into ranges of about range_rows documents,
     the ranges' sums give each range its start, and a window within a range does the rest, so that a hot
     source spreads over as many tasks as it has ranges. Null texts have size 0 and are taken 0 times; a null
@@ -83,23 +81,44 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     table gives no rows. Reruns agree. Texts are read once and never shuffled.
     """
     slim = staged(_slim(docs, F.monotonically_increasing_id(), F.col(id_col), F.col(source_col), F.col(text_col)), "mix")
-    taken = _taken(slim, weights, share, most_epochs, range_rows)
-    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    placed = _placed(slim, weights, share, most_epochs, range_rows)
+    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("prefix")))
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mixed corpus, with the columns of docs: a row for every time that mix() takes a document.
 
-    The one document of a source that the budget cuts comes last with the words taken of it, joined by spaces.
-    Documents without words are taken by no budget and go.
+    The one document of a source that the budget cuts comes last with the words taken of it, joined by spaces; where
+    rows of the same id and text stand there, they share those words evenly, whole words each. Documents without words
+    are taken by no budget and go.
+
+    Where the order of a source is cut says of each of its documents how often it is taken; so only ids and sizes are
+    ordered, and texts stay where they are: they meet a table of cuts, one row a source.
     """
-    held = staged(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*docs.columns).alias("__doc")), "mix-docs")
+    slim = staged(_slim(docs, F.monotonically_increasing_id(), F.col(id_col), F.col(source_col), F.col(text_col)), "mix")
+    placed = staged(_placed(slim, weights, share, most_epochs, range_rows), "mix-order")
+    sources = placed.groupBy("source").agg(F.first("epochs").alias("epochs"))
+    at = placed.where("prefix <= rest and rest < prefix + size").select("source", "key", "id", "tie")
+    equal = lambda c: F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    cuts = placed.alias("l").join(at.alias("r"), equal("source") & equal("key") & equal("id") & equal("tie")).select("l.*")
+    cuts = cuts.groupBy("source", "key", "id", "tie", "size").agg(((F.first("rest") - F.min("prefix")) / F.count("*")).cast("int").alias("words"))
+    cuts = sources.alias("l").join(cuts.alias("r"), equal("source"), "left").select("l.source", "l.epochs", *[F.col(f"r.{c}").alias(f"cut_{c}") for c in ("key", "id", "tie", "size", "words")])
+    cuts = staged(cuts.coalesce(1), "mix-cuts")
+
     of = lambda c: F.col(f"__doc.`{c}`")
-    slim = staged(_slim(held, F.col("__row"), of(id_col), of(source_col), of(text_col)), "mix")
-    taken = _taken(slim, weights, share, most_epochs, range_rows).where("taken > 0").select(F.col("row_id").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    takes = F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int")))
-    rows = held.join(taken, "__row").select("__doc", "__size", "__taken", takes.alias("__take"))
-    words = F.least(F.col("__size"), F.col("__taken") - (F.col("__take") - 1) * F.col("__size")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all(of(text_col), F.lit(WORD), F.lit(0)), 1, words), " ")
-    text = F.when(words < F.col("__size"), cut).otherwise(of(text_col))
+    rows = docs.select(F.struct(*docs.columns).alias("__doc")).where(of(text_col).rlike(WORD))
+    rows = rows.join(cuts, of(source_col).cast("string").eqNullSafe(F.col("source")))
+    key = hash_key(of(id_col))
+    place = lambda i, size, tie: F.struct(i.isNull().alias("n"), i.alias("i"), size.cast("long").alias("size"), tie.alias("tie"))
+    mine, cut = place(of(id_col), word_count(of(text_col)), F.xxhash64(of(text_col))), place(F.col("cut_id"), F.col("cut_size"), F.col("cut_tie"))
+    last = (  # words taken in the last epoch: -1 for all
+        F.when(F.col("cut_key").isNull(), 0).when(key < F.col("cut_key"), -1).when(key > F.col("cut_key"), 0)
+        .when(mine < cut, -1).when(mine == cut, F.col("cut_words")).otherwise(0)
+    )
+    whole = F.array_repeat(F.lit(-1), F.col("epochs").cast("int"))
+    takes = F.explode(F.concat(whole, F.when(last == 0, F.array().cast("array<int>")).otherwise(F.array(last))))
+    rows = rows.select("__doc", takes.alias("__words"))
+    words = F.col("__words")
+    text = F.when(words < 0, of(text_col)).otherwise(F.array_join(F.slice(F.regexp_extract_all(of(text_col), F.lit(WORD), F.lit(0)), 1, F.greatest(words, F.lit(0))), " "))
     return rows.select(*[(text if c == text_col else of(c)).alias(c) for c in docs.columns])

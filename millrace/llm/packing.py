@@ -20,6 +20,12 @@ from millrace.llm.common import staged
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Tasks of a round, at most; beyond it a task evolves several islands, one after the other.
+MOST_TASKS = 20_000
+#: Sequences filled less than this are taken apart and packed again.
+WELL_FILLED = 0.97
+
+
 @dataclass(frozen=True)
 class Genetics:
     """shard_items documents are packed together; each shard is evolved on islands whose elites migrate every round."""
@@ -205,7 +211,9 @@ def pack_items(items: DataFrame, capacity: int, genes: Genetics, level: int) ->
 
     kind = "shard int, lengths binary, island int, population array<binary>"
     for step in range(genes.rounds):
-        ring = staged(ring.repartition(F.col("shard"), F.col("island")).mapInArrow(round_of(step), kind), f"islands-{level}-{step}")
+        slot = F.col("shard") * genes.islands + F.col("island")  # each a task of its own, up to the most that a job should have
+        dealt = ring.repartitionByRange(min(shards * genes.islands, MOST_TASKS), slot)
+        ring = staged(dealt.mapInArrow(round_of(step), kind), f"islands-{level}-{step}")
         if step + 1 < genes.rounds:
             after = ring.select("shard", F.pmod(F.col("island") + 1, F.lit(genes.islands)).alias("to"), F.slice("population", 1, 1).alias("elite"))
             ring = ring.join(after.withColumnRenamed("to", "island"), ["shard", "island"]).select("shard", "lengths", "island", F.concat("population", "elite").alias("population"))
@@ -227,26 +235,32 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
 
     Null texts are empty and hold end_id alone. Repeated ids and rows are packed as rows of their own. An
     empty table gives no rows. Pieces of full length are sequences of their own; the others are packed in
-    shards. Every shard can leave a poorly filled sequence or two: those are taken apart and packed again
-    together, level by level, until one shard is left, so that what is lost doesn't grow with the shards.
+    shards, about shard_items a task and island. Every shard can leave a poorly filled sequence or two: those are taken
+    apart and packed again together, level by level, until one shard is left or a level saves less than a sequence
+    for each of its shards, which is what dealing them out into shards can cost.
     """
     pieces = document_pieces(docs, path, capacity, end_id, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
     pieces = staged(pieces, "pieces")
-    items, done, level = pieces.where(F.col("length") < capacity).select("uid", "length"), [], 0
+    items = pieces.where(F.col("length") < capacity).select("uid", "length")
+    packed, done, level = staged(pack_items(items, capacity, genes, 0), "packed-0"), [], 0
     while True:
-        packed = staged(pack_items(items, capacity, genes, level), f"packed-{level}")
-        fill = packed.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
-        shards = fill.agg(F.count_distinct("shard")).first()[0]
-        if shards <= 1:
+        fill = staged(packed.groupBy("shard", "bin").agg(F.sum("length").alias("fill")), f"fill-{level}")
+        poor = fill.where(F.col("fill") < WELL_FILLED * capacity).select("shard", "bin")
+        shards, n_poor = fill.agg(F.count_distinct("shard"), F.count_if(F.col("fill") < WELL_FILLED * capacity)).first()
+        if shards <= 1 or n_poor <= 1:
             done.append(packed.withColumn("level", F.lit(level)))
             break
-        again = fill.where(F.col("fill") < 0.97 * capacity).select("shard", "bin")
-        done.append(packed.join(again, ["shard", "bin"], "left_anti").withColumn("level", F.lit(level)))
-        left = staged(packed.join(again, ["shard", "bin"], "left_semi").select("uid", "length"), f"left-{level}")
-        if left.count() * 2 > packed.count():  # most sequences are poor: other shards won't mend that
-            done[-1] = packed.withColumn("level", F.lit(level))
+        left = staged(packed.join(poor, ["shard", "bin"], "left_semi").select("uid", "length"), f"left-{level}")
+        again = staged(pack_items(left, capacity, genes, level + 1), f"packed-{level + 1}")
+        n_again, n_shards = again.select("shard", "bin").distinct().agg(F.count("*"), F.count_distinct("shard")).first()
+        if n_again >= n_poor:
+            done.append(packed.withColumn("level", F.lit(level)))
+            break
+        done.append(packed.join(poor, ["shard", "bin"], "left_anti").withColumn("level", F.lit(level)))
+        packed, level = again, level + 1
+        if n_poor - n_again < n_shards:
+            done.append(packed.withColumn("level", F.lit(level)))
             break
-        items, level = left, level + 1
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)

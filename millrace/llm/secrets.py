@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The base patterns. Of assign's second group 6, of the others' matches 20 and 24 characters are needed.
+#: The base patterns. Of assign's value 6, of the others' matches 20 and 24 characters are needed.
 #: The last two are written with their least length, which gives the same spans: runs of such characters are maximal.
-ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_NAMED = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+ASSIGN = _NAMED + r"([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 #: Kinds in the order that settles ties.
@@ -20,7 +21,16 @@ KINDS = ("assign", "access", "hex", "random")
 #: Fixed value: the characters of tokens that the models judge.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _TOKEN = r"[A-Za-z0-9+/_=-]"
+#: What joins the parts of a token, which are judged besides the whole.
+_JOINT = r"[+/_=-]+"
+#: Tokens that hold, or end within, a span of another base kind.
+_OTHER = rf"{ACCESS}|[0-9a-f]{{23,}}|AKIA[A-Z0-9]{{8,}}$"
+_STEP = "struct<gap:string,found:string>"
 _SPAN = "struct<start:int,kind:int,stop:int>"
+_PLACE = "struct<found:string,start:int,stop:int>"
+#: Matches whose places are summed up in one go; such runs are then put one after the other, so that the work on a text
+#: grows with its matches.
+_RUN = 512
 
 
 @dataclass(frozen=True)
@@ -38,40 +48,45 @@ class MarkovSettings:
     uniform: float = 0.5
 
 
-def _matches(text: Column, pattern: str, group: int = 0) -> tuple[Column, Column]:
-    """(matches of a pattern's group, (start, stop) of the whole matches in code points); empty where there is none."""
-    regex = F.lit(pattern)
-    here = F.coalesce(text.rlike(pattern), F.lit(False))
-    whole, gaps = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-    steps = F.zip_with(gaps, whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("m")))
+def _tokens(least_chars: int) -> str:
+    """One pass for assignments and for runs of token characters, which end where an assignment starts."""
+    named = _NAMED + "[A-Za-z0-9+/_.=-]"
+    return rf"{_NAMED}[A-Za-z0-9+/_.=-]+|(?<!{_TOKEN})(?={_TOKEN}{{{least_chars}}})(?:(?!{named}){_TOKEN}){{{least_chars},}}+"
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        return F.struct((begin + x["m"]).alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), (begin + x["m"]).alias("stop"))).alias("out"))
 
-    spans = F.aggregate(F.filter(steps, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
-    none = F.array().cast("array<struct<start:int,stop:int>>")
-    return F.when(here, F.regexp_extract_all(text, regex, F.lit(group))).otherwise(F.array().cast("array<string>")), F.when(here, spans).otherwise(none)
+def _steps(text: Column, pattern: str, gate: Column | None = None) -> Column:
+    """The text as pairs of what stands before a match and the match, the last without one; empty if nothing matches."""
+    here = F.coalesce(gate if gate is not None else text.rlike(pattern), F.lit(False))
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("found")))
+    return F.when(here, pairs).otherwise(F.array()).cast(f"array<{_STEP}>")
 
 
-def _kept(matches: Column, spans: Column, kind: int, ok: Callable[[Column], Column]) -> Column:
-    """Spans of a kind whose match is ok."""
-    both = F.filter(F.arrays_zip(matches.alias("m"), spans.alias("s")), lambda x: ok(x["m"]))
-    return F.transform(both, lambda x: F.struct(x["s"]["start"].alias("start"), F.lit(kind).alias("kind"), x["s"]["stop"].alias("stop")).cast(_SPAN))
+def _places(steps: str) -> Column:
+    """Matches with their places in code points, from a column of steps (a column, so that it is computed once)."""
+    empty = F.array().cast(f"array<{_PLACE}>")
 
+    def one(acc, x):
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.coalesce(F.length(x["found"]), F.lit(0))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(x["found"].alias("found"), begin.alias("start"), end.alias("stop"))).alias("out"))
 
-def _at_least(n: int) -> Callable[[Column], Column]:
-    return lambda m: F.length(m) >= n
+    def run(acc, i):
+        of = F.aggregate(F.slice(steps, i * _RUN + 1, F.lit(_RUN)), F.struct(acc["at"].alias("at"), empty.alias("out")), one)
+        return F.transform(F.array(of), lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out")))[0]
 
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_PLACE}>>").alias("out"))
+    runs = F.sequence(F.lit(0), F.floor(F.size(steps) / _RUN).cast("int"))
+    places = F.aggregate(runs, start, run, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(steps) > 0, F.filter(places, lambda x: x["found"].isNotNull())).otherwise(empty)
 
-def base_spans(text: Column) -> Column:
-    """Spans (start, kind, stop) of the base patterns, leftmost and apart per kind, those that fail left out."""
-    found = []
-    for kind, (pattern, group, least) in enumerate(((ASSIGN, 2, 6), (ACCESS, 0, 20), (HEX, 0, 24))):
-        matches, spans = _matches(text, pattern, group)
-        found.append(_kept(matches, spans, kind, _at_least(least)))
-    return F.array_sort(F.concat(*found))
+
+def _spans(places: Column, kind: int) -> Column:
+    return F.transform(places, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["stop"].alias("stop")).cast(_SPAN))
+
+
+def _assigned(found: Column) -> Column:
+    """Whether a match of _tokens() is an assignment, and whether its value is long enough."""
+    return F.regexp_extract(found, f"^{ASSIGN}", 1)
 
 
 def train_markov(docs: DataFrame, settings: MarkovSettings = MarkovSettings(), text_col: str = "text") -> list[float]:
@@ -85,7 +100,7 @@ def train_markov(docs: DataFrame, settings: MarkovSettings = MarkovSettings(), t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     n = max(1, docs.count())
     own = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(n)) < settings.sample_docs)
-    assigned, access, hexes = (_matches(F.col("text"), p, g)[0] for p, g in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0)))
+    assigned, access, hexes = (F.regexp_extract_all("text", F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 1), (ACCESS, 0), (HEX, 0)))
     random = F.filter(F.concat(assigned, access, hexes), lambda x: F.length(x) >= 16)
     rest = F.col("text")
     for p in (ASSIGN, ACCESS, HEX):
@@ -110,26 +125,35 @@ def train_markov(docs: DataFrame, settings: MarkovSettings = MarkovSettings(), t
     return ratios
 
 
-def random_spans(text: Column, ratios: list[float], settings: MarkovSettings) -> Column:
-    """Spans of tokens that the models take for random strings."""
+def is_random(token: Column, ratios: list[float], settings: MarkovSettings) -> Column:
+    """Whether the models take a token, or a part of it that is long enough by itself, for a random string."""
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    tokens, spans = _matches(text, f"(?<!{_TOKEN}){_TOKEN}{{{settings.least_chars},}}")
 
-    def mean_ratio(token):
-        places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-        n = F.length(token) - 1
+    def mean_ratio(x):
+        places = F.transform(F.split(x, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+        n = F.length(x) - 1
         pairs = F.zip_with(F.slice(places, 1, n), F.slice(places, 2, n), lambda a, b: F.element_at(table, ((a - 1) * len(ALPHABET) + b).cast("int")))
         told = F.filter(pairs, lambda x: x != 0)
         return F.aggregate(told, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size(told), F.lit(1))
 
-    return _kept(tokens, spans, 3, lambda m: mean_ratio(m) >= settings.least_ratio)
+    parts = F.filter(F.split(token, _JOINT), lambda p: (F.length(p) >= settings.least_chars) & (p != token))
+    return F.exists(F.concat(F.array(token), parts), lambda p: mean_ratio(p) >= settings.least_ratio)
+
+
+def _adds(found: Column, ratios: list[float], settings: MarkovSettings) -> Column:
+    return (_assigned(found) == "") & ~found.rlike(_OTHER) & is_random(found, ratios, settings)
 
 
-def all_spans(text: Column, ratios: list[float], settings: MarkovSettings) -> tuple[Column, Column]:
-    """(base spans, base and added ones). An added span lies apart from all base ones."""
-    base = base_spans(text)
-    extra = F.filter(random_spans(text, ratios, settings), lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    return base, F.array_sort(F.concat(base, extra))
+def with_spans(docs: DataFrame, ratios: list[float], settings: MarkovSettings) -> DataFrame:
+    """docs (with a column text, not null) and base and spans: arrays of (start, kind, stop) by start, then kind. An added
+    span lies apart from all base ones, since tokens end at assignments and those that hold other base spans add none."""
+    text = F.col("text")
+    found = docs.withColumns({"_t": _steps(text, _tokens(settings.least_chars)), "_a": _steps(text, ACCESS, text.contains("AKIA") & text.rlike(ACCESS)), "_h": _steps(text, HEX)})
+    found = found.withColumns({"_tp": _places("_t"), "_ap": _places("_a"), "_hp": _places("_h")})
+    assigned = F.filter("_tp", lambda x: F.length(_assigned(x["found"])) >= 6)
+    added = F.filter("_tp", lambda x: _adds(x["found"], ratios, settings))
+    found = found.withColumns({"base": F.array_sort(F.concat(_spans(assigned, 0), _spans(F.col("_ap"), 1), _spans(F.col("_hp"), 2))), "_more": _spans(added, 3)})
+    return found.withColumn("spans", F.array_sort(F.concat("base", "_more"))).drop("_t", "_a", "_h", "_tp", "_ap", "_hp", "_more")
 
 
 def scan_secrets(docs: DataFrame, settings: MarkovSettings = MarkovSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,12 +161,12 @@ def scan_secrets(docs: DataFrame, settings: MarkovSettings = MarkovSettings(), i
 
     Positions are code points, stop exclusive; kind is a place in KINDS. A null text is empty and has none. Where
     no document holds a secret, random strings are modelled as evenly spread characters. Repeated rows stay;
-    other columns are left out. Two scans (a sample to train on, then all), no shuffle of texts.
+    other columns are left out. Three scans (a count of rows, a sample to train on, then all), no shuffle of texts; the
+    work on a text grows with its length, however many spans it has.
     """
     ratios = train_markov(docs, settings, text_col)
-    slim = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base, spans = all_spans(F.col("text"), ratios, settings)
-    return slim.select(id_col, base.alias("base"), spans.alias("spans"))
+    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return with_spans(slim, ratios, settings).select(F.col("_id").alias(id_col), "base", "spans")
 
 
 def spans_text(spans: Column) -> Column:
@@ -152,16 +176,18 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, settings: MarkovSettings = MarkovSettings(), text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """The same rows and columns, each secret in the text replaced by mark; spans that overlap become one."""
+    """The same rows and columns, each secret in the text replaced by mark; spans that overlap become one. A null text stays.
+
+    The text is put together again from what stands between assignments and tokens; in that the other patterns are
+    replaced, also what an assignment has left over of their spans.
+    """
     ratios = train_markov(docs, settings, text_col)
     text = F.col(text_col)
-    _, spans = all_spans(F.coalesce(text, F.lit("")), ratios, settings)
-
-    def step(acc, x):
-        fresh = x["start"] >= acc["at"]
-        gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(fresh, gap).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    return docs.withColumn(text_col, F.when(text.isNotNull() & (F.size(spans) > 0), done).otherwise(text))
+    held = docs.select(F.struct(*docs.columns).alias("__doc"), _steps(text, _tokens(settings.least_chars)).alias("__t"))
+    text = F.col(f"__doc.`{text_col}`")
+    gone = lambda m: (F.length(_assigned(m)) >= 6) | _adds(m, ratios, settings)
+    pieces = F.transform("__t", lambda x: F.concat(x["gap"], F.when(x["found"].isNull(), "").when(gone(x["found"]), mark).otherwise(x["found"])))
+    body = F.when(F.size("__t") > 0, F.array_join(pieces, "")).otherwise(text)
+    rest = rf"(?:[0-9a-f]{{23,}}|AKIA[A-Z0-9]{{8,}})(?={re.escape(mark)})|{ACCESS}|{HEX}"
+    clean = F.regexp_replace(body, rest, mark.replace("\\", r"\\").replace("$", r"\$"))
+    return held.select(*[(clean if c == text_col else F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns])

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import staged
+from millrace.llm.common import join_by_hot_key, staged
 from millrace.llm.components import connected_components
 
 #: Fixed value: the largest number of differing bits of a link. The index below is made for it.
 MAX_BITS = 2
+#: Fingerprints whose probes one task enumerates, about.
+PROBED = 50_000
 #: The fingerprint falls into quarters of 16 bits.
 QUARTER = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -91,6 +93,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 def fingerprint_classes(fps: DataFrame) -> DataFrame:
     """Rows (fp, root) for distinct fingerprints: those linked by chains share a root."""
     stored = staged(fps.select("fp").distinct(), "fingerprints")
+    cores = fps.sparkSession.sparkContext.defaultParallelism
+    stored = stored.repartition(max(cores, -(-stored.count() // PROBED)), "fp")  # a few bytes a row become 53 rows
     roots = connected_components(fingerprint_links(stored)).withColumnRenamed("node", "fp")
     return stored.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -103,11 +107,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id stay, and lend no id to their component (null where none has one). Repeated rows stay.
     """
     hashed = staged(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), width).alias("fp")), "simhash")
-    least = hashed.groupBy("fp").agg(F.min("id").alias("least_id"))
-    roots = fingerprint_classes(hashed)
-    named = roots.join(least, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = roots.join(named, "root").select("fp", "component_id")
-    return hashed.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = hashed.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"))
+    roots = fingerprint_classes(hashed).join(least, "fp")
+    named = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = staged(roots.join(named, "root").select("fp", "component_id", "copies"), "simhash-classes")
+    return join_by_hot_key(hashed, named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

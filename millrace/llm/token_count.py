@@ -81,21 +81,22 @@ def spliced_count(text: str, encoder: Encoder, chunk: int = CHUNK, overlap: int
 
     A chunk begins within the one before, by the overlap. The splice is the last place there where both
     encodings have a token begin and the neighbours are stable: tokens before it count from the first chunk,
-    those from it on from the second. Where there is no such place the overlap is doubled, till the two chunks
-    are one.
+    those from it on from the second. Where there is no such place the overlap is widened, till the two chunks
+    are one; the next chunk is then as long as this one, so that a text without any stable place is encoded a few
+    times in all, not once per chunk.
     """
     total, start, cut, end = 0, 0, 0, min(len(text), chunk)  # of the open chunk; its tokens count from cut on
     begins = encoder.begins(text[:end])
     while end < len(text):
         wide = overlap
+        stop = min(len(text), end + max(chunk, end - start))
         while True:
             ahead = max(start, end - wide)
-            stop = min(len(text), end + chunk)
             following = [ahead + b for b in encoder.begins(text[ahead:stop])]
             splice = _splice(text, begins, following, max(ahead, cut), encoder)
             if splice is not None or ahead == start:
                 break
-            wide *= 2
+            wide *= 16
         if splice is not None:
             total += sum(cut <= b < splice for b in begins)
             start, cut = ahead, splice

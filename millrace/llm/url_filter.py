@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -13,9 +13,18 @@ from pyspark.sql import types as T
 from millrace.llm.common import ascii_lower
 
 #: One hit of these rejects a url.
-STRICT_TERMS = ("cheap-pills", "spam-farm", "porn", "xxx", "viagra", "cialis", "casino", "sportsbook", "escort", "camgirls", "warez", "phishing", "malware")
-#: Several distinct ones reject a url.
-SOFT_TERMS = ("sex", "adult", "pills", "cheap", "bet", "betting", "poker", "slots", "bonus", "win", "prize", "loan", "loans", "crypto", "dating", "torrent", "crack", "keygen", "replica", "spam", "farm", "free", "download", "discount")
+STRICT_TERMS = (
+    "bestiality", "blowjob", "bukkake", "camgirl", "camgirls", "casino", "cialis", "creampie", "cumshot", "deepthroat", "escort", "escorts", "fetish", "gangbang",
+    "handjob", "hentai", "keygen", "livejasmin", "malware", "milf", "milfs", "nudes", "phishing", "porn", "porno", "pornhub", "pornos", "sportsbook", "swingers", "threesome", "viagra", "warez",
+    "xhamster", "xnxx", "xvideos", "xxx", "youporn",
+)
+#: Several distinct ones reject a url. English, then German, French and Spanish.
+SOFT_TERMS = (
+    "adult", "adults", "bet", "betting", "bonus", "cheap", "coupon", "crack", "cracked", "crypto", "dating", "discount", "download", "erotic", "farm", "free", "gambling", "girls", "hack", "hot",
+    "jackpot", "loan", "loans", "lottery", "naked", "nude", "payday", "pills", "poker", "prize", "replica", "serial", "sex", "sexy", "slots", "spam", "spins", "teen", "teens", "torrent", "webcam", "win",
+    "billig", "erotik", "gewinn", "gratis", "kostenlos", "kredit", "nackt", "wetten", "gratuit", "nue", "paris-sportifs", "rencontre", "rencontres", "sexe",
+    "apuestas", "citas", "desnuda", "descargar", "premio", "sexo",
+)
 
 
 @dataclass(frozen=True)
@@ -25,7 +34,6 @@ class UrlVocabulary:
     strict: tuple[str, ...] = STRICT_TERMS
     soft: tuple[str, ...] = SOFT_TERMS
     soft_needed: int = 2
-    _ready: bool = field(default=True, repr=False)
 
     def __post_init__(self):
         if any(not t or t != t.lower() for t in self.strict + self.soft):
@@ -33,6 +41,18 @@ class UrlVocabulary:
         if self.soft_needed < 1:
             raise ValueError("soft_needed must be at least 1")
 
+    @classmethod
+    def from_table(cls, terms: DataFrame, soft_needed: int = 2, most: int = 1_000_000) -> UrlVocabulary:
+        """A vocabulary from rows (term, weight: "strict" or "soft"), lower-cased; blank terms are left out and a term of
+        both weights is strict. The automaton is held by every task: a table of more than most terms is refused."""
+        rows = terms.select(F.lower(F.trim("term")).alias("term"), "weight").where("term <> ''").groupBy("term").agg(F.max("weight").alias("weight"))
+        held = rows.orderBy("term").limit(most + 1).collect()
+        if len(held) > most:
+            raise ValueError(f"more than {most} terms")
+        if odd := {r["weight"] for r in held} - {"strict", "soft"}:
+            raise ValueError(f"unknown weights: {sorted(map(str, odd))}")
+        return cls(tuple(r["term"] for r in held if r["weight"] == "strict"), tuple(r["term"] for r in held if r["weight"] == "soft"), soft_needed)
+
 
 @lru_cache(maxsize=8)
 def _automaton(vocabulary: UrlVocabulary):

@@ -5,12 +5,14 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -18,11 +20,12 @@ import corpus_pipeline
 from millrace.llm.components import connected_components
 from millrace.llm.embedding_dedup import embedding_near_duplicates
 from millrace.llm.oracles import ORACLES
-from millrace.llm.packing import Genetics, best_fit, crossover, evolve, fills_of
+from millrace.llm.packing import Genetics, _encoding, best_fit, crossover, evolve, fills_of
 from millrace.llm.queries import QUERIES
-from millrace.llm.secrets import MarkovSettings, scan_secrets
+from millrace.llm.secrets import ALPHABET, MarkovSettings, scan_secrets, train_markov
 from millrace.llm.simhash import fingerprint, fingerprint_links
 from millrace.llm.token_count import Encoder, spliced_count
+from test_similarity import kept_by_all_pairs
 
 SF = "/root/testdata/sf0.001"
 
@@ -135,6 +138,40 @@ def test_languages_on_held_out_documents(spark):
     assert len(got) > 40 and (got.lang == got.lang_pred).mean() > 0.95
 
 
+def test_languages_against_exact_sets(spark):
+    """The same learning with sets of n-grams in plain Python: filters may only add what they take for known by chance."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    plain = lambda t: b" " + regex.sub(r"[^\p{L}\p{M}]+", " ", t.lower()).strip().encode() + b" "
+    grams = lambda b: [b[i : i + n] for n in (3, 4, 5) for i in range(len(b) - n + 1)]
+    counts = {}
+    for lang, text in {(r.lang, r.text) for r in docs.values() if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}:
+        counts.setdefault(lang, Counter()).update(grams(plain(text)))
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    held = {lang: {g for g, p in share[lang].items() if counts[lang][g] >= 3 and p >= 0.35 * max(s.get(g, 0) for s in share.values())} for lang in counts}
+    got, agreed, n = {r.doc_id: r for r in QUERIES["op5_language_id"](spark, SF).collect()}, 0, 0
+    for d, r in docs.items():
+        if not r.text or not regex.search(r"\p{L}", r.text):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        of = grams(plain(r.text))
+        known = {lang: sum(g in s for g in of) / len(of) for lang, s in held.items()}
+        n += 1
+        agreed += got[d].lang_pred == max(known, key=known.get)
+        assert abs(got[d].score - known[got[d].lang_pred]) < 0.05
+    assert agreed >= 0.99 * n > 100
+
+
+def test_token_query(spark):
+    """Every whole text of the table by the library itself."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    held = texts(spark)
+    n = {d: len(model.encode(t or "")) for d, t in held.items()}
+    want = sorted((d, len((t or "").encode()), n[d], n[d] > 4096) for d, t in held.items())
+    assert sorted(map(tuple, QUERIES["op6_token_counts"](spark, SF).collect())) == want
+
+
 def test_splices(spark):
     rng = random.Random(3)
     parts = [" ", "  ", "a", "bc", "the ", "\n", "é", "😀", "日本", "ﬁ", "1", "'s", "\t", "x" * 70]
@@ -166,6 +203,26 @@ def test_secrets_base(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == s[1] for s in spans) for k in (0, 1, 2)]
 
 
+def test_secret_spans(spark):
+    """All spans by a plain scan: what assignments leave of runs of token characters, apart from base spans, by the mean ratio."""
+    held = texts(spark)
+    settings = MarkovSettings()
+    ratios = train_markov(spark.read.parquet(f"{SF}/documents.parquet"), settings)
+    named = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    def ratio(t):
+        pairs = [ratios[ALPHABET.index(a) * len(ALPHABET) + ALPHABET.index(b)] for a, b in zip(t, t[1:], strict=False)]
+        told = [x for x in pairs if x]
+        return sum(told) / max(1, len(told))
+    n = 0
+    for r in QUERIES["op9_secret_scans"](spark, SF).collect():
+        t = held[r.doc_id] or ""
+        base = [(m.start(), 0, m.end()) for m in named.finditer(t) if len(m[1]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{16,}", t)] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{24,}", t)]
+        rest = named.sub(lambda m: " " * len(m[0]), t)
+        more = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", rest) if not any(a < m.end() and m.start() < b for a, _, b in base) and any(len(p) >= 20 and ratio(p) >= 2 for p in [m[0], *re.split(r"[+/_=-]+", m[0])])]
+        n += len(more)
+        assert r.spans == ",".join(f"{('assign', 'access', 'hex', 'random')[k]}:{a}:{b}" for a, k, b in sorted(base + more)), r.doc_id
+
+
 def test_secrets_by_model(spark):
     rng = random.Random(9)
     drawn = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) for n in (24, 32, 40, 36) * 10]
@@ -209,6 +266,28 @@ def test_genetics():
     assert fills_of(lengths, best).max() <= 2048 and (fills_of(lengths, best) > 0).sum() <= (fills_of(lengths, first[0]) > 0).sum()
 
 
+def test_genetics_gain_on_hard_lengths():
+    """Where no two and hardly three documents fill a sequence, the generations save sequences that best fit needs."""
+    lengths = np.sort(np.random.default_rng(8).integers(600, 901, 1024))[::-1].copy()
+    bins = np.full(1024, -1, np.int64)
+    best_fit(lengths, np.arange(1024), bins, [], 2048)
+    evolved = evolve(lengths, [], 2048, Genetics(generations=40), [2])[0]
+    assert fills_of(lengths, evolved).max() <= 2048 and (fills_of(lengths, evolved) > 0).sum() < (fills_of(lengths, bins) > 0).sum()
+
+
+def test_token_ids_are_the_librarys():
+    """The ids of operator 10 for every code point, alone and between letters, and for special strings."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, ours = Tokenizer.from_file(path), _encoding(path)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    lines = ["".join(points[i : i + 400]) for i in range(0, len(points), 400)] + ["a".join(points[i : i + 400]) for i in range(0, len(points), 400)]
+    lines += ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", " \n \n\n  x  ", "don't we'll I'VE 12345 ½²", ""]
+    for line, want in zip(lines, library.encode_batch(lines, add_special_tokens=False), strict=True):
+        assert ours.encode(line, allowed_special="all") == want.ids
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     frames = []
@@ -217,9 +296,8 @@ def test_pipeline(spark):
         frames.append(docs.toPandas())
         assert i == 4 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     known, distinct, clean, mixed, packed = frames
-    roots = components(len(known), [(i, j) for fp in [[slow_fingerprint(t) for t in known.text]] for i in range(len(fp)) for j in range(i) if bin(fp[i] ^ fp[j]).count("1") <= 2])
-    want = {min(known.doc_id.iloc[i] for i in range(len(known)) if roots[i] == r) for r in set(roots)}
-    assert set(distinct.doc_id) == want and len(distinct) == len(want)
+    want = set(kept_by_all_pairs(list(zip(known.doc_id, known.text, strict=True))))
+    assert sorted(distinct.doc_id) == sorted(want)
     assert set(clean.doc_id) == want and not clean.text.str.contains(r"[0-9a-f]{24}").any() and (clean.n_chars == clean.text.str.len()).all()
     words = lambda f: f.text.map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t)))
     assert abs(words(mixed).sum() - 1.5 * words(clean).sum()) <= len(clean.source.unique()) and set(mixed.doc_id) <= want
