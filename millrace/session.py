@@ -20,16 +20,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table in fewer files than there are cores, dealt out over the cores: a file of one row group is one task
-    otherwise. Larger tables are left alone."""
+    """A table that is read in fewer splits than there are cores, dealt out over the cores: a file of one row group is
+    one task otherwise. Such a table is smaller than the cores' splits together; larger ones are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the session names, made the context's own; a temporary one where none is named (tests)."""
-    held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    path = held or tempfile.mkdtemp(prefix="spark-shared-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+    """The folder for checkpoints that the session names, made the context's own.
+
+    Where none is named, a temporary one on a single machine (tests); on a cluster driver and executors would write
+    to different disks, so that is refused.
+    """
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    path = path or tempfile.mkdtemp(prefix="spark-shared-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path

@@ -1,5 +1,6 @@
-import importlib
-import importlib.util
+import os
+import shutil
+import subprocess
 import sys
 from pathlib import Path
 
@@ -21,12 +22,15 @@ def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_without_the_llm_package(monkeypatch):
-    found = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("millrace.llm", "corpus_pipeline")) else found(name, *a))
-    monkeypatch.delitem(sys.modules, "__spark_entry__")
-    entry = importlib.import_module("__spark_entry__")
-    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)
+@pytest.mark.parametrize("keep_pipeline", [False, True])
+def test_without_the_llm_package(tmp_path, keep_pipeline):
+    """In a copy without the optional package a new process still lists all other queries and their SQL."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n in ("llm", ".git", "__pycache__") or n == "corpus_pipeline.py" and not keep_pipeline])
+    told = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", told], cwd=tmp_path / "copy", env=env, capture_output=True, text=True, check=True)
+    assert [set(x.split()) for x in done.stdout.splitlines()[-2:]] == [set(QUERIES), set(ORACLES)]
 
 
 def test_nothing_imports_the_llm_package():
