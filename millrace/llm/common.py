@@ -11,6 +11,8 @@ from millrace.session import shared_folder
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows with whole texts that a Python task gets at once.
+BATCH_ROWS = 1000
 #: Tables that staged() wrote and release() has not removed.
 _PATHS: list[str] = []
 
@@ -63,6 +65,14 @@ def join_by_hot_key(rows: DataFrame, classes: DataFrame, key: str, copies: str =
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(few, key, "left_anti").join(classes.join(few, key, "left_anti"), key))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session that hands Python at most BATCH_ROWS rows at a time: whole texts take much memory."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

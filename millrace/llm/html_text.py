@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import small_batches
+
 #: Elements without content, elements whose content is raw text, and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
@@ -378,5 +380,5 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     attributes, blocks within drawings; a raw element or a comment that never ends is taken to be empty. Time grows with a
     page's length, however broken it is. Repeated rows stay; other columns are left out. One scan, no shuffle; parsing keeps one page.
     """
-    found = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias(url_col), html_text(F.col(html_col).cast("string")).alias("text"))
+    found = small_batches(pages).select(F.col(id_col).alias(id_col), F.col(url_col).alias(url_col), html_text(F.col(html_col).cast("string")).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

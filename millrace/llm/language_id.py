@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import staged
+from millrace.llm.common import small_batches, staged
 
 _LETTER = regex.compile(r"\p{L}")
 #: Languages that one word of a slot has bits for.
@@ -199,7 +199,7 @@ def train_languages(docs: DataFrame, settings: LanguageSettings = LanguageSettin
 
 def language_of(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
     """A struct (lang string, score double) of a whole text: the learned language that knows most of its n-grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import join_by_hot_key, staged
+from millrace.llm.common import join_by_hot_key, small_batches, staged
 from millrace.llm.components import connected_components
 
 #: Fixed value: the largest number of differing bits of a link. The index below is made for it.
@@ -106,7 +106,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node. Null texts and texts without words have fingerprint zero and link like any other. Documents without
     an id stay, and lend no id to their component (null where none has one). Repeated rows stay.
     """
-    hashed = staged(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), width).alias("fp")), "simhash")
+    hashed = staged(small_batches(docs).select(F.col(id_col).alias("id"), simhash(F.col(text_col), width).alias("fp")), "simhash")
     least = hashed.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"))
     roots = fingerprint_classes(hashed).join(least, "fp")
     named = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -116,7 +116,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest id stays (nulls last)."""
-    hashed = staged(docs.select(F.monotonically_increasing_id().alias("__row"), simhash(F.col(text_col), width).alias("__fp"), F.struct(*docs.columns).alias("__doc")), "simhash-docs")
+    hashed = staged(small_batches(docs).select(F.monotonically_increasing_id().alias("__row"), simhash(F.col(text_col), width).alias("__fp"), F.struct(*docs.columns).alias("__doc")), "simhash-docs")
     place = hashed.select("__row", F.col("__fp").alias("fp"), F.col(f"__doc.`{id_col}`").alias("id"))
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("__row"))
     least = place.groupBy("fp").agg(F.min(order).alias("first"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import small_batches
+
 #: Code points of a chunk, of its first overlap with the next, and of the longest text that is encoded whole.
 CHUNK, OVERLAP, WHOLE = 16_384, 256, 32_768
 
@@ -116,7 +118,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     as empty: 0 and 0. Texts of up to whole code points are encoded in batches; longer ones in chunks, so that
     memory follows the chunk. Repeated rows stay; other columns are left out. One scan, no shuffle.
     """
-    encoder = Encoder(path)
+    encoder, docs = Encoder(path), small_batches(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), _counts(text, encoder, whole, chunk, overlap).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
 
