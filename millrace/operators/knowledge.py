@@ -152,17 +152,27 @@ def revise_items(items: DataFrame, wanted: DataFrame, new_id: Column) -> DataFra
 
 
 def revision_chains(items: DataFrame) -> DataFrame:
-    """Rows (id, root_id, depth): each item's first ancestor by revises_item_id. A few joins; cycles end after 32 steps."""
+    """Rows (id, root_id, depth, error): each item's first ancestor by revises_item_id, and how many revisions lie between.
+
+    Every round doubles the steps that an item has gone, so that the rounds grow with the logarithm of the longest
+    chain. A chain longer than there are items runs in a circle: such items have an error and no root. An ancestor that is
+    missing is a root.
+    """
     shared_folder(items.sparkSession)
-    links = items.select(F.col("id").alias("_id"), F.col("revises_item_id").alias("_up"))
-    rows = items.select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"))
-    for _ in range(32):
-        step = rows.join(links, F.col("root_id") == F.col("_id"), "left")
-        moved = step.select("id", F.coalesce("_up", "root_id").alias("root_id"), (F.col("depth") + F.col("_up").isNotNull().cast("int")).alias("depth"), F.col("_up").isNotNull().alias("_more"))
-        rows = moved.drop("_more").checkpoint()
-        if rows.join(links.where("_up is not null"), F.col("root_id") == F.col("_id"), "left_semi").isEmpty():
+    up = F.coalesce("revises_item_id", "id")
+    rows = items.select("id", up.alias("to"), (up != F.col("id")).cast("long").alias("depth"), (F.col("revises_item_id") == F.col("id")).alias("own")).checkpoint()
+    n, most = rows.count(), rows.agg(F.max("depth")).first()[0] or 0
+    while most:
+        ahead = rows.select(F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("depth").alias("_depth"))
+        moved = rows.join(ahead, F.col("to") == F.col("_id"), "left").select("id", F.coalesce("_to", "to").alias("to"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), "own")
+        moved = moved.checkpoint()
+        gone = moved.agg(F.max("depth")).first()[0]
+        rows = moved
+        if gone == most or gone > 2 * n:
             break
-    return rows
+        most = gone
+    circle = (F.col("depth") >= n) | F.coalesce("own", F.lit(False))
+    return rows.select("id", F.when(~circle, F.col("to")).alias("root_id"), F.when(~circle, F.col("depth").cast("int")).alias("depth"), F.when(circle, "KNOWLEDGE_ITEM_REVISION_CYCLE").alias("error"))
 
 
 def list_items(items: DataFrame, item_type: str | None = None, status: str | None = None, document_id: str | None = None, text: str | None = None) -> DataFrame:
