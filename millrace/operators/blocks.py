@@ -80,7 +80,7 @@ def asset_key(prefix: Column, value: Column, fallback: Column) -> Column:
 def normalize_blocks(parsed: DataFrame, prefix: str = "parsed-assets", json_col: str = "content_list") -> DataFrame:
     """Rows of blocks from parse results (document_id, parse_run_id, content_list JSON text).
 
-    Elements that aren't objects, and text that isn't a JSON array, give no block. Types go through the
+    Elements that aren't objects, and text that isn't a JSON array, give no block, but a row of block_faults(). Types go through the
     aliases, "text" with a text_level is a title, anything unknown is "unknown". A title's section path is the path
     of headings above it, cut to its level, and itself; others inherit the path unless they name their own.
     A document's blocks are one JSON text to begin with, so the fold along them is an array fold in its row.
@@ -124,6 +124,19 @@ def normalize_blocks(parsed: DataFrame, prefix: str = "parsed-assets", json_col:
     return with_section_paths(kept).drop("own_path", "level")
 
 
+def block_faults(parsed: DataFrame, json_col: str = "content_list") -> DataFrame:
+    """Rows (document_id, parse_run_id, block_index, error) for what normalize_blocks() makes no block of: text that isn't a
+    JSON array (block_index is null), and elements that aren't objects, each by its index."""
+    v = F.try_parse_json(F.col(json_col))
+    listed = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    rows = parsed.select("document_id", "parse_run_id", v.alias("v"), listed.alias("listed"))
+    key = ["document_id", "parse_run_id"]
+    whole = rows.where("not listed").select(*key, F.lit(None).cast("int").alias("block_index"), F.when(F.col("v").isNull(), "not JSON").otherwise("not a list").alias("error"))
+    each = rows.where("listed").select(*key, F.posexplode(F.col("v").cast("array<variant>")).alias("block_index", "raw"))
+    bad = ~F.coalesce(F.schema_of_variant("raw").startswith("OBJECT"), F.lit(False))
+    return whole.unionByName(each.where(bad).select(*key, "block_index", F.lit("block is not an object").alias("error")))
+
+
 def with_section_paths(rows: DataFrame) -> DataFrame:
     """section_path by a stack of headings: rows (document_id, parse_run_id, block_index, block_type, level, text, own_path).
 
@@ -151,7 +164,8 @@ def with_section_paths(rows: DataFrame) -> DataFrame:
 def block_assets(blocks: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """Rows (document_id, parse_run_id, asset_key, asset_type, page_number, caption, source_block_key), a key once a run.
 
-    Declared assets win over references from blocks; of several blocks that refer to a key the last one speaks.
+    Declared assets win over references from blocks, the first of a key by position, if they have that column; of several
+    blocks that refer to a key the last one speaks.
     """
     kind = F.when(F.col("block_type") == "table", "table_image").when(F.col("block_type") == "formula", "formula_image").otherwise("image")
     refs = blocks.select("document_id", "parse_run_id", "block_index", F.explode("asset_keys").alias("asset_key"), kind.alias("asset_type"), F.col("page_start").alias("page_number"), "caption", F.col("block_key").alias("source_block_key"))
@@ -161,7 +175,9 @@ def block_assets(blocks: DataFrame, declared: DataFrame | None = None) -> DataFr
     if declared is None:
         return held
     rest = held.join(declared.select(*key), key, "left_anti")
-    return declared.select(*key, *fields).dropDuplicates(key).unionByName(rest)
+    order = F.col("position") if "position" in declared.columns else F.struct(*fields)
+    first = declared.groupBy(*key).agg(F.min_by(F.struct(*fields), order).alias("x")).select(*key, "x.*")
+    return first.unionByName(rest)
 
 
 def duplicate_indexes(blocks: DataFrame) -> DataFrame:

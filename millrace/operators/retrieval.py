@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,15 +56,38 @@ def keyword_scores(docs: DataFrame, queries: DataFrame, settings: Bm25 = Bm25(),
     shuffled: the terms of a query table are few next to the corpus, and Spark broadcasts them while they are small.
     """
     asked = queries.select("term").distinct()
-    held = tokens(docs, id_col, text_col).join(asked, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
-    stats = held.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = doc_lengths(docs, id_col, text_col)
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    scored = held.join(stats, "term").join(lengths, "id").crossJoin(F.broadcast(whole))  # one row
+    held = latin_tokens(F.col(text_col))
+    whole = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(held), F.lit(0))).alias("avgdl"))
+    found = docs.select(F.col(id_col).alias("id"), held.alias("held")).select("id", F.size("held").alias("dl"), F.explode("held").alias("term"))
+    found = found.join(asked, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return scored_postings(found, whole, queries, settings)
+
+
+def scored_postings(found: DataFrame, whole: DataFrame, queries: DataFrame, settings: Bm25 = Bm25()) -> DataFrame:
+    """Rows (query_id, id, score) from postings (term, id, tf, dl) of the terms asked for and one row of totals (n, avgdl)."""
+    stats = found.groupBy("term").agg(F.count("*").alias("df"))
+    scored = found.join(stats, "term").crossJoin(F.broadcast(whole))  # one row
     scored = scored.select("id", "term", bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"), settings).alias("s"))
     return scored.join(queries, "term").groupBy("query_id", "id").agg(F.round(F.sum("s"), 9).alias("score"))
 
 
+def write_index(docs: DataFrame, path: str, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """An inverted index under a path: postings (term, id, tf, dl) in folders by a hash of the term, and totals (n, avgdl)."""
+    held = latin_tokens(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), held.alias("held")).select("id", F.size("held").alias("dl"), F.explode("held").alias("term"))
+    rows = rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(held), F.lit(0))).alias("avgdl"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def indexed_scores(spark: SparkSession, path: str, queries: DataFrame, settings: Bm25 = Bm25()) -> DataFrame:
+    """keyword_scores() from an index: only the folders of the terms asked for are read (pruned by a join on bucket)."""
+    whole = spark.read.parquet(f"{path}/totals")
+    terms = queries.select("term").distinct().crossJoin(F.broadcast(whole.select("buckets"))).select("term", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int").alias("bucket"))
+    found = spark.read.parquet(f"{path}/postings").join(terms, ["bucket", "term"], "left_semi")
+    return scored_postings(found.select("id", "term", "tf", "dl"), whole.select("n", "avgdl"), queries, settings)
+
+
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(latin_tokens(F.col(text_col)))).alias("term"))
 
@@ -114,16 +138,26 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
         length = np.sqrt((x * x).sum(axis=1))
         length[length == 0] = np.nan
         x = x / length[:, None]
-        ids = np.array(group["id"].to_pylist(), dtype=object)
-        at, out = np.flatnonzero(~asks), []
-        for q in np.flatnonzero(asks):
-            score = np.round(x[at] @ x[q], 9)
-            ok = np.flatnonzero((ids[at] != ids[q]) & np.isfinite(score))
-            if ok.size > k:
-                ok = ok[score[ok] >= np.partition(score[ok], ok.size - k)[ok.size - k]]
-            out += [(ids[q], ids[at[i]], float(score[i])) for i in sorted(ok, key=lambda i: (-score[i], ids[at[i]]))[:k]]
-        kind = group.schema.field("id").type
-        return pa.table({"query_id": pa.array([o[0] for o in out], kind), "id": pa.array([o[1] for o in out], kind), "score": pa.array([o[2] for o in out], pa.float64())})
+        of, asked = np.flatnonzero(~asks), np.flatnonzero(asks)
+        column = group["id"].combine_chunks()
+        code = column.dictionary_encode().indices.to_numpy(zero_copy_only=False)  # equal ids, equal codes
+        order = pc.sort_indices(column).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))  # ids in order, for ties
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(asked) if len(of) else 0, 128):
+            q = asked[at : at + 128]
+            score = np.round(x[of] @ x[q].T, 9)
+            score[(code[of][:, None] == code[q][None, :]) | ~np.isfinite(score)] = -np.inf
+            floor = np.partition(score, max(0, len(of) - k), axis=0)[max(0, len(of) - k)]
+            i, j = np.nonzero((score >= floor) & (score > -np.inf))  # ties of the last one too
+            by = np.lexsort((place[of[i]], -score[i, j], j))
+            i, j = i[by], j[by]
+            starts = np.flatnonzero(np.r_[True, j[1:] != j[:-1]]) if len(j) else np.zeros(0, int)
+            first = np.arange(len(j)) - np.repeat(starts, np.diff(np.r_[starts, len(j)])) < k
+            found.append((q[j[first]], of[i[first]], score[i[first], j[first]]))
+        q, i, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"query_id": column.take(pa.array(q)), "id": column.take(pa.array(i)), "score": pa.array(score, pa.float64())})
 
     kind = left.schema["id"].dataType.simpleString()
     near = left.unionByName(right).groupBy("dim", "part", "block").applyInArrow(best, f"query_id {kind}, id {kind}, score double")

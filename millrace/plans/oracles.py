@@ -131,9 +131,10 @@ SELECT document_id, chunk_index, length(content)::int AS character_count, (SELEC
     "vector_top10": """WITH w AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
 d AS (SELECT vec_id, round(1 - list_cosine_similarity(e.embedding::double[], w.embedding::double[]), 9) AS x FROM embeddings e, w)
 SELECT vec_id, round(x, 6) + 0.0 AS distance, round(1 - x, 6) AS score FROM d ORDER BY x, vec_id LIMIT 10""",
-    "vector_top10_filtered": """WITH w AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
-d AS (SELECT vec_id, round(1 - list_cosine_similarity(e.embedding::double[], w.embedding::double[]), 9) AS x FROM embeddings e, w WHERE label = 3)
-SELECT vec_id, round(x, 6) + 0.0 AS distance FROM d ORDER BY x, vec_id LIMIT 10""",
+    "vector_top10_filtered": """WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+d AS (SELECT query_id, vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) AS score FROM embeddings e, q WHERE label = 3 AND vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM d)
+SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10""",
     "vector_batch": f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0), {_vec()}, {_ranked("r", "vs", 5)}
 SELECT query_id, id AS vec_id, rank::int AS rank, round(score, 6) AS score FROM r""",
     "vector_norms": """SELECT vec_id, len(embedding)::int AS dim, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) AS norm,
@@ -179,10 +180,10 @@ SELECT query_id, CASE WHEN context IS NULL THEN 'no_context' ELSE 'ok' END AS co
   length('检索片段：' || chr(10) || coalesce(nullif({_strip("context")}, ''), '当前无可用检索上下文。') || chr(10) || chr(10) || '用户问题：' || chr(10) || q.text || chr(10) || chr(10)
     || '请只依据上述检索片段回答。依据不足时说明无法可靠回答，并不要补充未在片段中出现的工艺参数或标准条文。')::int AS n_chars, coalesce(total, 0)::bigint AS total_chars
 FROM q LEFT JOIN x USING (query_id)""",
-    "extraction_prompts": f"""WITH {_chunks(1000, 100)}, f AS (SELECT * FROM c WHERE chunk_index < 3), ok AS (SELECT * FROM f QUALIFY sum(length(content)) OVER (PARTITION BY document_id) <= 12000)
-SELECT document_id, md5('Allowed item_type values for this extraction:' || chr(10) || '{", ".join(sorted(ITEM_TYPES))}' || chr(10) || chr(10) || 'Source chunks:' || chr(10)
+    "extraction_prompts": f"""WITH {_chunks(1000, 100)}, f AS (SELECT *, sum(length(content)) OVER (PARTITION BY document_id) > 12000 AS over_budget FROM c WHERE chunk_index < 20)
+SELECT document_id, over_budget, CASE WHEN NOT over_budget THEN md5('Allowed item_type values for this extraction:' || chr(10) || '{", ".join(sorted(ITEM_TYPES))}' || chr(10) || chr(10) || 'Source chunks:' || chr(10)
   || string_agg('[chunk_id: ' || document_id || '-' || chunk_index || ']' || chr(10) || 'chunk_index: ' || chunk_index || chr(10) || 'content:' || chr(10) || content || chr(10), chr(10) ORDER BY chunk_index)
-  || chr(10) || 'Extract concise knowledge items from the chunks above.' || chr(10) || 'Return only JSON with top-level key items.') AS prompt_md5 FROM ok GROUP BY document_id""",
+  || chr(10) || 'Extract concise knowledge items from the chunks above.' || chr(10) || 'Return only JSON with top-level key items.') END AS prompt_md5 FROM f GROUP BY document_id, over_budget""",
     "content_hashes": f"SELECT {_hash('process_rule', 'lang')} AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "duplicates_skipped": f"""WITH i AS (SELECT doc_id, {_hash('process_rule', "'t'")} AS h FROM documents), live AS (SELECT DISTINCT h FROM i JOIN labels USING (doc_id) WHERE toxic IS DISTINCT FROM 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS r FROM i WHERE doc_id NOT IN (SELECT doc_id FROM labels))

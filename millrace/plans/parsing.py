@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.config import BlockChunking, WindowChunking
 from millrace.functions.text import is_blank
 from millrace.operators.block_chunking import block_chunks
-from millrace.operators.blocks import normalize_blocks
+from millrace.operators.blocks import block_faults, normalize_blocks
 from millrace.operators.chunking import new_chunk_rows, window_chunks
 from millrace.operators.runs import unparsed
 from millrace.sources.archives import archive_members, picked
@@ -57,4 +57,7 @@ def parse_archives(archives: DataFrame, settings: BlockChunking = BlockChunking(
     chunks, links = block_chunks(normalize_blocks(parsed), settings)
     bad = _failures(members.where("error is not null"), "DOCUMENT_PARSE_FAILED", F.col("error"))
     empty = archives.select(F.col("id").cast("string").alias("id")).join(best.where("kind in ('content_list', 'markdown')").select("id"), "id", "left_anti").join(members.where("error is not null").select("id"), "id", "left_anti")
+    where = F.coalesce(F.concat(F.lit("block "), F.col("block_index").cast("string"), F.lit(": ")), F.lit(""))
+    odd = block_faults(parsed).select(F.col("document_id").cast("string").alias("id"), F.concat(where, "error").alias("error"))
+    bad = bad.unionByName(_failures(odd, "DOCUMENT_PARSE_FAILED", F.col("error")))
     return Parsed(new_chunk_rows(chunks, "parse_run_id"), bad.unionByName(_failures(empty, "DOCUMENT_PARSE_FAILED", F.lit("no content list and no Markdown"))), links)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.config import Hybrid, Rag, WindowChunking
+from millrace.config import Extraction, Hybrid, Rag, WindowChunking
 from millrace.functions.text import content_hash, exact_terms, matched_keywords, redact_urls, safe_segment, shorten, squeeze, token_estimate
 from millrace.functions.vectors import l2_normalize, norm, quantize4
 from millrace.operators.assets import resolve_assets
@@ -67,14 +67,15 @@ def chunk_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    wanted = rows.where("vec_id = 0").select("embedding").first()[0]
-    return vector_topk(rows, wanted, 10).select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+    first = rows.where("vec_id = 0").select("embedding").first()
+    found = vector_topk(rows if first else rows.limit(0), first[0] if first else [], 10)
+    return found.select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
 def vector_top10_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    wanted = rows.where("vec_id = 0").select("embedding").first()[0]
-    return vector_topk(rows, wanted, 10, F.col("label") == 3).select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+    asked = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_topk_batch(rows.where("label = 3"), asked, 10).select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +189,11 @@ def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extraction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = window_chunks(_documents(spark, sf_dir)).withColumn("id", F.concat_ws("-", "document_id", "chunk_index"))
-    kept = chunk_selection(chunks, 3, 12_000).where("not over_budget")
-    return extraction_prompt(kept).select("document_id", F.md5("prompt").alias("prompt_md5"))
+    settings = Extraction()
+    kept = chunk_selection(chunks, settings.max_chunks, settings.max_chars)
+    made = extraction_prompt(kept.where("not over_budget")).select("document_id", F.lit(False).alias("over_budget"), F.md5("prompt").alias("prompt_md5"))
+    refused = kept.where("over_budget").select("document_id").distinct().select("document_id", F.lit(True).alias("over_budget"), F.lit(None).cast("string").alias("prompt_md5"))
+    return made.unionByName(refused)
 
 
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import BlockChunking
 from millrace.operators.block_chunking import block_chunks, split_lines, split_text
-from millrace.operators.blocks import asset_type, block_assets, duplicate_indexes, html_blocks, normalize_blocks
+from millrace.operators.blocks import asset_type, block_assets, block_faults, duplicate_indexes, html_blocks, normalize_blocks
 
 BLOCK = "document_id string, parse_run_id string, block_index int, block_key string, block_type string, page_start int, page_end int, text string, markdown string, html string, latex string, caption string, section_path array<string>, asset_keys array<string>"
 
@@ -117,6 +117,30 @@ def test_normalize(spark):
     assert duplicate_indexes(normalize_blocks(df)).count() == 0
 
 
+def test_what_makes_no_block_is_told(spark):
+    df = spark.createDataFrame([("d", "r", json.dumps([{"text": "a"}, 5, {"text": "b"}, None])), ("e", "r", "{}"), ("f", "r", "nope"), ("g", "r", None), ("h", "r", "[]")], "document_id string, parse_run_id string, content_list string")
+    assert {(r.document_id, r.block_index, r.error) for r in block_faults(df).collect()} == {("d", 1, "block is not an object"), ("d", 3, "block is not an object"), ("e", None, "not a list"), ("f", None, "not JSON"), ("g", None, "not JSON")}
+
+
+def test_first_declared_asset_wins(spark):
+    fields = "document_id string, parse_run_id string, asset_key string, asset_type string, page_number int, caption string, source_block_key string, position int"
+    declared = spark.createDataFrame([("d", "r", "k", "other", 9, "z", None, 2), ("d", "r", "k", "image", 1, "a", None, 1)], fields)
+    blocks = spark.createDataFrame([("d", "r", 0, ["k", "m"], "table", 3, None, "b0")], "document_id string, parse_run_id string, block_index int, asset_keys array<string>, block_type string, page_start int, caption string, block_key string")
+    assert {(r.asset_key, r.asset_type, r.page_number) for r in block_assets(blocks, declared).collect()} == {("k", "image", 1), ("m", "table_image", 3)}
+
+
+def test_pieces_hold_all_words_in_order():
+    """Pieces fit, lose nothing, and repeat only what leads them."""
+    rng = random.Random(4)
+    for _ in range(150):
+        text = "".join(rng.choice(["word ", "a", "\n\n", " ", "longerword", "\n", "x" * 45]) for _ in range(rng.randint(1, 120)))
+        settings = BlockChunking(min_chars=5, max_chars=60, overlap=0)
+        pieces = split_text(text, settings)
+        assert all(0 < len(p) <= 60 and p == p.strip() for p in pieces) and "".join("".join(pieces).split()) == "".join(text.split())
+        led = split_text(text, BlockChunking(min_chars=5, max_chars=60, overlap=12))
+        assert len(led) == len(pieces) and all(b.endswith(a) and len(b) <= 60 for a, b in zip(pieces, led, strict=True))
+
+
 def test_asset_types(spark):
     df = spark.createDataFrame([("MD",), ("figure",), ("layout",), ("zip",), (None,)], "t string")
     assert [r[0] for r in df.select(asset_type(F.col("t"))).collect()] == ["markdown", "image", "layout_json", "other", "other"]

@@ -14,7 +14,7 @@ from millrace.operators.embedding import HashProvider, provider_of
 from millrace.operators.index import check_mapping, drift, payload, replaced, syncable, upserted, write_index
 from millrace.operators.knowledge import create_items, fold_reviews, list_items, mixed_documents, new_and_skipped, patch_items, revise_items, revision_chains, validate_extractions, with_hash
 from millrace.operators.messages import conversation_faults, tool_faults
-from millrace.operators.retrieval import fuse, rerank
+from millrace.operators.retrieval import fuse, indexed_scores, keyword_scores, query_terms, rerank, vector_topk_batch, write_index
 from millrace.operators.runs import activate_runs, page, run_status, severity
 from millrace.plans.rag import EchoModel, Message, Request, ask, extracted, prompts
 from millrace.sources.archives import ArchiveLimits, archive_members, file_types, picked
@@ -221,3 +221,28 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
     stream = distinct_documents(spark.readStream.format("rate").load(), "timestamp", "1 minute", "value")
     assert stream.isStreaming and HashProvider(2).encode_query("") is not None
+
+
+def test_long_revision_chains_and_circles(spark):
+    data = [(f"i{n}", f"i{n - 1}" if n else None) for n in range(1001)] + [("x", "y"), ("y", "z"), ("z", "x"), ("w", "w"), ("o", "gone")]
+    got = {r.id: r for r in revision_chains(spark.createDataFrame(data, "id string, revises_item_id string")).collect()}
+    assert len(got) == len(data) and all(got[f"i{n}"].root_id == "i0" and got[f"i{n}"].depth == n for n in range(1001))
+    assert all(got[i].root_id is None and got[i].error for i in "xyzw") and (got["o"].root_id, got["o"].depth, got["o"].error) == ("gone", 1, None)
+    assert revision_chains(spark.createDataFrame([], "id string, revises_item_id string")).count() == 0
+
+
+def test_index(spark, rows, tmp_path):
+    """Scores from the index are those from the corpus; a search reads the folders of its terms only."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    terms = query_terms(spark.createDataFrame([(1, "the and thed"), (2, "der les nowhere")], "query_id int, text string"))
+    write_index(docs, str(tmp_path), buckets=32)
+    got = indexed_scores(spark, str(tmp_path), terms)
+    assert rows(got) == rows(keyword_scores(docs, terms)) and got.count() > 50
+    assert "PartitionFilters: [isnotnull(bucket" in got._jdf.queryExecution().toString() or "dynamicpruning" in got._jdf.queryExecution().toString()
+
+
+def test_vector_ties_and_repeated_ids(spark, rows):
+    v = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(12)] + [(3, [0.0, 1.0]), (20, [0.0, 0.0]), (21, None)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (3, [1.0, 0.0]), (99, [1.0, 0.0])], "query_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.id, r.score) for r in vector_topk_batch(v, asked, 4).collect())
+    assert got == [(0, 1, 3, 1.0), (0, 2, 6, 1.0), (0, 3, 9, 1.0), (0, 4, 1, 0.707106781), (3, 1, 0, 1.0), (3, 2, 6, 1.0), (3, 3, 9, 1.0), (3, 4, 1, 0.707106781), (99, 1, 0, 1.0), (99, 2, 3, 1.0), (99, 3, 6, 1.0), (99, 4, 9, 1.0)]
