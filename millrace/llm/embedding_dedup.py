@@ -15,8 +15,8 @@ from millrace.llm.vectors import binary_of, matrix_of, rows_of, usable
 
 #: Dimensions of a block of the rotated vectors.
 BLOCK_DIMS = 16
-#: Vectors of a chunk: a task compares two chunks. Cells of more than SPLIT_CHUNKS chunks are split by one more coordinate.
-CHUNK_ROWS, SPLIT_CHUNKS = 1024, 4
+#: Vectors of a chunk: a task compares two chunks. Cells of more rows than SPLIT_CHUNKS chunks have are split by one more coordinate.
+CHUNK_ROWS, SPLIT_CHUNKS = 1024, 1
 #: Rotated vectors travel as 32-bit floats; this much more squared distance makes up for it.
 SLACK = 1e-5
 #: Rows of a tile of the sweep.
