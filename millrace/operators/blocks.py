@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import looks_like_html, optional_text, safe_segment, strip
+from millrace.operators.runs import page
 from millrace.schemas import ASSET_TYPE_ALIASES, ASSET_TYPES, BLOCK_TYPE_ALIASES, BLOCK_TYPES
 
 #: Caption keys of raw types besides "caption", and keys that name an asset.
@@ -78,16 +79,36 @@ def asset_key(prefix: Column, value: Column, fallback: Column) -> Column:
 
 
 def normalize_blocks(parsed: DataFrame, prefix: str = "parsed-assets", json_col: str = "content_list") -> DataFrame:
-    """Rows of blocks from parse results (document_id, parse_run_id, content_list JSON text).
+    """Rows of blocks from parse results (document_id, parse_run_id, content_list JSON text), by normalize_elements().
 
-    Elements that aren't objects, and text that isn't a JSON array, give no block, but a row of block_faults(). Types go through the
-    aliases, "text" with a text_level is a title, anything unknown is "unknown". A title's section path is the path
-    of headings above it, cut to its level, and itself; others inherit the path unless they name their own.
-    A document's blocks are one JSON text to begin with, so the fold along them is an array fold in its row.
+    Elements that aren't objects, and text that isn't a JSON array, give no block, but a row of block_faults().
+    """
+    v = F.try_parse_json(F.col(json_col))
+    listed = parsed.where(F.schema_of_variant(v).startswith("ARRAY"))
+    return normalize_elements(listed.select("document_id", "parse_run_id", F.posexplode(v.cast("array<variant>")).alias("block_index", "raw")), prefix)
+
+
+def element_rows(rows: DataFrame, element: Column, order: Column, span: Column) -> DataFrame:
+    """Rows (document_id, parse_run_id, block_index, raw) from rows that hold one element each.
+
+    Elements of a run are numbered from 0 by order. span rises with order: rows are numbered within a span, and the
+    spans before it are counted, so that no document is gathered in one task.
+    """
+    key = ["document_id", "parse_run_id"]
+    rows = rows.select(*key, F.parse_json(F.to_json(element)).alias("raw"), order.alias("_order"), span.alias("_span"))
+    sizes = rows.groupBy(*key, "_span").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*key).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*key, "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = rows.withColumn("_at", F.row_number().over(W.partitionBy(*key, "_span").orderBy("_order")) - 1).join(starts, [*key, "_span"])
+    return numbered.select(*key, (F.col("_start") + F.col("_at")).cast("int").alias("block_index"), "raw")
+
+
+def normalize_elements(rows: DataFrame, prefix: str = "parsed-assets") -> DataFrame:
+    """Rows of blocks from elements (document_id, parse_run_id, block_index, raw VARIANT).
+
+    Types go through the aliases, "text" with a text_level is a title, anything unknown is "unknown". A title's section
+    path is the path of headings above it, cut to its level, and itself; others inherit the path unless they name their own.
     """
-    raws = F.transform(F.try_parse_json(F.col(json_col)).cast("array<variant>"), lambda x: x)
-    ok = F.schema_of_variant(F.try_parse_json(F.col(json_col))).startswith("ARRAY")
-    rows = parsed.where(ok).select("document_id", "parse_run_id", F.posexplode(raws).alias("block_index", "raw"))
     raw = F.col("raw")
     rows = rows.where(F.schema_of_variant(raw).startswith("OBJECT"))
     rows = rows.withColumns({f"_t_{k}": raw_text(raw, k) for k in TEXT_KEYS})  # each key is read once
@@ -102,7 +123,7 @@ def normalize_blocks(parsed: DataFrame, prefix: str = "parsed-assets", json_col:
     items = F.nullif(F.array_join(raw_texts(raw, "list_items"), "\n"), F.lit(""))
     text = F.when(low == "list", F.coalesce(items, body)).when(low.isin("code", "algorithm"), F.coalesce(t("code_body"), body)).when(latex_only, F.lit(None)).otherwise(body)
     table = t("table_body")
-    page = F.coalesce(*[raw_int(raw, k) for k in ("page_start", "page_number", "page", "page_idx")])
+    first_page = F.coalesce(*[raw_int(raw, k) for k in ("page_start", "page_number", "page", "page_idx")])
     captions = raw_texts(raw, "caption")
     for names in sorted(set(CAPTION_KEYS.values())):
         of = [k for k, v in CAPTION_KEYS.items() if v == names]
@@ -112,7 +133,7 @@ def normalize_blocks(parsed: DataFrame, prefix: str = "parsed-assets", json_col:
     fallback = F.concat(F.lit("block-"), F.lpad(F.col("block_index").cast("string"), 6, "0"))
     base = F.concat_ws("/", F.lit(prefix), F.col("document_id").cast("string"), F.col("parse_run_id").cast("string"), F.lit(""))
     rows = rows.withColumns({
-        "text": text, "block_key": F.coalesce(t("block_key", "block_id", "id"), fallback), "page_start": page, "page_end": F.coalesce(raw_int(raw, "page_end"), page),
+        "text": text, "block_key": F.coalesce(t("block_key", "block_id", "id"), fallback), "page_start": first_page, "page_end": F.coalesce(raw_int(raw, "page_end"), first_page),
         "markdown": F.when(kind == "table", F.coalesce(t("markdown"), t("table_markdown"), F.when(~looks_like_html(table), table))).otherwise(t("markdown")),
         "html": F.coalesce(t("html"), F.when((kind == "table") & looks_like_html(table), table)),
         "latex": F.coalesce(t("latex", "formula", "equation"), F.when((kind == "formula") & (F.lower(t("text_format")) == "latex"), body)),
@@ -137,28 +158,64 @@ def block_faults(parsed: DataFrame, json_col: str = "content_list") -> DataFrame
     return whole.unionByName(each.where(bad).select(*key, "block_index", F.lit("block is not an object").alias("error")))
 
 
-def with_section_paths(rows: DataFrame) -> DataFrame:
+def with_section_paths(rows: DataFrame, span_rows: int = 4096) -> DataFrame:
     """section_path by a stack of headings: rows (document_id, parse_run_id, block_index, block_type, level, text, own_path).
 
-    A document's headings alone, a small part of its blocks, are gathered and folded; each heading gets its path, and
-    a window carries the last one on.
+    The headings of span_rows blocks are folded together, from every depth that the stack can have before them; a row a span
+    then tells each span's first path, and a window in the span carries the last one on.
     """
     key = ["document_id", "parse_run_id"]
+    span = [*key, "_span"]
     empty = F.array().cast("array<string>")
-    is_title = (F.col("block_type") == "title") & F.col("text").isNotNull()
-    titles = rows.where(is_title).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("block_index", "level", "text"))).alias("t"))
-    start = F.struct(empty.alias("path"), F.array().cast("array<struct<block_index:int,path:array<string>>>").alias("out"))
-
-    def push(acc, x):
-        path = F.concat(F.slice(acc["path"], F.lit(1), x["level"] - 1), F.array(x["text"]))
-        return F.struct(path.alias("path"), F.array_append(acc["out"], F.struct(x["block_index"].alias("block_index"), path.alias("path"))).alias("out"))
-
-    folded = titles.select(*key, F.explode(F.aggregate("t", start, push, lambda acc: acc["out"])).alias("x")).select(*key, "x.block_index", F.col("x.path").alias("title_path"))
-    both = rows.join(folded, [*key, "block_index"], "left")
-    upto = W.partitionBy(*key).orderBy("block_index").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = F.coalesce(F.last("title_path", ignorenulls=True).over(upto), empty)
-    path = F.when(F.col("title_path").isNotNull(), F.col("title_path")).when(F.size("own_path") > 0, F.col("own_path")).otherwise(last)
-    return both.withColumn("section_path", path).drop("title_path")
+    title = (F.col("block_type") == "title") & F.col("text").isNotNull()
+    rows = rows.withColumn("_span", F.floor(F.col("block_index") / span_rows).cast("int"))
+    heads = rows.groupBy(*span).agg(F.array_sort(F.collect_list(F.when(title, F.struct("block_index", "level", "text")))).alias("t"), F.min("block_index").alias("first"))
+
+    def ends(depth: int) -> Column:
+        """What a span leaves of a path of so many headings, and what it adds."""
+        start = F.struct(F.lit(depth).alias("keep"), empty.alias("own"))
+        return F.aggregate("t", start, lambda a, x: F.struct(F.least(a["keep"], x["level"] - 1).alias("keep"), F.array_append(F.slice(a["own"], F.lit(1), F.greatest(x["level"] - 1 - a["keep"], F.lit(0))), x["text"]).alias("own")))
+
+    def follow(a, x):
+        end = x["ends"][F.size(a["path"])]
+        entry = F.struct(x["span"].alias("_span"), a["path"].alias("start"))
+        return F.struct(F.concat(F.slice(a["path"], F.lit(1), end["keep"]), end["own"]).alias("path"), F.array_append(a["out"], entry).alias("out"))
+
+    listed = heads.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("_span").alias("span"), F.array(*[ends(d) for d in range(7)]).alias("ends")))).alias("s"))
+    none = F.struct(empty.alias("path"), F.array().cast("array<struct<_span:int,start:array<string>>>").alias("out"))
+    starts = listed.select(*key, F.inline(F.aggregate("s", none, follow, lambda a: a["out"])))
+
+    def push(a, x):
+        path = F.array_append(F.slice(a["path"], F.lit(1), x["level"] - 1), x["text"])
+        return F.struct(path.alias("path"), F.array_append(a["out"], F.struct(x["block_index"].alias("block_index"), path.alias("title_path"))).alias("out"))
+
+    held = F.struct(F.col("start").alias("path"), F.array().cast("array<struct<block_index:int,title_path:array<string>>>").alias("out"))
+    titles = F.aggregate("t", held, push, lambda a: a["out"])
+    begins = F.array(F.struct(F.col("first").alias("block_index"), F.lit(None).cast("array<string>").alias("title_path")))
+    entries = F.when(F.size("t") == 0, begins).when(F.col("t")[0]["block_index"] == F.col("first"), titles).otherwise(F.concat(begins, titles))
+    folded = heads.join(starts, span).select(*span, "first", "start", F.inline(entries)).select(*span, "block_index", "title_path", F.when(F.col("block_index") == F.col("first"), F.col("start")).alias("_start"))
+    both = rows.join(folded, [*span, "block_index"], "left")
+    upto = W.partitionBy(*span).orderBy("block_index").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = F.coalesce(F.last("title_path", ignorenulls=True).over(upto), F.last("_start", ignorenulls=True).over(upto), empty)
+    path = F.when(title & F.col("title_path").isNotNull(), F.col("title_path")).when(F.size("own_path") > 0, F.col("own_path")).otherwise(last)
+    return both.withColumn("section_path", path).drop("title_path", "_start", "_span")
+
+
+def stored_blocks(blocks: DataFrame, at: Column | None = None) -> DataFrame:
+    """The rows of blocks as they are stored: source_metadata (JSON text) takes up asset_keys where there are any, and created_at."""
+    keys = F.to_json(F.struct("asset_keys"))
+    own = F.col("source_metadata") if "source_metadata" in blocks.columns else F.lit(None).cast("string")
+    merged = F.to_json(F.map_concat(F.map_filter(F.from_json(own, "map<string,variant>"), lambda k, v: k != "asset_keys"), F.from_json(keys, "map<string,variant>")))
+    held = F.when(F.size("asset_keys") > 0, F.when(own.isNull(), keys).otherwise(merged)).otherwise(F.coalesce(own, F.lit("{}")))
+    return blocks.withColumns({"source_metadata": held, "created_at": at if at is not None else F.current_timestamp()}).drop("asset_keys")
+
+
+def list_blocks(blocks: DataFrame, document_id: str | None = None, parse_run_id: str | None = None, kind: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of stored blocks, the latest first and by index within a run; total counts all that the filters leave."""
+    for name, value in (("document_id", document_id), ("parse_run_id", parse_run_id), ("block_type", (kind or "").strip().lower() or None)):
+        if value is not None:
+            blocks = blocks.where(F.col(name) == value)
+    return page(blocks, [F.desc("created_at"), F.col("block_index"), F.col("document_id")], limit=limit, offset=offset)
 
 
 def block_assets(blocks: DataFrame, declared: DataFrame | None = None) -> DataFrame:

@@ -82,6 +82,66 @@ def new_and_skipped(candidates: DataFrame, existing: DataFrame, order: Sequence[
     return rows.withColumn("skipped", (F.struct(*order) != F.col("_first")) | F.col("_live").isNotNull()).drop("_doc", "_first", "_live")
 
 
+def clashes(changed: DataFrame, existing: DataFrame) -> DataFrame:
+    """The changed items with duplicate_id: another live (not deprecated) item of equal type, hash and document, or null.
+
+    An aggregate keeps the smallest and largest id of each group, of which one is another's if any is.
+    """
+    key = ["item_type", "content_hash", "_doc"]
+    doc = F.coalesce(F.col("source_document_id").cast("string"), F.lit("\u0000"))
+    live = existing.where(F.coalesce(F.col("status") != "deprecated", F.lit(True))).withColumn("_doc", doc)
+    held = live.groupBy(*key).agg(F.min("id").alias("_least"), F.max("id").alias("_most"))
+    rows = changed.withColumn("_doc", doc).join(held, key, "left")
+    other = F.when(F.col("_least") != F.col("id"), F.col("_least")).when(F.col("_most") != F.col("id"), F.col("_most"))
+    return rows.withColumn("duplicate_id", other).drop("_doc", "_least", "_most")
+
+
+def resolve_sources(items: DataFrame, links: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows (id, document_id, filename, error): where each item (id, source_document_id, source_filename) comes from.
+
+    links: (id, chunk_id); chunks: (chunk_id, document_id); documents: (document_id, original_filename). A chunk that is missing, chunks
+    of several documents, chunks of another document than the item's, and a missing document are errors; an item without a name takes its document's.
+    """
+    of = links.join(chunks.select("chunk_id", F.col("document_id").alias("_d"), F.lit(True).alias("_is")), "chunk_id", "left")
+    held = of.groupBy("id").agg(F.min("_d").alias("_least"), F.max("_d").alias("_most"), F.count(F.when(F.col("_is").isNull(), 1)).alias("_lost"))
+    known = documents.select(F.col("document_id").alias("_k"), F.col("original_filename").alias("_name"))
+    told = documents.select(F.col("document_id").alias("source_document_id"), F.lit(True).alias("_told"))
+    rows = items.join(held, "id", "left").join(told, "source_document_id", "left").withColumn("_doc", F.coalesce("_least", "source_document_id")).join(known, F.col("_doc") == F.col("_k"), "left")
+    own = F.col("source_document_id")
+    invalid = (F.col("_least") != F.col("_most")) | (own.isNotNull() & (F.col("_least") != own))
+    error = (
+        F.when(own.isNotNull() & F.col("_told").isNull(), "KNOWLEDGE_ITEM_SOURCE_DOCUMENT_NOT_FOUND").when(F.col("_lost") > 0, "KNOWLEDGE_ITEM_SOURCE_CHUNK_NOT_FOUND")
+        .when(invalid, "KNOWLEDGE_ITEM_VALIDATION_FAILED").when(F.col("_doc").isNotNull() & F.col("_k").isNull(), "KNOWLEDGE_ITEM_SOURCE_DOCUMENT_NOT_FOUND")
+    )
+    rows = rows.withColumn("error", error)
+    fine = F.col("error").isNull()
+    return rows.select("id", F.when(fine, F.col("_doc")).alias("document_id"), F.when(fine, F.coalesce("source_filename", "_name")).alias("filename"), "error")
+
+
+def children(items: DataFrame, rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The rows that belong to items by a key (an item's chunks, versions or reviews), in order."""
+    return rows.join(items.select(key), key, "left_semi").orderBy(key, *order)
+
+
+def copied_links(links: DataFrame, revised: DataFrame) -> DataFrame:
+    """The source links of revised items (id, revises_item_id), as those of the revisions."""
+    new = revised.select("id", F.col("revises_item_id").alias("knowledge_item_id"))
+    return links.join(new, "knowledge_item_id").drop("knowledge_item_id").withColumnRenamed("id", "knowledge_item_id")
+
+
+def found_by_id(rows: DataFrame, wanted: DataFrame, id_col: str = "id", code: str = "DOCUMENT_NOT_FOUND") -> DataFrame:
+    """Wanted ids with their rows; error holds the code where there is none."""
+    held = wanted.join(rows.withColumn("_found", F.lit(True)), id_col, "left")
+    return held.withColumn("error", F.when(F.col("_found").isNull(), code)).drop("_found")
+
+
+def get_by_id(rows: DataFrame, value, id_col: str = "id", code: str = "DOCUMENT_NOT_FOUND"):
+    """The row of an id; an error of the code if there is none."""
+    found = rows.where(F.col(id_col) == F.lit(value)).limit(1).collect()
+    require(bool(found), code, "nothing has this id", id=value)
+    return found[0]
+
+
 def fold_reviews(items: DataFrame, actions: DataFrame, span: Column | None = None) -> DataFrame:
     """Rows (id, status, n_applied, n_refused, first_refused): each item's status after its actions, in order.
 

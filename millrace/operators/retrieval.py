@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.config import Bm25, Hybrid
-from millrace.errors import require
+from millrace.errors import EngineError, require
 from millrace.functions.text import latin_tokens, matched_keywords
 from millrace.functions.vectors import cosine_distance, rrf
 
@@ -195,6 +195,30 @@ def with_highlights(hits: DataFrame, docs: DataFrame, queries: DataFrame, id_col
     return both.withColumn("matched_keywords", matched_keywords(F.col("_query"), F.coalesce("content", F.lit("")))).drop("_query")
 
 
+def parsed_hits(hits: DataFrame, json_col: str = "hit") -> DataFrame:
+    """The columns of hits with chunk_id, score and source from an engine's hit (JSON text); hits without an id are left out.
+
+    The id is the source's chunk_id, else the hit's own; a missing score is 0.
+    """
+    v = F.try_parse_json(F.col(json_col))
+    text = lambda path: F.nullif(F.try_variant_get(v, path, "string"), F.lit(""))
+    rows = hits.withColumns({
+        "chunk_id": F.coalesce(text("$._source.chunk_id"), text("$._id")), "score": F.coalesce(F.try_variant_get(v, "$._score", "double"), F.lit(0.0)),
+        "source": F.coalesce(F.to_json(F.try_variant_get(v, "$._source", "variant")), F.lit("{}")),
+    })
+    return rows.where("chunk_id is not null").drop(json_col)
+
+
+def search_error(failure: Exception) -> EngineError:
+    """A search engine's failure as an error with a code: no such index, out of reach, or failed."""
+    kind, text = type(failure).__name__, str(failure).lower()
+    if getattr(failure, "status_code", None) == 404 or any(t in text for t in ("not_found", "not found")):
+        code = "SEARCH_INDEX_NOT_FOUND"
+    else:
+        code = "SEARCH_ENGINE_UNAVAILABLE" if any(t in kind.lower() for t in ("connection", "timeout")) else "HYBRID_SEARCH_FAILED"
+    return EngineError(code, "the search engine failed", {"error_type": kind})
+
+
 def rerank(hits: DataFrame, enabled: bool = False) -> DataFrame:
     require(not enabled, "RAG_CONFIG_INVALID", "no reranker is configured")
     return hits

@@ -177,8 +177,8 @@ SELECT query_id, md5(regexp_replace(string_agg(head || cut, chr(10) || chr(10) O
     "citation_list": f"WITH {_PACK} SELECT query_id, citation_id::int AS citation_id, chunk_id, original_filename, retrieval_source, was_truncated FROM u",
     "prompt_texts": f"""WITH {_PACK}, x AS (SELECT query_id, string_agg(head || cut, chr(10) || chr(10) ORDER BY citation_id) AS context, max(used_chars) AS total FROM u GROUP BY query_id)
 SELECT query_id, CASE WHEN context IS NULL THEN 'no_context' ELSE 'ok' END AS context_status,
-  length('检索片段：' || chr(10) || coalesce(nullif({_strip("context")}, ''), '当前无可用检索上下文。') || chr(10) || chr(10) || '用户问题：' || chr(10) || q.text || chr(10) || chr(10)
-    || '请只依据上述检索片段回答。依据不足时说明无法可靠回答，并不要补充未在片段中出现的工艺参数或标准条文。')::int AS n_chars, coalesce(total, 0)::bigint AS total_chars
+  md5(regexp_replace('检索片段：' || chr(10) || coalesce(nullif({_strip("context")}, ''), '当前无可用检索上下文。') || chr(10) || chr(10) || '用户问题：' || chr(10) || q.text || chr(10) || chr(10)
+    || '请只依据上述检索片段回答。依据不足时说明无法可靠回答，并不要补充未在片段中出现的工艺参数或标准条文。', 'hybrid_score: [0-9.]+', '', 'g')) AS prompt_md5, coalesce(total, 0)::bigint AS total_chars
 FROM q LEFT JOIN x USING (query_id)""",
     "extraction_prompts": f"""WITH {_chunks(1000, 100)}, f AS (SELECT *, sum(length(content)) OVER (PARTITION BY document_id) > 12000 AS over_budget FROM c WHERE chunk_index < 20)
 SELECT document_id, over_budget, CASE WHEN NOT over_budget THEN md5('Allowed item_type values for this extraction:' || chr(10) || '{", ".join(sorted(ITEM_TYPES))}' || chr(10) || chr(10) || 'Source chunks:' || chr(10)
@@ -218,9 +218,9 @@ UNION ALL SELECT *, 'old', 'document' FROM o WHERE document_id NOT IN (SELECT do
     "ordered_chunks": "SELECT l.doc_id AS position, l.doc_id * 7 AS id, d.lang FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id * 7",
     "summaries": """SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text END AS text, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS caption,
   length(text) > 500 AS truncated, least(20, len(string_split(text, ' ')))::int AS n_path FROM documents""",
-    "text_functions": f"""SELECT doc_id, md5({_squeeze("text")}) AS squeezed_md5,
-  regexp_replace(regexp_replace({_strip("CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END")}, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS segment,
-  least(500, length({_squeeze("regexp_replace(text, '(?i)https?://[^ \\t\\n\\x0b\\f\\r]+', '[URL]', 'g')")}))::int AS n_redacted, greatest(1, ceil(length(text) / 4))::int AS n_tokens FROM documents""",
+    "text_functions": f"""WITH d AS (SELECT doc_id, text, {_squeeze("regexp_replace(text, '(?i)https?://[^ \\t\\n\\x0b\\f\\r]+', '[URL]', 'g')")} AS redacted FROM documents)
+SELECT doc_id, md5({_squeeze("text")}) AS squeezed_md5, md5(regexp_replace(regexp_replace({_strip("text")}, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g')) AS segment_md5,
+  md5(redacted) AS redacted_md5, least(500, length(redacted))::int AS n_redacted, (CASE WHEN length(text) > 40 THEN 43 ELSE length(text) END)::int AS n_shortened, greatest(1, ceil(length(text) / 4))::int AS n_tokens FROM d""",
     "upload_validation": """WITH f AS (SELECT doc_id, ['.txt', '.md', '.exe', '', '.pdf'][doc_id % 5 + 1] AS extension, n_chars FROM documents)
 SELECT doc_id, extension, CASE WHEN extension IN ('.exe', '') THEN 'INVALID_FILE_TYPE' WHEN n_chars > 3000 THEN 'FILE_TOO_LARGE' END AS reject_reason FROM f""",
     "message_validation": f"""WITH m AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
@@ -245,4 +245,23 @@ SELECT document_id, chunk_index, content, 'not_started' AS embedding_status FROM
   CASE WHEN done THEN 'chunks exist' WHEN doc_id % 5 = 2 OR text IS NULL THEN 'unknown kind of file or no content' ELSE 'no text' END AS reason
 FROM (SELECT doc_id, text, doc_id IN (SELECT doc_id FROM labels) AS done FROM documents) WHERE done OR doc_id % 5 = 2 OR text IS NULL OR (doc_id % 5 <> 4 AND {_strip("text")} = '')""",
     "stream_chunks": f"WITH {_chunks(1000, 100)} SELECT document_id, chunk_index, char_start, length(content)::int AS character_count FROM c",
+    "document_lookup": "SELECT l.doc_id * 3 AS doc_id, d.lang, d.source, CASE WHEN d.doc_id IS NULL THEN 'DOCUMENT_NOT_FOUND' END AS error FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id * 3",
+    "item_navigation": f"WITH {_chunks(1000, 100)} SELECT document_id, chunk_index, length(content)::int AS character_count FROM c WHERE document_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "item_sources": """WITH c AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 10 = 9 THEN doc_id + 1000000000 ELSE doc_id - doc_id % 2 END AS d FROM documents),
+i AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN doc_id - doc_id % 2 WHEN doc_id % 7 = 0 THEN doc_id + 2000000000 END AS own, CASE WHEN doc_id % 5 = 0 THEN 'own.md' END AS name FROM labels),
+l AS (SELECT doc_id AS id, unnest([doc_id, CASE WHEN doc_id % 8 = 0 THEN doc_id + 5 ELSE doc_id - doc_id % 2 END]) AS chunk_id FROM labels WHERE doc_id % 4 <> 3),
+h AS (SELECT id, min(d) AS a, max(d) AS z, count(*) FILTER (c.chunk_id IS NULL) AS lost FROM l LEFT JOIN c USING (chunk_id) GROUP BY id),
+e AS (SELECT i.*, coalesce(a, own) AS doc, k.source AS known, CASE WHEN own IS NOT NULL AND t.doc_id IS NULL THEN 'KNOWLEDGE_ITEM_SOURCE_DOCUMENT_NOT_FOUND' WHEN lost > 0 THEN 'KNOWLEDGE_ITEM_SOURCE_CHUNK_NOT_FOUND'
+  WHEN a <> z OR a <> own THEN 'KNOWLEDGE_ITEM_VALIDATION_FAILED' WHEN coalesce(a, own) IS NOT NULL AND k.doc_id IS NULL THEN 'KNOWLEDGE_ITEM_SOURCE_DOCUMENT_NOT_FOUND' END AS error
+  FROM i LEFT JOIN h USING (id) LEFT JOIN documents t ON t.doc_id = own LEFT JOIN documents k ON k.doc_id = coalesce(a, own))
+SELECT id, CASE WHEN error IS NULL THEN doc END AS document_id, CASE WHEN error IS NULL THEN coalesce(name, known) END AS filename, error FROM e""",
+    "patch_duplicates": f"""WITH i AS (SELECT doc_id, {_hash('process_rule', "'t'")} AS h FROM documents), live AS (SELECT * FROM i WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+n AS (SELECT h, count(*) AS n FROM live GROUP BY h) SELECT i.doc_id, coalesce(n, 0) > (l.doc_id IS NOT NULL)::int AS duplicate FROM i LEFT JOIN n USING (h) LEFT JOIN live l ON l.doc_id = i.doc_id""",
+    "search_hits": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'h' END || doc_id AS chunk_id, CASE WHEN doc_id % 5 = 2 THEN 0 ELSE coalesce(n_chars / 8::double, 0) END::double AS score, lang
+FROM documents WHERE doc_id % 5 IN (0, 1, 2)""",
+    "block_listing": """WITH m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, role FROM conversations), u AS (SELECT * FROM m WHERE role IS NULL OR role NOT IN ('system', 'user'))
+SELECT conv_id::varchar AS document_id, i::int AS block_index, 'unknown' AS block_type, count(*) OVER () AS total FROM u ORDER BY conv_id % 5 DESC, i, conv_id::varchar LIMIT 50 OFFSET 20""",
+    "stored_block_rows": """WITH m AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations)
+SELECT conv_id::varchar AS document_id, 'r' AS parse_run_id, i::int AS block_index, CASE role WHEN 'system' THEN 'title' WHEN 'user' THEN 'text' ELSE 'unknown' END AS block_type,
+  CASE WHEN turn % 2 = 0 THEN '{"asset_keys":["block-' || lpad(i::varchar, 6, '0') || '.png"]}' ELSE '{}' END AS source_metadata FROM m""",
 }

@@ -12,14 +12,14 @@ from millrace.functions.text import content_hash, exact_terms, matched_keywords,
 from millrace.functions.vectors import l2_normalize, norm, quantize4
 from millrace.operators.assets import resolve_assets
 from millrace.operators.block_chunking import assembled_chunks, fragments, lineage, prepared_blocks
-from millrace.operators.blocks import block_assets, html_blocks, normalize_blocks
+from millrace.operators.blocks import block_assets, element_rows, html_blocks, list_blocks, normalize_elements, stored_blocks
 from millrace.operators.chunking import chunk_stats, embedding_status, window_chunks
 from millrace.operators.context import citations, extraction_prompt, formatted_context, pack_context
 from millrace.operators.embedding import hash_embeddings, hash_weights
 from millrace.operators.index import drift, payload, replaced, syncable, upserted
-from millrace.operators.knowledge import chunk_selection, fold_reviews, list_items, new_and_skipped, ordered_lookup, snapshot, validate_extractions
+from millrace.operators.knowledge import children, chunk_selection, clashes, fold_reviews, found_by_id, list_items, new_and_skipped, ordered_lookup, resolve_sources, snapshot, validate_extractions
 from millrace.operators.messages import conversation_faults
-from millrace.operators.retrieval import best_field, doc_lengths, fuse, hybrid_search, keyword_scores, postings, query_terms, ranked, term_stats, vector_topk, vector_topk_batch, with_highlights
+from millrace.operators.retrieval import best_field, doc_lengths, fuse, hybrid_search, keyword_scores, parsed_hits, postings, query_terms, ranked, term_stats, vector_topk, vector_topk_batch, with_highlights
 from millrace.operators.runs import activate_runs, block_summaries, latest, page, run_status, unparsed
 from millrace.plans.parsing import parse_texts
 from millrace.plans.rag import prompts
@@ -184,7 +184,7 @@ def citation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts(_packed(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "context_status", F.length("prompt").alias("n_chars"), F.col("total_chars").cast("long").alias("total_chars"))
+    return prompts(_packed(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "context_status", F.md5(F.regexp_replace("prompt", r"hybrid_score: [0-9.]+", "")).alias("prompt_md5"), F.col("total_chars").cast("long").alias("total_chars"))
 
 
 def extraction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +313,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return docs.select("doc_id", F.md5(squeeze(F.col("text"))).alias("squeezed_md5"), safe_segment(shorten(F.col("text"), 40)).alias("segment"), F.length(redact_urls(F.col("text"))).alias("n_redacted"), token_estimate(F.col("text")).alias("n_tokens"))
+    return docs.select("doc_id", F.md5(squeeze(F.col("text"))).alias("squeezed_md5"), F.md5(safe_segment(F.col("text"))).alias("segment_md5"), F.md5(redact_urls(F.col("text"), 2**31 - 1)).alias("redacted_md5"), F.length(redact_urls(F.col("text"))).alias("n_redacted"), F.length(shorten(F.col("text"), 40)).alias("n_shortened"), token_estimate(F.col("text")).alias("n_tokens"))
 
 
 def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,12 +329,10 @@ def message_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as parse results: a message is an element; a system message is a heading."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations").withColumns({"document_id": F.col("conv_id").cast("string"), "parse_run_id": F.lit("r")})
     kind = F.when(F.col("role") == "system", "heading").when(F.col("role") == "user", "Paragraph").otherwise("mystery")
-    element = F.struct("turn", F.struct(kind.alias("type"), F.col("text"), (F.col("turn") + 1).alias("page_idx")).alias("e"))
-    listed = F.to_json(F.transform(F.array_sort(F.collect_list(element)), lambda x: x["e"]))
-    held = c.groupBy(F.col("conv_id").cast("string").alias("document_id")).agg(listed.alias("content_list"))
-    return normalize_blocks(held.withColumn("parse_run_id", F.lit("r")))
+    element = F.struct(kind.alias("type"), F.col("text"), (F.col("turn") + 1).alias("page_idx"))
+    return normalize_elements(element_rows(c, element, F.struct("turn", "role", "text"), F.floor(F.col("turn") / 4096)))
 
 
 def normalized_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,6 +395,61 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/chunks").select("document_id", "chunk_index", "char_start", "character_count")
 
 
+def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "labels").select((F.col("doc_id") * 3).alias("doc_id"))
+    return found_by_id(_documents(spark, sf_dir).select("doc_id", "lang", "source"), wanted, "doc_id")
+
+
+def item_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items (labelled documents) with the chunks they come from."""
+    chunks = window_chunks(_documents(spark, sf_dir)).select("document_id", "chunk_index", "character_count")
+    items = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("document_id"))
+    return children(items, chunks, "document_id", ["chunk_index"])
+
+
+def item_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as items with two chunks each: of one document, of two, of another than the item's, and missing ones."""
+    docs = _documents(spark, sf_dir)
+    me = F.col("doc_id")
+    chunks = docs.select(me.alias("chunk_id"), F.when(me % 10 == 9, me + 1_000_000_000).otherwise(me - me % 2).alias("document_id"))
+    known = docs.select(me.alias("document_id"), F.col("source").alias("original_filename"))
+    named = table(spark, sf_dir, "labels")
+    none = F.lit(None).cast("long")
+    items = named.select(me.alias("id"), F.when(me % 3 == 0, me - me % 2).when(me % 7 == 0, me + 2_000_000_000).otherwise(none).alias("source_document_id"), F.when(me % 5 == 0, F.lit("own.md")).alias("source_filename"))
+    links = named.where(me % 4 != 3).select(me.alias("id"), F.explode(F.array(me, F.when(me % 8 == 0, me + 5).otherwise(me - me % 2))).alias("chunk_id"))
+    return resolve_sources(items, links, chunks, known)
+
+
+def patch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as changed items: which of them another live item (of a label other than toxic, or none) equals."""
+    docs = _documents(spark, sf_dir)
+    items = docs.select(F.col("doc_id").alias("id"), F.lit("process_rule").alias("item_type"), F.lit(None).cast("string").alias("source_document_id"), content_hash(F.lit("process_rule"), F.lit(None), F.lit("t"), F.col("text")).alias("content_hash"))
+    status = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.when(F.max("toxic") == 1, "deprecated").otherwise("approved").alias("status"))
+    return clashes(items, items.join(status, "id", "left")).select(F.col("id").alias("doc_id"), F.col("duplicate_id").isNotNull().alias("duplicate"))
+
+
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as an engine's hits, some without an id of either kind, some without a score."""
+    docs = _documents(spark, sf_dir)
+    me, case = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    source = F.struct(F.when(case == 0, me).when(case == 1, "").alias("chunk_id"), F.col("lang"))
+    hit = F.struct(F.when(case.isin(1, 2), F.concat(F.lit("h"), me)).alias("_id"), F.when(case != 2, F.col("n_chars") / 8).alias("_score"), F.when(case != 4, source).alias("_source"))
+    held = parsed_hits(docs.select("doc_id", F.to_json(hit).alias("hit")))
+    return held.select("doc_id", "chunk_id", "score", F.get_json_object("source", "$.lang").alias("lang"))
+
+
+def block_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the blocks of conversations: of kind unknown, those of later conversations first."""
+    held = stored_blocks(_conversation_blocks(spark, sf_dir), F.timestamp_seconds(F.col("document_id").cast("long") % 5))
+    return list_blocks(held, kind=" Unknown ", limit=50, offset=20).select("document_id", "block_index", "block_type", "total")
+
+
+def stored_block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of conversations as they are stored, those of turns divisible by 2 with an asset."""
+    key = F.when(F.col("page_start") % 2 == 1, F.array(F.concat("block_key", F.lit(".png")))).otherwise(F.array().cast("array<string>"))
+    return stored_blocks(_conversation_blocks(spark, sf_dir).withColumn("asset_keys", key)).select("document_id", "parse_run_id", "block_index", "block_type", "source_metadata")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -405,5 +458,6 @@ QUERIES = {
         citation_list, prompt_texts, extraction_prompts, content_hashes, duplicates_skipped, list_filter, latest_per_key, active_runs, run_statuses, review_states, version_snapshots,
         extraction_validation, syncable_chunks, embedding_statuses, index_drift, index_refresh, unparsed_documents, ordered_chunks, summaries, text_functions, upload_validation,
         message_validation, normalized_blocks, page_blocks, page_assets, page_chunks, page_lineage, asset_resolution, parsed_chunks, parse_failures, stream_chunks,
+        document_lookup, item_navigation, item_sources, patch_duplicates, search_hits, block_listing, stored_block_rows,
     )
 }

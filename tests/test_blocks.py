@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import BlockChunking
 from millrace.operators.block_chunking import block_chunks, split_lines, split_text
-from millrace.operators.blocks import asset_type, block_assets, block_faults, duplicate_indexes, html_blocks, normalize_blocks
+from millrace.operators.blocks import asset_type, block_assets, block_faults, duplicate_indexes, element_rows, html_blocks, list_blocks, normalize_blocks, normalize_elements, stored_blocks, with_section_paths
 
 BLOCK = "document_id string, parse_run_id string, block_index int, block_key string, block_type string, page_start int, page_end int, text string, markdown string, html string, latex string, caption string, section_path array<string>, asset_keys array<string>"
 
@@ -150,3 +150,38 @@ def test_html_blocks(spark):
     page = "<html><head><title>x</title></head><body><nav>m</nav><h1>Top &amp; more</h1><p>one<p>two <b>bold</b></p><h2>Sub</h2><ul><li>i</ul><script>var a='<p>'</script></body></html>"
     got = html_blocks(spark.createDataFrame([(1, page), (2, None)], "page_id int, html string")).orderBy("block_index").collect()
     assert [(r.block_type, r.text, r.section_path) for r in got] == [("title", "Top & more", ["Top & more"]), ("text", "one", ["Top & more"]), ("text", "two bold", ["Top & more"]), ("title", "Sub", ["Top & more", "Sub"]), ("list", "i", ["Top & more", "Sub"])]
+
+
+def stack(items):
+    """Section paths by one loop: (kind, level, text) in order."""
+    path, out = [], []
+    for kind, level, text in items:
+        if kind == "title" and text is not None:
+            path = path[: level - 1] + [text]
+        out.append(list(path))
+    return out
+
+
+@pytest.mark.parametrize("span", [1, 2, 5, 4096])
+def test_section_paths_over_spans(spark, span):
+    rng = random.Random(span)
+    docs = {f"d{d}": [(rng.choice(["title", "title", "text"]), rng.randint(1, 6), rng.choice([None, "x", f"t{i}"])) for i in range(40)] for d in range(4)} | {"plain": [("text", 1, "a")] * 7}
+    rows = [(d, "r", i, k, lv, t, []) for d, items in docs.items() for i, (k, lv, t) in enumerate(items)]
+    df = spark.createDataFrame(rows, "document_id string, parse_run_id string, block_index int, block_type string, level int, text string, own_path array<string>")
+    got = {(r.document_id, r.block_index): r.section_path for r in with_section_paths(df, span).collect()}
+    assert got == {(d, i): p for d, items in docs.items() for i, p in enumerate(stack(items))}
+
+
+def test_elements_are_numbered_over_spans(spark):
+    df = spark.createDataFrame([(d, "r", i, f"t{i}") for d in ("a", "b") for i in range(0, 60, 3)], "document_id string, parse_run_id string, turn int, text string")
+    got = element_rows(df, F.struct(F.lit("text").alias("type"), "text"), F.col("turn"), F.floor(F.col("turn") / 7))
+    assert sorted((r.document_id, r.block_index, json.loads(r.j)["text"]) for r in got.withColumn("j", F.to_json("raw")).collect()) == [(d, i, f"t{3 * i}") for d in ("a", "b") for i in range(20)]
+    assert normalize_elements(got).where("block_type = 'text'").count() == 40 and element_rows(df.limit(0), F.struct("text"), F.col("turn"), F.lit(0)).count() == 0
+
+
+def test_stored_blocks_are_listed(spark):
+    held = blocks(spark, ("text", "a", {"asset_keys": ["k"]}), ("title", "b"), ("text", "c"))
+    stored = stored_blocks(held.withColumn("source_metadata", F.lit('{"n": 1, "asset_keys": ["old"]}')), F.lit("2026-01-01").cast("timestamp"))
+    assert [json.loads(r.source_metadata) for r in stored.orderBy("block_index").collect()] == [{"n": 1, "asset_keys": ["k"]}] + [{"n": 1, "asset_keys": ["old"]}] * 2
+    assert [(r.block_index, r.total) for r in list_blocks(stored, "d", "r", " TEXT ", limit=1, offset=1).collect()] == [(2, 2)]
+    assert list_blocks(stored, "other").count() == 0

@@ -12,9 +12,10 @@ from millrace.functions.text import TRUNCATED
 from millrace.operators.context import broken_citations, context_header, formatted_context, pack_context
 from millrace.operators.embedding import HashProvider, provider_of
 from millrace.operators.index import check_mapping, drift, payload, replaced, syncable, upserted, write_index
-from millrace.operators.knowledge import create_items, fold_reviews, list_items, mixed_documents, new_and_skipped, patch_items, revise_items, revision_chains, validate_extractions, with_hash
+from millrace.operators.knowledge import children, clashes, copied_links, create_items, fold_reviews, found_by_id, get_by_id, list_items, mixed_documents, new_and_skipped, patch_items, resolve_sources, revise_items, revision_chains, validate_extractions, with_hash
 from millrace.operators.messages import conversation_faults, tool_faults
-from millrace.operators.retrieval import fuse, indexed_scores, keyword_scores, query_terms, rerank, vector_topk_batch, write_index
+from millrace.operators.retrieval import fuse, indexed_scores, keyword_scores, parsed_hits, query_terms, rerank, search_error, vector_topk_batch
+from millrace.operators.retrieval import write_index as write_postings
 from millrace.operators.runs import activate_runs, page, run_status, severity
 from millrace.plans.rag import EchoModel, Message, Request, ask, extracted, prompts
 from millrace.sources.archives import ArchiveLimits, archive_members, file_types, picked
@@ -231,11 +232,11 @@ def test_long_revision_chains_and_circles(spark):
     assert revision_chains(spark.createDataFrame([], "id string, revises_item_id string")).count() == 0
 
 
-def test_index(spark, rows, tmp_path):
+def test_postings_index(spark, rows, tmp_path):
     """Scores from the index are those from the corpus; a search reads the folders of its terms only."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     terms = query_terms(spark.createDataFrame([(1, "the and thed"), (2, "der les nowhere")], "query_id int, text string"))
-    write_index(docs, str(tmp_path), buckets=32)
+    write_postings(docs, str(tmp_path), buckets=32)
     got = indexed_scores(spark, str(tmp_path), terms)
     assert rows(got) == rows(keyword_scores(docs, terms)) and got.count() > 50
     assert "PartitionFilters: [isnotnull(bucket" in got._jdf.queryExecution().toString() or "dynamicpruning" in got._jdf.queryExecution().toString()
@@ -246,3 +247,34 @@ def test_vector_ties_and_repeated_ids(spark, rows):
     asked = spark.createDataFrame([(0, [1.0, 0.0]), (3, [1.0, 0.0]), (99, [1.0, 0.0])], "query_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.id, r.score) for r in vector_topk_batch(v, asked, 4).collect())
     assert got == [(0, 1, 3, 1.0), (0, 2, 6, 1.0), (0, 3, 9, 1.0), (0, 4, 1, 0.707106781), (3, 1, 0, 1.0), (3, 2, 6, 1.0), (3, 3, 9, 1.0), (3, 4, 1, 0.707106781), (99, 1, 0, 1.0), (99, 2, 3, 1.0), (99, 3, 6, 1.0), (99, 4, 9, 1.0)]
+
+
+def test_item_sources(spark):
+    docs = spark.createDataFrame([("d1", "one.md"), ("d2", "two.md")], "document_id string, original_filename string")
+    chunks = spark.createDataFrame([("a", "d1"), ("b", "d1"), ("c", "d2"), ("z", "gone")], "chunk_id string, document_id string")
+    items = spark.createDataFrame([(1, None, None), (2, "d1", "own"), (3, None, None), (4, "d2", None), (5, None, None), (6, "no", None), (7, None, None), (8, None, None), (9, "d2", None)], "id int, source_document_id string, source_filename string")
+    links = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "c"), (4, "a"), (5, "missing"), (5, "a"), (7, "z")], "id int, chunk_id string")
+    got = {r.id: (r.document_id, r.filename, r.error and r.error[15:]) for r in resolve_sources(items, links, chunks, docs).collect()}
+    bad = {3: "VALIDATION_FAILED", 4: "VALIDATION_FAILED", 5: "SOURCE_CHUNK_NOT_FOUND", 6: "SOURCE_DOCUMENT_NOT_FOUND", 7: "SOURCE_DOCUMENT_NOT_FOUND"}
+    assert got == {1: ("d1", "one.md", None), 2: ("d1", "own", None), 8: (None, None, None), 9: ("d2", "two.md", None)} | {i: (None, None, e) for i, e in bad.items()}
+
+
+def test_clashes_and_look_up(spark):
+    rows = spark.createDataFrame([(1, "t", "h", None, "draft"), (2, "t", "h", None, "deprecated"), (3, "t", "g", None, None), (4, "t", "g", None, "approved"), (5, "t", "g", "d", "draft")], "id int, item_type string, content_hash string, source_document_id string, status string")
+    assert {r.id: r.duplicate_id for r in clashes(rows, rows).collect()} == {1: None, 2: 1, 3: 4, 4: 3, 5: None}
+    assert get_by_id(rows, 3).content_hash == "g"
+    with pytest.raises(EngineError) as e:
+        get_by_id(rows, 9, code="KNOWLEDGE_ITEM_NOT_FOUND")
+    assert e.value.code == "KNOWLEDGE_ITEM_NOT_FOUND"
+    assert {r.id: r.error for r in found_by_id(rows, spark.createDataFrame([(1,), (9,)], "id int")).collect()} == {1: None, 9: "DOCUMENT_NOT_FOUND"}
+    links = spark.createDataFrame([("a", "c1"), ("a", "c2"), ("b", "c3")], "knowledge_item_id string, chunk_id string")
+    assert [(r.knowledge_item_id, r.chunk_id) for r in copied_links(links, spark.createDataFrame([("n", "a")], "id string, revises_item_id string")).orderBy("chunk_id").collect()] == [("n", "c1"), ("n", "c2")]
+    assert [r.chunk_id for r in children(spark.createDataFrame([("a",)], "knowledge_item_id string"), links, "knowledge_item_id", ["chunk_id"]).collect()] == ["c1", "c2"]
+
+
+def test_engine_hits_and_failures(spark):
+    hits = ['{"_id": "i", "_score": 2, "_source": {"chunk_id": "c", "x": 1}}', '{"_id": "i"}', '{"_score": 3, "_source": {"chunk_id": ""}}', "no", None]
+    got = parsed_hits(spark.createDataFrame([(h,) for h in hits], "hit string")).collect()
+    assert {(r.chunk_id, r.score, r.source) for r in got} == {("c", 2.0, '{"chunk_id":"c","x":1}'), ("i", 0.0, "{}")}
+    missing = type("ApiError", (Exception,), {"status_code": 404})()
+    assert [search_error(e).code for e in (missing, ValueError("index_not_found_exception"), ConnectionError("x"), TimeoutError(), ValueError("x"))] == ["SEARCH_INDEX_NOT_FOUND"] * 2 + ["SEARCH_ENGINE_UNAVAILABLE"] * 2 + ["HYBRID_SEARCH_FAILED"]
