@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from millrace.errors import require
+from millrace.schemas import ITEM_TYPES
 
 
 @dataclass(frozen=True)
@@ -93,9 +94,21 @@ class Extraction:
     max_chunks: int = 20
     max_chars: int = 12_000
     most_chunks: int = 50
+    mode: str = "document"
+    item_types: tuple[str, ...] | None = None
+    default_status: str = "draft"
 
     def __post_init__(self):
-        require(1 <= self.max_chunks <= self.most_chunks and self.max_chars > 0, "KNOWLEDGE_ITEM_CONFIG_INVALID", "max_chunks must be 1 to the cap and max_chars positive")
+        bad = "KNOWLEDGE_ITEM_CONFIG_INVALID"
+        require(1 <= self.max_chunks <= self.most_chunks and self.max_chars > 0, bad, "max_chunks must be 1 to the cap and max_chars positive")
+        require(self.mode.strip().lower() in ("document", "chunks"), bad, "mode must be document or chunks", mode=self.mode)
+        require(self.item_types is None or (bool(self.item_types) and set(self.item_types) <= set(ITEM_TYPES)), bad, "item_types must be known, and one at least", item_types=self.item_types)
+        require(self.default_status.strip().lower() == "draft", bad, "extracted items start as drafts", default_status=self.default_status)
+
+    def with_max_chunks(self, asked: int | None) -> Extraction:
+        """The settings for a request that asks for fewer chunks."""
+        require(asked is None or 1 <= asked <= self.max_chunks, "KNOWLEDGE_ITEM_CONFIG_INVALID", "max_chunks must be 1 to the configured number", max_chunks=asked)
+        return self if asked is None else replace(self, max_chunks=asked)
 
 
 #: What may be uploaded.

@@ -89,6 +89,32 @@ def redact_urls(x: Column, most: int = 500, secrets: Sequence[str] = ()) -> Colu
     return F.left(squeeze(F.regexp_replace(x, r"(?i)https?://\S+", "[URL]")), F.lit(most))
 
 
+def json_text(x: Column) -> Column:
+    """A text as JSON; null stays null."""
+    body = F.to_json(F.struct(x.alias("x")))
+    return F.when(x.isNotNull(), F.substring(body, F.lit(6), F.length(body) - 6))
+
+
+def scalar_fields(v: Column, keys: Sequence[str], most: int = 200) -> list[tuple[str, Column]]:
+    """(key, JSON) of the scalars that a VARIANT object has of keys: texts trimmed and cut, null if blank or not a scalar."""
+    out = []
+    for k in sorted(keys):
+        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+        text = F.try_variant_get(v, f"$.{k}", "string")
+        out.append((k, F.when(kind == "STRING", json_text(F.left(optional_text(text), F.lit(most)))).when(kind.isNotNull() & ~kind.rlike("^(ARRAY|OBJECT|VOID)"), text)))
+    return out
+
+
+def json_without_nulls(x: Column) -> Column:
+    """JSON text (without white space between its parts) less all fields and elements that are null, at any depth.
+
+    Strings are matched first and put back as they are, so that only what stands outside of them goes; then the commas.
+    """
+    string = r'"(?:[^"\\]|\\.)*"'
+    bare = F.regexp_replace(x, rf"(?s)({string}(?!:null))|(?:{string}:)?null", "$1")
+    return F.regexp_replace(bare, rf"(?s)({string})|(?<=[\[{{,]),+|(?<=[\[{{]),|,+(?=[\]}}])", "$1")
+
+
 def strip_code_fence(x: Column) -> Column:
     """What a Markdown code fence around the whole text holds."""
     inner = F.regexp_extract(strip(x), r"(?s)^```[^\n\r]*[\r\n]+(.*?)(?:[\r\n]+```\s*)?$", 1)

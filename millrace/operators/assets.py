@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import shorten, strip
+from millrace.functions.text import scalar_fields, shorten, strip
 from millrace.operators.blocks import raw_int, raw_text, raw_texts
 
 #: What summaries may show of metadata.
@@ -89,14 +89,8 @@ def upload_plan_faults(expected: DataFrame, planned: DataFrame) -> DataFrame:
 
 def allowed_scalars(metadata: Column, keys: Sequence[str]) -> Column:
     """JSON text with the scalars that metadata (JSON text) has of keys; texts are cut to 200 characters."""
-    v = F.try_parse_json(metadata)
-    pairs = []
-    for k in sorted(keys):
-        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
-        text = F.try_variant_get(v, f"$.{k}", "string")
-        body = F.when(kind == "STRING", F.to_json(F.struct(F.left(text, F.lit(200)).alias("x")))).when(kind.isNotNull() & ~kind.rlike("^(ARRAY|OBJECT|VOID)"), F.concat(F.lit('{"x":'), text, F.lit("}")))
-        pairs.append(F.concat(F.lit(f'"{k}":'), F.substring(body, F.lit(6), F.length(body) - 6)))
-    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*pairs)), ","), F.lit("}"))
+    fields = scalar_fields(F.try_parse_json(metadata), keys)
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in fields]), F.lit("}"))
 
 
 def asset_summaries(assets: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import looks_like_html, optional_text, safe_segment, strip
+from millrace.functions.text import json_text, json_without_nulls, looks_like_html, optional_text, safe_segment, scalar_fields, strip
 from millrace.operators.runs import page
 from millrace.schemas import ASSET_TYPE_ALIASES, ASSET_TYPES, BLOCK_TYPE_ALIASES, BLOCK_TYPES
 
@@ -18,6 +18,8 @@ CAPTION_KEYS = {
     "table": ("table_caption", "table_footnote"), "code": ("code_caption", "code_footnote"), "algorithm": ("code_caption", "code_footnote"),
 }
 ASSET_KEYS = ("asset_key", "image_path", "image_key", "img_path")
+#: What of a raw block its metadata may show.
+BLOCK_METADATA = ("category_id", "confidence", "language", "model_name", "rotation", "sub_type", "text_format")
 #: Keys read as text.
 TEXT_KEYS = (
     "type", "block_type", "category", "text", "content", "code_body", "text_format", "latex", "formula", "equation", "markdown", "table_markdown", "table_body", "html",
@@ -56,6 +58,17 @@ def raw_int(raw: Column, key: str) -> Column:
     return F.when(kind == "BOOLEAN", F.lit(None).cast("int")).when(kind == "STRING", F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), text.try_cast("int"))).otherwise(number.try_cast("int"))
 
 
+def raw_float(raw: Column, key: str) -> Column:
+    """A key's value as a double: numbers and numeric text, booleans and containers not."""
+    kind = F.schema_of_variant(F.try_variant_get(raw, f"$.{key}", "variant"))
+    return F.when(~kind.rlike("^(ARRAY|OBJECT|BOOLEAN)"), F.try_variant_get(raw, f"$.{key}", "string").try_cast("double"))
+
+
+def given(raw: Column, key: str) -> Column:
+    """Whether a key is there, with null or anything else."""
+    return F.try_variant_get(raw, f"$.{key}", "variant").isNotNull()
+
+
 def raw_texts(raw: Column, key: str) -> Column:
     """A key's value, one or a list, as texts that aren't blank."""
     v = F.try_variant_get(raw, f"$.{key}", "variant")
@@ -88,6 +101,15 @@ def normalize_blocks(parsed: DataFrame, prefix: str = "parsed-assets", json_col:
     return normalize_elements(listed.select("document_id", "parse_run_id", F.posexplode(v.cast("array<variant>")).alias("block_index", "raw")), prefix)
 
 
+def with_fallback(parsed: DataFrame, json_col: str = "content_list", text_col: str = "text", markdown_col: str = "markdown") -> DataFrame:
+    """Parse results whose content list is missing or empty, but that have a text or Markdown, with one text element of these."""
+    v = F.try_parse_json(F.col(json_col))
+    none = F.col(json_col).isNull() | F.coalesce(F.schema_of_variant(v).startswith("ARRAY") & (F.size(F.try_variant_get(v, "$", "array<variant>")) == 0), F.lit(False))
+    has = (F.coalesce(F.length(text_col), F.lit(0)) > 0) | (F.coalesce(F.length(markdown_col), F.lit(0)) > 0)
+    one = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col(text_col).alias("text"), F.col(markdown_col).alias("markdown"))))
+    return parsed.withColumn(json_col, F.when(none & has, one).otherwise(F.col(json_col)))
+
+
 def element_rows(rows: DataFrame, element: Column, order: Column, span: Column) -> DataFrame:
     """Rows (document_id, parse_run_id, block_index, raw) from rows that hold one element each.
 
@@ -123,7 +145,8 @@ def normalize_elements(rows: DataFrame, prefix: str = "parsed-assets") -> DataFr
     items = F.nullif(F.array_join(raw_texts(raw, "list_items"), "\n"), F.lit(""))
     text = F.when(low == "list", F.coalesce(items, body)).when(low.isin("code", "algorithm"), F.coalesce(t("code_body"), body)).when(latex_only, F.lit(None)).otherwise(body)
     table = t("table_body")
-    first_page = F.coalesce(*[raw_int(raw, k) for k in ("page_start", "page_number", "page", "page_idx")])
+    said = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(raw, f"$.{k}", "variant")) != "VOID", F.lit(False))
+    first_page = F.when(said("page_start"), raw_int(raw, "page_start")).when(given(raw, "page_number"), raw_int(raw, "page_number")).when(given(raw, "page"), raw_int(raw, "page")).otherwise(raw_int(raw, "page_idx"))
     captions = raw_texts(raw, "caption")
     for names in sorted(set(CAPTION_KEYS.values())):
         of = [k for k, v in CAPTION_KEYS.items() if v == names]
@@ -139,8 +162,12 @@ def normalize_elements(rows: DataFrame, prefix: str = "parsed-assets") -> DataFr
         "latex": F.coalesce(t("latex", "formula", "equation"), F.when((kind == "formula") & (F.lower(t("text_format")) == "latex"), body)),
         "caption": F.nullif(F.array_join(F.array_distinct(captions), "\n"), F.lit("")), "asset_keys": F.transform(refs, lambda r: asset_key(base, r, fallback)),
         "parent_block_key": t("parent_block_key", "parent_block_id", "parent_id"), "own_path": raw_texts(raw, "section_path"),
-        "bbox": F.to_json(F.try_variant_get(raw, "$.bbox", "variant")), "confidence": F.coalesce(*[F.try_variant_get(raw, f"$.{k}", "double") for k in ("confidence", "score")]),
+        "bbox": F.when(F.schema_of_variant(F.try_variant_get(raw, "$.bbox", "variant")).rlike("^(ARRAY|OBJECT)"), json_without_nulls(F.to_json(F.try_variant_get(raw, "$.bbox", "variant")))),
+        "confidence": F.when(said("confidence"), raw_float(raw, "confidence")).otherwise(raw_float(raw, "score")),
     })
+    shown = [("original_type", json_text(F.left(F.coalesce("original_type", F.lit("unknown")), F.lit(200)))), ("mineru_block_id", json_text(F.left(t("block_id", "id", "block_key"), F.lit(200)))), ("heading_level", F.when(kind == "title", F.col("level").cast("string")))]
+    shown += scalar_fields(raw, BLOCK_METADATA) + [("asset_keys", F.when(F.size("asset_keys") > 0, F.to_json("asset_keys")))]
+    rows = rows.withColumn("source_metadata", F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in shown]), F.lit("}")))
     kept = rows.drop("raw", "_low", *[f"_t_{k}" for k in TEXT_KEYS])
     return with_section_paths(kept).drop("own_path", "level")
 
@@ -237,6 +264,41 @@ def block_assets(blocks: DataFrame, declared: DataFrame | None = None) -> DataFr
     return first.unionByName(rest)
 
 
+def first_assets(*sources: DataFrame) -> DataFrame:
+    """Assets of several origins (document_id, parse_run_id, asset_key, position, ...; equal columns), a key once a run: the first
+    origin that has it wins (its number is in origin), and there the first by position."""
+    key = ["document_id", "parse_run_id", "asset_key"]
+    rows = None
+    for n, source in enumerate(sources):
+        one = source.withColumn("origin", F.lit(n))
+        rows = one if rows is None else rows.unionByName(one)
+    held = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*held), F.struct("origin", "position")).alias("x")).select(*key, "x.*")
+
+
+def result_file_assets(files: DataFrame, prefix: str = "parsed-assets") -> DataFrame:
+    """Files of a result (document_id, parse_run_id, position, filename, file_type, content_type, source_path, content) as assets."""
+    name = F.regexp_extract(F.replace(F.coalesce("filename", F.lit("")), F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)
+    fallback = F.concat(F.lit("result-"), F.lpad(F.col("position").cast("string"), 6, "0"))
+    safe = F.coalesce(F.nullif(safe_segment(name), F.lit("")), fallback)
+    base = F.concat_ws("/", F.lit(prefix), F.col("document_id").cast("string"), F.col("parse_run_id").cast("string"), F.lit(""))
+    kind = asset_type(F.col("file_type"))
+    path = F.left(optional_text(F.col("source_path")), F.lit(200))
+    meta = F.to_json(F.struct(F.lit("result_file").alias("origin"), kind.alias("result_file_type"), path.alias("source_path")))
+    return files.select("document_id", "parse_run_id", asset_key(base, safe, fallback).alias("asset_key"), "position", kind.alias("asset_type"), safe.alias("filename"), F.col("content_type").alias("mime_type"), F.length("content").cast("long").alias("size_bytes"), meta.alias("source_metadata"))
+
+
+def run_totals(blocks: DataFrame, assets: DataFrame | None = None, prefix: str = "parsed-assets") -> DataFrame:
+    """Rows (document_id, parse_run_id, block_count, asset_count, page_count, output keys) of runs; the largest page that a block
+    names is their count, and assets are those that blocks refer to unless given."""
+    key = ["document_id", "parse_run_id"]
+    shown = assets if assets is not None else blocks.select(*key, F.explode("asset_keys").alias("asset_key")).distinct()
+    counts = shown.groupBy(*key).agg(F.count("*").alias("asset_count"))
+    held = blocks.groupBy(*key).agg(F.count("*").alias("block_count"), F.max(F.greatest("page_start", "page_end")).alias("page_count")).join(counts, key, "left")
+    out = lambda name: F.concat_ws("/", F.lit(prefix), F.col("document_id").cast("string"), F.col("parse_run_id").cast("string"), F.lit(name))
+    return held.withColumns({"asset_count": F.coalesce("asset_count", F.lit(0)), "output_markdown_key": out("output.md"), "output_json_key": out("output.json")})
+
+
 def duplicate_indexes(blocks: DataFrame) -> DataFrame:
     """(document_id, parse_run_id, block_index) that occur more than once."""
     return blocks.groupBy("document_id", "parse_run_id", "block_index").count().where("count > 1").drop("count")

@@ -11,6 +11,7 @@ from millrace.functions.text import strip, truncate
 from millrace.schemas import ITEM_TYPES
 
 
+#: The lines of context headers here, and of the prompts below.
 def context_header(n: Column) -> Column:
     """What stands before a chunk's content, its newline included."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -82,6 +83,27 @@ def user_prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit("检索片段：\n"), held, F.lit("\n\n用户问题：\n"), question, F.lit(f"\n\n{end}"))
 
 
+def extraction_system_prompt(item_types: tuple[str, ...] = tuple(sorted(ITEM_TYPES))) -> str:
+    #: Fixed value: the extractor's instructions.
+    return "\n".join(
+        [
+            "/no_think",
+            "You are a knowledge extraction assistant for a casting process knowledge base.",
+            "Extract only structured knowledge items that are explicitly supported by the provided chunks.",
+            "Do not invent standards, clauses, process parameters, materials, causes, or solutions absent from the chunks.",
+            "Return exactly one JSON object and no Markdown or explanatory text.",
+            'The JSON object must use this top-level shape: {"items": [...]}.',
+            "Each item must include item_type, title, content, confidence, and source_chunk_ids.",
+            "Optional item fields are structured_data, entities, parameters, and conditions.",
+            "source_chunk_ids must contain only chunk ids from the input chunks.",
+            'If there is no extractable knowledge, return exactly: {"items": []}.',
+            "Allowed item_type values: " + ", ".join(item_types) + ".",
+            "confidence is extraction confidence only; it is not expert approval or trusted knowledge status.",
+            "Do not output status, approved, review fields, prompt text, API keys, or system configuration.",
+        ]
+    )
+
+
 def extraction_prompt(chunks: DataFrame, item_types: tuple[str, ...] = tuple(sorted(ITEM_TYPES))) -> DataFrame:
     """Rows (document_id, prompt) from chunks (document_id, id, chunk_index, content), by chunk_index then id."""
     part = F.concat(F.lit("[chunk_id: "), F.col("id").cast("string"), F.lit("]\nchunk_index: "), F.col("chunk_index").cast("string"), F.lit("\ncontent:\n"), F.coalesce("content", F.lit("")), F.lit("\n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.errors import require
 from millrace.functions.text import exact_terms
@@ -56,6 +57,22 @@ def write_index(spark: SparkSession, rows: DataFrame, folder: str, buckets: int
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
 
 
+def ensure_index(spark: SparkSession, name: str, alias: str, schema: StructType, dim: int) -> dict:
+    """The catalog table of an index, made if there is none, and a view as its alias; what was there and what was made.
+
+    A table of other fields, types or vector lengths is an error and stays as it is.
+    """
+    there = spark.catalog.tableExists(name)
+    if there:
+        check_mapping(spark.table(name), dim)
+    else:
+        spark.createDataFrame([], schema).write.saveAsTable(name)
+    aliased = spark.catalog.tableExists(alias)
+    if not aliased:
+        spark.sql(f"CREATE VIEW {alias} AS SELECT * FROM {name}")
+    return {"index_name": name, "alias": alias, "created": not there, "exists": there, "alias_created": not aliased, "mapping_status": "matched" if there else "created"}
+
+
 def check_mapping(stored: DataFrame, dim: int) -> None:
     """The stored table has the fields that searches need, of the types they need, and vectors of dim numbers."""
     needed = {"chunk_id": "string", "document_id": "string", "content": "string", "embedding_model": "string", "embedding_dim": "int", "embedding_status": "string"}

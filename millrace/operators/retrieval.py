@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.config import Bm25, Hybrid
+from millrace.config import Bm25, Embedding, Hybrid
 from millrace.errors import EngineError, require
-from millrace.functions.text import latin_tokens, matched_keywords
+from millrace.functions.text import is_blank, latin_tokens, matched_keywords, strip
 from millrace.functions.vectors import cosine_distance, rrf
+from millrace.operators.embedding import EmbeddingProvider, eligible
+
+#: What a search reads of a chunk, and what it returns.
+SOURCE_FIELDS = ("chunk_id", "document_id", "original_filename", "chunk_index", "content", "source_metadata", "exact_terms", "embedding_model", "embedding_dim")
+HIT_FIELDS = (
+    "chunk_id", "document_id", "original_filename", "chunk_index", "content", "source_metadata", "retrieval_source", "keyword_score", "vector_score",
+    "keyword_rank", "vector_rank", "hybrid_score", "matched_keywords", "embedding_model", "embedding_dim",
+)
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,8 +125,8 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], k: int = 10, predica
     return rows.where("distance is not null").orderBy("distance", "id").limit(k).withColumn("score", 1 - F.col("distance"))
 
 
-def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_rows: int = 512, block_rows: int = 4096) -> DataFrame:
-    """Rows (query_id, id, score, rank): exact cosine top k of every query (query_id, embedding) among all rows but its own id.
+def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_rows: int = 512, block_rows: int = 4096, own_too: bool = False) -> DataFrame:
+    """Rows (query_id, id, score, rank): exact cosine top k of every query (query_id, embedding) among all rows, but its own id's unless own_too.
 
     Rows and queries fall into blocks by a hash; each pair of blocks is one matrix product in one task and gives k
     rows a query, so that what is ranked grows with the blocks, not with the pairs. Vectors of other length than
@@ -148,7 +157,9 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: st
         for at in range(0, len(asked) if len(of) else 0, 128):
             q = asked[at : at + 128]
             score = np.round(x[of] @ x[q].T, 9)
-            score[(code[of][:, None] == code[q][None, :]) | ~np.isfinite(score)] = -np.inf
+            score[~np.isfinite(score)] = -np.inf
+            if not own_too:
+                score[code[of][:, None] == code[q][None, :]] = -np.inf
             floor = np.partition(score, max(0, len(of) - k), axis=0)[max(0, len(of) - k)]
             i, j = np.nonzero((score >= floor) & (score > -np.inf))  # ties of the last one too
             by = np.lexsort((place[of[i]], -score[i, j], j))
@@ -187,6 +198,41 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, setti
     return fuse(kw, vec, settings)
 
 
+def encoded_queries(queries: DataFrame, provider: EmbeddingProvider, dim: int) -> DataFrame:
+    """Queries (query_id, text) with embedding as the provider encodes queries; a vector of other than dim numbers is left out,
+    and such a query is answered by keywords alone."""
+
+    @F.pandas_udf("array<double>")
+    def encode(texts: pd.Series) -> pd.Series:
+        found = [provider.encode_query(t or "") for t in texts]
+        return pd.Series([[float(x) for x in v] if len(v) == dim else None for v in found])
+
+    return queries.withColumn("embedding", encode("text"))
+
+
+def multi_field_scores(docs: DataFrame, terms: DataFrame, boosts: Mapping[str, float], settings: Bm25 = Bm25(), id_col: str = "doc_id") -> DataFrame:
+    """Rows (query_id, id, score): the best of several columns' scores, each times its boost."""
+    return best_field([(keyword_scores(docs, terms, settings, id_col, column), boost) for column, boost in boosts.items()])
+
+
+def search_chunks(index: DataFrame, queries: DataFrame, provider: EmbeddingProvider, embedding: Embedding, settings: Hybrid = Hybrid(), boosts: Mapping[str, float] = {"content": 3.0}, document_id: str | None = None) -> DataFrame:
+    """Hybrid search of an index (rows as payload() makes them) for queries (query_id, text): query_id, position and 15 columns.
+
+    Both lists come from what may be searched: embedded by that model at that dimension, of that document if one is named. The
+    index keeps the content once for each of three analyzers (boosts 3, 2, 1); there is one analyzer here, so the largest boost decides.
+    """
+    rows = index.where(eligible(embedding.model, embedding.dim))
+    if document_id is not None:
+        rows = rows.where(F.col("document_id") == document_id)
+    asked = queries.where(~is_blank(F.col("text"))).select(F.col("query_id").cast("string"), strip(F.col("text")).alias("text"))
+    asked = encoded_queries(asked, provider, embedding.dim)
+    kw = ranked(multi_field_scores(rows, query_terms(asked), boosts, id_col="chunk_id"), settings.keyword_top_k)
+    vec = vector_topk_batch(rows, asked.select("query_id", "embedding"), settings.vector_top_k, "chunk_id", own_too=True)
+    hits = fuse(kw, vec, settings).withColumnRenamed("id", "chunk_id")
+    held = hits.join(rows.select(*SOURCE_FIELDS), "chunk_id").join(asked.select("query_id", F.col("text").alias("_query")), "query_id")
+    return held.withColumn("matched_keywords", matched_keywords(F.col("_query"), F.coalesce("content", F.lit("")), F.col("exact_terms"))).select("query_id", "position", *HIT_FIELDS)
+
+
 def with_highlights(hits: DataFrame, docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The hits with their content and the query's keywords in it."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("content"))

@@ -54,8 +54,8 @@ def _ranked(name: str, of: str, k: int) -> str:
     return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {of} QUALIFY rank <= {k})"
 
 
-def _fused(limit: int, kw: float, vw: float, docs: str = "documents", vectors: str = "embeddings") -> str:
-    return f"""{_ASKED}, {_bm25("ks", "text", docs)}, {_vec(vectors)}, {_ranked("kr", "ks", 50)}, {_ranked("vr", "vs", 50)},
+def _fusion(limit: int, kw: float, vw: float) -> str:
+    return f"""
 f AS (
   SELECT coalesce(kr.query_id, vr.query_id) AS query_id, coalesce(kr.id, vr.id) AS id, kr.rank AS keyword_rank, vr.rank AS vector_rank,
     CASE WHEN kr.rank IS NULL THEN 'vector' WHEN vr.rank IS NULL THEN 'keyword' ELSE 'both' END AS retrieval_source,
@@ -64,6 +64,10 @@ f AS (
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, keyword_rank NULLS LAST, vector_rank NULLS LAST, id) AS position FROM f QUALIFY position <= {limit})"""
 
 
+def _fused(limit: int, kw: float, vw: float, docs: str = "documents", vectors: str = "embeddings") -> str:
+    return f"""{_ASKED}, {_bm25("ks", "text", docs)}, {_vec(vectors)}, {_ranked("kr", "ks", 50)}, {_ranked("vr", "vs", 50)}, {_fusion(limit, kw, vw)}"""
+
+
 _HYBRID = _fused(10, 0.5, 0.5)
 
 _PACK = f"""{_HYBRID},
@@ -263,5 +267,6 @@ FROM documents WHERE doc_id % 5 IN (0, 1, 2)""",
 SELECT conv_id::varchar AS document_id, i::int AS block_index, 'unknown' AS block_type, count(*) OVER () AS total FROM u ORDER BY conv_id % 5 DESC, i, conv_id::varchar LIMIT 50 OFFSET 20""",
     "stored_block_rows": """WITH m AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations)
 SELECT conv_id::varchar AS document_id, 'r' AS parse_run_id, i::int AS block_index, CASE role WHEN 'system' THEN 'title' WHEN 'user' THEN 'text' ELSE 'unknown' END AS block_type,
-  CASE WHEN turn % 2 = 0 THEN '{"asset_keys":["block-' || lpad(i::varchar, 6, '0') || '.png"]}' ELSE '{}' END AS source_metadata FROM m""",
+  CASE role WHEN 'system' THEN '{"original_type":"heading","heading_level":1' WHEN 'user' THEN '{"original_type":"Paragraph"' ELSE '{"original_type":"mystery"' END
+    || CASE WHEN turn % 2 = 0 THEN ',"asset_keys":["block-' || lpad(i::varchar, 6, '0') || '.png"]}' ELSE '}' END AS source_metadata FROM m""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -41,6 +42,19 @@ class LanguageModel(Protocol):
     def generate(self, request: Request) -> str: ...
 
 
+def generated(model: LanguageModel, request: Request) -> str:
+    """The model's answer: not blank and, in JSON mode, which a model may say that it lacks (json_mode = False), JSON."""
+    require(not request.json_mode or getattr(model, "json_mode", True), "LLM_PARAMETER_UNSUPPORTED", "the model has no JSON mode")
+    answer = model.generate(request)
+    require(bool(answer and answer.strip()), "LLM_EMPTY_CONTENT", "the model said nothing")
+    if request.json_mode:
+        try:
+            json.loads(answer)
+        except ValueError:
+            require(False, "LLM_JSON_INVALID", "the answer is not JSON")
+    return answer
+
+
 @dataclass
 class EchoModel:
     """A deterministic stand-in: answers with a fixed text and remembers what it was asked."""
@@ -74,8 +88,7 @@ def ask(model: LanguageModel, prompt_rows: DataFrame, packed: DataFrame, query_i
     require(row is not None, "RAG_QUERY_EMPTY", "no such query")
     if row.context_status == "no_context":
         return {"answer": rag.no_context_message, "context_status": "no_context", "citations": []}
-    answer = model.generate(Request((Message("system", system_prompt(rag)), Message("user", row.prompt))))
-    require(bool(answer and answer.strip()), "LLM_EMPTY_CONTENT", "the model said nothing")
+    answer = generated(model, Request((Message("system", system_prompt(rag)), Message("user", row.prompt))))
     cited = citations(packed.where(F.col("query_id") == query_id)).orderBy("citation_id").limit(rag.top_k)
     return {"answer": answer, "context_status": "ok", "citations": [r.asDict() for r in cited.toLocalIterator()]}
 

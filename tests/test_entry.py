@@ -8,8 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from millrace.plans.oracles import ORACLES
-from millrace.plans.queries import QUERIES
+from millrace.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
