@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +25,17 @@ def extension_of(filename: Column, file_type: Column | None = None) -> Column:
     return F.when((named != "") & ~named.startswith("."), F.concat(F.lit("."), named)).otherwise(named)
 
 
-def upload_faults(files: DataFrame, filename_col: str = "filename", size_col: str = "file_size", most: int = UPLOAD_MAX_BYTES) -> DataFrame:
-    """Files with extension and reject_reason (an error code, or null)."""
+def upload_faults(files: DataFrame, filename_col: str = "filename", size_col: str = "file_size", most: int = UPLOAD_MAX_BYTES, content_types: Sequence[str] = ()) -> DataFrame:
+    """Files with extension and reject_reason (an error code, or null).
+
+    Where content types are named, a file's content_type, if it has one, must be among them, its parameters apart.
+    """
     ext = extension_of(F.col(filename_col))
-    reason = F.when(~ext.isin(*UPLOAD_EXTENSIONS), "INVALID_FILE_TYPE").when(F.col(size_col) > most, "FILE_TOO_LARGE")
+    reason = F.when(~ext.isin(*UPLOAD_EXTENSIONS), "INVALID_FILE_TYPE")
+    if content_types:
+        said = F.lower(strip(F.substring_index("content_type", ";", 1)))
+        reason = reason.when((F.col("content_type") != "") & ~said.isin(*content_types), "INVALID_FILE_TYPE")
+    reason = reason.when(F.col(size_col) > most, "FILE_TOO_LARGE")
     return files.withColumns({"extension": ext, "reject_reason": reason})
 
 
