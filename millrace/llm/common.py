@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +16,8 @@ from millrace.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows with whole texts that a Python task gets at once.
 BATCH_ROWS = 1000
-#: Tables that staged() wrote and release() has not removed.
-_PATHS: list[str] = []
+#: What staged() wrote within the innermost scratch(); nothing is noted, or ever removed, outside one.
+_PATHS: ContextVar[list[str] | None] = ContextVar("paths", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +40,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     held = df.sparkSession.read.schema(df.schema).parquet(path)
-    _PATHS.append(path)
+    if (paths := _PATHS.get()) is not None:
+        paths.append(path)
     return held
 
 
@@ -47,14 +51,22 @@ def completed(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
-def release(spark: SparkSession) -> int:
-    """Remove what staged() wrote so far, once what was computed from it is written elsewhere; how many tables that was."""
-    jvm = spark._jvm
-    done = 0
-    while _PATHS:
-        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    return done
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove, at the end, the tables that staged() wrote within; for whoever has written the result elsewhere by then.
+
+    Tables staged before, or by another thread or an outer scratch(), stay: results that are held unread don't depend on who
+    else is at work. A run that fails removes its tables too.
+    """
+    paths: list[str] = []
+    mark = _PATHS.set(paths)
+    try:
+        yield paths
+    finally:
+        _PATHS.reset(mark)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def join_by_hot_key(rows: DataFrame, classes: DataFrame, key: str, copies: str = "copies") -> DataFrame:
