@@ -39,9 +39,10 @@ def test_a_held_result_survives_a_run(spark, short):
 
 
 def test_a_run_removes_what_it_staged(spark, short):
-    before = set(glob.glob(f"{shared_dir(spark)}/*"))
+    there = f"{shared_dir(spark).removeprefix('file:')}/*"
+    before = set(glob.glob(there))
     corpus_pipeline.run(spark, SF)
-    after = set(glob.glob(f"{shared_dir(spark)}/*")) - before
+    after = set(glob.glob(there)) - before
     assert len(after) == 1 and "pipeline-" in after.pop()
 
 
