@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.bpe_automaton import bpe_round_trip
 from millrace.llm.common import table
 from millrace.llm.embedding_dedup import embedding_near_duplicates
 from millrace.llm.html_text import extract_pages
@@ -66,4 +67,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
     return pack_documents(spread(table(spark, sf_dir, "documents")), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
+def op11_bpe_automaton(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    found = bpe_round_trip(spread(table(spark, sf_dir, "documents")), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
