@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches
-
 #: Distinct words whose encodings, and pairs of state and entry whose answers, a worker keeps; beyond that it starts anew.
 WORDS_KEPT, PAIRS_KEPT = 300_000, 500_000
 #: Code points below this one are split by one compiled pattern; what holds others is split by the library.
@@ -257,6 +255,5 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     texts are split by pieces that end at a space, so that memory follows the ids. Repeated rows stay; other columns are left
     out, whatever their names. One scan, no shuffle; each worker compiles the merges once.
     """
-    docs = small_batches(docs)
     held = docs.select(F.col(id_col).alias(id_col), encoded(F.coalesce(F.col(text_col), F.lit("")), path).alias("ids"))
     return held.select(id_col, "ids", decoded(F.col("ids"), path).alias("decoded"))

@@ -56,4 +56,30 @@ SELECT doc_id, size, source_size, target,
   (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::bigint AS taken
 FROM e"""
 
-ORACLES = {"op1_url_filters": _url_sql(), "op2_exact_topk": _TOPK, "op8_source_mixing": _MIX}
+_DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+w AS (SELECT n, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT n) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint AS n
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM f JOIN v USING (lang)),
+t AS (SELECT lang, term, sum(n)::hugeint AS n FROM f GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM t JOIN v USING (lang)),
+ab AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(ab.value, 0)::bigint AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN ab ON ab.lang = a.lang AND ab.source = a.source AND ab.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::bigint FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::integer AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+ORACLES = {"op1_url_filters": _url_sql(), "op2_exact_topk": _TOPK, "op8_source_mixing": _MIX, "op12_source_divergence": _DIVERGENCE}

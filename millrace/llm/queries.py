@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe_automaton import bpe_round_trip
 from millrace.llm.common import table
+from millrace.llm.divergence import source_divergence
 from millrace.llm.embedding_dedup import embedding_near_duplicates
 from millrace.llm.html_text import extract_pages
 from millrace.llm.language_id import identify_languages
@@ -73,4 +74,8 @@ def op11_bpe_automaton(spark: SparkSession, sf_dir: str, tokenizer: str | None =
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(spread(table(spark, sf_dir, "documents")), least_documents=30, smoothing=5, scale=1_000_000_000, terms=50)
+
+
 QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
