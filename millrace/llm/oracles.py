@@ -82,4 +82,32 @@ x AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::integer AS rank FROM x)
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50"""
 
-ORACLES = {"op1_url_filters": _url_sql(), "op2_exact_topk": _TOPK, "op8_source_mixing": _MIX, "op12_source_divergence": _DIVERGENCE}
+_CRC = """
+  xor(list_reduce([4294967295::ubigint] || flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::ubigint, 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, e: CASE WHEN xor(a, e) & 1 = 1 THEN xor(xor(a, e) >> 1, 3988292384::ubigint) ELSE xor(a, e) >> 1 END), 4294967295::ubigint)"""
+
+_TRIE = f"""
+WITH x AS (
+  SELECT conv_id::bigint AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text)
+    ORDER BY turn NULLS FIRST, sha256(strlen(role)::varchar || ':' || role || text)) AS t
+  FROM x GROUP BY conv_id),
+h AS (SELECT *, ({_CRC} % 4)::bigint AS h FROM own),
+r AS (SELECT h.conv_id, coalesce(b.t[1:h.h], []) || h.t[h.h + 1:] AS t FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, len(t) AS size, unnest(range(0, len(t) + 1)) AS depth, t FROM r),
+n AS (
+  SELECT depth, t[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+  FROM m GROUP BY ALL),
+c AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+w AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(path[depth].text, '{_WORD}')) END AS saved
+  FROM n LEFT JOIN c USING (depth, path)),
+a AS (SELECT unnest(range(0, depth + 1)) AS up, path, (n_children = 0)::bigint AS leaf, saved FROM w),
+s AS (SELECT up AS depth, path[1:up] AS path, sum(leaf)::bigint AS n_leaves, sum(saved)::bigint AS saved_tokens FROM a GROUP BY ALL)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM w JOIN s USING (depth, path) LEFT JOIN n p ON p.depth = w.depth - 1 AND p.path = w.path[1:w.depth - 1]"""
+
+ORACLES = {"op1_url_filters": _url_sql(), "op2_exact_topk": _TOPK, "op8_source_mixing": _MIX, "op12_source_divergence": _DIVERGENCE, "op13_conversation_trie": _TRIE}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe_automaton import bpe_round_trip
 from millrace.llm.common import table
+from millrace.llm.conversation_trie import prefix_trie, turn_rows, with_shared_heads
 from millrace.llm.divergence import source_divergence
 from millrace.llm.embedding_dedup import embedding_near_duplicates
 from millrace.llm.html_text import extract_pages
@@ -78,4 +79,8 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(spread(table(spark, sf_dir, "documents")), least_documents=30, smoothing=5, scale=1_000_000_000, terms=50)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_heads(turn_rows(spread(table(spark, sf_dir, "conversations"))), stride=20, heads=4))
+
+
 QUERIES = {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op")}
