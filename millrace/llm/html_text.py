@@ -214,8 +214,9 @@ def parse(page: str) -> list[Node]:
         if not name and not page.startswith(("<!", "<?", "</"), at):
             at += 1
             continue
-        end = _tag_end(page, name.end() if name else at, lost) if name else page.find(">", at)
+        end = -1 if ">" in lost else _tag_end(page, name.end(), lost) if name else page.find(">", at)
         if end < 0:
+            lost.add(">")
             at += 1
             continue
         text(begin, at)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from millrace.llm.vectors import binary_of, matrix_of, rows_of, usable
 LEVELS = (8, 16, 32)
 #: Vectors, about, from which the axes and the cells are learned. They order the work and change no result.
 SAMPLE_ROWS = 8192
+#: Bytes of a block's vectors.
+BLOCK_BYTES = 1 << 21
 #: Block summaries that meet as one group.
 SUMMARIES = 512
 
@@ -53,6 +56,30 @@ def survivors(stats: list[np.ndarray], wanted: list[np.ndarray], floor: np.ndarr
     return at, alive, left
 
 
+def near_floor(x: np.ndarray, of: np.ndarray, asks: np.ndarray, coarse: np.ndarray, k: int) -> np.ndarray:
+    """For each query row the k-th best exact score among the rows whose coarsest statistics are the most like its own; -inf
+    where there are fewer than k others. Any k rows would do as a floor; near ones give a high one."""
+    few = min(len(of), 4 * k + 1)
+    bounds = coarse[of] @ coarse[asks].T
+    pick = np.argpartition(-bounds, few - 1, axis=0)[:few].T if few < len(of) else np.tile(np.arange(len(of)), (len(asks), 1))
+    scores = np.einsum("qfd,qd->qf", x[of[pick]], x[asks])
+    scores[of[pick] == asks[:, None]] = -np.inf
+    return np.sort(scores, axis=1)[:, -k] if few >= k else np.full(len(asks), -np.inf)
+
+
+def block_best(x: np.ndarray, stats: list[np.ndarray], norms: np.ndarray, ids: np.ndarray, rows: np.ndarray, of: np.ndarray, asks: np.ndarray, floor: np.ndarray, k: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], list[int]]:
+    """(query, its best rows of a block, their scores) for the queries that any row can reach the floor of, and how many pairs
+    of query and row were left after each level: only those are scored. A query's own row is none of its candidates."""
+    left, alive, seen = survivors([s[of] for s in stats], [s[asks] for s in stats], floor, 1e-7 * norms[of].max(initial=0) * norms[asks])
+    of, found = of[left], []
+    scores = np.where(alive, x[of] @ x[asks].T, -np.inf)
+    scores[(scores < floor) | (of[:, None] == asks)] = -np.inf
+    for i in np.flatnonzero((scores > -np.inf).any(axis=0)):
+        best = best_of(scores[:, i], ids[of], rows[of], k)
+        found.append((i, of[best], scores[best, i]))
+    return found, seen
+
+
 def best_of(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     """Positions of a query's k best rows: by score, ties by id, then by row. Rows of score -inf don't count."""
     at = np.flatnonzero(scores > -np.inf)
@@ -94,7 +121,7 @@ def spaces_of(part: DataFrame, n: int, block_rows: int) -> dict[int, Space]:
     return {dim: Space(np.array(rows), min(-(-n // block_rows), max(1, len(rows) // 8))) for dim, rows in by_dim.items()}
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, levels: tuple[int, ...] = LEVELS, query_rows: int = 1024, block_rows: int = 4096) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, levels: tuple[int, ...] = LEVELS, query_rows: int = 1024, block_rows: int | None = None, tally: list[Accumulator] | None = None) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): each query row's k highest integer inner products among all other rows.
 
     Components become floor(scale * x), x as double; scores are exact while they stay below 2^53. Ties go to the
@@ -104,16 +131,21 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
     An empty table gives no rows.
 
     Vectors are turned to principal axes, which leaves inner products as they are, and fall into blocks of neighbours, a
-    block about block_rows. Each query first meets its own block; its k-th score there is a floor. Of other blocks only
-    those are shipped whose summary (the ranges of the coarsest statistics) allows a score above the floor of a
+    block about block_rows (BLOCK_BYTES of vectors if not given). Each query first meets its own block: the k-th score among a
+    few rows of like statistics is a floor, which the block's rows are bounded against; the k-th of what is left and scored is
+    the floor elsewhere. Of other blocks only those are shipped whose summary (the ranges of the coarsest statistics) allows a score above the floor of a
     block of about query_rows neighbouring queries, and there bounds from coarse to fine leave the rows that are
-    scored. k rows a query and block are ranked. Where vectors have no structure, bounds leave almost all rows.
+    scored. k rows a query and block are ranked. Where vectors have no structure, bounds leave almost all rows. tally:
+    accumulators that get the pairs of query and row that met, and those left after each level (tasks that run again count
+    again).
     """
     as_ints = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("double"))
     part = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col)))
     part = part.select(F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("dim"), as_ints.alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("row")).where("dim > 0")
     part = staged(part, "topk")
     n, n_queries = part.agg(F.count("*"), F.count_if(F.col("q"))).first()
+    longest = part.agg(F.max("dim")).first()[0] or 1
+    block_rows = block_rows or max(64, BLOCK_BYTES // (8 * longest))
     spaces = spaces_of(part, n, block_rows)
     per_block = max(1, round(query_rows * n / max(1, n_queries) / block_rows))  # blocks whose queries go together
 
@@ -143,19 +175,25 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
         turned = x @ spaces[dim].axes if dim in spaces else x
         return x, [segment_stats(turned, s) for s in levels], np.sqrt((x * x).sum(axis=1))
 
+    def noted(met: int, seen: list[int]) -> None:
+        for total, n in zip(tally or (), [met, *seen], strict=False):
+            total.add(n)
+
     def home(group: pa.Table) -> pa.Table:
         """A row per query: its best rows here and its floor. And one for the block: ranges of its statistics, and its queries'."""
         x, stats, norms = measured(group)
         ids, rows, asks = group["id"].to_numpy(), group["row"].to_numpy(), np.flatnonzero(group["q"].to_numpy(zero_copy_only=False))
         out = []
         head = {c: group[c][0].as_py() for c in ("dim", "block", "qblock")}
+        every = np.arange(len(x))
         for at in range(0, len(asks), 256):
-            scores = x @ x[asks[at : at + 256]].T
-            for i, q in enumerate(asks[at : at + 256]):
-                own = scores[:, i]
-                own[q] = -np.inf
-                best = best_of(own, ids, rows, k)
-                out.append(head | {"row": rows[q], "id": ids[q], "floor": own[best[-1]] if len(best) == k else -np.inf, "norm": norms[q], "ids": ids[best], "rows": rows[best], "scores": own[best]})
+            some = asks[at : at + 256]
+            found, seen = block_best(x, stats, norms, ids, rows, every, some, near_floor(x, every, some, stats[0], k), k)
+            noted(len(x) * len(some), seen)
+            best = {i: (b, s) for i, b, s in found}
+            for i, q in enumerate(some.tolist()):
+                b, s = best.get(i, (every[:0], np.zeros(0)))
+                out.append(head | {"row": rows[q], "id": ids[q], "floor": s[-1] if len(b) == k else -np.inf, "norm": norms[q], "ids": ids[b], "rows": rows[b], "scores": s})
         box = {"lo": stats[0].min(axis=0), "hi": stats[0].max(axis=0), "norm": norms.max()}
         if len(asks):
             of = stats[0][asks]
@@ -199,13 +237,9 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
         of, found = np.flatnonzero(~asks), []
         for at in range(0, int(away.sum()) if len(of) else 0, query_rows):
             q = np.flatnonzero(away)[at : at + query_rows]
-            floor = group["floor"].to_numpy()[q]
-            left, alive, _ = survivors([s[of] for s in stats], [s[q] for s in stats], floor, 1e-7 * norms[of].max() * norms[q])
-            scores = np.where(alive, x[of[left]] @ x[q].T, -np.inf)
-            scores[scores < floor] = -np.inf
-            for i in np.flatnonzero((scores > -np.inf).any(axis=0)):
-                best = best_of(scores[:, i], ids[of[left]], rows[of[left]], k)
-                found.append((np.full(best.size, rows[q[i]]), np.full(best.size, ids[q[i]]), ids[of[left[best]]], rows[of[left[best]]], scores[best, i].astype(np.int64)))
+            best, seen = block_best(x, stats, norms, ids, rows, of, q, group["floor"].to_numpy()[q], k)
+            noted(len(of) * len(q), seen)
+            found += [(np.full(b.size, rows[q[i]]), np.full(b.size, ids[q[i]]), ids[b], rows[b], s.astype(np.int64)) for i, b, s in best]
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_row", "query_id", "vec_id", "row", "score"])
 

@@ -17,7 +17,7 @@ from millrace.llm.packing import Genetics, pack_documents
 from millrace.llm.secrets import redact, scan_secrets, spans_text
 from millrace.llm.simhash import keep_one, near_duplicates
 from millrace.llm.token_count import Encoder, spliced_count, token_counts
-from millrace.llm.topk import LEVELS, Space, exact_topk, segment_stats, survivors
+from millrace.llm.topk import LEVELS, Space, exact_topk, near_floor, segment_stats, survivors
 from millrace.llm.url_filter import UrlVocabulary, filter_urls
 
 SP, BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -79,9 +79,35 @@ def test_topk_prunes_what_has_structure(spark, rows):
     assert left[-1] <= 0.05 * scores.size and left == sorted(left, reverse=True)
     assert all(alive[np.flatnonzero(at == i)[0], j] for i, j in np.argwhere(scores >= floor))
     df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(x[:600])], "vec_id long, embedding array<double>")
-    got = exact_topk(df, F.col("vec_id") % 10 == 0, k=3, block_rows=50, query_rows=5)
+    tally = [spark.sparkContext.accumulator(0) for _ in range(4)]
+    got = exact_topk(df, F.col("vec_id") % 10 == 0, k=3, block_rows=50, query_rows=5, tally=tally)
     want = [(q, r, int(i), int(s)) for q in range(0, 600, 10) for r, (s, i) in enumerate(sorted(((-(x[q] @ x[i]), i) for i in range(600) if i != q))[:3], 1) for s in [-s]]
     assert rows(got) == sorted(want, key=repr)
+    met, *after = (t.value for t in tally)
+    assert met < 60 * 600 and after[-1] < 0.3 * met and after == sorted(after, reverse=True), (met, after)
+
+
+def test_topk_scores_only_what_bounds_leave(spark, rows):
+    """One block: what is ranked is what the statistics leave there, few of all pairs, and the best rows among them."""
+    rng = np.random.default_rng(8)
+    x = np.floor(256 * (rng.normal(size=(20, 64))[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 64)) * 0.05))
+    df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    tally = [spark.sparkContext.accumulator(0) for _ in range(4)]
+    got = exact_topk(df, F.col("vec_id") % 50 == 0, tally=tally).select("query_id", "rank", "score").collect()
+    best = {q: np.sort(np.delete(x @ x[q], q))[::-1][:5] for q in range(0, 2000, 50)}
+    assert all(best[r.query_id][r.rank - 1] == r.score for r in got) and len(got) == 200
+    assert tally[0].value == 40 * 2000 and tally[3].value < 0.1 * tally[0].value
+
+
+def test_topk_floor_is_a_score_of_others():
+    rng = np.random.default_rng(9)
+    x = np.floor(rng.normal(size=(60, 16)) * 50)
+    asks, every = np.arange(7), np.arange(60)
+    for k in (1, 5, 59, 60, 90):
+        floor = near_floor(x, every, asks, segment_stats(x, 4), k)
+        exact = np.sort(np.where(np.eye(60, dtype=bool)[:7], -np.inf, x[asks] @ x.T), axis=1)[:, ::-1]
+        assert (floor <= (exact[:, k - 1] if k <= 59 else -np.inf)).all()
+        assert k > 59 or k > 50 or (floor > -np.inf).all()
 
 
 def test_simhash_cases(spark):
@@ -276,13 +302,20 @@ def test_pages_without_an_article_element(page, want):
     assert main_text(page) == want
 
 
-@pytest.mark.parametrize("part", ["<a ", "<b>", "<div>", "<li>", "<!--", "<script>", '<a x="', "<a x='\">", "<x></y>", "&amp;<i></b>", "<a " + 'x="" ' * 50])
+@pytest.mark.parametrize("part", ["<a ", "<b>", "<div>", "<li>", "<!--", "<script>", '<a x="', "<a x='\">", "<x></y>", "&amp;<i></b>", "<a " + 'x="" ' * 50, "</", "<!", "<?", "</ "])
 def test_broken_pages_take_time_in_proportion(part):
     began = time.perf_counter()
     main_text(part * (1_000_000 // len(part)))
     assert time.perf_counter() - began < 20
 
 
+@pytest.mark.parametrize("part", ["</", "<!", "<?", "</ "])
+def test_ten_megabytes_without_a_bracket(part):
+    began = time.perf_counter()
+    main_text(part * (10_000_000 // len(part)))
+    assert time.perf_counter() - began < 60
+
+
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__()
