@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import unicodedata
 
 import pytest
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 
 from millrace.config import BlockChunking, Extraction, Hybrid, Rag, WindowChunking
 from millrace.errors import EngineError
-from millrace.functions.text import TRUNCATED, content_hash, exact_terms, latin_tokens, matched_keywords, redact_urls, safe_segment, shorten, squeeze, strip, strip_code_fence, truncate
+from millrace.functions.text import (
+    TRUNCATED, content_hash, exact_terms, is_blank, json_without_nulls, latin_tokens, looks_like_html, matched_keywords, optional_text, redact_urls, safe_segment, shorten, squeeze, strip, strip_code_fence, truncate,
+)
 from millrace.functions.vectors import cosine_distance, l2_normalize, quantize4, rrf
 from millrace.operators.chunking import chunk_stats, embedding_status, window_chunks
 from millrace.operators.embedding import HashProvider, bad_dimensions, embed_chunks, eligible, hash_embeddings
@@ -128,3 +131,34 @@ def test_embed_chunks(spark):
     assert bad_dimensions(df, 5).count() == 1 and df.where(eligible("m0", 4)).count() == 1
     status = embedding_status(df.withColumn("document_id", F.lit(1))).first()
     assert (status.not_started, status.embedding, status.embedded, status.embed_failed, status.models, status.dims) == (2, 1, 1, 1, ["m0"], [4])
+
+
+@pytest.mark.parametrize("fn", [strip, squeeze, is_blank, safe_segment, optional_text, json_without_nulls, strip_code_fence, looks_like_html, redact_urls])
+@pytest.mark.parametrize("unit", [" ", ". ", "\n", "a", '"', '\\"', "[", "null,", "http://x "])
+def test_long_texts_take_time_in_proportion(spark, fn, unit):
+    """Two million characters between two others, in seconds: no run is tried from each of its places, and none takes stack."""
+    df = spark.range(1).select(F.concat(F.lit("x"), F.repeat(F.lit(unit), 2_000_000 // len(unit)), F.lit("y")).alias("x"))
+    began = time.perf_counter()
+    df.select(F.length(fn(F.col("x")).cast("string"))).first()
+    assert time.perf_counter() - began < 10
+
+
+def test_ten_megabytes(spark):
+    began = time.perf_counter()
+    df = spark.range(1).select(F.concat(F.lit(" x"), F.repeat(F.lit(" "), 10_000_000), F.lit("y ")).alias("x"))
+    got = df.select(F.length(strip(F.col("x"))).alias("s"), squeeze(F.col("x")).alias("q"), is_blank(F.col("x")).alias("b")).first()
+    assert (got.s, got.q, got.b) == (10_000_002, "x y", False)
+    deep = spark.range(1).select(F.concat(F.lit('{"k":null,"s":"'), F.repeat(F.lit('\\"null,'), 1_500_000), F.lit('","d":'), F.repeat(F.lit("["), 100_000), F.lit("null"), F.repeat(F.lit("]"), 100_000), F.lit("}")).alias("x"))
+    assert deep.select(F.length(json_without_nulls(F.col("x")))).first()[0] == len('{"s":"","d":}') + 1_500_000 * 7 + 200_000
+    assert time.perf_counter() - began < 60
+
+
+def test_blank_texts(spark):
+    data = [(None,), ("",), *[(c * n,) for c in CHARS for n in (1, 3)], ("\n\n x",), (" \x1c\n",)]
+    for (x,), r in zip(data, spark.createDataFrame(data, "x string").select(is_blank(F.col("x")).alias("b")).collect(), strict=True):
+        assert r.b == (not (x or "").strip()), x
+
+
+def test_fences(spark):
+    for text, want in {"```json\n{}\n```": "{}", "```\n\na\n\n```  ": "a", "```json\n```": "```", "```json": "", "```a\nb": "b", "a\n```": "a\n```", "```x\na\n```\nb\n```": "a\n```\nb", "": ""}.items():
+        assert one(spark, text, strip_code_fence) == want, text
