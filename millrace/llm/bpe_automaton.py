@@ -6,6 +6,7 @@ import json
 import math
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -14,9 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Distinct words whose encodings, and pairs of state and entry whose answers, a worker keeps; beyond that it starts anew.
-WORDS_KEPT, PAIRS_KEPT = 300_000, 500_000
+WORDS_KEPT, PAIRS_KEPT = 300_000, 600_000
+#: Characters of texts whose ids and decoded texts a task hands on together.
+HANDED = 1 << 22
 #: Code points below this one are split by one compiled pattern; what holds others is split by the library.
 NEAR = 0x250
 #: Code points that are split into words at once: a long text takes memory by pieces.
@@ -32,8 +36,8 @@ class Automaton:
     arc: it holds what the copies on the way took away, and when. An arc that a copy lacks can't be the left part of later
     entries there, but those made before stay: leaves() reads that from the left parts of an entry.
 
-    Every prefix of an accepted sequence is accepted, and there is one accepted sequence for a string: so for each place of a
-    word there is one state, whichever way the word goes on, and encoding moves along places only.
+    Every prefix of an accepted sequence is accepted, and there is one accepted sequence for a string: so each place of a word
+    has one state, whichever way the word goes on, and encoding comes to a place once at most.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
@@ -47,7 +51,7 @@ class Automaton:
         for rank, (u, v) in enumerate(merges):
             self._gadget(vocab[u], vocab[v], vocab[u + v], rank)
         alphabet = byte_letters()
-        self.arcs = self._trie(vocab, alphabet)
+        self.arcs, self.entry_of = self._trie(vocab, alphabet)
         self._seen: dict[int, bool] = {}
 
     def _gadget(self, u: int, v: int, both: int, rank: int) -> None:
@@ -70,8 +74,9 @@ class Automaton:
             until, entry = self.birth[entry], self.left[entry]
         return True
 
-    def _trie(self, vocab: dict[str, int], alphabet: list[str]) -> dict[int, tuple[int, int]]:
-        """(node * 512 + symbol) to (node, entry or -1): the entries by their symbols, the last one of a word being another symbol."""
+    def _trie(self, vocab: dict[str, int], alphabet: list[str]) -> tuple[dict[int, int], list[int]]:
+        """(node * 512 + symbol) to node, and each node's entry or -1: the entries by their symbols, the last one of a word being
+        another symbol."""
         at = {c: i for i, c in enumerate(alphabet)}
         nodes: dict[int, int] = {}
         entries: dict[int, int] = {}
@@ -83,44 +88,51 @@ class Automaton:
             symbols[-1] += 256 * last
             node = 0
             for s in symbols:
-                key = node * 512 + s
-                node = nodes.setdefault(key, len(nodes) + 1)
+                node = nodes.setdefault(node * 512 + s, len(nodes) + 1)
             entries[node] = i
-        return {key: (node, entries.get(node, -1)) for key, node in nodes.items()}
+        return nodes, [entries.get(n, -1) for n in range(len(nodes) + 1)]
 
     def encode(self, word: str) -> list[int]:
-        """The entries of a word, by arcs from each place's state to later places."""
+        """The entries of a word: arcs from state to state, the longest first; a place that leads nowhere is left for good."""
         symbols = list(word.encode())
         if not symbols:
             return []
         if self.end:
             symbols[-1] += 256
-        n, arcs, goes_to, seen = len(symbols), self.arcs, self.goes_to, self._seen
+        arcs, entry_of, goes_to, seen = self.arcs, self.entry_of, self.goes_to, self._seen
         if len(seen) > PAIRS_KEPT:
             seen.clear()
-        state, came = [0] + [-1] * n, [(0, 0)] * (n + 1)
-        for j in range(n):
-            here, node = state[j], 0
-            if here < 0:
-                continue
-            for i in range(j, n):
-                step = arcs.get(node * 512 + symbols[i])
-                if step is None:
+        n, path, states, choices, been = len(symbols), [], [0], [], bytearray(len(symbols) + 1)
+        place = 0
+        while place < n:
+            if len(choices) < len(states):  # a new place: what may begin here, by length
+                node, here = 0, []
+                for i in range(place, n):
+                    node = arcs.get(node * 512 + symbols[i])
+                    if node is None:
+                        break
+                    if (entry := entry_of[node]) >= 0:
+                        here.append((entry, i + 1))
+                choices.append(here)
+            state, here = states[-1], choices[-1]
+            while here:
+                entry, end = here.pop()
+                if been[end]:
+                    continue
+                pair = state << 32 | entry
+                if (there := seen.get(pair)) is None:
+                    there = seen[pair] = self.leaves(state, entry)
+                if there:
+                    been[end] = 1
+                    path.append(entry)
+                    states.append(goes_to[entry])
+                    place = end
                     break
-                node, entry = step
-                if entry >= 0 and state[i + 1] < 0:
-                    pair = here << 32 | entry
-                    if (there := seen.get(pair)) is None:
-                        there = seen[pair] = self.leaves(here, entry)
-                    if there:
-                        state[i + 1], came[i + 1] = goes_to[entry], (j, entry)
-        if state[n] < 0:
-            raise ValueError("a symbol is not in the vocabulary")
-        out, place = [], n
-        while place:
-            place, entry = came[place]
-            out.append(entry)
-        return out[::-1]
+            else:
+                if not path:
+                    raise ValueError("a symbol is not in the vocabulary")
+                path.pop(), states.pop(), choices.pop()  # on with what is left of the place before
+        return path
 
 
 def byte_letters() -> list[str]:
@@ -155,7 +167,7 @@ class Tokenizer:
         self._cuts = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._bytes = {c: b for b, c in enumerate(byte_letters())}
         self._near()
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, bytes] = {}
 
     def _near(self) -> None:
         """One pattern with the library's words for texts of near code points that it lower-cases as Python does."""
@@ -170,7 +182,7 @@ class Tokenizer:
                 kinds["space" if not one else "digit" if one == 2 else "letter" if split(c.lower() + "a") == 1 else "other"].append(c)
         of = lambda *names: "[" + "".join(map(re.escape, chain.from_iterable(kinds[n] for n in names))) + "]"
         self._words = re.compile(f"{of('letter')}+|{of('digit')}|'(?:s|t|re|ve|m|ll|d)|{of('other')}+")
-        self._far = re.compile(f"[^ ]*[^{of(*kinds)[1:-1]}][^ ]*")
+        self._any_far, self._far = (re.compile(p.format(f"[^{of(*kinds)[1:-1]}]")) for p in ("{}", "[^ ]*{}[^ ]*"))
 
     def _by_library(self, text: str) -> list[str]:
         pieces = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
@@ -183,7 +195,7 @@ class Tokenizer:
             end = text.find(" ", at + PIECE)
             end = len(text) if end < 0 else end
             part, done = text[at:end], 0
-            for far in self._far.finditer(part):
+            for far in self._far.finditer(part) if self._any_far.search(part) else ():
                 yield self._words.findall(part[done : far.start()].lower())
                 yield self._by_library(far.group())
                 done = far.end()
@@ -201,14 +213,14 @@ class Tokenizer:
         return np.concatenate([*out, self._encode_plain(text[done:])])
 
     def _encode_plain(self, text: str) -> np.ndarray:
-        out = [np.zeros(0, np.int32)]
+        out, known = [], self._known
         for words in self.words(text):
-            if len(self._known) > WORDS_KEPT:
-                self._known.clear()
-            for w in set(words).difference(self._known):
-                self._known[w] = self.automaton.encode(w)
-            out.append(np.fromiter(chain.from_iterable(map(self._known.__getitem__, words)), np.int32))
-        return np.concatenate(out)
+            if len(known) > WORDS_KEPT:
+                known.clear()
+            for w in set(words).difference(known):
+                known[w] = array("i", self.automaton.encode(w)).tobytes()
+            out.append(b"".join(map(known.__getitem__, words)))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the ids' arcs, a space between them, as the library's decode() without a decoder; an unknown id has none."""
@@ -242,7 +254,7 @@ def decoded(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            yield pa.array([tokenizer(path).decode([i for i in (x.as_py() or ()) if i is not None]) for x in lists], pa.string())
+            yield pa.array([tokenizer(path).decode(x.values.drop_null().to_numpy().tolist() if x.is_valid else []) for x in lists], pa.string())
 
     return text(ids)
 
@@ -252,8 +264,25 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Ids are the tokenizers library's for the whole text with add_special_tokens=False and neither truncation nor padding;
     decoded is its decode(ids, skip_special_tokens=False). A null or empty text has no ids and decodes to an empty one. Long
-    texts are split by pieces that end at a space, so that memory follows the ids. Repeated rows stay; other columns are left
-    out, whatever their names. One scan, no shuffle; each worker compiles the merges once.
+    texts are split by pieces that end at a space, and some texts are handed on at a time, so that memory follows the longest one's
+    ids. Repeated rows stay; other columns are left out, whatever their names. One scan, no shuffle; each worker compiles the
+    merges once. encoded() and decoded() are the same as columns.
     """
-    held = docs.select(F.col(id_col).alias(id_col), encoded(F.coalesce(F.col(text_col), F.lit("")), path).alias("ids"))
-    return held.select(id_col, "ids", decoded(F.col("ids"), path).alias("decoded"))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokenizer(path)
+        for batch in batches:
+            ids, texts, at = [], [], 0
+            size = 0
+            for place, text in enumerate(batch.column(1), 1):
+                text = text.as_py() or ""
+                ids.append(coder.encode(text))
+                texts.append(coder.decode(ids[-1].tolist()))
+                size += len(text)
+                if size > HANDED or place == len(batch):
+                    ends = pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[at:place], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids))), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
+                    ids, texts, at, size = [], [], place, 0
+
+    slim = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("__text"))
+    return slim.mapInArrow(coded, T.StructType([slim.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
