@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.config import Bm25, Embedding, Hybrid
 from millrace.errors import EngineError, require
+from millrace.functions.analysis import Analyzer, max_word, smart
 from millrace.functions.text import is_blank, latin_tokens, matched_keywords, strip
 from millrace.functions.vectors import cosine_distance, rrf
 from millrace.operators.embedding import EmbeddingProvider, eligible
@@ -58,14 +60,14 @@ def bm25(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, settings:
     return idf * tf / (tf + settings.k1 * (1 - settings.b + settings.b * dl / avgdl))
 
 
-def keyword_scores(docs: DataFrame, queries: DataFrame, settings: Bm25 = Bm25(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyword_scores(docs: DataFrame, queries: DataFrame, settings: Bm25 = Bm25(), id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer = latin_tokens) -> DataFrame:
     """Rows (query_id, id, score) of documents that hold a term of the query. queries: (query_id, term) distinct.
 
     The terms asked for are joined to the tokens before these are counted, so that only their postings are
     shuffled: the terms of a query table are few next to the corpus, and Spark broadcasts them while they are small.
     """
     asked = queries.select("term").distinct()
-    held = latin_tokens(F.col(text_col))
+    held = analyzer(F.col(text_col))
     whole = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(held), F.lit(0))).alias("avgdl"))
     found = docs.select(F.col(id_col).alias("id"), held.alias("held")).select("id", F.size("held").alias("dl"), F.explode("held").alias("term"))
     found = found.join(asked, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
@@ -80,25 +82,8 @@ def scored_postings(found: DataFrame, whole: DataFrame, queries: DataFrame, sett
     return scored.join(queries, "term").groupBy("query_id", "id").agg(F.round(F.sum("s"), 9).alias("score"))
 
 
-def write_index(docs: DataFrame, path: str, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """An inverted index under a path: postings (term, id, tf, dl) in folders by a hash of the term, and totals (n, avgdl)."""
-    held = latin_tokens(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), held.alias("held")).select("id", F.size("held").alias("dl"), F.explode("held").alias("term"))
-    rows = rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(held), F.lit(0))).alias("avgdl"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-
-
-def indexed_scores(spark: SparkSession, path: str, queries: DataFrame, settings: Bm25 = Bm25()) -> DataFrame:
-    """keyword_scores() from an index: only the folders of the terms asked for are read (pruned by a join on bucket)."""
-    whole = spark.read.parquet(f"{path}/totals")
-    terms = queries.select("term").distinct().crossJoin(F.broadcast(whole.select("buckets"))).select("term", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int").alias("bucket"))
-    found = spark.read.parquet(f"{path}/postings").join(terms, ["bucket", "term"], "left_semi")
-    return scored_postings(found.select("id", "term", "tf", "dl"), whole.select("n", "avgdl"), queries, settings)
-
-
-def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(latin_tokens(F.col(text_col)))).alias("term"))
+def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text", analyzer: Analyzer = latin_tokens) -> DataFrame:
+    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(analyzer(F.col(text_col)))).alias("term"))
 
 
 def ranked(scores: DataFrame, k: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -191,9 +176,10 @@ def fuse(keyword: DataFrame, vector: DataFrame, settings: Hybrid = Hybrid()) ->
     return both.withColumn("position", F.row_number().over(order)).where(F.col("position") <= settings.limit)
 
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, settings: Hybrid = Hybrid(), id_col: str = "doc_id", text_col: str = "text", vec_id: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """fuse() of keyword and vector lists for queries (query_id, text, embedding)."""
-    kw = ranked(keyword_scores(docs, query_terms(queries), id_col=id_col, text_col=text_col), settings.keyword_top_k)
+def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, settings: Hybrid = Hybrid(), id_col: str = "doc_id", text_col: str = "text", vec_id: str = "vec_id", vec_col: str = "embedding", keyword: DataFrame | None = None) -> DataFrame:
+    """fuse() of keyword and vector lists for queries (query_id, text, embedding). keyword: a ranked list of the documents, as
+    an index gives it; otherwise they are scanned."""
+    kw = keyword if keyword is not None else ranked(keyword_scores(docs, query_terms(queries), id_col=id_col, text_col=text_col), settings.keyword_top_k)
     vec = vector_topk_batch(vectors, queries.select("query_id", "embedding"), settings.vector_top_k, vec_id, vec_col)
     return fuse(kw, vec, settings)
 
@@ -210,23 +196,40 @@ def encoded_queries(queries: DataFrame, provider: EmbeddingProvider, dim: int) -
     return queries.withColumn("embedding", encode("text"))
 
 
-def multi_field_scores(docs: DataFrame, terms: DataFrame, boosts: Mapping[str, float], settings: Bm25 = Bm25(), id_col: str = "doc_id") -> DataFrame:
-    """Rows (query_id, id, score): the best of several columns' scores, each times its boost."""
-    return best_field([(keyword_scores(docs, terms, settings, id_col, column), boost) for column, boost in boosts.items()])
+@dataclass(frozen=True)
+class Field:
+    """A column that is searched: how it was cut into words for the index, and what its score counts."""
+
+    column: str
+    boost: float
+    analyzer: Analyzer = max_word
+
+
+#: The content is kept for three analyzers, and the best field's score counts.
+FIELDS = (Field("content", 3.0), Field("content", 2.0, max_word), Field("content", 1.0, smart))
+
+
+def multi_field_scores(docs: DataFrame, terms: DataFrame, fields: Sequence[Field] = FIELDS, settings: Bm25 = Bm25(), id_col: str = "doc_id") -> DataFrame:
+    """Rows (query_id, id, score): the best of several fields' scores, each times its boost. Of fields with the same column
+    and analyzer the one of the largest boost decides, so that it alone is scored."""
+    most: dict[tuple[str, Analyzer], float] = {}
+    for f in fields:
+        most[f.column, f.analyzer] = max(f.boost, most.get((f.column, f.analyzer), 0.0))
+    return best_field([(keyword_scores(docs, terms, settings, id_col, column, analyzer), boost) for (column, analyzer), boost in most.items()])
 
 
-def search_chunks(index: DataFrame, queries: DataFrame, provider: EmbeddingProvider, embedding: Embedding, settings: Hybrid = Hybrid(), boosts: Mapping[str, float] = {"content": 3.0}, document_id: str | None = None) -> DataFrame:
+def search_chunks(index: DataFrame, queries: DataFrame, provider: EmbeddingProvider, embedding: Embedding, settings: Hybrid = Hybrid(), fields: Sequence[Field] = FIELDS, document_id: str | None = None) -> DataFrame:
     """Hybrid search of an index (rows as payload() makes them) for queries (query_id, text): query_id, position and 15 columns.
 
-    Both lists come from what may be searched: embedded by that model at that dimension, of that document if one is named. The
-    index keeps the content once for each of three analyzers (boosts 3, 2, 1); there is one analyzer here, so the largest boost decides.
+    Both lists come from what may be searched: embedded by that model at that dimension, of that document if one is named. Queries
+    are cut into words by smart(), the content by each field's analyzer.
     """
     rows = index.where(eligible(embedding.model, embedding.dim))
     if document_id is not None:
         rows = rows.where(F.col("document_id") == document_id)
     asked = queries.where(~is_blank(F.col("text"))).select(F.col("query_id").cast("string"), strip(F.col("text")).alias("text"))
     asked = encoded_queries(asked, provider, embedding.dim)
-    kw = ranked(multi_field_scores(rows, query_terms(asked), boosts, id_col="chunk_id"), settings.keyword_top_k)
+    kw = ranked(multi_field_scores(rows, query_terms(asked, analyzer=smart), fields, id_col="chunk_id"), settings.keyword_top_k)
     vec = vector_topk_batch(rows, asked.select("query_id", "embedding"), settings.vector_top_k, "chunk_id", own_too=True)
     hits = fuse(kw, vec, settings).withColumnRenamed("id", "chunk_id")
     held = hits.join(rows.select(*SOURCE_FIELDS), "chunk_id").join(asked.select("query_id", F.col("text").alias("_query")), "query_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans.queries import ACTIONS, RUN_STATUSES, TERMS
+from millrace.plans.queries import ACTIONS, RUN_STATUSES, SYLLABLES, TERMS
 from millrace.schemas import ITEM_TYPES, TRANSITIONS
 
 #: White space as text.SPACE has it, for trimming and squeezing.
@@ -43,6 +43,41 @@ def _bm25(name: str, text: str, source: str = "documents") -> str:
   FROM {name}_tf JOIN {name}_df USING (term) JOIN {name}_len USING (id) CROSS JOIN {name}_all JOIN {name}_qt USING (term) GROUP BY query_id, id)"""
 
 
+def _lattice(texts: str) -> str:
+    """RECURSIVE: xw and xs, the terms of each different run of letters by every word and by the best path."""
+    words = ", ".join(f"'{w}'" for w in SYLLABLES.words)
+    stop = ", ".join(f"'{w}'" for w in SYLLABLES.stop_words)
+    longest = max(map(len, SYLLABLES.words))
+    option = f"""{{'c': st[n].c + CASE WHEN n > 1 OR list_contains([{words}], substr(run, i - 1, n)) THEN n ELSE 0 END, 'f': st[n].f - 1, 'n': n, 'p': list_prepend(substr(run, i - 1, n), st[n].p)}}"""
+    allowed = f"list_filter(range(1, {longest + 1}), lambda n: n <= len(st) AND (n = 1 OR list_contains([{words}], substr(run, i - 1, n))))"
+    return f"""
+xr AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS run FROM ({texts})),
+xp AS (SELECT run, unnest(range(1, len(run) + 1)) AS i FROM xr),
+xe AS (SELECT run, i, word, len(word) AS n FROM xp JOIN (SELECT unnest([{words}]) AS word) ON substr(run, i, len(word)) = word),
+xu AS (SELECT run, i, substr(run, i, 1) AS word FROM xp WHERE NOT EXISTS (SELECT 1 FROM xe WHERE xe.run = xp.run AND xe.i <= xp.i AND xp.i < xe.i + xe.n)),
+xw AS (SELECT run, word AS term FROM (SELECT run, word FROM xe UNION ALL SELECT run, word FROM xu) WHERE word NOT IN ({stop})),
+xd AS (
+  SELECT run, len(run) + 1 AS i, [{{'c': 0::bigint, 'f': 0::bigint, 'n': 0::bigint, 'p': []::varchar[]}}] AS st FROM xr
+  UNION ALL
+  SELECT run, i - 1, list_prepend(list_max(list_transform({allowed}, lambda n: {option})), st)[1:{longest}] FROM xd WHERE i > 1),
+xs AS (SELECT run, term FROM (SELECT run, unnest(st[1].p) AS term FROM xd WHERE i = 1) WHERE term NOT IN ({stop}))"""
+
+
+def _analyzed(name: str, cut: str) -> str:
+    return f"""
+{name}_tf AS (SELECT id, term, count(*) AS tf FROM dr JOIN {cut} USING (run) GROUP BY id, term),
+{name}_len AS (SELECT doc_id AS id, coalesce(dl, 0) AS dl FROM documents LEFT JOIN (SELECT id, sum(tf) AS dl FROM {name}_tf GROUP BY id) ON id = doc_id),
+{name}_all AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {name}_len),
+{name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
+{name} AS (
+  SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgdl))), 9) AS score
+  FROM {name}_tf JOIN {name}_df USING (term) JOIN {name}_len USING (id) CROSS JOIN {name}_all JOIN qt USING (term) GROUP BY query_id, id)"""
+
+
+def _present(*xs: str) -> str:
+    return f"array_to_string(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL), ',')"
+
+
 def _vec(vectors: str = "embeddings", queries: str = "q") -> str:
     return f"""
 vs AS (
@@ -165,6 +200,23 @@ SELECT query_id, id AS doc_id, rank::int AS rank, round(score, 6) AS score FROM
     "bm25_multifield": f"""WITH {_ASKED}, {_bm25("s1", "text")}, {_bm25("s2", "split_part(text, chr(10), 1)")},
 m AS (SELECT query_id, id, max(score) AS score FROM (SELECT * FROM s1 UNION ALL SELECT query_id, id, score * 3.0::double FROM s2) GROUP BY ALL), {_ranked("r", "m", 10)}
 SELECT query_id, id AS doc_id, rank::int AS rank, round(score, 6) AS score FROM r""",
+    "analyzed_terms": f"""WITH RECURSIVE {_lattice("SELECT text FROM benchmark")},
+br AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS run FROM benchmark)
+SELECT item_id, 'max_word' AS analyzer, term, count(*) AS n FROM br JOIN xw USING (run) GROUP BY ALL
+UNION ALL SELECT item_id, 'smart', term, count(*) FROM br JOIN xs USING (run) GROUP BY ALL""",
+    "analyzed_search": f"""WITH RECURSIVE {_lattice("SELECT text FROM documents UNION ALL SELECT text FROM benchmark")},
+dr AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS run FROM documents),
+qt AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS run FROM benchmark WHERE item_id % 20 = 0) JOIN xs USING (run)),
+{_analyzed("sw", "xw")}, {_analyzed("ss", "xs")},
+m AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score * 3.0::double AS score FROM sw UNION ALL SELECT query_id, id, score FROM ss) GROUP BY ALL), {_ranked("r", "m", 10)}
+SELECT query_id, id AS doc_id, rank::int AS rank, round(score, 6) AS score FROM r""",
+    "index_versions": f"""WITH {_ASKED}, {_bm25("a", "text", "(SELECT * FROM documents WHERE lang = 'en')")}, {_bm25("b", "text")}, {_ranked("ra", "a", 3)}, {_ranked("rb", "b", 3)}
+SELECT version::int AS version, query_id, id AS doc_id, rank::int AS rank, round(score, 6) AS score
+FROM (SELECT 1 AS version, * FROM ra UNION ALL SELECT unnest([2, 3]), * FROM rb)""",
+    "json_sanitized": f"""WITH e AS (
+  SELECT event_id, CASE WHEN value > 50 THEN event_id::varchar END AS a,
+    CASE WHEN event_id % 3 <> 0 THEN '"' || replace(event_type || ': "null", [1,null]', '"', '\\"') || '"' END AS k FROM events)
+SELECT event_id, '{{' || {_present("""'"event_id":' || event_id""", """'"a":' || a""", f"""'"in":{{' || {_present("""'"low":' || a""", f"""'"kinds":[' || {_present("k", "'\"null\"'")} || ']'""", f"""'"deep":{{' || {_present("""'"k":' || k""", """'"null":' || a""")} || '}}'""")} || '}}'""", f"""'"ns":[' || {_present("a", "a", "'7'")} || ']'""")} || '}}' AS clean FROM e""",
     "rrf_fusion": f"""WITH {_fused(20, 0.7, 0.3)}
 SELECT query_id, id AS doc_id, retrieval_source, keyword_rank::int AS keyword_rank, vector_rank::int AS vector_rank, round(hybrid_score, 9) AS hybrid_score, position::int AS position FROM h""",
     "hybrid_search_batch": f"WITH {_HYBRID} SELECT query_id, id AS doc_id, retrieval_source, round(hybrid_score, 9) AS hybrid_score, position::int AS position FROM h",

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import Extraction, Hybrid, Rag, WindowChunking
-from millrace.functions.text import content_hash, exact_terms, matched_keywords, redact_urls, safe_segment, shorten, squeeze, token_estimate
+from millrace.errors import EngineError
+from millrace.functions.analysis import Dictionary, max_word, smart
+from millrace.functions.text import content_hash, exact_terms, json_without_nulls, matched_keywords, redact_urls, safe_segment, shorten, squeeze, token_estimate
 from millrace.functions.vectors import l2_normalize, norm, quantize4
 from millrace.operators.assets import resolve_assets
 from millrace.operators.block_chunking import assembled_chunks, fragments, lineage, prepared_blocks
@@ -19,11 +21,12 @@ from millrace.operators.embedding import hash_embeddings, hash_weights
 from millrace.operators.index import drift, payload, replaced, syncable, upserted
 from millrace.operators.knowledge import children, chunk_selection, clashes, fold_reviews, found_by_id, list_items, new_and_skipped, ordered_lookup, resolve_sources, snapshot, validate_extractions
 from millrace.operators.messages import conversation_faults
-from millrace.operators.retrieval import best_field, doc_lengths, fuse, hybrid_search, keyword_scores, parsed_hits, postings, query_terms, ranked, term_stats, vector_topk, vector_topk_batch, with_highlights
+from millrace.operators.retrieval import Field, best_field, doc_lengths, fuse, hybrid_search, keyword_scores, multi_field_scores, parsed_hits, postings, query_terms, ranked, term_stats, vector_topk, vector_topk_batch, with_highlights
 from millrace.operators.runs import activate_runs, block_summaries, latest, page, run_status, unparsed
+from millrace.operators.text_index import TextIndex, add_documents, merge_segments, open_index, search_index
 from millrace.plans.parsing import parse_texts
 from millrace.plans.rag import prompts
-from millrace.session import shared_folder, spread, table
+from millrace.session import shared_folder, spread, state_of, table
 from millrace.sources.files import upload_faults
 from millrace.streaming.ingest import ingest, read_documents
 
@@ -111,9 +114,25 @@ def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings(_documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "term", "tf")
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of the documents in the shared folder, by the state of their files; the first query that needs it builds it."""
+    docs = table(spark, sf_dir, "documents")
+    path = f"{shared_folder(spark)}/text-index-{state_of(docs)}"
+    index = open_index(spark, path)
+    if not index.segments:
+        try:
+            index = add_documents(index, spread(docs))
+        except EngineError:  # another session was faster
+            index = open_index(spark, path)
+    return index
+
+
+def _keyword_list(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return search_index(_indexed(spark, sf_dir), query_terms(_queries(spark, sf_dir)), k)
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = keyword_scores(_documents(spark, sf_dir), query_terms(_queries(spark, sf_dir)))
-    return ranked(scores, 10).select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+    return _keyword_list(spark, sf_dir, 10).select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,10 +142,48 @@ def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(best, 10).select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
+#: Syllables that the words of the test tables are cut by, and one that isn't searched for.
+SYLLABLES = Dictionary(("the", "th", "he", "re", "st", "der", "den", "en", "er", "que", "les", "es", "ing", "in", "ion", "tion", "ation", "at", "an", "and", "nd", "on", "ent", "sch", "ch", "est"), ("e",), letters="a-z", latin=False)
+
+
+def analyzed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every benchmark text by both analyzers, counted."""
+    items = table(spark, sf_dir, "benchmark")
+    cut = lambda name, of: items.select("item_id", F.lit(name).alias("analyzer"), F.explode(of(F.col("text"), SYLLABLES)).alias("term"))
+    return cut("max_word", max_word).unionByName(cut("smart", smart)).groupBy("item_id", "analyzer", "term").agg(F.count("*").alias("n"))
+
+
+def analyzed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields, indexed by every word and by the best path, for queries cut by the best path: the better field counts."""
+    every, best = (lambda x: max_word(x, SYLLABLES)), (lambda x: smart(x, SYLLABLES))
+    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), "text")
+    found = multi_field_scores(_documents(spark, sf_dir), query_terms(asked, analyzer=best), (Field("text", 3.0, every), Field("text", 2.0, every), Field("text", 1.0, best)))
+    return ranked(found, 10).select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of English documents, then of all, then merged: each version's best document of each query, by pinned readers."""
+    docs, path = _documents(spark, sf_dir), f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}"
+    one = add_documents(open_index(spark, path), docs.where("lang = 'en'"))
+    two = add_documents(one, docs.where("lang <> 'en' OR lang IS NULL"))
+    three = merge_segments(two)
+    terms = query_terms(_queries(spark, sf_dir))
+    found = [search_index(i, terms, 3).withColumn("version", F.lit(i.version)) for i in (one, two, three)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("version", "query_id", F.col("id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def json_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested JSON made of events, with nulls at every depth, less its null fields and elements."""
+    e = table(spark, sf_dir, "events")
+    low, kind = F.when(F.col("value") > 50, F.col("event_id")), F.when(F.col("event_id") % 3 != 0, F.concat("event_type", F.lit(': "null", [1,null]')))
+    inner = F.struct(low.alias("low"), F.array(F.lit(None).cast("string"), kind, F.lit(None).cast("string"), F.lit("null")).alias("kinds"), F.struct(kind.alias("k"), low.alias("null")).alias("deep"))
+    text = F.to_json(F.struct("event_id", low.alias("a"), inner.alias("in"), F.array(low, low, F.lit(7).cast("long")).alias("ns")), {"ignoreNullFields": "false"})
+    return e.select("event_id", json_without_nulls(text).alias("clean"))
+
+
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     asked = _queries(spark, sf_dir)
-    kw = ranked(keyword_scores(_documents(spark, sf_dir), query_terms(asked)), 50)
-    return kw, vector_topk_batch(table(spark, sf_dir, "embeddings"), asked.select("query_id", "embedding"), 50)
+    return _keyword_list(spark, sf_dir, 50), vector_topk_batch(table(spark, sf_dir, "embeddings"), asked.select("query_id", "embedding"), 50)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +192,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid_search(_documents(spark, sf_dir), table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir))
+    kw = _keyword_list(spark, sf_dir, Hybrid().keyword_top_k)
+    return hybrid_search(_documents(spark, sf_dir), table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), keyword=kw)
 
 
 def hybrid_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,6 +516,7 @@ QUERIES = {
         citation_list, prompt_texts, extraction_prompts, content_hashes, duplicates_skipped, list_filter, latest_per_key, active_runs, run_statuses, review_states, version_snapshots,
         extraction_validation, syncable_chunks, embedding_statuses, index_drift, index_refresh, unparsed_documents, ordered_chunks, summaries, text_functions, upload_validation,
         message_validation, normalized_blocks, page_blocks, page_assets, page_chunks, page_lineage, asset_resolution, parsed_chunks, parse_failures, stream_chunks,
+        analyzed_terms, analyzed_search, index_versions, json_sanitized,
         document_lookup, item_navigation, item_sources, patch_duplicates, search_hits, block_listing, stored_block_rows,
     )
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "millrace", **conf: str) -> SparkSession:
@@ -19,6 +21,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def state_of(df: DataFrame) -> str:
+    """A digest of the files that a table is read from: their places, sizes and times."""
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    files = df.select(file.alias("h")).distinct().agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.sha256(f"{files.n} {files.x} {files.s}".encode()).hexdigest()[:24]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table that is read in fewer splits than there are cores, dealt out over the cores: a file of one row group is
     one task otherwise. Such a table is smaller than the cores' splits together; larger ones are left alone."""
