@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.errors import require
 from millrace.functions.text import content_hash, is_blank, strip, strip_code_fence
 from millrace.functions.vectors import quantize4
-from millrace.schemas import CREATABLE, EDITABLE, ITEM_STATUSES, ITEM_TYPES, TRANSITIONS
+from millrace.schemas import ITEM_STATUSES, ITEM_TYPES, TRANSITIONS
 from millrace.session import shared_folder
 
 #: The fields that an extracted item may have.
@@ -67,31 +67,44 @@ def with_hash(items: DataFrame, type_col: str = "item_type", doc_col: str = "sou
     return items.withColumn("content_hash", content_hash(F.col(type_col), F.col(doc_col), F.col(title_col), F.col(content_col)))
 
 
+def _with_class(rows: DataFrame, classes: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """rows joined to classes (a row a key, _n: how many rows it has): classes with over a thousandth of all rows, fewer than a
+    thousand, by a broadcast, so that their rows stay where they are; the others by key."""
+    shared_folder(rows.sparkSession)
+    classes = classes.checkpoint()
+    total = classes.agg(F.sum("_n")).first()[0] or 0
+    hot = classes.where(F.col("_n") > total / 1000)
+    few = F.broadcast(hot.select(*key))
+    return rows.join(F.broadcast(hot), list(key)).unionByName(rows.join(few, list(key), "left_anti").join(classes.join(few, list(key), "left_anti"), list(key), how)).drop("_n")
+
+
 def new_and_skipped(candidates: DataFrame, existing: DataFrame, order: Sequence[str] = ("position",)) -> DataFrame:
     """The candidates with skipped: true for all but the first of equal type, hash and document, and for those that a live
     (not deprecated) existing item equals. A null document equals a null one; order tells candidates apart.
 
-    The first of each group comes from an aggregate and is joined back, so that a group of any size spreads.
+    The first of each group comes from an aggregate and is joined back; groups with over a thousandth of all candidates by a
+    broadcast, so that a group of any size spreads.
     """
     key = ["item_type", "content_hash", "_doc"]
     doc = F.coalesce(F.col("source_document_id").cast("string"), F.lit("\u0000"))
     rows = candidates.withColumn("_doc", doc)
     live = existing.where(F.coalesce(F.col("status") != "deprecated", F.lit(True))).select("item_type", "content_hash", doc.alias("_doc")).distinct().withColumn("_live", F.lit(True))
-    first = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first")).join(live, key, "left")
-    rows = rows.join(first, key)
+    first = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_n")).join(live, key, "left")
+    rows = _with_class(rows, first, key, "inner")
     return rows.withColumn("skipped", (F.struct(*order) != F.col("_first")) | F.col("_live").isNotNull()).drop("_doc", "_first", "_live")
 
 
 def clashes(changed: DataFrame, existing: DataFrame) -> DataFrame:
     """The changed items with duplicate_id: another live (not deprecated) item of equal type, hash and document, or null.
 
-    An aggregate keeps the smallest and largest id of each group, of which one is another's if any is.
+    An aggregate keeps the smallest and largest id of each group, of which one is another's if any is. Groups with over a
+    thousandth of all live items are joined by a broadcast.
     """
     key = ["item_type", "content_hash", "_doc"]
     doc = F.coalesce(F.col("source_document_id").cast("string"), F.lit("\u0000"))
     live = existing.where(F.coalesce(F.col("status") != "deprecated", F.lit(True))).withColumn("_doc", doc)
-    held = live.groupBy(*key).agg(F.min("id").alias("_least"), F.max("id").alias("_most"))
-    rows = changed.withColumn("_doc", doc).join(held, key, "left")
+    held = live.groupBy(*key).agg(F.min("id").alias("_least"), F.max("id").alias("_most"), F.count("*").alias("_n"))
+    rows = _with_class(changed.withColumn("_doc", doc), held, key, "left")
     other = F.when(F.col("_least") != F.col("id"), F.col("_least")).when(F.col("_most") != F.col("id"), F.col("_most"))
     return rows.withColumn("duplicate_id", other).drop("_doc", "_least", "_most")
 
@@ -180,37 +193,6 @@ def snapshot(row: Sequence[str]) -> Column:
     return F.to_json(F.struct(*row), {"ignoreNullFields": "false"})
 
 
-def create_items(candidates: DataFrame, status: str = "draft", at: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(items at version 1, their snapshots) from candidates (id, item_type, title, content, source_document_id, ...)."""
-    require(status in CREATABLE, "KNOWLEDGE_ITEM_INVALID_STATUS", "items start as draft or pending_review", status=status)
-    items = with_hash(candidates).withColumns({"status": F.lit(status), "version": F.lit(1), "created_at": at if at is not None else F.current_timestamp()})
-    return items, versions_of(items, "created")
-
-
-def versions_of(items: DataFrame, reason: str) -> DataFrame:
-    fields = ["item_type", "title", "content", "content_hash", "status", "source_document_id", "version"]
-    return items.select(F.col("id").alias("knowledge_item_id"), "version", snapshot(fields).alias("snapshot"), F.lit(reason).alias("change_reason"))
-
-
-def patch_items(items: DataFrame, patches: DataFrame, fields: Sequence[str] = ("title", "content")) -> DataFrame:
-    """The items with patches (id, <field>, set_<field>) applied; a field counts if its flag is set, even to null.
-
-    Only drafts and rejected items change: error tells of others. What changes gets a new hash and the next version.
-    """
-    new = patches.select("id", *[F.col(f).alias(f"_{f}") for f in fields], *[F.coalesce(f"set_{f}", F.lit(False)).alias(f"_set_{f}") for f in fields], F.lit(True).alias("_patched"))
-    rows = items.join(new, "id", "left").withColumn("_may", F.col("_patched").isNotNull() & F.col("status").isin(*EDITABLE))
-    rows = rows.withColumn("error", F.when(F.col("_patched").isNotNull() & ~F.col("_may"), "KNOWLEDGE_ITEM_INVALID_STATUS"))
-    rows = rows.withColumns({f: F.when(F.col("_may") & F.col(f"_set_{f}"), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields})
-    rows = rows.withColumn("version", F.col("version") + F.col("_may").cast("int"))
-    return with_hash(rows).drop(*[c for c in rows.columns if c.startswith("_")])
-
-
-def revise_items(items: DataFrame, wanted: DataFrame, new_id: Column) -> DataFrame:
-    """Drafts at version 1 that revise approved or deprecated items; wanted: (id)."""
-    held = items.join(wanted.select("id"), "id", "left_semi").where(F.col("status").isin("approved", "deprecated"))
-    return held.withColumns({"revises_item_id": F.col("id"), "id": new_id, "status": F.lit("draft"), "version": F.lit(1)})
-
-
 def revision_chains(items: DataFrame) -> DataFrame:
     """Rows (id, root_id, depth, error): each item's first ancestor by revises_item_id, and how many revisions lie between.
 

@@ -145,37 +145,50 @@ def remove_old(index: TextIndex) -> int:
     return gone
 
 
-def _met(index: TextIndex, terms: DataFrame, settings: Bm25) -> DataFrame:
-    """Blocks of the terms asked for, with the query, what BM25 needs, and the block's bound."""
-    asked = terms.select("query_id", "term").distinct()
-    frequent = index.blocks(asked).groupBy("term").agg(F.sum("n").alias("df"))
-    rows = index.blocks(asked).join(frequent, "term").join(asked, "term").crossJoin(F.broadcast(index.totals().withColumnRenamed("n", "docs")))  # one row
-    bound = bm25(F.col("most"), F.col("df"), F.col("shortest"), F.col("docs"), F.col("avgdl"), settings)
-    return rows.withColumn("bound", bound)
+@dataclass(frozen=True)
+class Asked:
+    """The terms of a search with how many documents hold them, (query_id, term, df), and two figures of the whole index."""
+
+    index: TextIndex
+    terms: DataFrame
+    n: int
+    avgdl: float
+    settings: Bm25
+
+    def score(self, tf: Column, dl: Column) -> Column:
+        return bm25(tf, F.col("df"), dl, F.lit(self.n), F.lit(self.avgdl), self.settings)
 
 
-def bounds(index: TextIndex, terms: DataFrame, settings: Bm25 = Bm25()) -> DataFrame:
+def asked_terms(index: TextIndex, terms: DataFrame, settings: Bm25 = Bm25()) -> Asked:
+    """The terms, computed once (checkpointed), with their document frequencies from the blocks' headers."""
+    shared_folder(index.spark)
+    distinct = terms.select("query_id", "term").distinct().checkpoint()
+    df = index.blocks(distinct).groupBy("term").agg(F.sum("n").alias("df"))
+    whole = index.totals().first()  # one row
+    return Asked(index, distinct.join(df, "term").checkpoint(), whole.n, whole.avgdl or 1.0, settings)
+
+
+def bounds(asked: Asked) -> DataFrame:
     """(query_id, range, bound): no document of the range scores more. Reads no postings.
 
     A block's bound is the score of its largest count in its shortest document, which grows with the one and falls with the
     other; it holds whatever the mean length is by now. A range's is the sum over the query's terms.
     """
-    return _met(index, terms, settings).groupBy("query_id", "range").agg(F.sum("bound").alias("bound"))
+    rows = asked.index.blocks(asked.terms).select("term", "range", "most", "shortest").join(asked.terms, "term")
+    return rows.groupBy("query_id", "range").agg(F.sum(asked.score(F.col("most"), F.col("shortest"))).alias("bound"))
 
 
-def _scores(index: TextIndex, terms: DataFrame, pairs: DataFrame, settings: Bm25) -> DataFrame:
-    rows = _met(index, terms, settings).join(pairs.select("query_id", "range"), ["query_id", "range"])
-    rows = rows.select("query_id", "df", "docs", "avgdl", F.explode("postings").alias("p"))
-    one = bm25(F.col("p.tf"), F.col("df"), F.col("p.dl"), F.col("docs"), F.col("avgdl"), settings)
-    return rows.groupBy("query_id", F.col("p.id").alias("id")).agg(F.round(F.sum(one), 9).alias("score"))
+def scores_in(asked: Asked, pairs: DataFrame) -> DataFrame:
+    """(query_id, id, score) of the documents in pairs (query_id, range)."""
+    rows = asked.index.blocks(asked.terms).select("term", "range", "postings").join(pairs.select("query_id", "range").join(asked.terms, "query_id"), ["term", "range"])
+    rows = rows.select("query_id", "df", F.explode("postings").alias("p"))
+    return rows.groupBy("query_id", F.col("p.id").alias("id")).agg(F.round(F.sum(asked.score(F.col("p.tf"), F.col("p.dl"))), 9).alias("score"))
 
 
-def ranges_to_read(index: TextIndex, terms: DataFrame, k: int, settings: Bm25 = Bm25()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ranges_to_read(asked: Asked, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bounds of all ranges, the k best of the first ranges, the ranges that can still hold one of the k best)."""
-    bounded = bounds(index, terms, settings).withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "range")))
-    shared_folder(index.spark)
-    bounded = bounded.checkpoint()
-    best = ranked(_scores(index, terms, bounded.where(F.col("at") <= FIRST_RANGES), settings), k).checkpoint()
+    bounded = bounds(asked).withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "range"))).checkpoint()
+    best = ranked(scores_in(asked, bounded.where(F.col("at") <= FIRST_RANGES)), k).checkpoint()
     floor = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     slack = F.lit(1e-6)  # scores are rounded to 9 decimals, bounds are not
     rest = bounded.where(F.col("at") > FIRST_RANGES).join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - slack))
@@ -185,12 +198,12 @@ def ranges_to_read(index: TextIndex, terms: DataFrame, k: int, settings: Bm25 =
 def search_index(index: TextIndex, terms: DataFrame, k: int, settings: Bm25 = Bm25()) -> DataFrame:
     """Rows (query_id, id, score, rank): each query's k best documents, as ranked(keyword_scores()) over all documents gives them.
 
-    terms: (query_id, term). The ranges of the highest bounds are scored first; their k-th score is a floor, and ranges whose
-    bound is below it aren't read. A query without a term in the index has no rows; an empty index gives none.
+    terms: (query_id, term). The ranges of the highest bounds are scored first; their k-th score is a floor, and postings of
+    ranges whose bound is below it aren't read into the result. A query without a term in the index has no rows; an index
+    without segments gives none.
     """
     if not index.segments:
-        return terms.select("query_id", F.lit(None).cast("string").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    _, best, rest = ranges_to_read(index, terms, k, settings)
-    return ranked(best.select("query_id", "id", "score").unionByName(_scores(index, terms, rest, settings)), k)
-
-
+        return terms.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    asked = asked_terms(index, terms, settings)
+    _, best, rest = ranges_to_read(asked, k)
+    return ranked(best.select("query_id", "id", "score").unionByName(scores_in(asked, rest)), k)

@@ -217,6 +217,15 @@ FROM (SELECT 1 AS version, * FROM ra UNION ALL SELECT unnest([2, 3]), * FROM rb)
   SELECT event_id, CASE WHEN value > 50 THEN event_id::varchar END AS a,
     CASE WHEN event_id % 3 <> 0 THEN '"' || replace(event_type || ': "null", [1,null]', '"', '\\"') || '"' END AS k FROM events)
 SELECT event_id, '{{' || {_present("""'"event_id":' || event_id""", """'"a":' || a""", f"""'"in":{{' || {_present("""'"low":' || a""", f"""'"kinds":[' || {_present("k", "'\"null\"'")} || ']'""", f"""'"deep":{{' || {_present("""'"k":' || k""", """'"null":' || a""")} || '}}'""")} || '}}'""", f"""'"ns":[' || {_present("a", "a", "'7'")} || ']'""")} || '}}' AS clean FROM e""",
+    "parse_decisions": """WITH c AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'system') AS titles, count(*) FILTER (turn = conv_id % 7) AS odd, min(turn) AS first FROM c GROUP BY conv_id),
+i AS (SELECT conv_id, min(place) AS place FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM c) WHERE turn = conv_id % 7 GROUP BY conv_id),
+d AS (SELECT g.*, i.place, conv_id % 11 AS kind, conv_id % 2 = 0 AS beside FROM g LEFT JOIN i USING (conv_id)),
+r AS (SELECT *, CASE WHEN kind = 3 THEN 'not JSON' WHEN kind = 4 THEN 'not a list' WHEN kind = 5 AND NOT beside THEN NULL
+  WHEN kind = 5 THEN NULL WHEN odd > 0 THEN 'block ' || place || ': block is not an object' END AS reason FROM d)
+SELECT conv_id::varchar AS document_id, (reason IS NOT NULL)::bigint AS n_faults, reason,
+  CASE WHEN reason IS NOT NULL THEN 0 WHEN kind = 5 THEN beside::int ELSE n END::bigint AS n_blocks,
+  CASE WHEN reason IS NOT NULL OR kind = 5 THEN 0 ELSE titles END::bigint AS n_titles FROM r""",
     "rrf_fusion": f"""WITH {_fused(20, 0.7, 0.3)}
 SELECT query_id, id AS doc_id, retrieval_source, keyword_rank::int AS keyword_rank, vector_rank::int AS vector_rank, round(hybrid_score, 9) AS hybrid_score, position::int AS position FROM h""",
     "hybrid_search_batch": f"WITH {_HYBRID} SELECT query_id, id AS doc_id, retrieval_source, round(hybrid_score, 9) AS hybrid_score, position::int AS position FROM h",

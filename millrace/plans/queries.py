@@ -24,7 +24,7 @@ from millrace.operators.messages import conversation_faults
 from millrace.operators.retrieval import Field, best_field, doc_lengths, fuse, hybrid_search, keyword_scores, multi_field_scores, parsed_hits, postings, query_terms, ranked, term_stats, vector_topk, vector_topk_batch, with_highlights
 from millrace.operators.runs import activate_runs, block_summaries, latest, page, run_status, unparsed
 from millrace.operators.text_index import TextIndex, add_documents, merge_segments, open_index, search_index
-from millrace.plans.parsing import parse_texts
+from millrace.plans.parsing import parse_lists, parse_texts
 from millrace.plans.rag import prompts
 from millrace.session import shared_folder, spread, state_of, table
 from millrace.sources.files import upload_faults
@@ -142,6 +142,24 @@ def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(best, 10).select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def parse_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as parse results, a turn a title or text block. Some have an element that is none, text that is no list, or an
+    empty list with or without a text beside it: of each the faults, and what was made of it."""
+    c = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    one = F.to_json(F.struct(F.when(F.col("role") == "system", "title").otherwise("text").alias("type"), F.col("text"), F.lit("a,\"b\"").alias("id")))
+    turns = c.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lpad("turn", 6, "0"), F.when(F.col("conv_id") % 7 == F.col("turn"), F.concat(F.lit("7,"), one)).otherwise(one)))), "\n").alias("t"))
+    bodies = F.concat(F.lit("["), F.regexp_replace("t", r"(?m)^[0-9]{6}", ","), F.lit("]"))
+    listed = F.when(F.col("conv_id") % 11 == 3, "nope[").when(F.col("conv_id") % 11 == 4, '{"type":"text"}').when(F.col("conv_id") % 11 == 5, "[]").otherwise(F.regexp_replace(bodies, r"^\[,", "["))
+    beside = F.when(F.col("conv_id") % 2 == 0, F.lit("instead"))
+    parsed = turns.select(F.col("conv_id").cast("string").alias("document_id"), F.lit("run").alias("parse_run_id"), listed.alias("content_list"), beside.alias("text"), F.lit(None).cast("string").alias("markdown"))
+    done = parse_lists(parsed)
+    faults = done.failures.groupBy("document_id").agg(F.count("*").alias("n_faults"), F.min("reason").alias("reason"))
+    blocks = done.blocks.groupBy("document_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("block_type") == "title").alias("n_titles"))
+    both = parsed.select("document_id").join(faults, "document_id", "left").join(blocks, "document_id", "left")
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
+    return both.select("document_id", zero("n_faults"), "reason", zero("n_blocks"), zero("n_titles"))
+
+
 #: Syllables that the words of the test tables are cut by, and one that isn't searched for.
 SYLLABLES = Dictionary(("the", "th", "he", "re", "st", "der", "den", "en", "er", "que", "les", "es", "ing", "in", "ion", "tion", "ation", "at", "an", "and", "nd", "on", "ent", "sch", "ch", "est"), ("e",), letters="a-z", latin=False)
 
@@ -516,7 +534,7 @@ QUERIES = {
         citation_list, prompt_texts, extraction_prompts, content_hashes, duplicates_skipped, list_filter, latest_per_key, active_runs, run_statuses, review_states, version_snapshots,
         extraction_validation, syncable_chunks, embedding_statuses, index_drift, index_refresh, unparsed_documents, ordered_chunks, summaries, text_functions, upload_validation,
         message_validation, normalized_blocks, page_blocks, page_assets, page_chunks, page_lineage, asset_resolution, parsed_chunks, parse_failures, stream_chunks,
-        analyzed_terms, analyzed_search, index_versions, json_sanitized,
+        analyzed_terms, analyzed_search, index_versions, json_sanitized, parse_decisions,
         document_lookup, item_navigation, item_sources, patch_duplicates, search_hits, block_listing, stored_block_rows,
     )
 }

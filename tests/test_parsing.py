@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from millrace.operators.assets import allowed_scalars, asset_contexts, asset_summaries, relative_path, resolve_assets, run_summaries, upload_plan_faults
-from millrace.plans.parsing import parse_archives, parse_texts
+from millrace.plans.parsing import parse_archives, parse_lists, parse_texts
 
 
 def test_paths(spark):
@@ -63,3 +63,18 @@ def test_archives(spark):
     got = parse_archives(spark.createDataFrame(data, "id string, content binary"))
     assert {(r.document_id, r.content) for r in got.chunks.collect()} == {("a", "T\n\nbody"), ("b", "only this")} and got.links.count() == 3
     assert {r.document_id: r.reason for r in got.failures.collect()} == {"c": "unreadable: BadZipFile", "d": "no content list and no Markdown"}
+
+
+def test_all_of_a_document_or_nothing(spark):
+    """One bad element, or one bad member, and nothing of the document is in any output but the failures."""
+    good, bad = [{"type": "text", "text": "one"}, {"type": "text", "text": "three"}], [{"type": "text", "text": "one"}, 7, {"type": "text", "text": "three"}]
+    rows = [("a", "r", json.dumps(good), None, None), ("b", "r", json.dumps(bad), "text", None), ("c", "r", None, "text", None), ("d", "r", "[]", None, "# md"), ("e", "r", None, None, None), ("f", "r", "nope", "text", None), ("g", "r", json.dumps({"x": 1}), None, None)]
+    got = parse_lists(spark.createDataFrame(rows, "document_id string, parse_run_id string, content_list string, text string, markdown string"))
+    failed = {r.document_id: r.reason for r in got.failures.collect()}
+    assert failed == {"b": "block 1: block is not an object", "e": "no content list and no Markdown", "f": "not JSON", "g": "not a list"}
+    for out in (got.chunks, got.links.join(got.chunks, "chunk_key") if "chunk_key" in got.links.columns and "chunk_key" in got.chunks.columns else got.chunks, got.blocks):
+        assert {r.document_id for r in out.select("document_id").collect()} == {"a", "c", "d"}
+    assert parse_lists(spark.createDataFrame([], "document_id string, parse_run_id string, content_list string, text string, markdown string")).chunks.count() == 0
+    archive = zipped(("r/x_content_list.json", json.dumps(good)), ("../evil.md", "x"))
+    whole = parse_archives(spark.createDataFrame([("z", archive)], "id string, content binary"))
+    assert whole.chunks.count() == 0 and whole.failures.count() == 1

@@ -12,10 +12,9 @@ from millrace.functions.text import TRUNCATED
 from millrace.operators.context import broken_citations, context_header, formatted_context, pack_context
 from millrace.operators.embedding import HashProvider, provider_of
 from millrace.operators.index import check_mapping, drift, payload, replaced, syncable, upserted, write_index
-from millrace.operators.knowledge import children, clashes, copied_links, create_items, fold_reviews, found_by_id, get_by_id, list_items, mixed_documents, new_and_skipped, patch_items, resolve_sources, revise_items, revision_chains, validate_extractions, with_hash
+from millrace.operators.knowledge import children, clashes, copied_links, fold_reviews, found_by_id, get_by_id, list_items, mixed_documents, new_and_skipped, resolve_sources, revision_chains, validate_extractions, with_hash
 from millrace.operators.messages import conversation_faults, tool_faults
-from millrace.operators.retrieval import fuse, indexed_scores, keyword_scores, parsed_hits, query_terms, rerank, search_error, vector_topk_batch
-from millrace.operators.retrieval import write_index as write_postings
+from millrace.operators.retrieval import fuse, parsed_hits, rerank, search_error, vector_topk_batch
 from millrace.operators.runs import activate_runs, page, run_status, severity
 from millrace.plans.rag import EchoModel, Message, Request, ask, extracted, prompts
 from millrace.sources.archives import ArchiveLimits, archive_members, file_types, picked
@@ -107,17 +106,7 @@ def test_items(spark):
     cand = spark.createDataFrame([("a", "process_rule", "T", "x", None, 1), ("b", "process_rule", " T ", "x", None, 2), ("c", "process_rule", "T", "x", "d", 3), ("e", "defect_cause", "T", "x", None, 4)], "id string, item_type string, title string, content string, source_document_id string, position int")
     old = with_hash(spark.createDataFrame([("z", "defect_cause", "T", "x", None, "approved"), ("y", "process_rule", "T", "x", "d", "deprecated")], "id string, item_type string, title string, content string, source_document_id string, status string"))
     assert {r.id: r.skipped for r in new_and_skipped(with_hash(cand), old).collect()} == {"a": False, "b": True, "c": False, "e": True}
-    items, versions = create_items(cand.drop("position"), at=F.lit("2026-01-01").cast("timestamp"))
-    assert versions.count() == 4 and json.loads(versions.first().snapshot)["version"] == 1
-    with pytest.raises(EngineError):
-        create_items(cand, "approved")
-    patch = spark.createDataFrame([("a", "T2", True, None, False), ("c", None, True, "y", True)], "id string, title string, set_title boolean, content string, set_content boolean")
-    done = {r.id: r for r in patch_items(items.withColumn("status", F.when(F.col("id") == "c", "approved").otherwise(F.col("status"))), patch).collect()}
-    assert done["a"].title == "T2" and done["a"].version == 2 and done["a"].content == "x" and done["c"].error and done["c"].version == 1 and done["b"].version == 1 and done["a"].content_hash != done["b"].content_hash
-    wanted = spark.createDataFrame([("z",), ("a",)], "id string")
-    held = old.withColumns({"version": F.lit(4), "revises_item_id": F.lit(None).cast("string")})
-    new = revise_items(held, wanted, F.concat("id", F.lit("2")))
-    assert [(r.id, r.revises_item_id, r.status, r.version) for r in new.collect()] == [("z2", "z", "draft", 1)]
+    items = cand.withColumn("status", F.lit("draft"))
     assert [r.id for r in list_items(items, item_type="process_rule", text="t").orderBy("id").collect()] == ["a", "b", "c"]
     links = spark.createDataFrame([("a", "d1"), ("a", "d2"), ("b", "d1"), ("c", "x")], "knowledge_item_id string, document_id string")
     assert {r.id for r in mixed_documents(items, links).collect()} == {"a", "c"}
@@ -232,14 +221,15 @@ def test_long_revision_chains_and_circles(spark):
     assert revision_chains(spark.createDataFrame([], "id string, revises_item_id string")).count() == 0
 
 
-def test_postings_index(spark, rows, tmp_path):
-    """Scores from the index are those from the corpus; a search reads the folders of its terms only."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    terms = query_terms(spark.createDataFrame([(1, "the and thed"), (2, "der les nowhere")], "query_id int, text string"))
-    write_postings(docs, str(tmp_path), buckets=32)
-    got = indexed_scores(spark, str(tmp_path), terms)
-    assert rows(got) == rows(keyword_scores(docs, terms)) and got.count() > 50
-    assert "PartitionFilters: [isnotnull(bucket" in got._jdf.queryExecution().toString() or "dynamicpruning" in got._jdf.queryExecution().toString()
+def test_hot_duplicates_stay_where_they_are(spark):
+    """A text with half of all rows is joined by a broadcast, the others by key; each group's first row stands."""
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.lit("t").alias("item_type"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("h"), (F.col("id") / 4).cast("int"))).alias("content_hash"), F.lit(None).cast("string").alias("source_document_id"), F.lit("draft").alias("status"), F.col("id").alias("position"))
+    plan = new_and_skipped(rows, rows.limit(0))
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().toString()
+    got = {int(r.id): r.skipped for r in plan.collect()}
+    assert len(got) == 4000 and not got[0] and all(got[i] for i in range(2, 4000, 2)) and [got[i] for i in (1, 3, 5, 7)] == [False, True, False, True]
+    twins = {r.id: r.duplicate_id for r in clashes(rows, rows).collect()}
+    assert len(twins) == 4000 and twins["0"] == "998" and twins["998"] == "0" and twins["1"] == "3" and twins["3"] == "1"
 
 
 def test_vector_ties_and_repeated_ids(spark, rows):
