@@ -37,17 +37,18 @@ class TextIndex:
         """(term, range, n, most, shortest, postings), of some terms only if they are given (column term): then only the folders
         of their buckets are read. Ranges are a segment's own. The number of its buckets is part of its name."""
         found = []
-        for buckets in sorted({_buckets(s) for s in self.segments}):
+        for buckets in sorted({_buckets(s) for s in self.segments} - {0}):
             part = self.spark.read.option("basePath", f"{self.path}/blocks").parquet(*[f"{self.path}/blocks/segment={s}" for s in self.segments if _buckets(s) == buckets])
             if terms is not None:
                 part = part.join(terms.select("term", _bucket(buckets).alias("bucket")).distinct(), ["bucket", "term"], "left_semi")
             found.append(part.select("term", "range", "n", "most", "shortest", "postings"))
-        return reduce(DataFrame.unionByName, found)
+        none = "term string, range string, n long, most long, shortest long, postings array<struct<id: long, tf: long, dl: long>>"
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], none)
 
     def totals(self) -> DataFrame:
         """One row: documents n and their mean length avgdl."""
         kept = self.spark.read.parquet(*[f"{self.path}/totals/segment={s}" for s in self.segments]) if self.segments else self.spark.createDataFrame([], "n long, tokens long")
-        return kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
+        return kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.try_divide(F.sum("tokens"), F.sum("n")).alias("avgdl"))
 
 
 def _buckets(segment: str) -> int:
@@ -98,14 +99,15 @@ def _write(counts: DataFrame, sizes: DataFrame, path: str) -> str:
     kind = lambda dl: F.floor(F.log1p(dl.cast("double")) * 4).cast("int")
     held = sizes.groupBy(kind(F.col("dl")).alias("c")).agg(F.count("*").alias("n"), F.sum("dl").alias("tokens")).collect()  # 4 a power of e
     parts = F.create_map(*[F.lit(x) for r in held for x in (r.c, -(-r.n // RANGE_DOCS))]) if held else F.create_map(F.lit(0), F.lit(1))
-    buckets = 1
-    while buckets * BUCKET_TOKENS < sum(r.tokens for r in held):
+    buckets = int(any(r.tokens for r in held))  # 0: there are no blocks
+    while buckets and buckets * BUCKET_TOKENS < sum(r.tokens for r in held):
         buckets *= 4  # segments have few different numbers of them
     name = f"s{uuid.uuid4().hex}-{buckets}"
     own = F.concat_ws("-", F.lit(name), kind(F.col("dl")), F.pmod(F.xxhash64("id"), F.element_at(parts, kind(F.col("dl")))))
     blocks = counts.withColumn("range", own).groupBy("term", "range").agg(F.collect_list(F.struct("id", "tf", "dl")).alias("postings"), F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"))
-    blocks = blocks.withColumn("bucket", _bucket(buckets))
-    blocks.repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/blocks/segment={name}")
+    blocks = blocks.withColumn("bucket", _bucket(max(1, buckets)))
+    if buckets:
+        blocks.repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/blocks/segment={name}")
     spark = counts.sparkSession
     spark.createDataFrame([(r.n, r.tokens) for r in held] or [(0, 0)], "n long, tokens long").coalesce(1).write.parquet(f"{path}/totals/segment={name}")
     return name
