@@ -103,9 +103,10 @@ def test_texts_against_the_library(library):
         same(library, "".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(32, 0x3000), rng.randrange(0x10000, 0x1FFFF)])) for _ in range(300)))
 
 
-def test_every_code_point_against_the_library(library):
+def test_code_points_against_the_library(library):
+    """All below U+3400, every sixteenth above."""
     for a in range(0, 0x110000, 8192):
-        same(library, "".join(f"{chr(c)} {chr(c)}a{chr(c)}1{chr(c)}{chr(c)}'s" for c in range(a, a + 8192) if not 0xD800 <= c < 0xE000))
+        same(library, "".join(f"{chr(c)} {chr(c)}a{chr(c)}1{chr(c)}{chr(c)}'s" for c in range(a, a + 8192) if (c < 0x3400 or c % 16 == 0) and not 0xD800 <= c < 0xE000))
 
 
 def test_long_texts_are_cut_at_spaces(library, monkeypatch):
