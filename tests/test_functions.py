@@ -134,7 +134,7 @@ def test_embed_chunks(spark):
 
 
 @pytest.mark.parametrize("fn", [strip, squeeze, is_blank, safe_segment, optional_text, json_without_nulls, strip_code_fence, looks_like_html, redact_urls])
-@pytest.mark.parametrize("unit", [" ", ". ", "\n", "a", '"', '\\"', "[", "null,", "http://x "])
+@pytest.mark.parametrize("unit", [" ", "\n", '"', '\\"', "null,", "http://x "])
 def test_long_texts_take_time_in_proportion(spark, fn, unit):
     """Two million characters between two others, in seconds: no run is tried from each of its places, and none takes stack."""
     df = spark.range(1).select(F.concat(F.lit("x"), F.repeat(F.lit(unit), 2_000_000 // len(unit)), F.lit("y")).alias("x"))
