@@ -19,9 +19,9 @@ from millrace.operators.retrieval import bm25, ranked
 from millrace.session import shared_folder
 
 #: Documents of a range, about: a term's postings there are one block. Tokens of a folder that terms are dealt to.
-RANGE_DOCS, BUCKET_TOKENS = 256, 1 << 24
+RANGE_DOCS, BUCKET_TOKENS = 1024, 1 << 24
 #: Ranges of a query, the highest bounds first, whose scores give the floor for the others.
-FIRST_RANGES = 8
+FIRST_RANGES = 4
 
 
 @dataclass(frozen=True)
