@@ -165,6 +165,7 @@ def normalize_elements(rows: DataFrame, prefix: str = "parsed-assets") -> DataFr
         "bbox": F.when(F.schema_of_variant(F.try_variant_get(raw, "$.bbox", "variant")).rlike("^(ARRAY|OBJECT)"), json_without_nulls(F.to_json(F.try_variant_get(raw, "$.bbox", "variant")))),
         "confidence": F.when(said("confidence"), raw_float(raw, "confidence")).otherwise(raw_float(raw, "score")),
     })
+    # The keys of source_metadata, as stored rows have them.
     shown = [("original_type", json_text(F.left(F.coalesce("original_type", F.lit("unknown")), F.lit(200)))), ("mineru_block_id", json_text(F.left(t("block_id", "id", "block_key"), F.lit(200)))), ("heading_level", F.when(kind == "title", F.col("level").cast("string")))]
     shown += scalar_fields(raw, BLOCK_METADATA) + [("asset_keys", F.when(F.size("asset_keys") > 0, F.to_json("asset_keys")))]
     rows = rows.withColumn("source_metadata", F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in shown]), F.lit("}")))
