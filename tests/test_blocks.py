@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.config import BlockChunking
-from millrace.operators.block_chunking import block_chunks, split_lines, split_text
+from millrace.operators import block_chunking
+from millrace.operators.block_chunking import block_chunks, fragments, numbered_pieces, placement, prepared_blocks, reach, span_ends, split_lines, split_text
 from millrace.operators.blocks import asset_type, block_assets, block_faults, duplicate_indexes, element_rows, html_blocks, list_blocks, normalize_blocks, normalize_elements, stored_blocks, with_section_paths
 
 BLOCK = "document_id string, parse_run_id string, block_index int, block_key string, block_type string, page_start int, page_end int, text string, markdown string, html string, latex string, caption string, section_path array<string>, asset_keys array<string>"
@@ -185,3 +186,54 @@ def test_stored_blocks_are_listed(spark):
     assert [json.loads(r.source_metadata) for r in stored.orderBy("block_index").collect()] == [{"n": 1, "asset_keys": ["k"]}] + [{"n": 1, "asset_keys": ["old"]}] * 2
     assert [(r.block_index, r.total) for r in list_blocks(stored, "d", "r", " TEXT ", limit=1, offset=1).collect()] == [(2, 2)]
     assert list_blocks(stored, "other").count() == 0
+
+
+def test_spans_make_the_chunks_of_one_pass(monkeypatch):
+    """Spans folded from every lead and followed in order number chunks as one pass over all blocks does."""
+    rng = random.Random(7)
+    for trial in range(60):
+        settings = BlockChunking(max_chars=rng.choice([8, 30, 90]), min_chars=2, overlap=0, max_table_chars=12, keep_table_intact=bool(trial % 2), keep_formula_with_context=bool(trial % 3))
+        kinds, sections = rng.choice([["text"], ["title", "text", "table", "formula"], ["title", "table"]]), rng.choice([1, 3])
+        items = [(i, rng.choice(kinds), "x" * rng.choice([1, 1, 3, 7, 20, 100]), (str(rng.randrange(sections)),)) for i in range(rng.randint(1, 300))]
+        far = reach(settings)
+        width = far + rng.randint(0, 5)
+        state, got = (0, 0, 0), []
+        for a in range(0, len(items), width):
+            own = items[a : a + width]
+            slim = [(how, len(p) if how == "apart" else 1, len(c), k == "title", s) for _, k, c, s in items[a : a + width + far] for how, p in [placement(k, c, settings)]]
+            lead, parts, number = state
+            got += [(number + c, *rest) for c, *rest in numbered_pieces(own, settings, lead, parts)]
+            left = span_ends(slim, len(own), settings.max_chars, far)[lead]
+            state = (left[0], left[1], number + left[2])
+        assert got == list(numbered_pieces(items, settings))
+
+
+def test_a_long_document_is_many_tasks(spark, monkeypatch):
+    """9000 blocks of one section, and 9000 of changing ones, in spans: equal to one pass, and no task reads a whole document."""
+    settings = BlockChunking(60, 10, 0)
+    rng = random.Random(3)
+    items = [(d, "r", i, rng.choice(["text", "text", "text", "table"]) if d == "mixed" else "text", "w" * rng.choice([1, 5, 20, 80]), [str(i // 50)] if d == "mixed" and i % 50 == 0 else []) for d in ("plain", "mixed") for i in range(9000)]
+    df = spark.createDataFrame(items + [("short", "r", 5, "text", "alone", [])], "document_id string, parse_run_id string, block_index int, block_type string, text string, section_path array<string>")
+    none = F.lit(None).cast("string")
+    df = df.withColumns({"markdown": none, "html": none, "latex": none, "caption": none}).repartition(7)
+
+    def one_pass(doc):
+        path, rows = (), []
+        for d, _, i, kind, text, own in items:
+            if d == doc:
+                path = tuple(own) or path
+                rows.append((i, kind, text, path))
+        return [(doc, "r", *x) for x in numbered_pieces(rows, settings)]
+
+    want = one_pass("plain") + one_pass("mixed") + [("short", "r", 0, 0, 5, "alone")]
+    for span in (500, 4096):
+        monkeypatch.setattr(block_chunking, "SPAN", span)
+        parts = fragments(prepared_blocks(df, settings), settings)
+        assert sorted(map(tuple, parts.collect())) == sorted(want)
+    monkeypatch.setattr(block_chunking, "SPAN", 500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = fragments(prepared_blocks(df.where("document_id = 'plain'"), settings), settings).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 0.6 * sum(r["count"] for r in tasks)
