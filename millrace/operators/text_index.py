@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -12,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.config import Bm25
-from millrace.errors import require
 from millrace.functions.analysis import Analyzer
 from millrace.functions.text import latin_tokens
+from millrace.operators import versions
 from millrace.operators.retrieval import bm25, ranked
 from millrace.session import shared_folder
 
@@ -59,36 +58,16 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
-def _file(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def open_index(spark: SparkSession, path: str, version: int | None = None) -> TextIndex:
     """The newest version of an index, or the one asked for; version 0, without segments, where nothing was written."""
-    fs, at = _file(spark, f"{path}/versions")
-    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-    known = sorted(int(n[: -len(".json")]) for n in names if n.endswith(".json") and n[0] != ".")
-    version = version if version is not None else (known[-1] if known else 0)
-    require(version == 0 or version in known, "SEARCH_INDEX_NOT_FOUND", "no such version of the index", version=version)
-    if version == 0:
-        return TextIndex(spark, path, 0, ())
-    told = spark.read.text(f"{path}/versions/{version:09d}.json", wholetext=True).first()[0]
-    return TextIndex(spark, path, version, tuple(json.loads(told)["segments"]))
+    version, held = versions.told(spark, path, version)
+    return TextIndex(spark, path, version, tuple(held.get("segments", ())))
 
 
 def _commit(index: TextIndex, segments: tuple[str, ...]) -> TextIndex:
     """Make the next version, of these segments, by one rename; an error if another writer has made it meanwhile."""
-    spark, version = index.spark, index.version + 1
-    fs, done = _file(index.spark, f"{index.path}/versions/{version:09d}.json")
-    _, part = _file(spark, f"{index.path}/versions/.{uuid.uuid4().hex}")
-    out = fs.create(part, False)
-    out.write(bytearray(json.dumps({"segments": segments}).encode()))
-    out.close()
-    if fs.exists(done) or not fs.rename(part, done):
-        fs.delete(part, False)
-        require(False, "SEARCH_INDEX_REBUILD_FAILED", "another writer has made this version", version=version)
-    return TextIndex(spark, index.path, version, segments)
+    versions.switch(index.spark, index.path, index.version + 1, {"segments": segments})
+    return TextIndex(index.spark, index.path, index.version + 1, segments)
 
 
 def _write(counts: DataFrame, sizes: DataFrame, path: str) -> str:
@@ -140,7 +119,7 @@ def remove_old(index: TextIndex) -> int:
     """Remove segments that this version has not, once nobody reads older ones or writes; how many folders that was."""
     gone = 0
     for kind in ("blocks", "totals"):
-        fs, at = _file(index.spark, f"{index.path}/{kind}")
+        fs, at = versions.hadoop_file(index.spark, f"{index.path}/{kind}")
         for found in fs.listStatus(at) if fs.exists(at) else ():
             if found.getPath().getName().partition("=")[2] not in index.segments:
                 gone += bool(fs.delete(found.getPath(), True))

@@ -310,6 +310,9 @@ SELECT document_id, chunk_index, content, 'not_started' AS embedding_status FROM
   CASE WHEN done THEN 'chunks exist' WHEN doc_id % 5 = 2 OR text IS NULL THEN 'unknown kind of file or no content' ELSE 'no text' END AS reason
 FROM (SELECT doc_id, text, doc_id IN (SELECT doc_id FROM labels) AS done FROM documents) WHERE done OR doc_id % 5 = 2 OR text IS NULL OR (doc_id % 5 <> 4 AND {_strip("text")} = '')""",
     "stream_chunks": f"WITH {_chunks(1000, 100)} SELECT document_id, chunk_index, char_start, length(content)::int AS character_count FROM c",
+    "stream_refresh": f"""WITH m AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+r AS (SELECT d.doc_id, CASE WHEN quality = 1 THEN text || ' and ' || text ELSE text END AS text FROM documents d LEFT JOIN m USING (doc_id) WHERE toxic IS DISTINCT FROM 1), {_chunks(1000, 100, "r")}
+SELECT document_id, chunk_index, char_start, length(content)::int AS character_count, md5(content) AS content_md5 FROM c""",
     "document_lookup": "SELECT l.doc_id * 3 AS doc_id, d.lang, d.source, CASE WHEN d.doc_id IS NULL THEN 'DOCUMENT_NOT_FOUND' END AS error FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id * 3",
     "item_navigation": f"WITH {_chunks(1000, 100)} SELECT document_id, chunk_index, length(content)::int AS character_count FROM c WHERE document_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "item_sources": """WITH c AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 10 = 9 THEN doc_id + 1000000000 ELSE doc_id - doc_id % 2 END AS d FROM documents),

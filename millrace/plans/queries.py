@@ -23,12 +23,13 @@ from millrace.operators.knowledge import children, chunk_selection, clashes, fol
 from millrace.operators.messages import conversation_faults
 from millrace.operators.retrieval import Field, best_field, doc_lengths, fuse, hybrid_search, keyword_scores, multi_field_scores, parsed_hits, postings, query_terms, ranked, term_stats, vector_topk, vector_topk_batch, with_highlights
 from millrace.operators.runs import activate_runs, block_summaries, latest, page, run_status, unparsed
+from millrace.operators.document_table import open_table
 from millrace.operators.text_index import TextIndex, add_documents, merge_segments, open_index, search_index
 from millrace.plans.parsing import parse_lists, parse_texts
 from millrace.plans.rag import prompts
 from millrace.session import shared_folder, spread, state_of, table
 from millrace.sources.files import upload_faults
-from millrace.streaming.ingest import ingest, read_documents
+from millrace.streaming.ingest import ingest, read_documents, refresh
 
 #: Dictionary terms in the words of the test tables.
 TERMS = ("the", "and", "der", "les", "que", "para")
@@ -471,6 +472,21 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/chunks").select("document_id", "chunk_index", "char_start", "character_count")
 
 
+def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions of all documents through a stream that replaces their chunks: labelled ones come again, longer if they are good
+    and without a text if they are toxic; the last revisions are read in one batch with the first."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    longer = docs.join(marks.where("quality = 1").select("doc_id"), "doc_id").select("doc_id", F.concat(F.col("text"), F.lit(" and "), F.col("text")).alias("text"), F.lit(2).cast("long").alias("revision"))
+    gone = marks.where("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(3).cast("long").alias("revision"))
+    folder = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    first = docs.withColumn("revision", F.lit(1).cast("long"))
+    for n, part in enumerate((longer, first.unionByName(gone.where("doc_id % 2 = 0")), gone.where("doc_id % 2 = 1"))):
+        part.write.parquet(f"{folder}/in/part={n}")
+        refresh(read_documents(spark, f"{folder}/in/part=*", part.schema), f"{folder}/table", f"{folder}/state", "documents").awaitTermination()
+    return open_table(spark, f"{folder}/table").rows().select("document_id", "chunk_index", "char_start", "character_count", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
+
+
 def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "labels").select((F.col("doc_id") * 3).alias("doc_id"))
     return found_by_id(_documents(spark, sf_dir).select("doc_id", "lang", "source"), wanted, "doc_id")
@@ -533,7 +549,7 @@ QUERIES = {
         document_lengths, posting_lists, bm25_topk, bm25_multifield, rrf_fusion, hybrid_search_batch, hybrid_highlights, hybrid_document_filter, exact_terms_found, matched_terms, context_pack, context_text,
         citation_list, prompt_texts, extraction_prompts, content_hashes, duplicates_skipped, list_filter, latest_per_key, active_runs, run_statuses, review_states, version_snapshots,
         extraction_validation, syncable_chunks, embedding_statuses, index_drift, index_refresh, unparsed_documents, ordered_chunks, summaries, text_functions, upload_validation,
-        message_validation, normalized_blocks, page_blocks, page_assets, page_chunks, page_lineage, asset_resolution, parsed_chunks, parse_failures, stream_chunks,
+        message_validation, normalized_blocks, page_blocks, page_assets, page_chunks, page_lineage, asset_resolution, parsed_chunks, parse_failures, stream_chunks, stream_refresh,
         analyzed_terms, analyzed_search, index_versions, json_sanitized, parse_decisions,
         document_lookup, item_navigation, item_sources, patch_duplicates, search_hits, block_listing, stored_block_rows,
     )
