@@ -167,6 +167,10 @@ SELECT count(*) AS chunk_count, coalesce(sum(length(content)), 0)::bigint AS tot
   coalesce(avg(length(content)), 0) AS avg_chars FROM c""",
     "chunk_page": f"""WITH {_chunks(1000, 100)}
 SELECT document_id, chunk_index, length(content)::int AS character_count, (SELECT count(*) FROM c) AS total FROM c ORDER BY document_id, chunk_index LIMIT 50 OFFSET 100""",
+    "chunk_deep_page": f"""WITH {_chunks(1000, 100)}, k AS (SELECT document_id, chunk_index, length(content)::int AS character_count FROM c),
+a AS (SELECT *, (SELECT count(*) FROM k) AS total, 'offset' AS part FROM k ORDER BY character_count DESC, document_id, chunk_index LIMIT 100 OFFSET 1500),
+b AS (SELECT *, 0::bigint AS total, 'after' AS part FROM k WHERE (-character_count, document_id, chunk_index) > (-700, 50, 0) ORDER BY character_count DESC, document_id, chunk_index LIMIT 100)
+SELECT * FROM a UNION ALL SELECT * FROM b""",
     "vector_top10": """WITH w AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
 d AS (SELECT vec_id, round(1 - list_cosine_similarity(e.embedding::double[], w.embedding::double[]), 9) AS x FROM embeddings e, w)
 SELECT vec_id, round(x, 6) + 0.0 AS distance, round(1 - x, 6) AS score FROM d ORDER BY x, vec_id LIMIT 10""",

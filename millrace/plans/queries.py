@@ -24,6 +24,7 @@ from millrace.operators.messages import conversation_faults
 from millrace.operators.retrieval import Field, best_field, doc_lengths, fuse, hybrid_search, keyword_scores, multi_field_scores, parsed_hits, postings, query_terms, ranked, term_stats, vector_topk, vector_topk_batch, with_highlights
 from millrace.operators.runs import activate_runs, block_summaries, latest, page, run_status, unparsed
 from millrace.operators.document_table import open_table
+from millrace.operators.paging import deep_page, page_after
 from millrace.operators.text_index import TextIndex, add_documents, merge_segments, open_index, search_index
 from millrace.plans.parsing import parse_lists, parse_texts
 from millrace.plans.rag import prompts
@@ -69,6 +70,14 @@ def chunk_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(chunks, [F.col("document_id"), F.col("chunk_index")], limit=50, offset=100)
 
 
+def chunk_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far into all chunks, of which a range around it is sorted, and the page that follows a row."""
+    chunks = window_chunks(_documents(spark, sf_dir)).select("document_id", "chunk_index", "character_count")
+    order = ["character_count desc", "document_id", "chunk_index"]
+    far = deep_page(chunks, order, limit=100, offset=1500, most=256).withColumn("part", F.lit("offset"))
+    return far.unionByName(page_after(chunks, order, (700, 50, 0), limit=100).withColumns({"total": F.lit(0).cast("long"), "part": F.lit("after")}))
+
+
 def vector_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     first = rows.where("vec_id = 0").select("embedding").first()
@@ -545,7 +554,7 @@ def stored_block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_fixed, chunk_statistics, chunk_totals, chunk_page, vector_top10, vector_top10_filtered, vector_batch, vector_norms, hash_embedding, hash_embedding_topk, term_statistics,
+        chunk_fixed, chunk_statistics, chunk_totals, chunk_page, chunk_deep_page, vector_top10, vector_top10_filtered, vector_batch, vector_norms, hash_embedding, hash_embedding_topk, term_statistics,
         document_lengths, posting_lists, bm25_topk, bm25_multifield, rrf_fusion, hybrid_search_batch, hybrid_highlights, hybrid_document_filter, exact_terms_found, matched_terms, context_pack, context_text,
         citation_list, prompt_texts, extraction_prompts, content_hashes, duplicates_skipped, list_filter, latest_per_key, active_runs, run_statuses, review_states, version_snapshots,
         extraction_validation, syncable_chunks, embedding_statuses, index_drift, index_refresh, unparsed_documents, ordered_chunks, summaries, text_functions, upload_validation,
