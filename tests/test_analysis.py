@@ -7,8 +7,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.analysis import Dictionary, max_word, smart
-from millrace.operators.retrieval import FIELDS, multi_field_scores, query_terms, ranked
+from millrace.functions.analysis import ByRuns, Dictionary, max_word, smart
+from millrace.operators.retrieval import FIELDS, Field, multi_field_scores, query_terms, ranked
 
 
 def cut(spark, texts, *analyzers):
@@ -70,3 +70,19 @@ def test_long_texts_take_time_in_proportion(spark):
         df = spark.range(1).select(F.repeat(F.lit(unit), 400_000 // len(unit)).alias("x"))
         df.select(F.size(max_word(F.col("x"))), F.size(smart(F.col("x")))).first()
         assert time.perf_counter() - began < 30, unit
+
+
+def test_runs_cut_once_score_as_whole_texts(spark):
+    """A text's words are those of its runs; scores by runs equal scores by texts, with null, empty and letterless texts counted."""
+    held = Dictionary(("the", "th", "he", "er", "re", "ere", "st", "a"), ("er",), letters="a-z", latin=False)
+    rng = random.Random(4)
+    texts = [None, "", "12 !", *["".join(rng.choice("thersax  -") for _ in range(rng.randint(0, 80))) for _ in range(60)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "there st"), (2, "xaxa"), (3, "q")], "query_id int, text string")
+    terms = query_terms(asked, analyzer=lambda x: smart(x, held))
+    fields = lambda every, best: (Field("text", 3.0, every), Field("text", 1.0, best))
+    plain = multi_field_scores(docs, terms, fields(lambda x: max_word(x, held), lambda x: smart(x, held)))
+    by_runs = multi_field_scores(docs, terms, fields(ByRuns(max_word, held), ByRuns(smart, held)))
+    assert sorted(map(tuple, by_runs.collect())) == sorted(map(tuple, plain.collect())) and plain.count() > 30
+    with pytest.raises(ValueError):
+        ByRuns(smart, Dictionary())
