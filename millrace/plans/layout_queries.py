@@ -10,7 +10,7 @@ from millrace.operators.block_chunking import assembled_chunks, fragments, linea
 from millrace.operators.blocks import first_assets, run_totals
 from millrace.operators.chunking import new_chunk_rows
 from millrace.plans.queries import _conversation_blocks
-from millrace.session import spread, table
+from millrace.session import spread, stored, table
 
 
 def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,21 +31,18 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _layout_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    prepared = prepared_blocks(layout_blocks(spark, sf_dir))
-    parts = fragments(prepared)
-    return assembled_chunks(parts, prepared), parts
-
-
 def layout_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held, _ = _layout_chunks(spark, sf_dir)
+    prepared = prepared_blocks(layout_blocks(spark, sf_dir))
+    held = assembled_chunks(fragments(prepared), prepared)
     joined = lambda c: F.array_join(c, "|").alias(c)
     return held.select("document_id", "chunk_index", "content", "page_start", "page_end", "section_title", "chunk_type", "content_format", joined("block_keys"), joined("block_types"), joined("asset_keys"), "token_count")
 
 
 def layout_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of chunks, as they are stored, to blocks."""
-    held, parts = _layout_chunks(spark, sf_dir)
+    prepared = prepared_blocks(layout_blocks(spark, sf_dir))
+    parts = stored(fragments(prepared), "fragments")  # read by both
+    held = assembled_chunks(parts, prepared)
     links = linked(lineage(parts), new_chunk_rows(held, "parse_run_id"))
     return links.select("document_id", "chunk_id", "block_index", F.col("block_order").cast("int").alias("block_order"), "error")
 
