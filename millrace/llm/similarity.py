@@ -1,7 +1,8 @@
-"""Near copies by similarity: documents whose sets of word shingles have a Jaccard similarity of a least value, exactly."""
+"""Near copies: candidates by an index of wide SimHash fingerprints, then sets of word shingles compared by their Jaccard similarity."""
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -14,15 +15,16 @@ from pyspark.sql import functions as F
 from millrace.llm.common import small_batches, staged
 from millrace.llm.components import connected_components
 
-#: About so many documents tell which shingles are common. That orders the shingles, and changes no result.
-SAMPLE_DOCS = 4000
+#: Turns of the index in groups of places + 1, by places: of pairs of similarity 0.8 about two in 10^6 share no key of 40
+#: groups, and ten in 10^6 none of 80 (places: see places_of()). A group with more places is missed more often.
+GROUPS = {2: 40, 3: 80}
 #: Nodes that are compared as one block: larger groups fall into pairs of chunks of about half this size.
 CHUNK_NODES = 2048
 #: Groups of so many nodes at most give pairs; each pair is compared once, whatever the number of keys it shares.
 PAIR_NODES = 32
 #: 64-bit words of the fingerprints that pairs are told apart by before they are compared, if both sets have LONG shingles:
-#: the statistics of short ones are coarse, and they cost little.
-WORDS, LONG = 4, 64
+#: the statistics of short ones are coarse, and they cost little. The index is made from so many words' sums.
+WORDS, LONG, SUMS = 4, 64, 8
 #: Partners of a node that are compared with it as one block.
 STAR_NODES = 256
 _BITS = 26
@@ -63,18 +65,21 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def wide_fingerprint(shingles: np.ndarray) -> list[int]:
-    """A SimHash of WORDS times 64 bits, as signed longs: a bit is 1 if it is set in over half the shingles' hashes."""
-    out = []
-    for k in range(WORDS):
+def bit_sums(shingles: np.ndarray) -> np.ndarray:
+    """SimHash before its bits are decided: for each of 64 * SUMS bits, the hashes that have it less those that lack it."""
+    out = np.zeros((SUMS, 64), np.int64)
+    for k in range(SUMS):
         h = (shingles + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-        ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 16):  # a long text in steps of bounded memory
-            ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True))
-    return out
+            out[k] += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return (2 * out - len(shingles)).ravel()
+
+
+def wide_fingerprint(sums: np.ndarray) -> list[int]:
+    """The SimHash of WORDS times 64 bits, as signed longs: a bit is 1 if it is set in over half the shingles' hashes."""
+    return [int.from_bytes(x.tobytes(), "big", signed=True) for x in np.packbits(sums[: 64 * WORDS].reshape(WORDS, 64) > 0, axis=1)]
 
 
 def most_bits(similarity: float) -> int:
@@ -84,70 +89,95 @@ def most_bits(similarity: float) -> int:
     return math.ceil(n * p + 6 * math.sqrt(n * p * (1 - p)))
 
 
-def prefix_keys(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys (upper half) and places (lower half) of the first shingles, common ones last: two sets that are similar
-    enough have one of these in common.
+def places_of(docs: int) -> int:
+    """So many turns' bits make a key: about 4 documents at most, besides near copies, then share one by chance."""
+    return min(max(GROUPS), max(2, math.ceil((math.log2(max(1, docs)) - 2) / 10)))
 
-    Similar sets share at least similarity * n of the n shingles of either; so, in an order that holds for all sets, the
-    first n - ceil(similarity * n) + 1 of each can't all be missing from the other's. Keys are folded to 32 bits, which
-    can only add candidates; of equal keys the first place stays.
-    """
-    n = len(shingles)
-    if not n:
-        return np.zeros(0, np.int64)
-    last = np.zeros(n, bool)
-    if len(common):
-        last = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
-    first = shingles[np.argsort(last, kind="stable")[: n - math.ceil(similarity * n - _EPS) + 1]]
-    key, at = np.unique((first ^ (first >> np.uint64(32))).astype(np.uint32).view(np.int32), return_index=True)
-    return (key.astype(np.int64) << 32) | at
-
-
-def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Shingles of three or more distinct texts of a sample of bounded size."""
-    n = texts.count()
-    part = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE_DOCS))) == 0) if n > SAMPLE_DOCS else texts
-    udf = F.pandas_udf(lambda s: pd.Series([shingle_set(t, width).view(np.int64) for t in s]), "array<bigint>")
-    often = part.distinct().select(F.explode(udf("text")).alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(1 << 18)
-    return np.sort(often.select("h").toPandas().h.to_numpy(np.int64).view(np.uint64))
-
-
-def fitting(n: np.ndarray, place: np.ndarray, rows: slice, similarity: float) -> np.ndarray:
-    """Which of the nodes with a key in common can be similar to which, if this key is the first that the two share.
-
-    Then they share at most this shingle and what comes after it in the one with less after it; similar sets share
-    similarity / (1 + similarity) of both sizes' sum.
+
+@functools.cache
+def _mixing(turns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of random signs a turn, and two Hadamard matrices whose product is the one for all sums."""
+    signs = np.random.RandomState(42).randint(0, 2, (turns, 64 * SUMS)) * 2.0 - 1
+    hadamard = lambda k: np.array([[1.0 - 2 * ((i & j).bit_count() & 1) for j in range(k)] for i in range(k)])
+    return signs, hadamard(2 * SUMS), hadamard(32)
+
+
+def most_decided(sums: np.ndarray, turns: int) -> np.ndarray:
+    """For each row of bit_sums(), the most decided bit of each turn: its place, and whether it is set.
+
+    In a turn the sums get random signs and are mixed by a Hadamard matrix: these are the sums of a SimHash by other random
+    hyperplanes, at the same angles. Two sets of similarity 0.8 share the most decided of 512 bits in a third of the turns,
+    unrelated ones in one of 1024. All sums are whole numbers that the type holds, so that every machine finds the same.
     """
-    after, x, y = n - place, n[rows, None], n[None, :]
-    fits = np.minimum(after[rows, None], after[None, :]) >= similarity / (1 + similarity) * (x + y) - _EPS
-    fits &= np.minimum(x, y) >= similarity * np.maximum(x, y) - _EPS
+    kind = np.float32 if not len(sums) or np.abs(sums).sum(axis=1).max() < 1 << 24 else np.float64
+    signs, left, right = (x.astype(kind) for x in _mixing(turns))
+    out = np.zeros((len(sums), turns), np.int16)
+    for at in range(0, len(sums), 256):
+        part = sums[at : at + 256].astype(kind)
+        for turn, sign in enumerate(signs):
+            mixed = (left @ ((part * sign).reshape(-1, 32) @ right).reshape(-1, 2 * SUMS, 32)).reshape(len(part), -1)
+            place = np.abs(mixed).argmax(axis=1)
+            out[at : at + 256, turn] = 2 * place + (mixed[np.arange(len(part)), place] > 0)
+    return out
+
+
+def index_keys(decided: np.ndarray, places: int) -> np.ndarray:
+    """Keys of the index, of rows of most_decided(): the bits of all turns of a group but one, and which turn that is."""
+    bits = decided.astype(np.int64).reshape(len(decided), -1, places + 1)
+    groups, keys = np.arange(bits.shape[1]), np.empty_like(bits)
+    for out in range(places + 1):
+        key = groups * (places + 1) + out
+        for turn in range(places + 1):
+            key = key if turn == out else (key << 10) | bits[:, :, turn]
+        keys[:, :, out] = key
+    return keys.reshape(len(decided), decided.shape[1])
+
+
+def _keyed(places: int):
+    """Of rows (node, n, decided) a row (key, node, n) for each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node, n = (c.to_numpy(zero_copy_only=False) for c in b.columns[:2])
+            keys = index_keys(np.array([np.frombuffer(x, "<i2") for x in b.columns[2].to_pylist()]), places)
+            for at in range(0, len(keys), 256):
+                part, m = keys[at : at + 256], keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.repeat(node[at : at + 256], m)), pa.array(np.repeat(n[at : at + 256], m))], names=["key", "node", "n"])
+
+    return run
+
+
+def fitting(n: np.ndarray, rows: slice, similarity: float) -> np.ndarray:
+    """Which of the nodes with a key in common can be similar to which, by their sizes."""
+    x, y = n[rows, None], n[None, :]
+    fits = np.minimum(x, y) >= similarity * np.maximum(x, y) - _EPS
     fits[np.arange(len(fits)), np.arange(rows.start, rows.start + len(fits))] = False
     return fits
 
 
 def _shared(similarity: float):
-    """Of rows (key, node, size: n and place) sorted by key: pairs (node, other) of small groups, m being 2; and the nodes
+    """Of rows (key, node, n) sorted by key: pairs (node, other) of small groups, m being 2; and the nodes
     of larger groups that can have a partner, m being their number."""
-    schema = pa.schema([("key", pa.int32()), ("node", pa.int64()), ("other", pa.int64()), ("m", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("m", pa.int64())])
 
-    def of(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    def of(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         lengths = np.diff(np.r_[starts, len(key)])
-        n, place = size >> 32, size & 0xFFFFFFFF
         two = starts[lengths == 2]
         low, high = np.minimum(n[two], n[two + 1]), np.maximum(n[two], n[two + 1])
-        after = np.minimum(n[two] - place[two], n[two + 1] - place[two + 1])
-        two = two[(low >= similarity * high - _EPS) & (after >= similarity / (1 + similarity) * (low + high) - _EPS)]
+        two = two[low >= similarity * high - _EPS]
         left, right, m = [two], [two + 1], [np.full(len(two), 2)]
         for a, k in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
-            of_n, of_place = n[a : a + k], place[a : a + k]
+            of_n = n[a : a + k]
             if k <= PAIR_NODES:
-                i, j = np.nonzero(np.triu(fitting(of_n, of_place, slice(0, k), similarity)))
+                i, j = np.nonzero(np.triu(fitting(of_n, slice(0, k), similarity)))
                 left.append(a + i), right.append(a + j), m.append(np.full(len(i), 2))
                 continue
             at = a + np.arange(k)
             if k <= 2 * CHUNK_NODES:
-                at = at[np.concatenate([fitting(of_n, of_place, slice(b, b + 512), similarity).any(axis=1) for b in range(0, k, 512)])]
+                at = at[np.concatenate([fitting(of_n, slice(b, b + 512), similarity).any(axis=1) for b in range(0, k, 512)])]
             left.append(at), right.append(at), m.append(np.full(len(at), max(3, len(at))))
         left, right = np.concatenate(left), np.concatenate(right)
         a, b = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
@@ -281,36 +311,37 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents without near copies: of those that chains of similar pairs connect, the row with the smallest id stays
     (nulls last). Similar: the Jaccard similarity of the sets of word shingles is similarity or more; every such pair counts.
 
-    Documents of equal sets are one node. Nodes meet by the keys of prefix_keys(): an index by SimHash segments would have to
-    allow for a fifth of all bits, and then selects nothing. Pairs of long sets whose wide SimHash fingerprints differ in
-    more than most_bits() go; the others are compared by their whole sets, unless links connect them already. Texts
-    without words equal each other and nothing else.
+    Documents of equal sets are one node. Nodes meet in an index of wide SimHash fingerprints (index_keys()). Pairs of long sets
+    whose fingerprints differ in more than most_bits() go; the others are compared by their whole sets, unless links
+    connect them already. Texts without words equal each other and nothing else.
     """
     spark = small_batches(docs).sparkSession
-    seen = spark.sparkContext.broadcast(common_shingles(docs.select(F.col(text_col).alias("text")), width))
+    places = places_of(docs.count())
+    turns = GROUPS[places] * (places + 1)
 
-    @F.pandas_udf("node bigint, n bigint, keys array<bigint>, fp array<bigint>")
+    @F.pandas_udf("node bigint, n bigint, decided binary, fp array<bigint>")
     def hashed_of(texts: pd.Series) -> pd.DataFrame:
-        nodes, sizes, keys, prints = np.zeros(len(texts), np.uint64), [], [], []
+        nodes, sizes, prints, sums = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), [], np.zeros((len(texts), 64 * SUMS), np.int64)
         for i, text in enumerate(texts):
             s = shingle_set(text, width)
-            nodes[i] = signature(s)
-            sizes.append(len(s)), keys.append(prefix_keys(s, seen.value, similarity)), prints.append(wide_fingerprint(s) if len(s) >= LONG else None)
-        return pd.DataFrame({"node": nodes.view(np.int64), "n": sizes, "keys": keys, "fp": prints})
+            nodes[i], sizes[i], sums[i] = signature(s), len(s), bit_sums(s)
+            prints.append(wide_fingerprint(sums[i]) if len(s) >= LONG else None)
+        decided = [x.tobytes() for x in most_decided(sums, turns).astype("<i2")]
+        return pd.DataFrame({"node": nodes.view(np.int64), "n": sizes, "decided": decided, "fp": prints})
 
     found = docs.select(F.monotonically_increasing_id().alias("__row"), hashed_of(F.col(text_col)).alias("__h"), F.struct(*docs.columns).alias("__doc"))
-    hashed = staged(found.select("__row", F.col("__h.node").alias("node"), F.col("__h.n").alias("n"), F.col("__h.keys").alias("keys"), F.col("__h.fp").alias("fp"), "__doc"), "similar-docs")
+    hashed = staged(found.select("__row", F.col("__h.node").alias("node"), F.col("__h.n").alias("n"), F.col("__h.decided").alias("decided"), F.col("__h.fp").alias("fp"), "__doc"), "similar-docs")
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("__row"))
     least = staged(hashed.select("node", "__row", F.col(f"__doc.`{id_col}`").alias("id")).groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "similar-nodes")
-    keyed = hashed.groupBy("node").agg(F.first(F.struct("n", "keys")).alias("h")).select("node", "h.n", F.explode("h.keys").alias("k"))
-    keyed = keyed.select(F.shiftright("k", 32).cast("int").alias("key"), "node", F.shiftleft("n", 32).bitwiseOR(F.col("k").bitwiseAND(F.lit(0xFFFFFFFF))).alias("size"))
-    shared = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(similarity), "key int, node bigint, other bigint, m bigint"), "similar-keys")
+    able = F.col("n") * (1 - similarity) >= similarity - _EPS  # smaller sets are equal or less similar
+    keyed = hashed.where(able).groupBy("node").agg(F.first(F.struct("n", "decided")).alias("h")).select("node", "h.n", "h.decided").mapInArrow(_keyed(places), "key bigint, node bigint, n bigint")
+    shared = staged(keyed.select("key", "node", "n").repartition("key").sortWithinPartitions("key").mapInArrow(_shared(similarity), "key bigint, node bigint, other bigint, m bigint"), "similar-keys")
 
     chunks = F.ceil(F.col("m") * F.lit(2) / F.lit(CHUNK_NODES)).cast("int")
     chunks = F.when(F.col("m") <= CHUNK_NODES, F.lit(1)).otherwise(chunks)
     prints = hashed.where("fp is not null").groupBy("node").agg(F.first("fp").alias("fp"))
     most = most_bits(similarity)
-    placed = shared.where("m > 2").select(F.col("key").cast("long").alias("key"), "node", chunks.alias("c")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("c")))
+    placed = shared.where("m > 2").select("key", "node", chunks.alias("c")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("c")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c").cast("long") - 1))).select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node")
     placed = placed.join(prints, "node", "left").groupBy("key", "lo", "hi").applyInArrow(_with_partner(most), "key bigint, lo bigint, hi bigint, part bigint, node bigint")
 

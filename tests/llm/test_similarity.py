@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -62,3 +63,27 @@ def test_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a b c", 1), (None, "a b c", 2), (3, "x y", 3)], "doc_id long, text string, n int")
     assert keep_dissimilar(docs).count() == 2 and keep_dissimilar(docs.unionByName(docs)).count() == 2
     assert keep_dissimilar(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("places", [2, 3])
+def test_similar_sets_meet_in_the_index_of_fingerprints(places):
+    rng = np.random.default_rng(4)
+    one, other = [], []
+    for n in [4] * 100 + [9] * 100 + [40] * 100 + [400] * 100:  # similarity 0.8, or the least above it
+        x = rng.integers(0, 2**63, n + n // 4, dtype=np.uint64)
+        one.append(similarity.bit_sums(x)), other.append(similarity.bit_sums(x[:n]))
+    keys = [similarity.index_keys(similarity.most_decided(np.array(sums), similarity.GROUPS[places] * (places + 1)), places) for sums in (one, other)]
+    assert (keys[0] == keys[1]).any(axis=1).all()
+    assert (keys[0] == np.roll(keys[1], 1, axis=0)).sum() <= 2  # unrelated ones, 400 pairs
+    assert all(len(set(k)) == len(k) for k in keys[0].tolist())
+
+
+def test_places_grow_with_the_table():
+    assert [similarity.places_of(n) for n in (0, 1, 1 << 22, (1 << 22) + 1, 1 << 40)] == [2, 2, 2, 3, 3]
+
+
+def test_sums_are_the_same_in_both_types():
+    rng = np.random.default_rng(5)
+    sums = np.array([similarity.bit_sums(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (0, 1, 50, 500)])
+    large = np.full((1, 64 * similarity.SUMS), 1 << 20)
+    assert (similarity.most_decided(sums, 12) == similarity.most_decided(np.concatenate([sums, large]), 12)[:-1]).all()
