@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.config import WindowChunking
-from millrace.functions.text import is_blank, token_estimate
+from millrace.functions.text import is_blank
 from millrace.schemas import EMBEDDING_STATUSES
 
 
@@ -18,10 +18,12 @@ def window_chunks(docs: DataFrame, settings: WindowChunking = WindowChunking(),
     """
     text, n = F.col(text_col), F.length(text_col)
     last = F.ceil(F.greatest(n - settings.size, F.lit(0)) / settings.step).cast("int")
-    rows = docs.where(~is_blank(text)).select(F.col(id_col).alias("document_id"), text.alias("whole"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
+    rows = docs.where(~is_blank(text)).select(F.col(id_col).alias("document_id"), text.alias("whole"), n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
     start = (F.col("chunk_index") * settings.step).cast("int")
-    rows = rows.select("document_id", "chunk_index", F.substring("whole", start + 1, F.lit(settings.size)).alias("content"), start.alias("char_start"))
-    return rows.select("*", (F.col("char_start") + F.length("content")).alias("char_end"), F.length("content").alias("character_count"), token_estimate(F.col("content")).alias("token_count"))
+    count = F.least(F.lit(settings.size), F.col("n") - start)  # without the content: who asks for lengths cuts no text
+    rows = rows.select("document_id", "chunk_index", F.substring("whole", start + 1, F.lit(settings.size)).alias("content"), start.alias("char_start"), count.alias("character_count"))
+    tokens = F.greatest(F.lit(1), F.ceil(F.col("character_count") / 4)).cast("int")  # token_estimate() of the content
+    return rows.select("document_id", "chunk_index", "content", "char_start", (F.col("char_start") + F.col("character_count")).alias("char_end"), "character_count", tokens.alias("token_count"))
 
 
 def chunk_stats(chunks: DataFrame, *by: str, length: Column | None = None) -> DataFrame:

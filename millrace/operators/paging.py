@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.errors import require
 from millrace.operators.runs import page
+from millrace.session import stored
 
 #: Rows that may be sorted for a page; ranges that a search for the page tells apart at a time; rows that mark their ends.
 RANGE_ROWS, RANGES, MARKS = 100_000, 32, 1024
@@ -56,11 +57,12 @@ def page_range(rows: DataFrame, order: Sequence[str], limit: int, offset: int, m
 
     The order's values of some rows, chosen by a hash, part the rows into ranges; one aggregate counts what lies before each
     mark. The range around the page is parted again until it has at most so many rows (or rows that are equal in the
-    order). Marks only steer: whichever they are, the range and the count before it are exact. Reads the order's columns, a few
-    times, and moves a row of counts a task.
+    order). Marks only steer: whichever they are, the range and the count before it are exact. Computes the order's columns once,
+    reads what that stores a few times, and moves a row of counts a task.
     """
     names = [name for name, _ in _keys(order)]
-    keys, before, total = rows.select(*names), 0, None
+    keys, before, total = stored(rows.select(*names), "page-keys"), 0, None
+    wanted = keys.select(*rows.columns) if set(rows.columns) == set(names) else rows
     within = F.lit(True)
     level = 0
     while True:
@@ -78,7 +80,7 @@ def page_range(rows: DataFrame, order: Sequence[str], limit: int, offset: int, m
             within = within & precedes(order, end, rows)
         before += low
         if high - low <= most or high - low == told.n:
-            return rows.where(within), before, total
+            return wanted.where(within), before, total
         level += 1
 
 

@@ -5,8 +5,10 @@ import hashlib
 from pyspark.sql import functions as F
 
 from millrace.operators.block_chunking import prepared_blocks
+from millrace.operators.chunking import window_chunks
 from millrace.operators.embedding import CodePointHashes
 from millrace.operators.items import created
+from millrace.operators.paging import page_range
 from millrace.plans.layout_queries import layout_blocks
 
 
@@ -42,3 +44,23 @@ def test_items_are_decided_by_ids_and_hashes(spark, monkeypatch):
     assert "content" not in wide[0].columns and done.items.count() + done.refused.count() == docs.count()
     plan = wide[0]._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" in plan and "Join" not in plan and "sha2" not in plan
+
+
+def test_a_deep_page_computes_its_order_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x * 7 % 5003
+
+    rows = spark.range(0, 5000, 1, 4).select(counted("id").alias("k"), "id")
+    found, before, total = page_range(rows, ["k", "id"], 10, 4000, most=50)
+    assert total == 5000 and found.where("k >= 0").count() <= 50 and seen.value == 5000
+
+
+def test_lengths_of_chunks_cut_no_text(spark):
+    docs = spark.createDataFrame([(1, "é" * 2500), (2, "a"), (3, "b" * 1000), (4, "c" * 1001), (5, " "), (6, None)], "doc_id long, text string")
+    chunks = window_chunks(docs)
+    assert all(r.character_count == len(r.content) == r.char_end - r.char_start for r in chunks.collect()) and chunks.count() == 3 + 1 + 1 + 2
+    assert "substring" not in chunks.select("character_count", "token_count", "char_end")._jdf.queryExecution().executedPlan().toString()
