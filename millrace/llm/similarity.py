@@ -18,15 +18,13 @@ from millrace.llm.components import connected_components
 #: Turns of the index in groups of places + 1, by places: of pairs of similarity 0.8 about two in 10^6 share no key of 40
 #: groups, and ten in 10^6 none of 80 (places: see places_of()). A group with more places is missed more often.
 GROUPS = {2: 40, 3: 80}
-#: Nodes that are compared as one block: larger groups fall into pairs of chunks of about half this size.
+#: Nodes that are compared as one block: larger groups fall into chunks of about half this size.
 CHUNK_NODES = 2048
-#: Groups of so many nodes at most give pairs; each pair is compared once, whatever the number of keys it shares.
-PAIR_NODES = 32
+#: A pair is compared where it first meets: in the largest group that both have among so many of their largest ones.
+FIRST = 16
 #: 64-bit words of the fingerprints that pairs are told apart by before they are compared, if both sets have LONG shingles:
 #: the statistics of short ones are coarse, and they cost little. The index is made from so many words' sums.
-WORDS, LONG, SUMS = 4, 64, 8
-#: Partners of a node that are compared with it as one block.
-STAR_NODES = 256
+WORDS, LONG, SUMS = 8, 64, 8
 _BITS = 26
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _EPS = 1e-9
@@ -157,76 +155,109 @@ def fitting(n: np.ndarray, rows: slice, similarity: float) -> np.ndarray:
     return fits
 
 
-def _shared(similarity: float):
-    """Of rows (key, node, n) sorted by key: pairs (node, other) of small groups, m being 2; and the nodes
-    of larger groups that can have a partner, m being their number."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("m", pa.int64())])
-
-    def of(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        lengths = np.diff(np.r_[starts, len(key)])
-        two = starts[lengths == 2]
-        low, high = np.minimum(n[two], n[two + 1]), np.maximum(n[two], n[two + 1])
-        two = two[low >= similarity * high - _EPS]
-        left, right, m = [two], [two + 1], [np.full(len(two), 2)]
-        for a, k in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
-            of_n = n[a : a + k]
-            if k <= PAIR_NODES:
-                i, j = np.nonzero(np.triu(fitting(of_n, slice(0, k), similarity)))
-                left.append(a + i), right.append(a + j), m.append(np.full(len(i), 2))
-                continue
-            at = a + np.arange(k)
-            if k <= 2 * CHUNK_NODES:
-                at = at[np.concatenate([fitting(of_n, slice(b, b + 512), similarity).any(axis=1) for b in range(0, k, 512)])]
-            left.append(at), right.append(at), m.append(np.full(len(at), max(3, len(at))))
-        left, right = np.concatenate(left), np.concatenate(right)
-        a, b = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
-        return pa.RecordBatch.from_arrays([pa.array(key[left]), pa.array(a), pa.array(b), pa.array(np.concatenate(m).astype(np.int64))], schema=schema)
+def _groups(keys: int):
+    """Whole groups of rows sorted by their first columns, of record batches: lists of the columns, several groups at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # of the key that is still open
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.Table] = []  # of the group that is still open
         for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if not len(cols[0]):
+            if not b.num_rows:
                 continue
-            at = int(np.searchsorted(cols[0], cols[0][-1]))
-            if held and held[0][0][0] != cols[0][0]:
-                yield of(*map(np.concatenate, zip(*held, strict=True)))
+            t = pa.Table.from_batches([b])
+            cols = [c.to_numpy() for c in t.columns[:keys]]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            at = int(new[-1]) if len(new) else 0
+            if held and any(h[0].as_py() != c[0] for h, c in zip(held[0].columns[:keys], cols, strict=True)):
+                yield pa.concat_tables(held)
                 held = []
             if at:
-                yield of(*map(np.concatenate, zip(*held, [c[:at] for c in cols], strict=True)))
+                yield pa.concat_tables([*held, t.slice(0, at)])
                 held = []
-            held.append([c[at:] for c in cols])
+            held.append(t.slice(at))
         if held:
-            yield of(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.concat_tables(held)
+
+    return of
+
+
+def _bounds(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where groups begin, and their lengths."""
+    starts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+    return starts, np.diff(np.r_[starts, len(cols[0])])
+
+
+def _shared(similarity: float):
+    """Of rows (key, node, n) sorted by key: for each key, the nodes that can have a partner, by their sizes; m is their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(1)(batches):
+            key, node, n = (c.to_numpy() for c in t.columns)
+            starts, lengths = _bounds([key])
+            two = starts[lengths == 2]
+            low, high = np.minimum(n[two], n[two + 1]), np.maximum(n[two], n[two + 1])
+            two = two[low >= similarity * high - _EPS]
+            rows, m = [two, two + 1], [np.full(2 * len(two), 2)]
+            for a, k in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+                at = a + np.arange(k)
+                if k <= 2 * CHUNK_NODES:
+                    at = at[np.concatenate([fitting(n[a : a + k], slice(b, min(k, b + 512)), similarity).any(axis=1) for b in range(0, k, 512)])]
+                rows.append(at), m.append(np.full(len(at), len(at)))
+            rows = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(node[rows]), pa.array(np.concatenate(m).astype(np.int64))], names=["key", "node", "m"])
 
     return run
 
 
-def _with_partner(most: int):
-    """Of a group's rows (key, lo, hi, part, node, fp) those that another one can be similar to: whose fingerprints differ in
-    at most so many bits, or that are too short for one. Two parts of a large group meet across only."""
-
-    def of(group: pa.Table) -> pa.Table:
-        part, fps = group["part"].to_numpy(), group["fp"].to_pylist()
-        cross = group["lo"][0].as_py() != group["hi"][0].as_py()
-        short = np.array([f is None for f in fps])
-        bits = np.array([[0] * WORDS if f is None else f for f in fps], np.int64).view(np.uint64)
-        keep = np.zeros(len(fps), bool)
-        for at in range(0, len(fps), 256):
-            near = sum(np.bitwise_count(bits[at : at + 256, None, w] ^ bits[None, :, w]).astype(np.int16) for w in range(WORDS)) <= most
-            near |= short[at : at + 256, None] | short[None, :]
-            if cross:
-                near &= part[at : at + 256, None] != part[None, :]
-            near[np.arange(len(near)), at + np.arange(len(near))] = False
-            keep[at : at + 256] = near.any(axis=1)
-        return group.filter(pa.array(keep)).select(["key", "lo", "hi", "part", "node"])
+def _met_before(first: np.ndarray) -> np.ndarray:
+    """Which of the nodes share one of their groups in first (-1: none)."""
+    named, at, times = np.unique(first, return_inverse=True, return_counts=True)
+    told = (times > 1) & (named >= 0)
+    place, at = np.cumsum(told) - 1, at.reshape(first.shape)
+    has = np.zeros((len(first), int(told.sum())), np.float32)
+    i, j = np.nonzero(told[at])
+    has[i, place[at[i, j]]] = 1
+    return has
 
-    return of
+
+def _with_partner(similarity: float, most: int):
+    """Of groups of rows (key, lo, hi, part, node, label, n, first, fp) those that another one can be similar to and that it
+    hasn't met in an earlier group: whose sizes fit, whose labels differ, and whose fingerprints differ in at most so many
+    bits, or that are too short for one. Two parts of a large group meet across only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(3)(batches):
+            key, lo, hi, part, node, label, n = (c.to_numpy() for c in t.columns[:7])
+            first, bits = (np.array(c.combine_chunks().flatten().to_numpy()).reshape(len(key), -1) for c in t.columns[7:])
+            first[np.logical_or.accumulate(first == key[:, None], axis=1)] = -1  # this group and those after it
+            bits, short = bits.view(np.uint64), n < LONG
+            starts, lengths = _bounds([key, lo, hi])
+            keep = np.zeros(len(key), bool)
+            two = starts[lengths == 2]
+            differ = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1, dtype=np.int64)
+            near = ((differ <= most) | short[two] | short[two + 1]) & (label[two] != label[two + 1]) & ((lo[two] == hi[two]) | (part[two] != part[two + 1]))
+            near &= np.minimum(n[two], n[two + 1]) >= similarity * np.maximum(n[two], n[two + 1]) - _EPS
+            near &= ~((first[two][:, :, None] == first[two + 1][:, None, :]) & (first[two] >= 0)[:, :, None]).any(axis=(1, 2))
+            keep[two[near]] = keep[two[near] + 1] = True
+            for a, k in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+                all_ = slice(a, a + k)
+                has = _met_before(first[all_])
+                for b in range(0, k, 256):
+                    rows = slice(a + b, min(a + k, a + b + 256))
+                    near = sum(np.bitwise_count(bits[rows, None, w] ^ bits[None, all_, w]).astype(np.int16) for w in range(WORDS)) <= most
+                    near |= short[rows, None] | short[None, all_]
+                    near &= fitting(n[all_], slice(b, min(k, b + 256)), similarity) & (label[rows, None] != label[None, all_])
+                    if lo[a] != hi[a]:
+                        near &= part[rows, None] != part[None, all_]
+                    if has.shape[1]:
+                        near &= has[b : b + 256] @ has.T == 0
+                    keep[rows] = near.any(axis=1)
+            yield from t.select(["key", "lo", "hi", "part", "node", "label"]).filter(pa.array(keep)).to_batches()
+
+    return run
 
 
 def _forest(similarity: float):
-    """Over rows (key, lo, hi, part, node, shingles) sorted by group: links (a, b) that connect what is similar."""
+    """Over rows (key, lo, hi, part, label, shingles) sorted by group: links (a, b) of labels that connect what is similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}
@@ -243,22 +274,27 @@ def _forest(similarity: float):
             sizes = np.array([len(sets[i]) for i in order])
             tops = np.array([find(nodes[i]) for i in order], np.int64)
             side = np.array([parts[i] for i in order])
+            ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+            ends = np.cumsum(sizes)
+            holders = np.repeat(np.arange(len(order)), sizes)[np.argsort(ids, kind="stable")]  # of each shingle, ascending
+            until = np.cumsum(np.bincount(ids))
             for k in range(1, len(order)):
-                x = sets[order[k]]
-                at = int(np.searchsorted(sizes[:k], similarity * len(x) - _EPS))
+                at = int(np.searchsorted(sizes[:k], similarity * sizes[k] - _EPS))
                 differ = tops[at:k] != tops[k]
                 if cross:
                     differ &= side[at:k] != side[k]
-                for j in (at + np.flatnonzero(differ))[::-1]:
+                if not differ.any():
+                    continue
+                x = ids[ends[k] - sizes[k] : ends[k]]
+                both = np.bincount(np.concatenate([holders[a:b] for a, b in zip((until[x - 1] * (x > 0)).tolist(), until[x].tolist(), strict=True)]), minlength=k)[at:k]
+                similar = differ & (both >= similarity * (sizes[at:k] + sizes[k] - both) - _EPS)
+                for j in (at + np.flatnonzero(similar)).tolist():
                     if tops[j] == tops[k]:
                         continue
-                    y = sets[order[j]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both >= similarity * (len(x) + len(y) - both) - _EPS:
-                        a, b = sorted((int(tops[j]), int(tops[k])))
-                        root[b] = a
-                        out.append((nodes[order[j]], nodes[order[k]]))
-                        tops[tops == b] = a
+                    a, b = sorted((int(tops[j]), int(tops[k])))
+                    root[b] = a
+                    out.append((nodes[order[j]], nodes[order[k]]))
+                    tops[tops == b] = a
 
         def flush() -> Iterator[pa.RecordBatch]:
             if out:
@@ -307,13 +343,33 @@ def _may_hold(nodes: DataFrame):
     return F.pandas_udf(lambda node: pd.Series(found(node.to_numpy(np.int64))), "boolean")
 
 
+def _chunks(m: F.Column) -> F.Column:
+    return F.ceil(m * F.lit(2) / F.lit(CHUNK_NODES))
+
+
+def _across(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, m, node, ...) of large groups, placed for the comparison of their chunks with each other. What links connect
+    has one label. Of the label with the most nodes of a group each chunk meets those of the group's other nodes only, so
+    that a group of one label gives no rows; only nodes without links make pairs of chunks."""
+    named = rows.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("all"))
+    largest = largest.select("key", F.col("top.label").alias("top"), _chunks(F.col("all") - F.col("top.size")).alias("others"))
+    placed = named.join(largest.where("others > 0"), "key").withColumn("c", _chunks(F.col("m")))
+    in_top, share = F.col("label") == F.col("top"), F.xxhash64("node")
+    placed = placed.withColumn("part", F.when(in_top, F.pmod(share, F.col("c"))).otherwise(F.col("c") + F.pmod(share, F.col("others"))))
+    met = F.sequence(F.when(in_top, F.col("c")).otherwise(F.lit(0).cast("long")), F.col("c") + F.col("others") - 1)
+    return placed.withColumn("other", F.explode(met)).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+
+
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near copies: of those that chains of similar pairs connect, the row with the smallest id stays
     (nulls last). Similar: the Jaccard similarity of the sets of word shingles is similarity or more; every such pair counts.
 
     Documents of equal sets are one node. Nodes meet in an index of wide SimHash fingerprints (index_keys()). Pairs of long sets
-    whose fingerprints differ in more than most_bits() go; the others are compared by their whole sets, unless links
-    connect them already. Texts without words equal each other and nothing else.
+    whose fingerprints differ in more than most_bits() go; the others are compared by their whole sets in the first group in
+    which they meet, unless links connect them already. A key's group gives a row a node, never its pairs. Texts without
+    words equal each other and nothing else.
     """
     spark = small_batches(docs).sparkSession
     places = places_of(docs.count())
@@ -335,37 +391,43 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = staged(hashed.select("node", "__row", F.col(f"__doc.`{id_col}`").alias("id")).groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "similar-nodes")
     able = F.col("n") * (1 - similarity) >= similarity - _EPS  # smaller sets are equal or less similar
     keyed = hashed.where(able).groupBy("node").agg(F.first(F.struct("n", "decided")).alias("h")).select("node", "h.n", "h.decided").mapInArrow(_keyed(places), "key bigint, node bigint, n bigint")
-    shared = staged(keyed.select("key", "node", "n").repartition("key").sortWithinPartitions("key").mapInArrow(_shared(similarity), "key bigint, node bigint, other bigint, m bigint"), "similar-keys")
-
-    chunks = F.ceil(F.col("m") * F.lit(2) / F.lit(CHUNK_NODES)).cast("int")
-    chunks = F.when(F.col("m") <= CHUNK_NODES, F.lit(1)).otherwise(chunks)
-    prints = hashed.where("fp is not null").groupBy("node").agg(F.first("fp").alias("fp"))
-    most = most_bits(similarity)
-    placed = shared.where("m > 2").select("key", "node", chunks.alias("c")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("c")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c").cast("long") - 1))).select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node")
-    placed = placed.join(prints, "node", "left").groupBy("key", "lo", "hi").applyInArrow(_with_partner(most), "key bigint, lo bigint, hi bigint, part bigint, node bigint")
-
-    pairs = shared.where("m = 2").select(F.col("node").alias("lo"), F.col("other").alias("hi")).distinct()
-    for side in ("lo", "hi"):
-        pairs = pairs.join(prints.select(F.col("node").alias(side), F.col("fp").alias(f"{side}_fp")), side, "left")
-    differ = F.aggregate(F.zip_with("lo_fp", "hi_fp", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
-    pairs = staged(pairs.where(F.coalesce(differ <= most, F.lit(True))).select("lo", "hi"), "similar-pairs")
-    stars = pairs.groupBy("lo").agg(F.ceil(F.count("*") / F.lit(STAR_NODES)).alias("c"))  # a node's partners, so many at a time
-    stars = pairs.join(stars, "lo").select(F.col("lo").alias("hub"), F.pmod(F.xxhash64("hi"), F.col("c")).alias("at"), F.col("hi").alias("node"))
-    star = lambda part, node: [F.col("hub").alias("key"), F.col("at").alias("lo"), F.lit(-1).cast("long").alias("hi"), F.lit(part).cast("long").alias("part"), node.alias("node")]
-    placed = placed.unionByName(stars.select(*star(1, F.col("node")))).unionByName(stars.select("hub", "at").distinct().select(*star(0, F.col("hub"))))
-    placed = staged(placed, "similar-groups")
-    asked = least.join(placed.select("node").distinct(), "node", "left_semi").select(F.xxhash64("first.__row").alias("node"))
-    wanted = _filter_of(asked)
-
-    @F.pandas_udf("binary")
-    def sets_of(row: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([packed(shingle_set(t, width)) if ask else None for ask, t in zip(wanted(row.to_numpy(np.int64)), texts, strict=True)], dtype=object)
-
-    texts = hashed.select("node", sets_of(F.xxhash64("__row"), F.col(f"__doc.`{text_col}`")).alias("shingles"))
-    sets = texts.where("shingles is not null")  # a node may come twice, which links nothing new
-    rows = placed.join(sets, "node").select("key", "lo", "hi", "part", "node", "shingles").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    links = staged(rows.mapInArrow(_forest(similarity), "a bigint, b bigint"), "similar-links")
+    shared = staged(keyed.select("key", "node", "n").repartition("key").sortWithinPartitions("key").mapInArrow(_shared(similarity), "key bigint, node bigint, m bigint"), "similar-keys")
+
+    key = F.struct((-F.col("m")).alias("rank"), "key")  # the largest groups first
+    prints = hashed.groupBy("node").agg(F.first(F.struct("n", F.coalesce("fp", F.array_repeat(F.lit(0).cast("long"), WORDS)).alias("fp"))).alias("h"))
+    met = shared.groupBy("node").agg(F.sort_array(F.collect_list(key)).alias("keys")).join(prints, "node")
+    none = F.array_repeat(F.lit(-1).cast("long"), FIRST)
+    met = staged(met.select("node", "h.n", "h.fp", F.slice(F.concat("keys.key", none), 1, FIRST).alias("first"), "keys"), "similar-met")
+
+    def linked(placed: DataFrame, name: str) -> DataFrame:
+        """Links of rows (key, lo, hi, part, node, label, n, first, fp): a set moves once for each group that it is compared in."""
+        group, rest = ["key", "lo", "hi"], "part bigint, node bigint, label bigint"
+        placed = placed.select(*group, "part", "node", "label", "n", "first", "fp").repartition(*group).sortWithinPartitions(*group)
+        placed = staged(placed.mapInArrow(_with_partner(similarity, most_bits(similarity)), f"key bigint, lo bigint, hi bigint, {rest}"), f"similar-groups-{name}")
+        asked = least.join(placed.select("node").distinct(), "node", "left_semi").select(F.xxhash64("first.__row").alias("node"))
+        wanted = _filter_of(asked)
+
+        @F.pandas_udf("binary")
+        def sets_of(row: pd.Series, texts: pd.Series) -> pd.Series:
+            return pd.Series([packed(shingle_set(t, width)) if ask else None for ask, t in zip(wanted(row.to_numpy(np.int64)), texts, strict=True)], dtype=object)
+
+        texts = hashed.select("node", sets_of(F.xxhash64("__row"), F.col(f"__doc.`{text_col}`")).alias("shingles"))
+        sets = texts.where("shingles is not null")  # a node may come twice, which links nothing new
+        rows = placed.join(sets, "node").select(*group, "part", "label", "shingles").repartition(*group).sortWithinPartitions(*group)
+        return staged(rows.mapInArrow(_forest(similarity), "a bigint, b bigint"), f"similar-links-{name}")
+
+    # each chunk of a group in itself; a large group is cut twice, by different hashes, so that links chain its chunks
+    def parts(k: F.Column) -> F.Column:
+        placed = lambda part: F.struct(k.key.alias("key"), part.alias("part"))
+        c = _chunks(-k.rank)
+        return F.when(-k.rank <= CHUNK_NODES, F.array(placed(F.lit(0).cast("long")))).otherwise(F.array(placed(F.pmod(F.xxhash64("node"), c)), placed(c + F.pmod(F.xxhash64("node", F.lit(1)), c))))
+
+    rows = met.select("node", F.col("node").alias("label"), "n", "first", "fp", F.explode(F.flatten(F.transform("keys", parts))).alias("k"))
+    links = linked(rows.select("*", "k.*", F.col("k.part").alias("lo"), F.col("k.part").alias("hi")), "within")
+    if shared.where(F.col("m") > CHUNK_NODES).limit(1).count():
+        large = met.select("node", "n", "first", "fp", F.explode(F.filter("keys", lambda k: -k.rank > CHUNK_NODES)).alias("k"))
+        large = large.select("node", "n", "first", "fp", "k.key", (-F.col("k.rank")).alias("m"))
+        links = links.unionByName(linked(_across(large, connected_components(links)), "across"))
 
     roots = connected_components(links).withColumnRenamed("root", "top")
     firsts = least.join(roots, "node", "left").select(F.coalesce("top", "node").alias("top"), "node", "first", "copies")

@@ -87,3 +87,56 @@ def test_sums_are_the_same_in_both_types():
     sums = np.array([similarity.bit_sums(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (0, 1, 50, 500)])
     large = np.full((1, 64 * similarity.SUMS), 1 << 20)
     assert (similarity.most_decided(sums, 12) == similarity.most_decided(np.concatenate([sums, large]), 12)[:-1]).all()
+
+
+def one_group(n, most, seed=7):
+    """So many texts of 150 words, of which up to most are changed from one text."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    base, data = [rng.choice(words) for _ in range(150)], []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(150), 1 + i % most):
+            copy[at] = rng.choice(words)
+        data.append((i, " ".join(copy)))
+    return data
+
+
+@pytest.mark.parametrize("chunk", [2048, 32])
+def test_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch, chunk):
+    monkeypatch.setattr(similarity, "CHUNK_NODES", chunk)
+    counts, plain = [], similarity.staged
+
+    def counted(df, name):
+        held = plain(df, name)
+        counts[-1][name.partition("-groups")[2]] = held.count() if name.startswith(("similar-groups", "similar-pairs")) else 0
+        return held
+
+    monkeypatch.setattr(similarity, "staged", counted)
+    for n in (30, 120):
+        counts.append({})
+        assert keep_dissimilar(spark.createDataFrame(one_group(n, 2), "doc_id long, text string")).count() == 1
+    few, many = (sum(c.values()) for c in counts)
+    assert few and many <= 6 * few, counts
+
+
+@pytest.mark.parametrize("chunk", [2048, 8])
+def test_a_group_of_which_only_some_are_linked(spark, monkeypatch, chunk):
+    monkeypatch.setattr(similarity, "CHUNK_NODES", chunk)
+    named, plain = [], similarity.staged
+    monkeypatch.setattr(similarity, "staged", lambda df, name: named.append((name, plain(df, name))) or named[-1][1])
+    data = one_group(160, 12)
+    kept = sorted(r.doc_id for r in keep_dissimilar(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert kept == kept_by_all_pairs(data) and 1 < len(kept) < 160
+    across = dict(named).get("similar-groups-across")
+    assert across is None if chunk == 2048 else across.count() > 0
+
+
+def test_groups_are_whole_whatever_the_batches():
+    import pyarrow as pa
+
+    t = pa.table({"a": [1, 1, 1, 2, 3, 3, 3, 3, 3, 4], "b": [0, 0, 1, 1, 1, 1, 1, 1, 1, 1], "c": list(range(10))})
+    for size in range(1, 11):
+        got = [x.to_pylist() for x in similarity._groups(2)(iter(t.to_batches(size)))]
+        assert sum(got, []) == t.to_pylist()
+        assert all((x[-1]["a"], x[-1]["b"]) != (y[0]["a"], y[0]["b"]) for x, y in zip(got, got[1:]))
