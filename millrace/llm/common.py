@@ -10,7 +10,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import shared_folder
+from millrace.session import shared_folder, write_released
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,10 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder as Parquet and read it back: computed once, safe from lost executors."""
+def staged(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write a table to the shared folder as Parquet and read it back: computed once, safe from lost executors. release:
+    what was shuffled for it is removed at once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write_released(df, path) if release else df.write.parquet(path)
     held = df.sparkSession.read.schema(df.schema).parquet(path)
     if (paths := _PATHS.get()) is not None:
         paths.append(path)

@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import join_by_hot_key, staged
 from millrace.llm.components import connected_components
 from millrace.llm.vectors import binary_of, matrix_of, rows_of, usable
 
-#: Dimensions of a block of the rotated vectors.
-BLOCK_DIMS = 16
-#: Vectors of a chunk: a task compares two chunks. Cells of more rows than SPLIT_CHUNKS chunks have are split by one more coordinate.
-CHUNK_ROWS, SPLIT_CHUNKS = 1024, 4
-#: Rotated vectors travel as 32-bit floats; this much more squared distance makes up for it.
+#: Dimensions of a block of the rotated vectors, and how many of its first ones order its vectors by cells.
+BLOCK_DIMS, CELL_DIMS = 16, 4
+#: Vectors of a chunk, about: a task compares two chunks.
+CHUNK_ROWS = 16384
+#: Vectors that are sent to tasks at once, for every vector there is; what goes beyond that goes in later rounds.
+ROUND_COPIES = 4
+#: Rotated vectors are 32-bit floats; this much more squared distance makes up for it.
 SLACK = 1e-5
-#: Rows of a tile of the sweep.
-TILE = 256
+#: Rows of a tile of a chunk.
+TILE = 512
+#: Links that a task holds before it counts them.
+HELD_LINKS = 1 << 20
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -46,58 +52,68 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
-def linked_pairs(x: np.ndarray, turned: np.ndarray, flags: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, depth: int, least_cosine: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Positions (i, j) of pairs, i from left and j from right, that this block has to report; and how many pairs were measured.
+def inverse_norms(x: np.ndarray) -> np.ndarray:
+    return 1 / np.sqrt((x * x).sum(axis=1))
 
-    flags: a bit for each coordinate by which a row visits the cell; two visitors by the same coordinate meet elsewhere.
-    A pair is reported by the first block in whose budget it lies. Candidates come from the block alone, by a sweep
-    along the first coordinate that made no cells; they are then verified by the cosine of x, the vectors as they came.
+
+def turned_of(x: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Rows as rotated unit vectors. Sums of whole numbers below 2^53 are exact in any order, so that every task gets the same."""
+    return (np.rint(x * inverse[:, None] * 2**26) @ np.rint(rotation(x.shape[1]) * 2**24) / 2**50).astype(np.float32)
+
+
+def cells_of(turned: np.ndarray, least_cosine: float) -> list[np.ndarray]:
+    """Each block's cells, one per coordinate: ranges as wide as the root of the block's share."""
+    dim = turned.shape[1]
+    shares = zip(blocks_of(dim), budgets_of(dim, least_cosine), strict=True)
+    return [np.floor(turned[:, a:b].astype(np.float64) / (math.sqrt(most) * (1 + 1e-6))).astype(np.int32) for (a, b), most in shares]
+
+
+def linked_pairs(x: np.ndarray, turned: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, least_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of pairs, i from left and j from right, that this block has to report, a batch at a time.
+
+    A pair is reported by the first block in whose budget it lies. Candidates come from the block alone: rows are ordered by
+    cells, and tiles of them meet unless their boxes lie further apart; they are then verified by the cosine of x, the vectors
+    as they came.
     """
     dim = turned.shape[1]
     spans, budgets = blocks_of(dim), budgets_of(dim, least_cosine)
     (a, b), most = spans[block], budgets[block]
-    sweep, reach = turned[:, min(a + depth, b - 1)].astype(np.float64), math.sqrt(most)
     same = left is right
     norms = np.sqrt((x * x).sum(axis=1))
-    ordered = lambda rows: rows[np.argsort(sweep[rows], kind="stable")]
-    found, measured = [], 0
-    for f in np.unique(flags[left]):
-        for g in np.unique(flags[right]):
-            if f & g or same and f > g:
+    order = cells_of(turned, least_cosine)[block][:, :CELL_DIMS]
+    ordered = lambda rows: rows[np.lexsort(order[rows].T[::-1])]
+    u = ordered(left)
+    v = u if same else ordered(right)
+    if not len(u) or not len(v):
+        return
+    y, z = turned[u, a:b], turned[v, a:b]
+    norms_y, norms_z = (y * y).sum(axis=1), (z * z).sum(axis=1)
+    edges = lambda rows: np.arange(0, len(rows), TILE)
+    low_y, high_y, low_z, high_z = (f.reduceat(m, edges(m)) for m in (y, z) for f in (np.minimum, np.maximum))
+    for at in range(len(low_y)):
+        gap = np.maximum(np.maximum(low_z - high_y[at], low_y[at] - high_z), 0)
+        s = slice(at * TILE, (at + 1) * TILE)
+        for to in np.flatnonzero((gap.astype(np.float64) ** 2).sum(axis=1) <= most + SLACK):
+            if same and to < at:
                 continue
-            u, v = ordered(left[flags[left] == f]), ordered(right[flags[right] == g])
-            own = same and f == g
-            y = turned[v, a:b]
-            norms_y, sweep_v = (y * y).sum(axis=1), sweep[v]
-            for at in range(0, len(u), TILE):
-                tile = u[at : at + TILE]
-                first, last = np.searchsorted(sweep_v, (sweep[tile[0]] - reach, sweep[tile[-1]] + reach), side="left")
-                first, last = (at if own else int(first)), min(len(v), int(last) + 1)
-                if first >= last:
-                    continue
-                z = turned[tile, a:b]
-                d = (z * z).sum(axis=1)[:, None] + norms_y[None, first:last] - 2 * (z @ y[first:last].T)
-                measured += d.size
-                i, j = np.nonzero(d <= most + SLACK)
-                if own:
-                    i, j = i[j > i], j[j > i]
-                i, j = tile[i], v[first + j]
-                for part in range(0, len(i), 1 << 16):
-                    p, q = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
-                    gap = (turned[p].astype(np.float64) - turned[q]) ** 2
-                    inside = [gap[:, s:e].sum(axis=1) <= share for (s, e), share in zip(spans, budgets, strict=True)]
-                    here = inside[block] & ~np.any(inside[:block], axis=0) if block else inside[block]
-                    p, q = p[here], q[here]
-                    close = np.einsum("ij,ij->i", x[p], x[q]) / (norms[p] * norms[q]) >= least_cosine
-                    found.append((p[close], q[close]))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int), measured
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), measured
-
-
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (position, smallest position of its component) with the same components as links i, j."""
-    root = np.arange(n)
+            t = slice(to * TILE, (to + 1) * TILE)
+            i, j = np.nonzero(norms_y[s, None] + norms_z[None, t] - 2 * (y[s] @ z[t].T) <= most + SLACK)
+            if same and to == at:
+                i, j = i[j > i], j[j > i]
+            i, j = u[s][i], v[t][j]
+            for part in range(0, len(i), 1 << 16):
+                p, q = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+                apart = (turned[p].astype(np.float64) - turned[q]) ** 2
+                inside = [apart[:, c:d].sum(axis=1) <= share for (c, d), share in zip(spans, budgets, strict=True)]
+                here = inside[block] & ~np.any(inside[:block], axis=0) if block else inside[block]
+                p, q = p[here], q[here]
+                close = np.einsum("ij,ij->i", x[p], x[q]) / (norms[p] * norms[q]) >= least_cosine
+                if close.any():
+                    yield p[close], q[close]
+
+
+def joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest position of each position's component, root without links i, j as root with them."""
     while len(i):
         low = np.minimum(root[i], root[j])
         np.minimum.at(root, root[i], low)
@@ -108,38 +124,41 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
             root = root[root]
         open_ = root[i] != root[j]
         i, j = i[open_], j[open_]
-    own = np.flatnonzero(root != np.arange(n))
-    return own, root[own]
+    return root
+
+
+_BLOCK = ["label", "dim", "block"]
 
 
-_CELL = ["label", "dim", "block", "place"]
+def _placed(nodes: DataFrame, chunk_rows: int) -> DataFrame:
+    """Rows (label, dim, block, node, c, chunk): every node once in every block, with its cells there.
+
+    Nodes of a block follow each other by the cells of its first coordinates, and within a cell by a hash; each chunk is the
+    next chunk_rows or so of them. A cell of many nodes is many chunks, small cells share one.
+    """
+    rows = nodes.select("label", "dim", "node", F.posexplode("cells").alias("block", "c")).withColumn("cell", F.slice("c", 1, CELL_DIMS))
+    sizes = rows.groupBy(*_BLOCK, "cell").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy(*_BLOCK).orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    starts = staged(sizes.withColumn("start", before), "cells", release=True)
+    place = F.col("start") + F.pmod(F.xxhash64("node"), F.col("n"))
+    return staged(rows.join(starts, [*_BLOCK, "cell"]).select(*_BLOCK, "node", "c", F.floor(place / chunk_rows).cast("int").alias("chunk")), "places", release=True)
 
 
-def _cells(nodes: DataFrame, split_rows: int, chunk_rows: int) -> DataFrame:
-    """Rows (label, dim, block, place, depth, flags, node, chunk, chunks): every node at its cells of every block.
+def _meetings(placed: DataFrame) -> DataFrame:
+    """Rows (label, dim, block, i, j, n): pairs of chunks, i <= j, that can hold a pair within the block's share, and their rows.
 
-    A cell is a range of the block's first coordinate, as wide as the share's root; a node is at home in its own and
-    visits the one below, so that all pairs within the share meet. A cell of more than split_rows nodes that spreads over
-    several ranges of the block's next coordinate is split by it in the same way. What can't be split falls into chunks.
+    A cell is as wide as the share's root: where boxes are g cells apart in a coordinate, vectors are more than g - 1 widths apart.
     """
-    blocks = F.expr("transform(spans, (s, i) -> struct(i as block, slice(cells, s.a + 1, s.b - s.a) as c))")
-    rows = nodes.select("label", "dim", "node", F.explode(blocks).alias("x")).select("label", "dim", "node", "x.block", "x.c", F.lit("").alias("place"), F.lit(0).alias("flags"))
-    kept, depth = None, 0
-    while True:
-        at = F.col("c")[depth]
-        both = F.explode(F.array(F.struct(at.alias("cell"), F.lit(0).alias("v")), F.struct((at - 1).alias("cell"), F.lit(1 << depth).alias("v"))))
-        rows = rows.withColumn("to", both).select("label", "dim", "block", "node", "c", F.concat_ws(",", "place", F.col("to.cell").cast("string")).alias("place"), F.col("flags").bitwiseOR(F.col("to.v")).alias("flags"))
-        rows = staged(rows, f"cells-{depth}")
-        after = F.try_element_at("c", F.lit(depth + 2))
-        sizes = rows.groupBy(*_CELL).agg(F.count("*").alias("n"), F.bit_and("flags").alias("all"), (F.max(after) - F.min(after) >= 2).alias("wide")).where("all = 0")
-        sizes = staged(sizes.withColumn("hot", (F.col("n") > split_rows) & F.coalesce("wide", F.lit(False)) & F.lit(depth < 30)), f"cell-sizes-{depth}")
-        chunks = F.ceil(F.col("n") / F.lit(chunk_rows)).cast("int")
-        done = rows.join(sizes.where("not hot").select(*_CELL, chunks.alias("chunks")), _CELL).select(*_CELL, F.lit(depth).alias("depth"), "flags", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
-        kept = done if kept is None else kept.unionByName(done)
-        hot = sizes.where("hot").select(*_CELL)
-        if hot.isEmpty():
-            return kept
-        rows, depth = rows.join(hot, _CELL), depth + 1
+    at = lambda k: F.try_element_at("c", F.lit(k + 1))
+    box = [f(at(k)).alias(f"{name}{k}") for k in range(BLOCK_DIMS) for name, f in (("low", F.min), ("high", F.max))]
+    corner = lambda name: F.array(*[F.coalesce(f"{name}{k}", F.lit(0)) for k in range(BLOCK_DIMS)]).alias(name)
+    boxes = staged(placed.groupBy(*_BLOCK, "chunk").agg(F.count("*").alias("n"), *box).select(*_BLOCK, "chunk", "n", corner("low"), corner("high")), "boxes", release=True)
+    named = lambda x: boxes.select(*_BLOCK, *[F.col(c).alias(f"{c}_{x}") for c in ("chunk", "n", "low", "high")])
+    gaps = F.zip_with(F.zip_with("low_j", "high_i", lambda x, y: x - y), F.zip_with("low_i", "high_j", lambda x, y: x - y), lambda x, y: F.greatest(x - 1, y - 1, F.lit(0)))
+    near = F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + g.cast("long") * g) <= 1
+    pairs = named("i").join(named("j"), _BLOCK).where((F.col("chunk_i") <= F.col("chunk_j")) & near)
+    both = F.col("n_i") + F.when(F.col("chunk_i") < F.col("chunk_j"), F.col("n_j")).otherwise(0)
+    return staged(pairs.select(*_BLOCK, F.col("chunk_i").alias("i"), F.col("chunk_j").alias("j"), both.alias("n")).where("n > 1"), "meetings", release=True)
 
 
 def embedding_near_duplicates(vectors: DataFrame, least_cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -152,14 +171,16 @@ def embedding_near_duplicates(vectors: DataFrame, least_cosine: float = 0.93, id
     lends no id to its component, and is not kept.
 
     Unit vectors are rotated and split into blocks; of a pair within the squared distance d2 at least one block
-    lies within its share of d2. Per block, nodes meet in cells (see _cells); two chunks of a cell are a task of bounded
-    size. A task returns link counts and a forest of its links, a row or two per vector, not the pairs.
+    lies within its share of d2. Per block, nodes are ordered by cells and cut into chunks (see _placed); two chunks whose boxes
+    lie within the share are a task of bounded size. Tasks run in rounds: what a round sends is ROUND_COPIES times the vectors
+    or so and is removed before the next. A task returns link counts and a forest of its links, a row or two per vector, not
+    the pairs.
     """
     vec = F.col(vec_col)
     good = F.col(label_col).isNotNull() & usable(vec) & (F.size(vec) > 0) & F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))
     signature = F.concat(F.hex(F.xxhash64(F.col(label_col), vec)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), F.col(label_col), vec)))
     own = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vec.alias("vec"), F.when(good, signature).alias("sig"), F.monotonically_increasing_id().alias("row"))
-    own = staged(own, "vectors")
+    own = staged(own, "vectors", release=True)
     node = own.where("sig is not null").groupBy("sig").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
     least = float(least_cosine)
     kind = np.float32 if own.schema["vec"].dataType.elementType.typeName() == "float" else np.float64
@@ -172,47 +193,60 @@ def embedding_near_duplicates(vectors: DataFrame, least_cosine: float = 0.93, id
                 at = np.flatnonzero(dims == dim)
                 raw = rows_of(batch.column("vec").take(pa.array(at)))
                 x = scaled(raw.astype(np.float64))
-                turned = (x / np.sqrt((x * x).sum(axis=1, keepdims=True)) @ rotation(int(dim))).astype(np.float32)
-                spans = blocks_of(int(dim))
-                widths = np.concatenate([np.full(b - a, math.sqrt(most) * (1 + 1e-6)) for (a, b), most in zip(spans, budgets_of(int(dim), least), strict=True)])
-                cells = np.floor(turned.astype(np.float64) / widths).astype(int).tolist()
-                where = [{"a": a, "b": b} for a, b in spans]
-                for i, r, t, c in zip(at, binary_of(raw.astype(kind)).to_pylist(), binary_of(turned).to_pylist(), cells, strict=True):
-                    out[i] = (r, t, c, where)
-            columns = [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))))]
+                inverse = inverse_norms(x)
+                cells = zip(*[c.tolist() for c in cells_of(turned_of(x, inverse), least)], strict=True)
+                for i, r, n, c in zip(at, binary_of(raw.astype(kind)).to_pylist(), inverse.tolist(), cells, strict=True):
+                    out[i] = (r, n, list(c))
+            columns = [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.binary(), pa.float64(), pa.list_(pa.list_(pa.int32()))))]
             names = ["sig", "label", "node", "least_id", "copies", "dim"]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, names=[*names, "raw", "turned", "cells", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, names=[*names, "raw", "inverse", "cells"])
 
     label_type, id_type = own.schema["label"].dataType.simpleString(), own.schema["id"].dataType.simpleString()
-    ddl = f"sig string, label {label_type}, node long, least_id {id_type}, copies long, dim int, raw binary, turned binary, cells array<int>, spans array<struct<a:int,b:int>>"
-    nodes = staged(node.withColumn("dim", F.size("vec")).mapInArrow(turn, ddl), "nodes")
-    cells = _cells(nodes, SPLIT_CHUNKS * chunk_rows, chunk_rows)
-    dealt = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select(*_CELL, "depth", "node", "flags", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    dealt = dealt.join(nodes.select("node", "copies", "raw", "turned"), "node")
+    ddl = f"sig string, label {label_type}, node long, least_id {id_type}, copies long, dim int, raw binary, inverse double, cells array<array<int>>"
+    nodes = staged(node.withColumn("dim", F.size("vec")).mapInArrow(turn, ddl), "nodes", release=True)
+    placed = _placed(nodes, chunk_rows)
+    meetings = _meetings(placed)
 
     def kernel(group: pa.Table) -> pa.Table:
-        turned, x = matrix_of(group["turned"], np.float32), scaled(matrix_of(group["raw"], kind).astype(np.float64))
-        flags, chunk = group["flags"].to_numpy(), group["chunk"].to_numpy()
-        ids, copies = group["node"].to_numpy(), group["copies"].to_numpy()
-        block, depth, i, j = (group[c][0].as_py() for c in ("block", "depth", "i", "j"))
+        x = scaled(matrix_of(group["raw"], kind).astype(np.float64))
+        turned = turned_of(x, group["inverse"].to_numpy())
+        chunk, ids, copies = (group[c].to_numpy() for c in ("chunk", "node", "copies"))
+        block, i, j = (group[c][0].as_py() for c in ("block", "i", "j"))
         left = np.flatnonzero(chunk == i)
         right = left if i == j else np.flatnonzero(chunk == j)
-        u, v, _ = linked_pairs(x, turned, flags, left, right, block, depth + 1, least)
-        links = np.zeros(len(ids), np.int64)
-        np.add.at(links, u, copies[v])
-        np.add.at(links, v, copies[u])
-        some = np.flatnonzero(links)
-        child, parent = forest(len(ids), u, v)
-        return pa.table({"node": np.concatenate((ids[some], ids[child])), "links": np.concatenate((links[some], np.zeros(len(child), np.int64))), "to": pa.array(np.concatenate((np.full(len(some), -1), ids[parent])), pa.int64())})
-
-    met = staged(dealt.groupBy(*_CELL, "depth", "i", "j").applyInArrow(kernel, "node long, links long, to long"), "links")
+        links, root, held = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+
+        def count() -> np.ndarray:
+            u, v = (np.concatenate(c) for c in zip(*held, strict=True))
+            np.add.at(links, u, copies[v])
+            np.add.at(links, v, copies[u])
+            held.clear()
+            return joined(root, u, v)
+
+        for pair in linked_pairs(x, turned, left, right, block, least):
+            held.append(pair)
+            if sum(len(h[0]) for h in held) >= HELD_LINKS:
+                root = count()
+        root = count() if held else root
+        some, child = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"node": np.concatenate((ids[some], ids[child])), "links": np.concatenate((links[some], np.zeros(len(child), np.int64))), "to": pa.array(np.concatenate((np.full(len(some), -1), ids[root[child]])), pa.int64())})
+
+    sent = meetings.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    rounds = max(1, -(-sent // (ROUND_COPIES * max(1, nodes.count()))))
+    meetings = meetings.withColumn("round", F.pmod(F.xxhash64(*_BLOCK, "i", "j"), F.lit(rounds)))
+    met = None
+    for k in range(rounds):
+        sides = F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk")
+        dealt = placed.drop("c").join(meetings.where(F.col("round") == k).select(*_BLOCK, "i", "j", sides), [*_BLOCK, "chunk"])
+        dealt = dealt.join(nodes.select("node", "copies", "raw", "inverse"), "node")
+        part = staged(dealt.groupBy(*_BLOCK, "i", "j").applyInArrow(kernel, "node long, links long, to long"), "links", release=True)
+        met = part if met is None else met.unionByName(part)
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(met.where("to >= 0"), "node", "to")
     known = nodes.select("sig", "node", "least_id", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
     known = known.join(named, "root").select("sig", "component_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    known = staged(known, "vector-classes")
+    known = staged(known, "vector-classes", release=True)
     linked = join_by_hot_key(own.where("sig is not null").select("id", "sig"), known, "sig").select("id", "n_links", "component_id")
     alone = own.where("sig is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
